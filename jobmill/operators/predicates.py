@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions.extract import max_year
-from jobmill.functions.text import (any_pattern, col, contains_any, first_present, normalize_spaces, present, quote,
-                                    state_key, text_or_empty)
-from jobmill.functions.urls import url_host, url_path, url_scheme
+from jobmill.functions.text import (any_pattern, col, contains_any, first_present, normalize_spaces, present,
+                                    quote, state_key, text_or_empty)
 
 
 def is_social(url: Column | str) -> Column:
@@ -17,43 +18,58 @@ def is_social(url: Column | str) -> Column:
     return contains_any(F.lower(text_or_empty(url)), K.SOCIAL_HOSTS)
 
 
-def _by_site(site: Column | str, tests: dict[str, Column], otherwise: Column) -> Column:
-    chosen = F.when(F.lit(False), F.lit(False))
-    for name, test in tests.items():
-        chosen = chosen.when(col(site) == name, test)
-    return F.coalesce(chosen.otherwise(otherwise), F.lit(False))
+def _keyed_match(key: Column | str, text: Column, patterns: dict[str, str], always: str = "",
+                 flags: str = "") -> Column:
+    """Match ``text`` against the pattern of its ``key``; ``always`` applies to every key.
+
+    Key and text are joined and tested by one alternation, so the expression behind ``text``
+    stands in the plan once, however many keys there are.
+    """
+    branches = [f"^{quote(name)}\\|(?:{pattern})" for name, pattern in patterns.items()]
+    if always:
+        branches.append(f"^[^|]*\\|(?:{always})")
+    return F.concat(text_or_empty(key), F.lit("|"), text).rlike(f"(?s{flags})" + "|".join(branches))
+
+
+def _words(words: Iterable[str]) -> str:
+    return ".*(?:" + "|".join(quote(w) for w in words) + ")"
 
 
 def is_competitor(url: Column | str, site: Column | str) -> Column:
     """A listed competitor string or app-store phrase; parts of the site's own domain are exempt."""
+    sites = {s: _words([c for c in K.COMPETITORS if c not in domain]) for s, domain in K.OWN_DOMAINS.items()}
+    others = "|".join(f"{quote(s)}\\|" for s in sites)
     lowered = F.lower(text_or_empty(url))
+    listed = F.concat(text_or_empty(site), F.lit("|"), lowered).rlike(
+        "(?s)" + "|".join([f"^{quote(s)}\\|{p}" for s, p in sites.items()]
+                          + [f"^(?!{others})[^|]*\\|{_words(K.COMPETITORS)}",
+                             f"^[^|]*\\|{_words(K.APP_PHRASES)}"]))
+    return listed
 
-    def foreign(domain: str) -> Column:
-        return contains_any(lowered, [c for c in K.COMPETITORS if c not in domain] + list(K.APP_PHRASES))
 
-    return _by_site(site, {s: foreign(domain) for s, domain in K.OWN_DOMAINS.items()}, foreign(""))
+def same_domain(url: Column | str, site: Column | str, domains: dict[str, str] = K.SITE_DOMAINS) -> Column:
+    """The host of a web address contains the site's domain."""
+    return _keyed_match(site, text_or_empty(url), {
+        s: f"(?i:[a-z][a-z0-9+.-]*://[^/?#]*{quote(domain)})" for s, domain in domains.items()})
 
 
-def same_domain(url: Column | str, site: Column | str, domains: dict[str, str] = K.SITE_DOMAINS) -> Column:
-    domain = F.when(F.lit(False), F.lit(""))
-    for name, value in domains.items():
-        domain = domain.when(col(site) == name, value)
-    return F.coalesce(url_host(url).contains(domain), F.lit(False))
+def is_web_address(url: Column | str) -> Column:
+    return text_or_empty(url).rlike("(?i)^https?:")
 
 
 def has_title_signal(title: Column | str, url: Column | str, category: Column | str) -> Column:
     """A year 2024-2039, or a term of the category, in title or address."""
     text = F.lower(F.concat(text_or_empty(title), F.lit(" "), text_or_empty(url)))
-    terms = {name: contains_any(text, words) for name, words in K.SIGNAL_TERMS.items()}
-    return text.rlike("(?U)" + K.SIGNAL_YEAR) | _by_site(category, terms, F.lit(False))
+    return _keyed_match(category, text, {name: _words(words) for name, words in K.SIGNAL_TERMS.items()},
+                        always=".*" + K.SIGNAL_YEAR, flags="U")
 
 
 def on_skipped_path(url: Column | str, site: Column | str) -> Column:
     """The path is one of the site's section pages or lies below one."""
-    path = url_path(url)
-    tests = {name: path.rlike("^(?:" + "|".join(quote(p.rstrip("/")) for p in skips) + ")(?:/|$)")
-             for name, skips in K.SKIP_PATHS.items()}
-    return _by_site(site, tests, F.lit(False))
+    address = "(?i:[a-z][a-z0-9+.-]*://[^/?#]*"
+    return _keyed_match(site, text_or_empty(url), {
+        name: address + "(?:" + "|".join(quote(p.rstrip("/")) for p in skips) + ")(?:[/?#;]|$))"
+        for name, skips in K.SKIP_PATHS.items()})
 
 
 def is_listing_candidate(title: Column | str, url: Column | str, site: Column | str, category: Column | str,
@@ -61,10 +77,9 @@ def is_listing_candidate(title: Column | str, url: Column | str, site: Column |
     """All tests a link of a listing page must pass, cheap ones first."""
     clean = normalize_spaces(title)
     return (
-        present(title).isNotNull() & present(url).isNotNull()
+        present(url).isNotNull()
         & (F.length(clean) >= K.MIN_TITLE_LENGTH) & ~F.lower(clean).isin(*K.SKIP_TITLES)
-        & url_scheme(url).isin("http", "https")
-        & same_domain(url, site, domains)
+        & is_web_address(url) & same_domain(url, site, domains)
         & ~is_social(url) & ~on_skipped_path(url, site)
         & has_title_signal(clean, url, category)
     )

@@ -48,20 +48,16 @@ SELECT o_orderkey AS seq, o_custkey AS k,
 FROM {{orders}}"""
 
 # Links of listing pages: real and foreign hosts, skipped paths, social and mail addresses.
-_DOMAIN = pick("o_custkey", ["www.sarkariresult.com", "www.freejobalert.com", "www.sarkariexam.com", "sarkariujala.com"])
+_DOMAIN = pick("o_custkey", ["www.sarkariresult.com", "www.freejobalert.com", "www.SarkariExam.com", "sarkariujala.com"])
 VIEWS["v_links"] = f"""
 SELECT o_orderkey AS seq, {pick('o_custkey', ['SR', 'FJA', 'SE', 'SU'])} AS site,
   {pick('o_orderkey', list(K.CATEGORIES))} AS category,
-  CASE o_orderkey % 9
-    WHEN 0 THEN 'https://' || {_DOMAIN} || '/category/' || cast(o_custkey AS string)
-    WHEN 1 THEN 'https://t.me/jobs' || cast(o_custkey AS string)
-    WHEN 2 THEN 'https://recruitment.mea.gov.in/' || cast(o_custkey AS string)
-    WHEN 3 THEN 'mailto:jobs' || cast(o_custkey AS string) || '@example.com'
-    WHEN 4 THEN 'https://' || {_DOMAIN} || '/2026/' || cast(o_custkey AS string) || '#top'
-    WHEN 5 THEN 'https://jobs.example.com/naukri.com/' || cast(o_custkey AS string)
-    WHEN 6 THEN 'HTTPS://' || upper({_DOMAIN}) || '/Result/' || cast(o_custkey AS string)
-    WHEN 7 THEN ''
-    ELSE 'http://' || {_DOMAIN} || '/p/' || cast(o_custkey AS string) || '?ref=shine.com' END AS url,
+  {pick('o_orderkey', ['https://', 'https://t.me', 'https://recruitment.mea.gov.in', 'mailto:jobs@', 'https://',
+                       'https://jobs.example.com/naukri.com', 'HTTPS://', '', 'http://'])}
+    || CASE WHEN o_orderkey % 9 IN (0, 4, 6, 8) THEN {_DOMAIN} ELSE '' END
+    || {pick('o_orderkey', ['/category/', '/', '/', '', '/2026/', '/', '/Result/', '', '/p/'])}
+    || CASE WHEN o_orderkey % 9 = 7 THEN '' ELSE cast(o_custkey AS string) END
+    || {pick('o_orderkey', ['', '', '', '', '#top', '', '', '', '?ref=shine.com'])} AS url,
   CASE o_orderkey % 7 WHEN 0 THEN '  View  More ' WHEN 1 THEN 'Exam Results' WHEN 2 THEN ''
     ELSE {pick('o_custkey', _ORGS)} || ' ' || {pick('o_orderkey', _KINDS)}
       || CASE WHEN o_orderkey % 2 = 0 THEN ' ' || cast(2020 + o_custkey % 9 AS string) ELSE '' END END AS title
