@@ -174,9 +174,14 @@ def _scoped(spark, sf):
     return view(spark, sf, "v_listings").select("seq", scope_text(F.col("title"), F.col("body")).alias("t"))
 
 
+_HITS = ", ".join(
+    f"CASE WHEN {Q.alias_hit('t', [alias])} THEN {{'name': '{name}', 'alias': '{alias}', 'dir_pos': cast({i} AS bigint)}} END"
+    for i, (name, kind, _, aliases) in enumerate(K.STATE_DIRECTORY) if kind != "central" for alias in aliases)
+
+
 @query("join_state_alias", _TEXT_SQL + f"""
-SELECT t.seq, a.name, a.alias, cast(a.dir_pos AS bigint) AS dir_pos FROM t JOIN {Q.ALIASES} a ON contains(t.t, a.alias)
-  AND regexp_matches(t.t, '(^|[^a-z])' || replace(a.alias, '&', '[&]') || '([^a-z]|$)')""")
+, h AS (SELECT seq, unnest(list_filter([{_HITS}], lambda h: h IS NOT NULL)) AS h FROM t)
+SELECT seq, h.name AS name, h.alias AS alias, h.dir_pos AS dir_pos FROM h""")
 def join_state_alias(spark, sf):
     return J.alias_matches(_scoped(spark, sf), dims.alias_dim(spark), "t").select("seq", "name", "alias", "dir_pos")
 
@@ -526,7 +531,7 @@ def delete_user(spark, sf):
 @query("upsert_docs", _DOCS + """
 SELECT d.id, coalesce(CASE WHEN l.quality = 1 THEN 'certificate' ELSE 'marksheet' END, d.category) AS category,
   CASE WHEN l.doc_id IS NULL THEN d.uploaded_at ELSE d.uploaded_at + 1 END AS version
-FROM docs d LEFT JOIN labels l ON l.doc_id = d.id AND true WHERE l.doc_id IS NOT NULL
+FROM docs d LEFT JOIN labels l ON l.doc_id = d.id WHERE l.doc_id IS NOT NULL
 UNION ALL SELECT d.id, d.category, d.uploaded_at FROM docs d WHERE d.id NOT IN (SELECT doc_id FROM labels)""")
 def upsert_docs(spark, sf):
     current = _docs(spark, sf).select("id", "category", F.col("uploaded_at").alias("version"))

@@ -102,7 +102,7 @@ def parse_directory(docs: DataFrame, body: str = "body") -> DataFrame:
 def explode_aliases(directory: DataFrame, types: tuple[str, ...] = ("state", "ut")) -> DataFrame:
     """One row per alias; aliases of central entries are never used."""
     rows = directory.where(F.col("type").isin(*types))
-    return rows.withColumn("alias", F.lower(F.explode("aliases"))).drop("aliases")
+    return rows.withColumn("alias", F.explode("aliases")).withColumn("alias", F.lower("alias")).drop("aliases")
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
