@@ -10,12 +10,13 @@ from jobmill.functions.states import alias_pattern
 from jobmill.functions.text import contains_one_of_few, first_present, state_key, text_or_empty
 
 
-def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key") -> DataFrame:
+def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """Links with their page body; a link without a page, or with an empty one, keeps an empty body.
 
     Unhinted, so adaptive execution may split a hot address on either side.
     """
-    body = pages.select(key, F.col("body_text").alias("_body"))
+    body = pages.select(key, *carry, F.col("body_text").alias("_body"))
     return links.join(body, key, "left").withColumn("body_text", text_or_empty("_body")).drop("_body")
 
 

@@ -96,6 +96,20 @@ SELECT 'u' || cast(doc_id % 40 AS string) AS owner, doc_id AS id,
 FROM {{documents}}"""
 
 
+# One article page per customer, except every sixth, at the address that customer's listings have.
+_PLACE = f"'https://jobs' || cast(c_custkey % 7 AS string) || '.example.com/p/' || cast(c_custkey AS string)"
+VIEWS["v_articles"] = f"""
+SELECT {_PLACE} AS url_key, {pick('c_custkey', list(K.SOURCE_GROUPS))} AS site, c_custkey AS k,
+  {pick('c_custkey', ['Railway Board', '', 'Police  Bharti'])} AS heading,
+  lpad(cast(c_custkey % 28 + 1 AS string), 2, '0') || '/' || lpad(cast(c_custkey % 12 + 1 AS string), 2, '0') || '/2026' AS day,
+  {pick('c_custkey', _SENTENCES)} AS sentence
+FROM {{customer}} WHERE c_custkey % 6 <> 5"""
+ARTICLE_HTML = """'<html><body><nav>menu</nav><h1>' || heading || '</h1><div id="post" class="entry-content"><p>Last Date: ' || day
+  || '</p><div class="share-bar">99999 posts</div><p>' || cast(k * 13 AS string) || ' posts</p><a href="https://t.me/x">Goa</a><p>' || sentence
+  || '</p></div><footer>Kerala</footer></body></html>'"""
+LISTING_DOMAINS = {"SR": "jobs0.example.com", "FJA": "jobs1.example.com", "SE": "jobs2.example.com", "SU": "jobs3.example.com"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
