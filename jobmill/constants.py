@@ -164,6 +164,9 @@ BRAND_PATTERNS = (
     r"rojgarresult\.com|RojgarResult",
     r"sarkarinaukri\.com|Sarkari\s*Naukri",
 )
+# Every brand pattern and app-store phrase holds one of these (the last is a letter that equals "s" in
+# matches without case).
+SCRUB_HINTS = ("sarkari", "alert", "rojgar", "app", "play", "onelink", "apk", "download on", "\u017f")
 DEFAULT_HOUSE = "JobMill"
 
 # --- fixed values: HTML cleaning ---------------------------------------------------
@@ -180,24 +183,24 @@ MARKET_DROP_TAGS = ("script", "style", "iframe", "img", "noscript", "svg", "form
 SCRUBBED_ATTRIBUTES = ("title", "alt", "aria-label")
 DROPPED_LINK_ATTRIBUTES = ("target", "onclick", "onmouseover")
 
-# --- fixed values: allow / deny patterns of the bank recruitment source -------------
-ALLOW_PATTERNS = (
-    r"\bPSB\b", r"\bIDBI\b", r"\bIIFCL\b", r"\bNABFID\b", r"\bNABARD\b", r"\bSIDBI\b", r"\bSBI\b",
-    r"\bPNB\b", r"\bBOB\b", r"\bBank of India\b", r"\bIndian Bank\b", r"\bCentral Bank\b",
-    r"\bCanara\b", r"\bUnion Bank\b",
+# --- fixed values: allow / deny words of the bank recruitment source (whole words) -------
+ALLOW_WORDS = (
+    "PSB", "IDBI", "IIFCL", "NABFID", "NABARD", "SIDBI", "SBI",
+    "PNB", "BOB", "Bank of India", "Indian Bank", "Central Bank",
+    "Canara", "Union Bank",
 )
-DENY_PATTERNS = (r"\bprogramme\b", r"\bpgip\b", r"\bco-operative\b", r"\bspecial recruitment drive\b")
+DENY_WORDS = ("programme", "pgip", "co-operative", "special recruitment drive")
 
-# --- fixed values: scope patterns ----------------------------------------------------
-REMOTE_PATTERN = r"\bremote\b"
-ALL_INDIA_PATTERNS = (
-    r"\ball india\b", r"\ball states\b", r"\bnationwide\b", r"\bpan india\b", r"\bacross india\b",
+# --- fixed values: scope words (whole words; "?" as in a pattern) ---------------------------
+REMOTE_WORDS = ("remote",)
+ALL_INDIA_WORDS = (
+    "all india", "all states", "nationwide", "pan india", "across india",
 )
-CENTRAL_PATTERNS = (
-    r"\bcentral govt\b", r"\bcentral government\b", r"\bupsc\b", r"\bssc\b", r"\brailway\b",
-    r"\brrb\b", r"\bibps\b", r"\bsbi\b", r"\bindian army\b", r"\bindian navy\b",
-    r"\bindian air ?force\b", r"\bagniveer\b", r"\bdrdo\b", r"\bnielit\b", r"\bctet\b",
-    r"\bneet\b", r"\bnta\b",
+CENTRAL_WORDS = (
+    "central govt", "central government", "upsc", "ssc", "railway",
+    "rrb", "ibps", "sbi", "indian army", "indian navy",
+    "indian air ?force", "agniveer", "drdo", "nielit", "ctet",
+    "neet", "nta",
 )
 
 # --- fixed values: key facts in free text ----------------------------------------------
@@ -219,7 +222,6 @@ CARD_NOISE_PATTERN = r"\b(?:Less|More)\b"
 
 # --- fixed values: applicant totals ------------------------------------------------------
 COUNT_TOKEN = r"(\d[\d,]*(?:\.\d+)?)\s*(lakh|crore|million)?"
-COUNT_PREFIX = r"(?:(?:over|more than|around|nearly|approximately)\s+)?"
 # (basis, what surrounds the count token); {n} is the token, tried in this order.
 APPLICANT_PATTERNS = (
     ("applied", r"{n}\s+(?:candidates?|applicants?)\s+(?:have\s+)?applied\b"),
@@ -231,7 +233,6 @@ APPLICANT_PATTERNS = (
     ("applied", r"total\s+(?:candidates?|applicants?)\s+applied\s*[:\-]?\s*{n}"),
     ("appeared", r"total\s+(?:candidates?|students?)\s+appeared\s*[:\-]?\s*{n}"),
 )
-APPLICANT_WORDS = ("applied", "registered", "received", "appeared", "qualified")
 APPLICANT_LABELS = {
     "applied": "Applied",
     "registered": "Registered",

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions.numbers import format_indian, parse_count
-from jobmill.functions.text import (UNICODE_ANY_CASE, any_pattern, col, contains_any, normalize_spaces,
-                                    present, strip_spaces, text_or_empty)
+from jobmill.functions.text import UNICODE_ANY_CASE, col, present, strip_spaces, text_or_empty
 
 
 def _first_group(text: Column, pattern: str) -> Column:
@@ -57,23 +56,23 @@ def extract_notice_dates(text: Column | str) -> Column:
 def extract_applicants(text: Column | str) -> Column:
     """Struct of the first applicant total, by pattern order, whose count is above zero.
 
-    Every pattern needs one of five words, so a substring test spares the other texts all scans.
-    Each pattern is searched once; number and unit are then read from the short match.  Words such
-    as "over" before the number are optional and change neither, so they are not searched for.
+    ``text`` should be normalised by :func:`normalize_spaces` and a plain column, as the patterns
+    refer to it many times.  A pattern is only searched where its own word occurs; number and unit
+    are then read from the short match.  Words such as "over" before the number are optional and
+    change neither, so they are not searched for.
     """
-    content = normalize_spaces(text)
+    content = text_or_empty(text)
+    lowered = F.lower(content)
     hits = []
     for basis, shape in K.APPLICANT_PATTERNS:
-        pattern = shape.replace("{n}", K.COUNT_TOKEN)
-        hits.append(F.struct(F.lit(basis).alias("basis"), F.lit(K.APPLICANT_LABELS[basis]).alias("label"),
-                             F.regexp_extract(content, UNICODE_ANY_CASE + pattern, 0).alias("hit")))
+        pattern = UNICODE_ANY_CASE + shape.replace("{n}", K.COUNT_TOKEN)
+        hit = F.when(lowered.contains(basis.split(" ")[-1]), F.regexp_extract(content, pattern, 0)).otherwise("")
+        hits.append(F.struct(F.lit(basis).alias("basis"), F.lit(K.APPLICANT_LABELS[basis]).alias("label"), hit.alias("hit")))
     token = UNICODE_ANY_CASE + K.COUNT_TOKEN
-    counted = F.transform(F.array(*hits), lambda h: F.struct(
+    counted = F.transform(F.filter(F.array(*hits), lambda h: h.hit != ""), lambda h: F.struct(
         h.basis.alias("basis"), h.label.alias("label"),
         parse_count(F.regexp_extract(h.hit, token, 1), F.regexp_extract(h.hit, token, 2)).alias("n")))
-    first = F.get(F.filter(counted, lambda h: h.n > 0), F.lit(0))
-    worth_a_scan = contains_any(F.lower(content), K.APPLICANT_WORDS)
-    return F.when(worth_a_scan, first)
+    return F.get(F.filter(counted, lambda h: h.n > 0), F.lit(0))
 
 
 def applicant_columns(hit: Column | str) -> dict[str, Column]:
@@ -89,7 +88,3 @@ def applicant_columns(hit: Column | str) -> dict[str, Column]:
         "applicant_metric_note": F.coalesce(note, F.lit(default["applicant_metric_note"])),
         "applicant_metric_basis": F.coalesce(hit.basis, F.lit(default["applicant_metric_basis"])),
     }
-
-
-def has_pattern(text: Column | str, patterns: tuple[str, ...]) -> Column:
-    return any_pattern(text_or_empty(text), patterns)

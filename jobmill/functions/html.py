@@ -314,13 +314,6 @@ def is_social(url: Column) -> Column:
     return let(F.lower(F.coalesce(url, F.lit(""))), lambda u: contains_any(u, K.SOCIAL_HOSTS))
 
 
-def is_competitor(url: Column, own_domain: str = "") -> Column:
-    """Competitor or app-store address; strings within ``own_domain`` are exempt."""
-    foreign = [c for c in K.COMPETITORS if c not in own_domain]
-    return let(F.lower(F.coalesce(url, F.lit(""))),
-               lambda u: contains_any(u, foreign) | contains_any(u, K.APP_PHRASES))
-
-
 def junk_spans(tokens: Column, root: bool = True) -> Column:
     """Elements dropped by tag name or by a junk word in class or id."""
     junk = "(?iu)" + K.JUNK_CLASS
@@ -334,7 +327,7 @@ def junk_spans(tokens: Column, root: bool = True) -> Column:
     return found if root else F.filter(found, lambda s: s.pos > F.get(tokens, F.lit(0)).pos)
 
 
-def foreign_spans(kept: Column, own_domain: str = "") -> Column:
+def foreign_spans(kept: Column, is_competitor: Callable[[Column], Column]) -> Column:
     """Links and images of competitors, social sites and app stores among ``kept`` tokens."""
     def link_text(i: Column, t: Column) -> Column:
         # Dropping only shortens a subtree, so its tokens lie within its original length.
@@ -349,8 +342,8 @@ def foreign_spans(kept: Column, own_domain: str = "") -> Column:
 
     def test(x: Column) -> Column:
         href, src = x.t.attrs["href"], x.t.attrs["src"]
-        bad_link = is_competitor(href, own_domain) | is_social(href) | names_app(x.i, x.t)
-        bad_image = is_competitor(src, own_domain) | contains_any(
+        bad_link = is_competitor(href) | is_social(href) | names_app(x.i, x.t)
+        bad_image = is_competitor(src) | contains_any(
             F.lower(F.coalesce(x.t.attrs["alt"], F.lit(""))), K.IMAGE_ALT_BRANDS)
         return F.when(x.t.tag == "a", bad_link).otherwise(bad_image)
 

@@ -65,6 +65,15 @@ def first_n(df: DataFrame, by: list[str], order: str | list[str], n: int, rank:
     return ranked.drop(rank) if rank == "_rank" else ranked
 
 
+def in_source_order(df: DataFrame, groups: tuple[str, ...] = K.SOURCE_GROUPS, stride: int = 10**12) -> DataFrame:
+    """The same order as :func:`union_in_order` for rows that already carry their source group.
+
+    Only ``seq`` is rewritten, so the plan behind ``df`` is not repeated once per group.
+    """
+    rank = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("source_group")) - 1
+    return df.where(F.col("source_group").isin(*groups)).withColumn("seq", F.col("seq") + rank * F.lit(stride))
+
+
 def union_in_order(frames: list[DataFrame], stride: int = 10**12) -> DataFrame:
     """Concatenate frames; ``seq`` becomes the rank of the frame, then the old order."""
     ranked = [df.withColumn("seq", F.col("seq") + F.lit(i * stride)) for i, df in enumerate(frames)]

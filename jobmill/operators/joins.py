@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
-from jobmill.functions.states import alias_pattern
-from jobmill.functions.text import contains_one_of_few, first_present, state_key, text_or_empty
+from jobmill.functions.text import first_present, state_key, text_or_empty
 
 
 def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
@@ -20,22 +19,6 @@ def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
     return links.join(body, key, "left").withColumn("body_text", text_or_empty("_body")).drop("_body")
 
 
-def state_matches(listings: DataFrame, text: str) -> DataFrame:
-    """(listing, state name, directory position), one row per match.
-
-    The directory is a literal of the plan: a listing is tested against every state and only the
-    hits are exploded, so nothing is broadcast and no pair that misses ever becomes a row.
-    """
-    value = F.col(text)
-    tests = [
-        F.when(contains_one_of_few(value, aliases) & value.rlike(alias_pattern(aliases)),
-               F.struct(F.lit(i).cast("bigint").alias("dir_pos"), F.lit(name).alias("name")))
-        for i, (name, kind, _, aliases) in enumerate(K.STATE_DIRECTORY) if kind in ("state", "ut")
-    ]
-    hits = listings.withColumn("_hit", F.explode(F.array_compact(F.array(*tests))))
-    return hits.select(*listings.columns, "_hit.name", "_hit.dir_pos")
-
-
 def alias_matches(listings: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
     """One row per (listing, alias) hit against an alias table.
 

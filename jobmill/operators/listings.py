@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobmill import constants as K
 from jobmill.functions.extract import (applicant_columns, classify_title, extract_applicants, extract_exam_date,
                                        extract_last_date, extract_vacancies)
-from jobmill.functions.states import matched_states, scope_text, tag_states
+from jobmill.functions.states import matched_states, scope_kind, scope_text, state_words, tag_states
 from jobmill.functions.text import (brand_scrub, clean_skills, col, first_present, normalize_spaces, present,
                                     text_or_empty)
 from jobmill.functions.urls import listing_id, url_normalize
@@ -23,9 +23,10 @@ def with_facts(df: DataFrame, title: str = "title", body: str = "body_text") ->
         "vacancies": extract_vacancies(body),
         "exam_date": extract_exam_date(body),
         "info_category": classify_title(title),
-        "_hit": extract_applicants(body),
+        "_content": normalize_spaces(body),
     })
-    return df.withColumns(applicant_columns("_hit")).drop("_hit")
+    df = df.withColumn("_hit", extract_applicants("_content"))
+    return df.withColumns(applicant_columns("_hit")).drop("_hit", "_content")
 
 
 def with_explicit_info(df: DataFrame, explicit: dict[str, Column]) -> DataFrame:
@@ -37,8 +38,9 @@ def with_states(df: DataFrame, title: str = "title", body: str = "body_text",
                 house: str = K.DEFAULT_HOUSE) -> DataFrame:
     """Materialise the searched text and the matches once, then derive the three columns."""
     df = df.withColumn("_scope", scope_text(col(title), col(body), house))
-    df = df.withColumn("_states", matched_states(F.col("_scope")))
-    return df.withColumns(tag_states(F.col("_scope"), F.col("_states"))).drop("_scope", "_states")
+    df = df.withColumns({"_words": state_words(F.col("_scope")), "_kind": scope_kind(F.col("_scope"))})
+    df = df.withColumn("_states", matched_states("_scope", "_words"))
+    return df.withColumns(tag_states(F.col("_kind"), F.col("_states"))).drop("_scope", "_words", "_states", "_kind")
 
 
 def build_listing(links: DataFrame, explicit: dict[str, Column] | None = None,

@@ -12,14 +12,14 @@ from jobmill.functions import html as H
 from jobmill.functions.html import Select
 from jobmill.functions.text import contains_any, normalize_spaces, strip_spaces, text_or_empty
 from jobmill.functions.urls import join_site_path, url_absolute
-from jobmill.session import spread
+from jobmill.operators.predicates import is_competitor
 
 TOKENS = "_tokens"
 
 
 def tokenized(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages with their token column instead of the raw text."""
-    return spread(pages).withColumn(TOKENS, H.tokenize(html)).drop(html)
+    return pages.withColumn(TOKENS, H.tokenize(html)).drop(html)
 
 
 def _others(pages: DataFrame) -> list[str]:
@@ -233,7 +233,7 @@ def extract_sections(pages: DataFrame, site: str, home: str, limit: int = K.HOME
 # ------------------------------------------------------------------ article bodies
 
 
-def _body_candidates(tokens: Column, site: str) -> Column:
+def _body_candidates(tokens: Column, site: Column) -> Column:
     """Candidate elements with (rule, weight); weight ranks tables by their written length."""
     def ranked(found: Column, rule: int) -> Column:
         return F.transform(found, lambda n: F.struct(
@@ -241,13 +241,15 @@ def _body_candidates(tokens: Column, site: str) -> Column:
 
     tables = F.transform(H.select(tokens, Select(tags=("table",))), lambda n: F.struct(
         F.lit(9).alias("rule"), F.length(H.to_html(H.subtree(tokens, n))).alias("weight"), n.alias("node")))
-    by_class = ranked(H.select(tokens, Select(tags=("div",), class_pattern=K.BODY_CLASS[site])), 1)
-    if site == "SR":
-        return F.concat(ranked(H.select(tokens, Select(tags=("div",), id="post")), 0), by_class, tables)
-    return F.concat(by_class, ranked(H.select(tokens, Select(tags=("article",))), 2), tables)
+    def by_class(name: str) -> Column:
+        return ranked(H.select(tokens, Select(tags=("div",), class_pattern=K.BODY_CLASS[name])), 1)
+
+    first = F.concat(ranked(H.select(tokens, Select(tags=("div",), id="post")), 0), by_class("SR"))
+    others = F.concat(by_class("FJA"), ranked(H.select(tokens, Select(tags=("article",))), 2))
+    return F.concat(F.when(site == "SR", first).otherwise(others), tables)
 
 
-def with_main_content(df: DataFrame, site: str) -> DataFrame:
+def with_main_content(df: DataFrame, site: Column) -> DataFrame:
     """Adds ``_main`` (the tokens of the article body, NULL if none) and ``main_rule``.
 
     Best candidate: lowest rule, then largest weight, then first in the document.
@@ -262,7 +264,7 @@ def with_main_content(df: DataFrame, site: str) -> DataFrame:
     }).drop("_best")
 
 
-def extract_main_content(pages: DataFrame, site: str) -> DataFrame:
+def extract_main_content(pages: DataFrame, site: Column) -> DataFrame:
     df = with_main_content(tokenized(pages), site)
     text = F.when(F.col("_main").isNull(), "").otherwise(H.text_of(F.col("_main")))
     return df.select(*[c for c in _others(df) if c not in ("_main", "main_rule")], "main_rule", text.alias("text"))
@@ -300,21 +302,25 @@ def html_clean(pages: DataFrame, drop_tags: tuple[str, ...] = K.OFFICIAL_DROP_TA
         "_clean", TOKENS)
 
 
-def deep_cleaned(df: DataFrame, tokens: str = TOKENS, own_domain: str = "", root: bool = True,
+def deep_cleaned(df: DataFrame, tokens: str = TOKENS, site: Column | None = None, root: bool = True,
                  house: str = K.DEFAULT_HOUSE) -> DataFrame:
-    """Adds ``_deep``, the cleaned tokens, and ``_dropped``, the spans that went."""
+    """Adds ``_deep``, the cleaned tokens, and ``_dropped``, the spans that went.
+
+    ``site`` exempts the page's own domain from the competitor test.
+    """
+    site = F.lit("") if site is None else site
     source = F.col(tokens)
     df = df.withColumn("_junk", H.junk_spans(source, root))
     df = df.withColumn("_kept", H.without(source, F.col("_junk")))
-    df = df.withColumn("_foreign", H.foreign_spans(F.col("_kept"), own_domain))
+    df = df.withColumn("_foreign", H.foreign_spans(F.col("_kept"), lambda url: is_competitor(url, site)))
     df = df.withColumn("_dropped", F.array_sort(F.concat("_junk", "_foreign")))
     df = df.withColumn("_deep", H.scrub_tokens(H.without(source, F.col("_dropped")), house))
     return df.drop("_junk", "_kept", "_foreign")
 
 
-def html_deep_clean(pages: DataFrame, own_domain: str = "", house: str = K.DEFAULT_HOUSE) -> DataFrame:
+def html_deep_clean(pages: DataFrame, site: Column | None = None, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     """clean_html, clean_text and the number of dropped elements per tag."""
-    df = deep_cleaned(tokenized(pages), own_domain=own_domain, house=house)
+    df = deep_cleaned(tokenized(pages), site=site, house=house)
     gone = F.transform(F.col("_dropped"), lambda s: F.get(F.col(TOKENS), s.pos).tag)
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(gone)), lambda tag: F.struct(
         tag, F.size(F.filter(gone, lambda g: g == tag)).cast("bigint"))))

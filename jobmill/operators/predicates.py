@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions.extract import max_year
-from jobmill.functions.text import (any_pattern, col, contains_any, first_present, normalize_spaces, present,
+from jobmill.functions.text import (col, contains_any, first_present, has_word, normalize_spaces, present,
                                     quote, state_key, text_or_empty)
 
 
@@ -87,7 +87,7 @@ def is_listing_candidate(title: Column | str, url: Column | str, site: Column |
 
 def passes_allow_deny(org: Column | str, role: Column | str) -> Column:
     text = normalize_spaces(F.concat_ws(" ", text_or_empty(org), text_or_empty(role)))
-    return ~any_pattern(text, K.DENY_PATTERNS) & any_pattern(text, K.ALLOW_PATTERNS)
+    return ~has_word(text, K.DENY_WORDS) & has_word(text, K.ALLOW_WORDS)
 
 
 def is_current_notice(text: Column | str, as_of_year: int) -> Column:

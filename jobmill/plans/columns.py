@@ -67,7 +67,7 @@ def normalize_spaces(spark, sf):
 SELECT seq, {Q.scrub("title || ' get application Free Job Alert ' || body")} AS clean FROM v_listings""")
 def brand_scrub(spark, sf):
     text = F.concat("title", F.lit(" get application Free Job Alert "), "body")
-    return view(spark, sf, "v_listings").select("seq", T.brand_scrub(text).alias("clean"))
+    return view(spark, sf, "v_listings", heavy=True).select("seq", T.brand_scrub(text).alias("clean"))
 
 
 @query("escape_html", """
@@ -126,7 +126,7 @@ def split_qualification(spark, sf):
 SELECT seq, array_to_string(list_filter(list_transform(string_split(skills_text, ','), lambda p: {Q.scrub('p')}),
   lambda p: p <> ''), '|') AS skills FROM v_market""")
 def filter_skills(spark, sf):
-    return view(spark, sf, "v_market").select(
+    return view(spark, sf, "v_market", heavy=True).select(
         "seq", F.array_join(T.clean_skills(F.split("skills_text", ",")), "|").alias("skills"))
 
 
@@ -179,7 +179,7 @@ SELECT seq, h.n AS applicant_count, coalesce({Q.indian('h.n')}, '') AS applicant
   {Q.applicant_label('h.basis')} AS applicant_metric_label, {Q.applicant_note('h.basis', Q.indian('h.n'))} AS applicant_metric_note,
   coalesce(h.basis, 'not_disclosed') AS applicant_metric_basis FROM h""")
 def extract_applicants(spark, sf):
-    hits = view(spark, sf, "v_listings").select("seq", X.extract_applicants("body").alias("hit"))
+    hits = view(spark, sf, "v_listings", heavy=True).select("seq", X.extract_applicants(T.normalize_spaces("body")).alias("hit"))
     return hits.select("seq", *[c.alias(n) for n, c in X.applicant_columns("hit").items()])
 
 
@@ -223,7 +223,7 @@ SELECT seq, {Q.kept_states('t', 'f')} AS states, {Q.state_label('t', 'f')} AS st
 def tag_states(spark, sf):
     from jobmill.operators.listings import with_states
 
-    df = with_states(view(spark, sf, "v_listings"), body="body")
+    df = with_states(view(spark, sf, "v_listings", heavy=True), body="body")
     return df.select("seq", F.array_join("states", " / ").alias("states"), "state_label", "official_state_portal")
 
 
@@ -306,9 +306,9 @@ def file_ext_category(spark, sf):
 # ------------------------------------------------------------------ filters
 
 
-def _kept(spark, sf, test, name="v_links"):
-    df = view(spark, sf, name)
-    return df.where(test(df)).select("seq", "site", "category", "url", "title")
+def _kept(spark, sf, test):
+    df = view(spark, sf, "v_links", heavy=True)
+    return df.where(test).select("seq", "site", "category", "url", "title")
 
 
 _LINK_COLUMNS = "seq, site, category, url, title"
@@ -316,22 +316,22 @@ _LINK_COLUMNS = "seq, site, category, url, title"
 
 @query("filter_listing_candidate", f"SELECT {_LINK_COLUMNS} FROM v_links WHERE {Q.candidate('title', 'url', 'site', 'category')}")
 def filter_listing_candidate(spark, sf):
-    return _kept(spark, sf, lambda d: P.is_listing_candidate("title", "url", "site", "category"))
+    return _kept(spark, sf, P.is_listing_candidate("title", "url", "site", "category"))
 
 
 @query("filter_title_signal", f"SELECT {_LINK_COLUMNS} FROM v_links WHERE {Q.signal('title', 'url', 'category')}")
 def filter_title_signal(spark, sf):
-    return _kept(spark, sf, lambda d: P.has_title_signal("title", "url", "category"))
+    return _kept(spark, sf, P.has_title_signal("title", "url", "category"))
 
 
 @query("filter_same_domain", f"SELECT {_LINK_COLUMNS} FROM v_links WHERE {Q.same_domain('url', 'site', K.SITE_DOMAINS)}")
 def filter_same_domain(spark, sf):
-    return _kept(spark, sf, lambda d: P.same_domain("url", "site"))
+    return _kept(spark, sf, P.same_domain("url", "site"))
 
 
 @query("filter_social", f"SELECT {_LINK_COLUMNS} FROM v_links WHERE NOT {Q.social('url')}")
 def filter_social(spark, sf):
-    return _kept(spark, sf, lambda d: ~P.is_social("url"))
+    return _kept(spark, sf, ~P.is_social("url"))
 
 
 def _competitor_sql() -> str:
@@ -344,7 +344,7 @@ def _competitor_sql() -> str:
 
 @query("filter_competitor", f"SELECT {_LINK_COLUMNS} FROM v_links WHERE NOT {_competitor_sql()}")
 def filter_competitor(spark, sf):
-    return _kept(spark, sf, lambda d: ~P.is_competitor("url", "site"))
+    return _kept(spark, sf, ~P.is_competitor("url", "site"))
 
 
 _BANK = "CASE k % 5 WHEN 0 THEN 'SBI' WHEN 1 THEN 'Union  Bank' WHEN 2 THEN 'PNBX' WHEN 3 THEN 'Indian bank' ELSE 'IBPS' END"
@@ -353,8 +353,8 @@ _ROLE = "CASE seq % 4 WHEN 0 THEN 'PGIP 2026' WHEN 1 THEN 'Clerk' WHEN 2 THEN 'C
 
 @query("filter_allow_deny", f"""
 WITH t AS (SELECT seq, {_BANK} AS org, {_ROLE} AS role FROM v_listings)
-SELECT seq, org, role FROM t WHERE NOT {Q.patterns(Q.spaces("org || ' ' || role"), K.DENY_PATTERNS)}
-  AND {Q.patterns(Q.spaces("org || ' ' || role"), K.ALLOW_PATTERNS)}""")
+SELECT seq, org, role FROM t WHERE NOT {Q.words(Q.spaces("org || ' ' || role"), K.DENY_WORDS)}
+  AND {Q.words(Q.spaces("org || ' ' || role"), K.ALLOW_WORDS)}""")
 def filter_allow_deny(spark, sf):
     rows = view(spark, sf, "v_listings").select("seq", F.expr(_BANK).alias("org"), F.expr(_ROLE).alias("role"))
     return rows.where(P.passes_allow_deny("org", "role"))

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from jobmill import constants as K
+from jobmill.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -110,13 +111,15 @@ ARTICLE_HTML = """'<html><body><nav>menu</nav><h1>' || heading || '</h1><div id=
 LISTING_DOMAINS = {"SR": "jobs0.example.com", "FJA": "jobs1.example.com", "SE": "jobs2.example.com", "SU": "jobs3.example.com"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` uses all cores on a table of few splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     sql = VIEWS[name]
-    frames = {n: (view if n in VIEWS else table)(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
+    frames = {n: (view if n in VIEWS else table)(spark, sf_dir, n, heavy) for n in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **frames)
 
 

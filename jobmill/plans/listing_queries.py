@@ -38,7 +38,7 @@ SELECT seq, md5(category || ':' || original_url) AS id, {Q.scrub(Q.spaces('title
   {Q.applicant_label('h.basis')} AS applicant_metric_label, {Q.kept_states('t', 'f')} AS states, {Q.state_label('t', 'f')} AS state_label,
   {Q.portal('t', 'f')} AS official_state_portal FROM f""")
 def build_listing(spark, sf):
-    rows = view(spark, sf, "v_listings").withColumnRenamed("body", "body_text")
+    rows = view(spark, sf, "v_listings", heavy=True).withColumnRenamed("body", "body_text")
     explicit = {"last_date": F.when(F.col("seq") % 2 == 0, "See UPSC notification").otherwise("")}
     built = L.build_listing(rows, explicit)
     return built.select(
@@ -47,7 +47,7 @@ def build_listing(spark, sf):
 
 
 def market_rows(spark, sf):
-    rows = view(spark, sf, "v_market").withColumns({
+    rows = view(spark, sf, "v_market", heavy=True).withColumns({
         "salary": format_currency_range("salary_min", "salary_max"),
         "posted_at": format_market_date("posted_raw"),
         "skills": F.split("skills_text", ","),
@@ -171,7 +171,7 @@ _TEXT_SQL = f"WITH t AS (SELECT seq, {_SCOPE} AS t FROM v_listings)\n"
 
 
 def _scoped(spark, sf):
-    return view(spark, sf, "v_listings").select("seq", scope_text(F.col("title"), F.col("body")).alias("t"))
+    return view(spark, sf, "v_listings", heavy=True).select("seq", scope_text(F.col("title"), F.col("body")).alias("t"))
 
 
 _HITS = ", ".join(
@@ -198,7 +198,7 @@ def collect_states(spark, sf):
 SELECT seq, state_label, coalesce(d.portal_url, '') AS portal FROM j LEFT JOIN {Q.DIRECTORY} d
   ON d.name = CASE WHEN k <> '' AND len(f) = 1 THEN f[1] WHEN k = '' AND state_label IN ('All India', 'Central Govt') THEN state_label END""")
 def join_portal(spark, sf):
-    tagged = L.with_states(view(spark, sf, "v_listings"), body="body")
+    tagged = L.with_states(view(spark, sf, "v_listings", heavy=True), body="body")
     return J.join_portal(tagged, dims.state_dim(spark)).select("seq", "state_label", "portal")
 
 

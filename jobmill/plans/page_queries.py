@@ -28,12 +28,12 @@ WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*"
 SELECT page_id, pos, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&')) AS title, replace(regexp_extract(a, '"([^"]*)"', 1), '&amp;', '&') AS href,
   split_part(regexp_extract(url, '^[a-z]+://[^/]*') || replace(regexp_extract(a, '"([^"]*)"', 1), '&amp;', '&'), '#', 1) AS full_url FROM a""")
 def extract_links(spark, sf):
-    return PG.extract_links(table(spark, sf, "pages")).select("page_id", "pos", "title", "href", "full_url")
+    return PG.extract_links(table(spark, sf, "pages", heavy=True)).select("page_id", "pos", "title", "href", "full_url")
 
 
 @query("html_to_text", f"SELECT page_id, {Q.PAGE_TEXT} AS text FROM pages")
 def html_to_text(spark, sf):
-    return PG.html_to_text(table(spark, sf, "pages")).select("page_id", "text")
+    return PG.html_to_text(table(spark, sf, "pages", heavy=True)).select("page_id", "text")
 
 
 @query("html_clean", f"""
@@ -41,7 +41,7 @@ SELECT page_id, {Q.PAGE_TEXT} AS clean_text, array_to_string(list_transform(rege
   split_part(regexp_extract(url, '^[a-z]+://[^/]*') || replace(h, '&amp;', '&'), '#', 1)), ' ') AS links,
   contains(html, '<script') OR contains(html, '<style') OR contains(html, '<meta') AS had_scripts, false AS has_scripts FROM pages""")
 def html_clean(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", heavy=True)
     clean = PG.html_clean(pages.withColumn("had_scripts", F.expr("html like '%<script%' or html like '%<style%' or html like '%<meta%'")))
     has = F.expr("clean_html like '%<script%' or clean_html like '%<style%' or clean_html like '%<meta%'")
     return clean.select("page_id", "clean_text", F.array_join("links", " ").alias("links"), "had_scripts", has.alias("has_scripts"))
@@ -55,7 +55,7 @@ _EXTRA = ("""'<div class="lead-in">sponsored</div><p title="Sarkari Result">Sark
 @query("html_deep_clean", f"""
 SELECT page_id, {Q.PAGE_TEXT} || ' {K.DEFAULT_HOUSE} ' || page_id || ' notice' AS clean_text, 'a:3 div:1 img:1 meta:1 script:1 style:1' AS dropped FROM pages""")
 def html_deep_clean(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("html", F.concat("html", F.expr(_EXTRA.replace("|| page_id ||", "|| cast(page_id as string) ||"))))
+    pages = table(spark, sf, "pages", heavy=True).withColumn("html", F.concat("html", F.expr(_EXTRA.replace("|| page_id ||", "|| cast(page_id as string) ||"))))
     pairs = F.transform(F.map_entries("dropped_tags"), lambda e: F.concat(e.key, F.lit(":"), e.value.cast("string")))
     return PG.html_deep_clean(pages).select("page_id", "clean_text", F.array_join(F.array_sort(pairs), " ").alias("dropped"))
 
@@ -63,7 +63,7 @@ def html_deep_clean(spark, sf):
 @query("extract_main_content", f"""
 SELECT page_id, cast(2 AS bigint) AS main_rule, {Q.PAGE_TEXT.replace('regexp_replace(html,', "regexp_replace(regexp_extract(html, '<article>.*</article>', 0, 's'),")} AS text FROM pages""")
 def extract_main_content(spark, sf):
-    return PG.extract_main_content(table(spark, sf, "pages"), "FJA").select("page_id", "main_rule", "text")
+    return PG.extract_main_content(table(spark, sf, "pages", heavy=True), F.lit("FJA")).select("page_id", "main_rule", "text")
 
 
 @query("largest_block", r"""
@@ -73,7 +73,7 @@ x AS (SELECT page_id, pos, trim(replace(regexp_extract(item, '^<a[^>]*>([^<]*)</
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, pos) AS rn FROM x)
 SELECT page_id, length(text) AS block_length, text AS block_text FROM r WHERE rn = 1""")
 def largest_block(spark, sf):
-    return PG.largest_block(table(spark, sf, "pages"), "li").select("page_id", "block_length", "block_text")
+    return PG.largest_block(table(spark, sf, "pages", heavy=True), "li").select("page_id", "block_length", "block_text")
 
 
 @query("scan_page_config", f"""
@@ -89,9 +89,9 @@ def scan_page_config(spark, sf):
 WITH l AS (SELECT seq, k, title FROM v_listings)
 SELECT l.seq, l.title, coalesce({Q.PAGE_TEXT}, '') AS body_text FROM l LEFT JOIN pages p ON p.page_id = l.k""")
 def join_link_content(spark, sf):
-    links = view(spark, sf, "v_listings").select("seq", "title", U.url_normalize(
+    links = view(spark, sf, "v_listings", heavy=True).select("seq", "title", U.url_normalize(
         F.concat(F.lit("https://jobs.example.com/p/"), F.col("k").cast("string"), F.lit("#x"))).alias("url_key"))
-    pages = PG.html_to_text(table(spark, sf, "pages")).select(
+    pages = PG.html_to_text(table(spark, sf, "pages", heavy=True)).select(
         F.concat(F.lit("https://jobs.example.com/p/"), F.col("page_id").cast("string")).alias("url_key"), F.col("text").alias("body_text"))
     return J.join_content(links, pages).select("seq", "title", "body_text")
 
@@ -130,7 +130,7 @@ CARD_PAGES = [
 
 
 def _card_pages(spark, sf) -> DataFrame:
-    rows = view(spark, sf, "v_listings").select("seq", "k")
+    rows = view(spark, sf, "v_listings", heavy=True).select("seq", "k")
     return rows.withColumn("site_no", F.col("seq") % len(CARD_PAGES)).withColumn(
         "url", F.lit("https://cards.example.com/list/"))
 
@@ -201,7 +201,7 @@ _RAC = f"""'<div data-bs-target="#offcanvas' || {_K} || '"><span class="advtHead
 
 
 def _rac_pages(spark, sf) -> DataFrame:
-    rows = view(spark, sf, "v_listings")
+    rows = view(spark, sf, "v_listings", heavy=True)
     return rows.select(F.col("seq").alias("page_id"), F.lit("https://rac.example.gov.in/").alias("url"), F.expr(_RAC).alias("html"))
 
 
@@ -257,7 +257,7 @@ def _home_oracle() -> str:
 
 @query("extract_sections", _home_oracle())
 def extract_sections(spark, sf):
-    rows = view(spark, sf, "v_listings").select("seq", "k")
+    rows = view(spark, sf, "v_listings", heavy=True).select("seq", "k")
     out = None
     for i, (site, html) in enumerate(_HOME.items()):
         mine = rows.where(F.col("seq") % 3 == i).withColumn("html", F.expr(html.replace("\n<ul>", "' || chr(10) || '<ul>")))
@@ -278,7 +278,7 @@ def _item(**fields):
 SELECT l.seq, 'success' AS status, l.category, i AS pos, l.category || l.seq || '-' || i AS id, l.title || ' ' || i AS title, l.source
 FROM v_listings l, range(2) r(i) WHERE l.seq % 10 <> 0 AND i < CASE WHEN l.seq % 3 = 0 THEN 2 ELSE 1 END""")
 def scan_snapshot(spark, sf):
-    rows = view(spark, sf, "v_listings")
+    rows = view(spark, sf, "v_listings", heavy=True)
 
     def item(i):
         return _item(id=F.concat("category", F.col("seq").cast("string"), F.lit(f"-{i}")), title=F.concat("title", F.lit(f" {i}")), source="source")
@@ -322,7 +322,7 @@ def scan_state_dim(spark, sf):
 
 
 def _feed_docs(spark, sf, render) -> DataFrame:
-    rows = view(spark, sf, "v_market")
+    rows = view(spark, sf, "v_market", heavy=True)
     return rows.select("seq", render(rows).alias("body"))
 
 
@@ -393,6 +393,6 @@ SELECT seq AS batch_id, seq % 7 IN (0, 1) AS ok, CASE seq % 7 WHEN 0 THEN '' WHE
   WHEN 5 THEN 'not json' ELSE 'invalid results' END AS reason, CASE seq % 7 WHEN 0 THEN 'success' WHEN 1 THEN 'running' END AS status FROM v_listings""")
 def validate_snapshot(spark, sf):
     texts = F.array(*[F.lit(p) for p in _PAYLOADS])
-    rows = view(spark, sf, "v_listings").select(F.col("seq").alias("batch_id"), F.replace(
+    rows = view(spark, sf, "v_listings", heavy=True).select(F.col("seq").alias("batch_id"), F.replace(
         F.element_at(texts, (F.col("seq") % 7 + 1).cast("int")), F.lit("%"), F.col("k").cast("string")).alias("body"))
     return V.validate_snapshots(rows).select("batch_id", "ok", "reason", "status")

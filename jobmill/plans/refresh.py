@@ -22,12 +22,12 @@ from jobmill.sources import dims
 from jobmill.sources.store import SnapshotStore
 
 
-def article_texts(pages: DataFrame, site: str, house: str = K.DEFAULT_HOUSE) -> DataFrame:
-    """(url_key, page_title, body_text) of article pages: body picked by the site's rule, deep-cleaned."""
+def article_texts(pages: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
+    """(url_key, page_title, body_text) of article pages: body picked by its site's rule, deep-cleaned."""
     df = PG.tokenized(pages)
     df = df.withColumn("page_title", H.nth_text(F.col(PG.TOKENS), H.Select(tags=("h1",))))
-    df = PG.with_main_content(df, site).where("_main is not null")
-    df = PG.deep_cleaned(df, "_main", K.OWN_DOMAINS.get(site, ""), root=False, house=house)
+    df = PG.with_main_content(df, F.col("site")).where("_main is not null")
+    df = PG.deep_cleaned(df, "_main", F.col("site"), root=False, house=house)
     return df.select("url_key", "page_title", normalize_spaces(H.text_of(F.col("_deep"))).alias("body_text"))
 
 
@@ -53,16 +53,12 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
     """
     rows = checkpointed(admit(arrivals, domains, caps))
     wanted = rows.select("url_key").distinct()
-    needed = pages.join(wanted, "url_key", "left_semi")
-    sr = article_texts(needed.where("site = 'SR'"), "SR", house)
-    rest = article_texts(needed.where("site <> 'SR'"), "FJA", house)
-    texts = sr.unionByName(rest)
+    texts = article_texts(pages.join(wanted, "url_key", "left_semi"), house)
     joined = J.join_content(rows, texts, carry=("page_title",))
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
     built = L.build_listing(joined, house=house)
     built = built.withColumn("info_category", L.classify_title("info_title")).drop("info_title")
-    groups = [built.where(F.col("source_group") == g) for g in K.SOURCE_GROUPS]
-    return D.dedupe_category(D.union_in_order(groups))
+    return D.dedupe_category(D.in_source_order(built))
 
 
 def utc_now() -> str:

@@ -147,8 +147,8 @@ SELECT {_RANK} * 1000000000000 + seq AS seq, source_group, category, md5(categor
 
 @query("build_snapshot", FLAGSHIP_SQL)
 def build_snapshot(spark, sf):
-    arrivals = view(spark, sf, "v_listings").drop("body", "posted_on", "k")
-    articles = view(spark, sf, "v_articles").select("url_key", "site", F.expr(inputs.ARTICLE_HTML).alias("html"))
+    arrivals = view(spark, sf, "v_listings", heavy=True).drop("body", "posted_on", "k")
+    articles = view(spark, sf, "v_articles", heavy=True).select("url_key", "site", F.expr(inputs.ARTICLE_HTML).alias("html"))
     store = SnapshotStore(spark, fresh_dir(spark, "build_snapshot"))
     store.replace(R.build_snapshot(arrivals, articles, domains=inputs.LISTING_DOMAINS))
     return store.read().select("seq", "source_group", "category", "id", "title", "url_key", "last_date", "vacancies", "info_category",

@@ -105,7 +105,7 @@ def applicants(text: str) -> str:
     """SQL list of struct(basis, n) in pattern order, hits above zero only."""
     hits = []
     for basis, shape in K.APPLICANT_PATTERNS:
-        pattern = (K.COUNT_PREFIX if shape.startswith("{n}") else "") + shape.replace("{n}", K.COUNT_TOKEN)
+        pattern = shape.replace("{n}", K.COUNT_TOKEN)
         number = f"regexp_extract({text}, '{pattern}', 1, 'i')"
         unit = f"regexp_extract({text}, '{pattern}', 2, 'i')"
         hits.append(f"{{'basis': '{basis}', 'n': {count_of(number, unit)}}}")
@@ -133,28 +133,28 @@ def states(text: str) -> str:
     return f"list_filter([{', '.join(tests)}], lambda s: s IS NOT NULL)"
 
 
-def patterns(text: str, found: tuple[str, ...] | list[str]) -> str:
-    return "regexp_matches({}, '{}', 'i')".format(text, "|".join(f"(?:{p})" for p in found))
+def words(text: str, found: tuple[str, ...]) -> str:
+    return "regexp_matches({}, '\\b(?:{})\\b', 'i')".format(text, "|".join(found))
 
 
 def state_label(text: str, found: str) -> str:
     return (f"CASE WHEN regexp_matches({text}, '\\bremote\\b') THEN 'Remote' "
-            f"WHEN {patterns(text, K.ALL_INDIA_PATTERNS)} THEN 'All India' "
+            f"WHEN {words(text, K.ALL_INDIA_WORDS)} THEN 'All India' "
             f"WHEN len({found}) > 3 THEN 'All States' WHEN len({found}) > 0 THEN array_to_string({found}, ' / ') "
-            f"WHEN {patterns(text, K.CENTRAL_PATTERNS)} THEN 'Central Govt' ELSE 'All India' END")
+            f"WHEN {words(text, K.CENTRAL_WORDS)} THEN 'Central Govt' ELSE 'All India' END")
 
 
 def portal(text: str, found: str) -> str:
     portals = " ".join(f"WHEN '{n}' THEN '{p}'" for n, k, p, _ in K.STATE_DIRECTORY if k != "central")
     scope = {n: p for n, k, p, _ in K.STATE_DIRECTORY if k == "central"}
     return (f"CASE WHEN regexp_matches({text}, '\\bremote\\b') THEN '' "
-            f"WHEN {patterns(text, K.ALL_INDIA_PATTERNS)} THEN '{scope['All India']}' "
+            f"WHEN {words(text, K.ALL_INDIA_WORDS)} THEN '{scope['All India']}' "
             f"WHEN len({found}) = 1 THEN CASE {found}[1] {portals} END WHEN len({found}) > 1 THEN '' "
-            f"WHEN {patterns(text, K.CENTRAL_PATTERNS)} THEN '{scope['Central Govt']}' ELSE '{scope['All India']}' END")
+            f"WHEN {words(text, K.CENTRAL_WORDS)} THEN '{scope['Central Govt']}' ELSE '{scope['All India']}' END")
 
 
 def kept_states(text: str, found: str) -> str:
-    return (f"CASE WHEN regexp_matches({text}, '\\bremote\\b') OR {patterns(text, K.ALL_INDIA_PATTERNS)} "
+    return (f"CASE WHEN regexp_matches({text}, '\\bremote\\b') OR {words(text, K.ALL_INDIA_WORDS)} "
             f"THEN '' ELSE array_to_string({found}, ' / ') END")
 
 

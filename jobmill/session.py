@@ -39,9 +39,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly row-wise stage over an input of only a few splits.
+    """Use all cores for a costly row-wise stage over a table of only a few splits.
 
-    Inputs with enough splits, as any large table has, pass unchanged and are not shuffled.
+    For a table just opened: counting its splits runs nothing.  Tables with enough splits, as any
+    large one has, pass unchanged and are not shuffled.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
