@@ -131,7 +131,7 @@ def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ..
         group, admitted = _Group(caps), []
         for (phase, _), page in frame.groupby(["phase", "page_seq"], sort=False):
             category = page["category"].iloc[0]
-            at_home = phase == 0
+            at_home, page_limit = phase == 0, page["page_limit"].iloc[0]
             if at_home:
                 late = page["source_group"].iloc[0] in late_check
                 if group.counts[category] >= home_limit and not late:
@@ -139,7 +139,7 @@ def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ..
                 if late and group.counts[category] >= min(home_limit, caps[category]):
                     # The check comes after the first row, so only a row at the block's head is tried.
                     page = page[page["is_head"]]
-            added, limit = 0, min(page["page_limit"].iloc[0], max(group.room(category), 0))
+            added, limit = 0, min(page_limit, max(group.room(category), 0))
             for row, url in zip(page.index, page["url_key"]):
                 if not at_home and added >= limit:
                     break

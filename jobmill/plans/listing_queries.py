@@ -365,7 +365,27 @@ def admission_stats(spark, sf):
     return A.admission_stats(_arrivals(spark, sf))
 
 
-@query("cap_per_page")
+# The same recursion with the state of the current page: its rows admitted so far and its limit.
+_PAGE_SEQ = "date_diff('day', date '1970-01-01', posted_on) * 10 + list_position([" + ", ".join(f"'{c}'" for c in K.CATEGORIES) + "], category)"
+PAGES_SQL = _KEYED.replace("WITH ", "WITH RECURSIVE ") + f"""
+, p AS (SELECT source_group, category, url_key, {_PAGE_SEQ} AS page, min(seq) AS seq FROM l GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY page, seq) AS rn, {_CAP} AS cap FROM p),
+steps(source_group, rn, taken, seqs, cats, page, added, lim) AS (
+  SELECT source_group, cast(0 AS bigint), cast([] AS varchar[]), cast([] AS bigint[]), cast([] AS varchar[]), cast(-1 AS bigint), cast(0 AS bigint), cast(0 AS bigint)
+  FROM n WHERE rn = 1
+  UNION ALL
+  SELECT s.source_group, n.rn, CASE WHEN ok THEN list_append(s.taken, n.url_key) ELSE s.taken END,
+    CASE WHEN ok THEN list_append(s.seqs, n.seq) ELSE s.seqs END, CASE WHEN ok THEN list_append(s.cats, n.category) ELSE s.cats END,
+    n.page, done + CASE WHEN ok THEN 1 ELSE 0 END, room
+  FROM steps s JOIN n ON n.source_group = s.source_group AND n.rn = s.rn + 1,
+  LATERAL (SELECT CASE WHEN n.page = s.page THEN s.added ELSE 0 END AS done,
+    CASE WHEN n.page = s.page THEN s.lim ELSE least({K.PAGE_LIMIT}, n.cap - len(list_filter(s.cats, lambda c: c = n.category))) END AS room) r,
+  LATERAL (SELECT done < room AND NOT list_contains(s.taken, n.url_key) AS ok) o),
+final AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs, row_number() OVER (PARTITION BY source_group ORDER BY rn DESC) AS last FROM steps) z WHERE last = 1)
+SELECT l.source_group, l.category, l.url_key, l.seq FROM l JOIN final ON l.seq = final.seq"""
+
+
+@query("cap_per_page", PAGES_SQL)
 def cap_per_page(spark, sf):
     """Listing pages of one day each: a page belongs to a group and a category, ten rows at most."""
     rows = A.with_url_key(view(spark, sf, "v_listings")).withColumns({
