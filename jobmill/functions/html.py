@@ -97,7 +97,13 @@ def _tokenize_page(html: str) -> list[list]:
     return parser.finish()
 
 
-def _tokenize_batch(pages: pa.Array) -> pa.Array:
+def _tokenize_batch(pages: pa.Array, step: int = 64) -> pa.Array:
+    """Token lists of an Arrow batch, some pages at a time so that few Python rows are alive."""
+    parts = [_tokenize_slice(pages.slice(i, step)) for i in range(0, len(pages), step)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_TYPE)
+
+
+def _tokenize_slice(pages: pa.Array) -> pa.Array:
     offsets, rows = [0], []
     for html in pages.to_pylist():
         rows.extend(_tokenize_page(html or ""))

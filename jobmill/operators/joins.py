@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
@@ -13,7 +13,7 @@ def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
                  carry: tuple[str, ...] = ()) -> DataFrame:
     """Links with their page body; a link without a page, or with an empty one, keeps an empty body.
 
-    Unhinted, so adaptive execution may split a hot address on either side.
+    ``pages`` holds one row per address.  Unhinted, so adaptive execution may split a hot address on either side.
     """
     body = pages.select(key, *carry, F.col("body_text").alias("_body"))
     return links.join(body, key, "left").withColumn("body_text", text_or_empty("_body")).drop("_body")
@@ -67,14 +67,21 @@ def count_jobs_by_state(listings: DataFrame, directory: DataFrame) -> DataFrame:
 def lookup_posts(requests: DataFrame, listings: DataFrame) -> DataFrame:
     """First listing of each requested id: the requested category first, then the fixed order.
 
-    ``requests`` has request_id, id and requested.  The best hit is a ``min_by``, which combines
-    before its shuffle.
+    ``requests`` has request_id, id and requested.  Only the first listing of an id in each category
+    can be the answer, so the listings are cut to those (at most six per id) before the join; a
+    hot id with many copies never meets its many requests row by row.  One shuffle by id serves both
+    the cut and the join.
     """
-    rank = F.array_position(F.array(*[F.lit(c) for c in K.CATEGORIES]), F.col("category"))
-    wanted = F.coalesce(F.col("category") != F.col("requested"), F.lit(True))
-    hits = requests.join(listings, "id")
-    best = F.min_by(F.struct("category", "title", "seq"), F.struct(wanted, rank, F.col("seq"))).alias("_b")
-    return hits.groupBy("request_id", "id").agg(best).select("request_id", "id", "_b.*")
+    def first_in(category: str) -> Column:
+        mine = F.col("category") == category
+        return F.min_by(F.when(mine, F.struct("category", "title", "seq")), F.when(mine, F.col("seq")))
+
+    by_id = listings.groupBy("id").agg(F.array_compact(F.array(*[first_in(c) for c in K.CATEGORIES])).alias("_hits"))
+    asked = requests.join(by_id, "id")
+    # The array is in the fixed order of the categories, so its first entry is the default answer.
+    wanted = F.filter("_hits", lambda h: h.category == F.col("requested"))
+    best = F.coalesce(F.get(wanted, F.lit(0)), F.get(F.col("_hits"), F.lit(0)))
+    return asked.withColumn("_b", best).where("_b is not null").select("request_id", "id", "_b.*")
 
 
 def join_panel(blocks: DataFrame, panels: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
     """
     rows = checkpointed(admit(arrivals, domains, caps))
     wanted = rows.select("url_key").distinct()
-    texts = article_texts(pages.join(wanted, "url_key", "left_semi"), house)
+    texts = article_texts(pages.join(wanted, "url_key", "left_semi"), house).dropDuplicates(["url_key"])
     joined = J.join_content(rows, texts, carry=("page_title",))
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
     built = L.build_listing(joined, house=house)

@@ -50,6 +50,10 @@ class SnapshotStore:
         version = version or (last[0] + 1 if last else 1)
         return self._publish(rows, version, last[1] if last else version)
 
+    def compact(self) -> int:
+        """Rewrite a snapshot of many appended versions as one."""
+        return self.replace(self.read())
+
     def read(self) -> DataFrame | None:
         last = self.latest()
         if last is None:
