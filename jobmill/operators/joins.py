@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions.text import first_present, state_key, text_or_empty
+from jobmill.session import broadcast_if_small
 
 
 def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
@@ -23,12 +24,12 @@ def alias_matches(listings: DataFrame, aliases: DataFrame, text: str) -> DataFra
     """One row per (listing, alias) hit against an alias table.
 
     A regular expression is no hash key, so the table is broadcast (it is the fixed directory of
-    84 aliases) and probed row by row.
+    84 aliases, and its size is checked) and probed row by row.
     """
     quoted = F.regexp_replace("alias", r"([^a-z0-9 ])", r"\\$1")
     table = aliases.withColumn("_p", F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])")))
     test = F.col(text).contains(F.col("alias")) & F.expr(f"{text} rlike _p")
-    return listings.join(F.broadcast(table), test).drop("_p")
+    return listings.join(broadcast_if_small(table), test).drop("_p")
 
 
 def collect_states(matches: DataFrame, key: str) -> DataFrame:
@@ -39,7 +40,7 @@ def collect_states(matches: DataFrame, key: str) -> DataFrame:
 
 def join_portal(listings: DataFrame, directory: DataFrame) -> DataFrame:
     """Portal of the only state, or of the scope for listings without states."""
-    dim = F.broadcast(directory.select(F.col("name").alias("_name"), F.col("portal_url").alias("_portal"),
+    dim = broadcast_if_small(directory.select(F.col("name").alias("_name"), F.col("portal_url").alias("_portal"),
                                        F.col("type").alias("_type")))
     scope = F.col("state_label").isin("All India", "Central Govt")
     key = F.when(F.size("states") == 1, F.get(F.col("states"), F.lit(0))).when(
@@ -57,7 +58,7 @@ def count_jobs_by_state(listings: DataFrame, directory: DataFrame) -> DataFrame:
     labels = (listings.where("category = 'latest_jobs'").select(label.alias("_label")).where("_label <> ''")
               .groupBy("_label").agg(F.count(F.lit(1)).alias("_n")))
     hubs = directory.where("type <> 'central'").select("name", "type", "dir_pos")
-    named = F.broadcast(hubs.withColumn("_name", state_key("name")))
+    named = broadcast_if_small(hubs.withColumn("_name", state_key("name")))
     counts = (labels.join(named, F.col("_label").contains(F.col("_name")))
               .groupBy("name").agg(F.sum("_n").alias("_jobs")))
     return hubs.join(counts, "name", "left").select(
@@ -91,7 +92,7 @@ def join_panel(blocks: DataFrame, panels: DataFrame) -> DataFrame:
 
 def join_category_labels(listings: DataFrame, categories: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     """Display label and default sections; an unknown category gets the general label."""
-    dim = F.broadcast(categories.select("category", "category_label", "sections"))
+    dim = broadcast_if_small(categories.select("category", "category_label", "sections"))
     fallback = F.array(*[F.lit(s) for s in K.CATEGORY_SECTIONS["latest_jobs"]])
     return listings.join(dim, "category", "left").withColumns({
         "category_label": F.coalesce("category_label", F.lit(K.CATEGORY_LABEL_DEFAULT.format(house=house))),

@@ -12,6 +12,7 @@ from jobmill.functions.states import matched_states, scope_kind, scope_text, sta
 from jobmill.functions.text import (brand_scrub, clean_skills, col, first_present, normalize_spaces, present,
                                     text_or_empty)
 from jobmill.functions.urls import listing_id, url_normalize
+from jobmill.session import broadcast_if_small
 
 INFO = ("last_date", "vacancies", "exam_date", "info_category")
 
@@ -124,7 +125,7 @@ def state_link(state: Column | str) -> Column:
 
 def rich_view(listings: DataFrame, constants: DataFrame) -> DataFrame:
     """Category-page rows: a listing plus the constants of its category (a four-row table)."""
-    rows = listings.join(F.broadcast(constants), "category")
+    rows = listings.join(broadcast_if_small(constants), "category")
     return rows.select(
         "seq", "category", "id", F.col("title").alias("t"),
         F.concat(F.lit("Live Update ("), first_present("source", F.lit("Scraped")), F.lit(")")).alias("org"),

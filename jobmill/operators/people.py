@@ -10,6 +10,7 @@ from jobmill.functions.dates import age_ymd
 from jobmill.functions.numbers import file_category, file_extension
 from jobmill.functions.text import first_present
 from jobmill.operators.dedupe import first_n
+from jobmill.session import broadcast_if_small
 
 
 def decimal_age(age: Column) -> Column:
@@ -32,7 +33,7 @@ def exam_eligibility(persons: DataFrame, rules: DataFrame, as_of: str) -> DataFr
         .otherwise(F.col("max_gen"))
     )
     fits = F.col("age_decimal").between(F.col("min_age"), limit)
-    return aged.join(F.broadcast(rules), fits).select(
+    return aged.join(broadcast_if_small(rules), fits).select(
         "person_id", "category", "exam", F.col("age.years").alias("years"), F.col("age.months").alias("months"),
         "min_age", limit.alias("max_age"))
 
@@ -53,7 +54,7 @@ def of_category(docs: DataFrame, category: str = "all") -> DataFrame:
 
 
 def with_category_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(labels), "category", "left").withColumn(
+    return docs.join(broadcast_if_small(labels), "category", "left").withColumn(
         "category_label", first_present("category_label", F.lit(K.LOCKER_LABELS["other"])))
 
 

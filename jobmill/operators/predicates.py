@@ -11,6 +11,7 @@ from jobmill import constants as K
 from jobmill.functions.extract import max_year
 from jobmill.functions.text import (col, contains_any, first_present, has_word, normalize_spaces, present,
                                     quote, state_key, text_or_empty)
+from jobmill.session import broadcast_if_small
 
 
 def is_social(url: Column | str) -> Column:
@@ -116,7 +117,7 @@ def search_listings(listings: DataFrame, query: str, source: str = "all",
 
 def search_states(searches: DataFrame, directory: DataFrame, query: str = "query") -> DataFrame:
     """Directory rows, central ones left out, whose name contains the normalised query."""
-    hubs = F.broadcast(directory.where(F.col("type") != "central")
+    hubs = broadcast_if_small(directory.where(F.col("type") != "central")
                        .withColumn("_name", state_key("name")))
     keyed = searches.withColumn("_q", state_key(query))
     return keyed.join(hubs, F.col("_name").contains(F.col("_q"))).drop("_name", "_q")

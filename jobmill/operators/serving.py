@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +39,16 @@ def distinct_sources(listings: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataF
 def home_top10(listings: DataFrame, manual: DataFrame, shown: int = 10, flagged: int = 3) -> DataFrame:
     """First rows of every home tile: hand-entered before scraped, the first three flagged as new.
 
-    Each side is cut to its own first ten per category before they meet.
+    Each side is cut to its own first ten per category before they meet, and every row is handed to
+    the tiles of its category, so each table is read once.
     """
     scraped = first_n(listings.select("category", "seq", "title"), ["category"], "seq", shown)
     entered = first_n(manual.select("category", "seq", "title"), ["category"], "seq", shown)
     merged = merge_by_precedence([entered, scraped])
-    tiles = []
-    for tile, (category, key) in K.HOME_TILES.items():
-        rows = merged.where(F.col("category") == category)
-        rows = rows if key else rows.where("precedence = 1")
-        tiles.append(rows.withColumn("tile", F.lit(tile)))
-    both = reduce(lambda a, b: a.unionByName(b), tiles)
+    tiles = F.array_compact(F.array(*[
+        F.when((F.col("category") == category) & (F.lit(bool(key)) | (F.col("precedence") == 1)), F.lit(tile))
+        for tile, (category, key) in K.HOME_TILES.items()]))
+    both = merged.withColumn("tile", F.explode(tiles))
     top = first_n(both, ["tile"], ["precedence", "seq"], shown, rank="rank")
     return top.select("tile", F.col("rank").cast("bigint").alias("rank"), "title", "precedence", "seq",
                       (F.col("rank") <= flagged).alias("is_new"))

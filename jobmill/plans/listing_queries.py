@@ -438,12 +438,16 @@ def home_top10(spark, sf):
     return SV.home_top10(view(spark, sf, "v_listings"), _manual(spark, sf))
 
 
-@query("union_sources", "SELECT " + "CASE source_group " + " ".join(
-    f"WHEN '{g}' THEN {i}" for i, g in enumerate(K.SOURCE_GROUPS)) + " END * 1000000000000 + seq AS seq, category, title FROM v_listings")
+_RANKED = "SELECT CASE source_group " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(
+    K.SOURCE_GROUPS)) + " END * 1000000000000 + seq AS seq, category, title, NULL AS company FROM v_listings"
+
+
+@query("union_sources", _RANKED + f" UNION ALL SELECT {10**15} + seq, category, title, company FROM v_market")
 def union_sources(spark, sf):
-    rows = view(spark, sf, "v_listings").select("seq", "category", "title", "source_group")
-    groups = [rows.where(F.col("source_group") == g).drop("source_group") for g in K.SOURCE_GROUPS]
-    return D.union_in_order(groups)
+    """All groups of one table in their order, then the rows of another table with more columns."""
+    crawled = D.in_source_order(view(spark, sf, "v_listings")).select("seq", "category", "title")
+    market = view(spark, sf, "v_market").select("seq", "category", "title", "company")
+    return D.union_in_order([crawled, market], stride=10**15)
 
 
 @query("merge_manual_home", f"""
