@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobmill.functions.text import col, normalize_spaces
 
-_ISO = r"^(\d{4}-\d{2}-\d{2})T\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
+_ISO = r"^(\d{4}-?\d{2}-?\d{2})T\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 _RFC = (r"(?i)^(?:[a-z]{3,},?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
         r"[a-z]*\s+(\d{4}|\d{2})\s+\d{1,2}[:.]\d{1,2}")
 
@@ -15,7 +15,7 @@ _RFC = (r"(?i)^(?:[a-z]{3,},?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|s
 def format_market_date(value: Column | str) -> Column:
     """ISO or mail date -> ``21 Apr 2026`` as written, without a zone shift; else unchanged."""
     raw = normalize_spaces(value)
-    iso = F.try_to_date(F.regexp_extract(raw, _ISO, 1), "yyyy-MM-dd")
+    iso = F.try_to_date(F.replace(F.regexp_extract(raw, _ISO, 1), F.lit("-"), F.lit("")), "yyyyMMdd")
     year = F.regexp_extract(raw, _RFC, 3)
     year = F.when(F.length(year) == 4, year).when(
         year.try_cast("int") > 68, F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))

@@ -14,7 +14,7 @@ MANUAL_ROW = (
 )
 DIRECTORY_ENTRY = "name string, type string, portal_url string, aliases array<string>"
 ARRAY_FEED_ITEM = (
-    "id string, position string, company string, location string, salary_min string, salary_max string, "
+    "id string, position string, company string, location string, salary_min variant, salary_max variant, "
     "date string, tags array<string>, url string, apply_url string, description string"
 )
 JOBS_FEED_ITEM = (

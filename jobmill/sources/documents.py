@@ -7,7 +7,7 @@ rows it contains travel on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
@@ -112,6 +112,13 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ feeds
 
 
+def _amount(value: str) -> Column:
+    """A JSON amount as text: numbers lose their fraction, texts stay as they are."""
+    is_number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    number = F.try_variant_get(value, "$", "double").cast("bigint").cast("string")
+    return F.when(is_number, number).otherwise(F.try_variant_get(value, "$", "string"))
+
+
 def array_feed_rows(items: DataFrame, keep: list[str]) -> DataFrame:
     """Items of the array-shaped feed as market rows; items without id or position are dropped."""
     rows = items.where(present("_i.id").isNotNull() & present("_i.position").isNotNull())
@@ -121,7 +128,7 @@ def array_feed_rows(items: DataFrame, keep: list[str]) -> DataFrame:
         url_normalize(first_present("_i.url", "_i.apply_url")).alias("url"),
         normalize_spaces("_i.company").alias("company"),
         normalize_spaces(first_present("_i.location", F.lit("Remote"))).alias("job_location"),
-        format_currency_range("_i.salary_min", "_i.salary_max").alias("salary"),
+        format_currency_range(_amount("_i.salary_min"), _amount("_i.salary_max")).alias("salary"),
         F.lit("See listing").alias("experience"),
         format_market_date("_i.date").alias("posted_at"),
         F.coalesce("_i.tags", F.array().cast("array<string>")).alias("skills"),

@@ -78,7 +78,7 @@ def test_currency_range(spark, low, high, expected):
 
 @pytest.mark.parametrize("text,expected", [
     ("2026-04-21T23:30:00-05:00", "21 Apr 2026"), ("2026-04-21T23:30:00Z", "21 Apr 2026"), ("Tue, 21 Apr 2026 10:00:00 +0000", "21 Apr 2026"),
-    ("2026-04-21", "2026-04-21"), ("3 days ago", "3 days ago"), ("", ""), ("2026-13-41T00:00:00Z", "2026-13-41T00:00:00Z")])
+    ("20260421T101010", "21 Apr 2026"), ("2026-04-21", "2026-04-21"), ("3 days ago", "3 days ago"), ("", ""), ("2026-13-41T00:00:00Z", "2026-13-41T00:00:00Z")])
 def test_market_date(spark, text, expected):
     assert value(spark, D.format_market_date(lit(text))) == expected
 

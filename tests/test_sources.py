@@ -44,7 +44,7 @@ def test_directory_file(spark, tmp_path):
 
 
 def test_feed_files(spark, tmp_path):
-    items = [{"legal": "x"}, {"id": 7, "position": " A  B ", "salary_min": 1000, "apply_url": "https://a.example.com/#x", "tags": ["t"]}, {"id": "8", "position": ""}]
+    items = [{"legal": "x"}, {"id": 7, "position": " A  B ", "salary_min": 1000.9, "salary_max": "12.5", "apply_url": "https://a.example.com/#x", "tags": ["t"]}, {"id": "8", "position": ""}]
     row = documents.read_array_feed(spark, write(tmp_path, "a.json", items)).collect()
     assert [(r.title, r.url, r.salary, r.job_location) for r in row] == [("A B", "https://a.example.com/", "From $1,000", "Remote")]
     jobs = {"jobs": [{"url": "https://b.example.com/1", "title": "T", "publication_date": "2026-01-02T03:04:05"}, {"url": "", "title": "no"}]}
