@@ -30,6 +30,8 @@ a later one.  Then (``head_of_pages``):
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,6 +116,9 @@ class _Group:
         self.counts = dict.fromkeys(caps, 0)
         self.taken: set[str] = set()
 
+    def full(self) -> bool:
+        return self.counts == self.caps
+
     def room(self, category: str) -> int:
         return self.caps[category] - self.counts[category]
 
@@ -126,29 +131,32 @@ class _Group:
 
 
 def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ...]):
+    columns = ["phase", "page_seq", "category", "url_key", "is_head", "page_limit"]
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["phase", "page_seq", "pos"], kind="stable")
+        late = frame["source_group"].iloc[0] in late_check
         group, admitted = _Group(caps), []
-        for (phase, _), page in frame.groupby(["phase", "page_seq"], sort=False):
-            category = page["category"].iloc[0]
-            at_home, page_limit = phase == 0, page["page_limit"].iloc[0]
-            if at_home:
-                late = page["source_group"].iloc[0] in late_check
-                if group.counts[category] >= home_limit and not late:
-                    continue
-                if late and group.counts[category] >= min(home_limit, caps[category]):
-                    # The check comes after the first row, so only a row at the block's head is tried.
-                    page = page[page["is_head"]]
-            added, limit = 0, min(page_limit, max(group.room(category), 0))
-            for row, url in zip(page.index, page["url_key"]):
-                if not at_home and added >= limit:
+        rows = zip(frame.index, *(frame[c] for c in columns))
+        for (phase, _), page in groupby(rows, key=lambda row: row[1:3]):
+            if group.full():
+                break
+            page = list(page)
+            category, page_limit = page[0][3], page[0][6]
+            if phase == 0:
+                room = min(home_limit, caps[category]) - group.counts[category]
+                if room <= 0:
+                    # Full: the block is skipped, or its first row is still tried by a late check.
+                    page, room = [row for row in page if late and row[5]], 1
+            else:
+                room = min(page_limit, group.room(category))
+            for index, _, _, _, url, _, _ in page:
+                if room <= 0:
                     break
                 if group.admit(category, url):
-                    added += 1
-                    admitted.append(row)
-                if at_home and group.counts[category] >= min(home_limit, caps[category]):
-                    break
-        return frame.loc[sorted(admitted), ["source_group", "category", "url_key", "seq"]]
+                    room -= 1
+                    admitted.append(index)
+        return frame.loc[admitted, ["source_group", "category", "url_key", "seq"]]
 
     return fold
 
