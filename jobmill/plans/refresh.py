@@ -39,9 +39,9 @@ def admit(arrivals: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS, caps: d
     """
     crawled = F.col("source_group").isin(*K.SITE_DOMAINS)
     candidates = arrivals.where(~crawled | P.is_listing_candidate("title", "original_url", "source_group", "category", domains))
-    keyed = A.with_url_key(candidates)
-    admitted = A.admit_capped(keyed.select("source_group", "category", "url_key", "seq"), caps)
-    return A.admitted_rows(keyed, admitted)
+    narrow = A.with_url_key(candidates).select("source_group", "category", "url_key", "seq")
+    # The admitted rows are candidates already, so the other side need not be tested again.
+    return A.with_url_key(A.admitted_rows(arrivals, A.admit_capped(narrow, caps)))
 
 
 def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS,
@@ -52,8 +52,10 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
     url_key, site, html.  A row without a page is built from its title alone.
     """
     rows = checkpointed(admit(arrivals, domains, caps))
-    wanted = rows.select("url_key").distinct()
-    texts = article_texts(pages.join(wanted, "url_key", "left_semi"), house).dropDuplicates(["url_key"])
+    needed = pages.join(rows.select("url_key").distinct(), "url_key", "left_semi")
+    # Few pages are left, too few bytes to be spread by size, but each is costly to parse.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = article_texts(needed.repartition(tasks, "url_key"), house).dropDuplicates(["url_key"])
     joined = J.join_content(rows, texts, carry=("page_title",))
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
     built = L.build_listing(joined, house=house)
