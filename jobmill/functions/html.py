@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
-from jobmill.functions.text import UNICODE_ANY_CASE, brand_scrub, contains_any, normalize_spaces, strip_spaces
+from jobmill.functions.text import brand_scrub, contains_any, normalize_spaces, strip_spaces
 from jobmill.functions.urls import url_absolute
 
 TOKEN_TYPE = ("array<struct<pos:int,close:int,parent:int,depth:int,kind:string,tag:string,"

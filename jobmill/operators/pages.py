@@ -11,7 +11,8 @@ from jobmill import constants as K
 from jobmill.functions import html as H
 from jobmill.functions.html import Select
 from jobmill.functions.text import contains_any, normalize_spaces, strip_spaces, text_or_empty
-from jobmill.functions.urls import join_site_path, url_absolute
+from jobmill.functions.urls import join_site_path, url_absolute, url_normalize
+from jobmill.operators.dedupe import first_per_key
 from jobmill.operators.predicates import is_competitor
 
 TOKENS = "_tokens"
@@ -330,9 +331,6 @@ def html_deep_clean(pages: DataFrame, site: Column | None = None, house: str = K
 
 def official_links(rows: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
     """Label/url pairs: blank ones dropped, the first per address kept."""
-    from jobmill.functions.urls import url_normalize
-    from jobmill.operators.dedupe import first_per_key
-
     clean = rows.withColumns({"label": normalize_spaces("label"), "href": url_normalize("href")})
     clean = clean.where("label <> '' and href <> ''")
     return first_per_key(clean, [*by, "href"], order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions.extract import max_year
-from jobmill.functions.text import (col, contains_any, first_present, has_word, normalize_spaces, present,
+from jobmill.functions.text import (contains_any, first_present, has_word, normalize_spaces, present,
                                     quote, state_key, text_or_empty)
 from jobmill.session import broadcast_if_small
 

@@ -8,7 +8,6 @@ from jobmill import constants as K
 from jobmill.functions import dates as D
 from jobmill.functions import extract as X
 from jobmill.functions import numbers as N
-from jobmill.functions import states as S
 from jobmill.functions import text as T
 from jobmill.functions import urls as U
 from jobmill.operators import predicates as P

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
-from jobmill.functions import text as T
 from jobmill.functions.states import scope_text
 from jobmill.functions.urls import listing_id, url_normalize
 from jobmill.operators import admission as A
