@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from jobmill.llm import warc
+from jobmill.llm import licenses, urls, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op9_urls": urls.op9_urls,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
+    "op1_licenses": licenses.SQL,
     "op10_warc": warc.SQL,
 }
