@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from jobmill.llm import langid, licenses, packing, quality, urls, warc
+from jobmill.llm import ann, langid, licenses, packing, quality, urls, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op4_quality": quality.op4_quality,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
+    "op8_ann": ann.op8_ann,
     "op9_urls": urls.op9_urls,
     "op10_warc": warc.op10_warc,
 }
