@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from jobmill.llm import ann, jaccard, langid, licenses, packing, quality, repeats, urls, warc
+from jobmill.llm import ann, jaccard, langid, licenses, packing, quality, repeats, segments, urls, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_repeats": repeats.op2_repeats,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_quality": quality.op4_quality,
+    "op5_segments": segments.op5_segments,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
     "op8_ann": ann.op8_ann,
