@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and its n + 1 offsets; a null counts as the empty string."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1)
@@ -94,6 +96,28 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(value ^ ((ends - starts).astype(np.uint64) * GOLDEN))
 
 
+def shrunk(text) -> F.Column:
+    """A text column compressed row by row, for joins that move whole texts."""
+    @F.arrow_udf("binary")
+    def compress(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=6, write_content_size=True, write_checksum=False)
+        for column in batches:
+            yield pa.array([None if t is None else tool.compress(t.encode()) for t in column.to_pylist()], pa.binary())
+    return compress(text)
+
+
+def grown(batch: pa.RecordBatch):
+    """Slices of a batch whose ``text`` was shrunk, with the texts' bytes back in place."""
+    import zstandard
+
+    tool = zstandard.ZstdDecompressor()
+    for part in slices(batch, limit=CHUNK_BYTES // 2):
+        texts = pa.array([None if t is None else tool.decompress(t) for t in part.column("text").to_pylist()], pa.large_binary())
+        yield part.set_column(part.schema.get_field_index("text"), "text", texts)
+
+
 def table_of(*spans: tuple[int, int]) -> np.ndarray:
     """A table of 256 flags that is true for the given byte ranges, ends included."""
     out = np.zeros(256, bool)

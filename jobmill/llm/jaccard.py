@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import GOLDEN, conf_parts, mix, prefix_sums, runs, slices, span_hash, utf8
+from jobmill.llm.common import GOLDEN, conf_parts, grown, mix, prefix_sums, runs, shrunk, slices, span_hash, utf8
 from jobmill.llm.components import arrow_pairs, components, stars
 from jobmill.llm.repeats import keyed
 from jobmill.session import checkpointed
@@ -158,7 +158,7 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
 def _fetch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in grown(batch):
                 owner, code = shingles(part.column("text"), words)
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 raw = code.tobytes()
@@ -236,7 +236,7 @@ def join_sets(rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     dealt = members.join(large, "root", "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
     wanted = dealt.select("root", "rep", "n", "block", mates.alias("pairs"))
-    fetched = rows.select(F.col("doc").alias("rep"), "text").join(wanted, "rep").mapInArrow(
+    fetched = rows.select(F.col("doc").alias("rep"), shrunk(F.col("text")).alias("text")).join(wanted, "rep").mapInArrow(
         _fetch(words), "root long, pairs array<struct<i:int,j:int>>, block int, rep long, n long, set binary")
     spread = fetched.select("root", F.explode("pairs").alias("p"), "block", "rep", "n", "set").select("root", "p.i", "p.j", "block", "rep", "n", "set")
     found = checkpointed(spread.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(_verify(threshold), "a long, b long, n long"))

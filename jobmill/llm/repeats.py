@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import GOLDEN, conf_parts, key_long, mix, picked, prefix_sums, slices, span_hash, utf8
+from jobmill.llm.common import GOLDEN, conf_parts, grown, key_long, mix, picked, prefix_sums, shrunk, slices, span_hash, utf8
 from jobmill.session import checkpointed, fresh_dir
 
 LENGTH, GRAM = 100, 32
@@ -153,7 +153,7 @@ def _fetch(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the contexts that a document takes part with."""
         for batch in batches:
-            for part in slices(batch):
+            for part in grown(batch):
                 data, offsets = utf8(part.column("text"))
                 raw = data.tobytes()
                 rows = part.column("wanted")
@@ -297,18 +297,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, samp
     start, count = F.shiftright("place", 15), F.shiftright("place", 8).bitwiseAND(127)
     plain = contests.where("repeated").select("doc", start.alias("low"), (start + count - 1 + length).alias("high"))
     wanted = contests.where("NOT repeated").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))  # bounded by the document
-    fetched = rows.select("doc", "text").join(wanted, "doc").mapInArrow(_fetch(length), "anchor long, doc long, place long, bytes binary")
+    fetched = rows.select("doc", shrunk(F.col("text")).alias("text")).join(wanted, "doc").mapInArrow(_fetch(length), "anchor long, doc long, place long, bytes binary")
     induced = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorter(length, gram), "doc long, low long, high long")
     return plain.unionByName(induced)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in grown(batch):
             n_removed, n_spans, digests, kept = [], [], [], []
             spans = part.column("spans")
             for text, cuts in zip(part.column("text"), spans, strict=True):
-                raw = (text.as_py() or "").encode()
+                raw = text.as_py() or b""
                 pieces, at, removed, runs = [], 0, 0, 0
                 if cuts.is_valid:
                     low, high = cuts.values.field("low").to_numpy(), cuts.values.field("high").to_numpy()
@@ -342,7 +342,7 @@ def cut_documents(docs: DataFrame, length: int, gram: int, id_col: str, text_col
     """(carry, n_removed, n_spans, kept_sha256, kept) of every row."""
     rows = keyed(docs, id_col, text_col, others)
     spans = repeated_spans(rows, length, gram, sample, hot_contexts).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    joined = rows.join(spans, "doc", "left").select("carry", "text", "spans")
+    joined = rows.withColumn("text", shrunk(F.col("text"))).join(spans, "doc", "left").select("carry", "text", "spans")
     return joined.mapInArrow(_cut, f"carry {rows.schema['carry'].dataType.simpleString()}, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
