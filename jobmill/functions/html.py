@@ -36,6 +36,8 @@ class _Tokens(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.named: dict[str, int] = {}  # how many open elements have a name
+        self.raw = self.kept = 0  # how many of them hold raw text, or keep their blanks
 
     def add(self, kind: str, tag: str = "", attrs: dict | None = None, text: str = "") -> int:
         pos = len(self.rows)
@@ -43,13 +45,16 @@ class _Tokens(HTMLParser):
         self.rows.append([pos, pos, parent, len(self.open), kind, tag, list((attrs or {}).items()), text])
         return pos
 
-    def names(self) -> set[str]:
-        return {self.rows[i][5] for i in self.open}
+    def count(self, tag: str, step: int) -> None:
+        self.named[tag] = self.named.get(tag, 0) + step
+        self.raw += step * (tag in K.RAW_TEXT_TAGS)
+        self.kept += step * (tag in K.KEEP_SPACE_TAGS)
 
     def handle_starttag(self, tag, attrs):
         pos = self.add("open", tag, {k: v or "" for k, v in attrs})
         if tag not in K.VOID_TAGS:
             self.open.append(pos)
+            self.count(tag, 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -57,20 +62,20 @@ class _Tokens(HTMLParser):
 
     def handle_endtag(self, tag):
         # Closes the nearest open element of that name and all that is open inside it.
-        if any(self.rows[i][5] == tag for i in reversed(self.open)):
+        if self.named.get(tag):
             while self.shut() != tag:
                 pass
 
     def shut(self) -> str:
         start = self.open.pop()
         tag = self.rows[start][5]
+        self.count(tag, -1)
         self.rows[start][1] = self.add("close", tag)
         return tag
 
     def handle_data(self, data):
-        names = self.names()
-        kind = "raw" if names.intersection(K.RAW_TEXT_TAGS) else "text"
-        if not data.strip(" \t\r\n\f\v") and not names.intersection(K.KEEP_SPACE_TAGS):
+        kind = "raw" if self.raw else "text"
+        if not self.kept and not data.strip(" \t\r\n\f\v"):
             data = "\n" if "\n" in data else " "
         last = self.rows[-1] if self.rows else None
         if last and last[4] == kind:
@@ -259,8 +264,6 @@ def to_html(tokens: Column) -> Column:
 
 # ----------------------------------------------------------------- cleaning
 
-_SPANS = "array<struct<pos:int,close:int>>"
-
 
 def spans(tokens: Column, test: Callable[[Column], Column]) -> Column:
     """Spans of the elements that pass ``test``."""
@@ -269,11 +272,13 @@ def spans(tokens: Column, test: Callable[[Column], Column]) -> Column:
 
 
 def _outermost(found: Column) -> Column:
-    """Spans not inside an earlier one; ``found`` is sorted by position."""
-    return F.aggregate(
-        found, F.array().cast(_SPANS),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s.pos <= F.try_element_at(acc, F.lit(-1)).close), acc)
-        .otherwise(F.concat(acc, F.array(s))))
+    """Spans not inside an earlier one; ``found`` is sorted by position and spans do not cross.
+
+    The span at place i is outermost if the i spans before it have all closed, that is if the i-th smallest close
+    lies before it: one sort and one filter.
+    """
+    return let(F.array_sort(F.transform(found, lambda s: s.close)),
+               lambda closes: F.filter(found, lambda s, i: (i == 0) | (F.get(closes, i - 1) < s.pos)))
 
 
 def without(tokens: Column, found: Column) -> Column:

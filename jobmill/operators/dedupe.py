@@ -12,22 +12,27 @@ from jobmill.functions.text import col, first_present
 from jobmill.functions.urls import url_normalize
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: str | list[str] = "seq") -> DataFrame:
     """The row with the smallest ``order`` per key.
 
-    ``min_by`` combines on the map side, so the copies of a hot key shrink to one row per task
-    before the shuffle and no task ever holds a whole group.
+    By one column (unique within a key): its minimum per key is a hash aggregate over narrow rows, combined before the
+    shuffle, and the rows are semi-joined to it, so wide rows are neither sorted nor gathered by key.  By several columns:
+    ``min_by``, for inputs that are small already.
     """
+    if isinstance(order, str):
+        first = df.groupBy(*keys).agg(F.min(order).alias("_first")).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_first")
+        same = [df[k].eqNullSafe(first[f"_{i}"]) for i, k in enumerate(keys)]
+        return df.join(first, reduce(lambda a, b: a & b, [df[order] == first["_first"], *same]), "left_semi")
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
-def dedupe_category(listings: DataFrame) -> DataFrame:
+def dedupe_category(listings: DataFrame, order: str | list[str] = "seq") -> DataFrame:
     """Per category keep the first row per address without fragment (else per id)."""
     keyed = listings.withColumn("_key", first_present(url_normalize("original_url"), "id"))
     keyed = keyed.where(F.col("_key").isNotNull())
-    return first_per_key(keyed, ["category", "_key"]).drop("_key")
+    return first_per_key(keyed, ["category", "_key"], order).drop("_key")
 
 
 def anti_seen(links: DataFrame, seen: DataFrame, key: str = "url_key") -> DataFrame:
@@ -65,18 +70,21 @@ def first_n(df: DataFrame, by: list[str], order: str | list[str], n: int, rank:
     return ranked.drop(rank) if rank == "_rank" else ranked
 
 
-def in_source_order(df: DataFrame, groups: tuple[str, ...] = K.SOURCE_GROUPS, stride: int = 10**12) -> DataFrame:
-    """The same order as :func:`union_in_order` for rows that already carry their source group.
+def in_source_order(df: DataFrame, groups: tuple[str, ...] = K.SOURCE_GROUPS) -> DataFrame:
+    """Rows with the place of their source group in a run; ``(source_rank, seq)`` is the order of the run.
 
-    Only ``seq`` is rewritten, so the plan behind ``df`` is not repeated once per group.
+    A source that brings its own ``source_rank`` keeps it (behind the fixed groups); groups that nobody ranks come last and
+    none is dropped.
     """
-    rank = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("source_group")) - 1
-    return df.where(F.col("source_group").isin(*groups)).withColumn("seq", F.col("seq") + rank * F.lit(stride))
+    place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("source_group"))
+    own = F.col("source_rank") + len(groups) if "source_rank" in df.columns else F.lit(None)
+    last = F.lit(2**31 - 1)
+    return df.withColumn("source_rank", F.when(place > 0, place - 1).otherwise(F.coalesce(own, last)).cast("int"))
 
 
-def union_in_order(frames: list[DataFrame], stride: int = 10**12) -> DataFrame:
-    """Concatenate frames; ``seq`` becomes the rank of the frame, then the old order."""
-    ranked = [df.withColumn("seq", F.col("seq") + F.lit(i * stride)) for i, df in enumerate(frames)]
+def union_in_order(frames: list[DataFrame]) -> DataFrame:
+    """Concatenate frames; ``part`` is the place of the frame, so (part, old order) is the order of the whole."""
+    ranked = [df.withColumn("part", F.lit(i)) for i, df in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 

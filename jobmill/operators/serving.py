@@ -54,18 +54,20 @@ def home_top10(listings: DataFrame, manual: DataFrame, shown: int = 10, flagged:
                       (F.col("rank") <= flagged).alias("is_new"))
 
 
-def run_status(listings: DataFrame, categories: DataFrame, started_at: str, finished_at: str,
-               error: str | None = None) -> DataFrame:
-    """One run row with its counts; ``error`` makes it a failed run without counts."""
+def run_status(listings: DataFrame, categories: DataFrame, started_at: str, finished_at: str | None,
+               error: str | None = None, status: str | None = None) -> DataFrame:
+    """One run row with its counts.
+
+    ``error`` makes it a failed run; it and a run that is still ``running`` (no end yet) have no counts.
+    """
     counts = counts_map(count_by_category(listings, categories))
-    seconds = F.unix_timestamp(F.lit(finished_at).cast("timestamp")) - F.unix_timestamp(
-        F.lit(started_at).cast("timestamp"))
-    failed = error is not None
+    end = F.lit(finished_at).cast("string")
+    seconds = F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(F.lit(started_at).cast("timestamp"))
+    status = status or ("error" if error is not None else "success")
     return counts.select(
-        F.lit("error" if failed else "success").alias("status"),
-        F.lit(started_at).alias("started_at"), F.lit(finished_at).alias("finished_at"),
+        F.lit(status).alias("status"), F.lit(started_at).alias("started_at"), end.alias("finished_at"),
         F.round(seconds.cast("double"), 2).alias("duration_seconds"),
-        (F.create_map().cast("map<string,bigint>") if failed else F.col("counts")).alias("counts"),
+        (F.col("counts") if status == "success" else F.create_map().cast("map<string,bigint>")).alias("counts"),
         F.array(*[F.lit(s) for s in K.RUN_SOURCES]).alias("sources"),
         F.lit(error).cast("string").alias("error"),
     )
@@ -75,7 +77,7 @@ def latest_status(workspaces: DataFrame, runs: DataFrame, key: str = "workspace"
     """Newest run of every workspace; one that never ran gets the idle row."""
     newest = runs.groupBy(key).agg(
         F.max_by(F.struct("status", "started_at", "finished_at", "duration_seconds", "counts", "sources", "error"),
-                 "started_at").alias("_r"))
+                 F.struct("started_at", "finished_at")).alias("_r"))
     idle = F.array(*[F.lit(s) for s in K.IDLE_SOURCES])
     return workspaces.select(key).distinct().join(newest, key, "left").select(
         key,

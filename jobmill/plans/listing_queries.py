@@ -249,13 +249,13 @@ def lookup_post(spark, sf):
 
 
 @query("anti_seen_urls", f"""
-SELECT seq, {Q.norm_url('original_url')} AS url_key FROM v_listings WHERE source_group <> 'SR' AND {Q.norm_url('original_url')} NOT IN
+SELECT seq, {Q.norm_url('original_url')} AS url_key FROM v_listings WHERE {Q.norm_url('original_url')} NOT IN
   (SELECT {Q.norm_url("'https://jobs' || (c_custkey % 7) || '.example.com/p/' || c_custkey || '#x'")} FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def anti_seen_urls(spark, sf):
     seen = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(url_normalize(F.concat(
         F.lit("https://jobs"), (F.col("c_custkey") % 7).cast("string"), F.lit(".example.com/p/"), F.col("c_custkey").cast("string"),
         F.lit("#x"))).alias("url_key"))
-    links = A.with_url_key(view(spark, sf, "v_listings")).where("source_group <> 'SR'").select("seq", "url_key")
+    links = A.with_url_key(view(spark, sf, "v_listings")).select("seq", "url_key")
     return D.anti_seen(links, seen).select("seq", "url_key")
 
 
@@ -276,11 +276,10 @@ def join_category_labels(spark, sf):
 
 
 @query("count_by_category", f"""
-SELECT c.category, count(l.seq) AS n FROM {Q.CATEGORY_TABLE} c LEFT JOIN (SELECT * FROM v_listings WHERE category <> 'remote_jobs') l
+SELECT c.category, count(l.seq) AS n FROM {Q.CATEGORY_TABLE} c LEFT JOIN v_listings l
   ON c.category = l.category GROUP BY c.category""")
 def count_by_category(spark, sf):
-    rows = view(spark, sf, "v_listings").where("category <> 'remote_jobs'")
-    return SV.count_by_category(rows, dims.category_dim(spark))
+    return SV.count_by_category(view(spark, sf, "v_listings"), dims.category_dim(spark))
 
 
 @query("counts_map", """
@@ -438,15 +437,15 @@ def home_top10(spark, sf):
 
 
 _RANKED = "SELECT CASE source_group " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(
-    K.SOURCE_GROUPS)) + " END * 1000000000000 + seq AS seq, category, title, NULL AS company FROM v_listings"
+    K.SOURCE_GROUPS)) + " END AS source_rank, seq, category, title, NULL AS company, 0 AS part FROM v_listings"
 
 
-@query("union_sources", _RANKED + f" UNION ALL SELECT {10**15} + seq, category, title, company FROM v_market")
+@query("union_sources", _RANKED + " UNION ALL SELECT NULL, seq, category, title, company, 1 FROM v_market")
 def union_sources(spark, sf):
     """All groups of one table in their order, then the rows of another table with more columns."""
-    crawled = D.in_source_order(view(spark, sf, "v_listings")).select("seq", "category", "title")
+    crawled = D.in_source_order(view(spark, sf, "v_listings")).select("source_rank", "seq", "category", "title")
     market = view(spark, sf, "v_market").select("seq", "category", "title", "company")
-    return D.union_in_order([crawled, market], stride=10**15)
+    return D.union_in_order([crawled, market])
 
 
 @query("merge_manual_home", f"""

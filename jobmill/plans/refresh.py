@@ -60,7 +60,7 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
     built = L.build_listing(joined, house=house)
     built = built.withColumn("info_category", L.classify_title("info_title")).drop("info_title")
-    return D.dedupe_category(D.in_source_order(built))
+    return D.dedupe_category(D.in_source_order(built), ["source_rank", "seq"])
 
 
 def utc_now() -> str:
@@ -68,20 +68,21 @@ def utc_now() -> str:
 
 
 def refresh(spark: SparkSession, arrivals: DataFrame, pages: DataFrame, root: str, **options) -> int:
-    """Build, publish and record one run; a failure is recorded and raised again."""
+    """Build, publish and record one run: a row ``running`` before, one with the outcome after.
+
+    A failure at any point, publishing and counting included, is recorded with its whole text and raised again.
+    """
     store, started = SnapshotStore(spark, f"{root}/snapshot"), utc_now()
 
     def record(rows: DataFrame) -> None:
         rows.coalesce(1).write.mode("append").parquet(f"{root}/runs")
 
-    categories = dims.category_dim(spark)
+    categories, empty = dims.category_dim(spark), spark.createDataFrame([], "category string")
+    record(SV.run_status(empty, categories, started, None, status="running"))
     try:
         version = store.replace(build_snapshot(arrivals, pages, **options))
+        record(SV.run_status(store.read(), categories, started, utc_now()))
     except Exception as error:
-        empty = spark.createDataFrame([], "category string")
-        record(SV.run_status(empty, categories, started, utc_now(), str(error)[:2000]))
+        record(SV.run_status(empty, categories, started, utc_now(), str(error)))
         raise
-    record(SV.run_status(store.read(), categories, started, utc_now()))
     return version
-
-

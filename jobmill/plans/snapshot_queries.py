@@ -45,7 +45,7 @@ def latest_snapshot(spark, sf):
     store = SnapshotStore(spark, root)
     store.replace(rows.where("seq % 2 = 0"))
     version = store.replace(rows.where("category <> 'results'"))
-    rows.where("category = 'results'").write.partitionBy("category").parquet(store._folder(version + 1))
+    rows.where("category = 'results'").write.partitionBy("category").parquet(f"{root}/data/version-{version + 1}-unfinished")
     return latest_of(spark, root, rows.where("category = 'results'")).select("seq", "category", "title")
 
 
@@ -58,13 +58,13 @@ def run_status(spark, sf):
 
 @query("idle_status", f"""
 WITH r AS (SELECT o_custkey AS workspace, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'error' END AS status,
-  strftime(o_orderdate, '%Y-%m-%d') || '#' || lpad(cast(o_orderkey AS string), 12, '0') AS started_at FROM orders WHERE o_orderkey % 7 = 0),
+  strftime(o_orderdate, '%Y-%m-%d') || '#' || lpad(cast(o_orderkey AS string), 12, '0') AS started_at FROM orders),
 x AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY started_at DESC) AS rn FROM r)
 SELECT c_custkey AS workspace, coalesce(status, 'idle') AS status, started_at, CASE WHEN status IS NULL THEN '{','.join(K.IDLE_SOURCES)}' ELSE 'one' END AS sources
 FROM customer LEFT JOIN x ON x.workspace = c_custkey AND rn = 1""")
 def idle_status(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
-    runs = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(
+    runs = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("workspace"), status.alias("status"),
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("#"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("started_at"),
         F.lit(None).cast("string").alias("finished_at"), F.lit(None).cast("double").alias("duration_seconds"),
@@ -83,11 +83,12 @@ def _event_stream(spark, sf) -> DataFrame:
         F.lit("https://e.example.com/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("url_key"))
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", "SELECT DISTINCT 'https://e.example.com/' || user_id || '/' || event_type AS url_key FROM events")
 def stream_dedupe(spark, sf):
+    """The state outlives the span of the input, so each address comes once whatever the batches."""
     root = fresh_dir(spark, "stream_dedupe")
-    ST.append_files(ST.new_urls(_event_stream(spark, sf)), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    ST.append_files(ST.new_urls(_event_stream(spark, sf), "400 days"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("url_key")
 
 
 def _published(stream: DataFrame, spark, name: str) -> DataFrame:
@@ -107,13 +108,18 @@ def stream_daily_counts(spark, sf):
     return _published(ST.daily_counts(_event_stream(spark, sf), "category"), spark, "stream_daily_counts").select("day", "category", "n")
 
 
-@query("stream_snapshot", _DEDUPED + "SELECT seq, category, url_key, title FROM d")
+@query("stream_snapshot", _DEDUPED.replace("FROM v_listings)", "FROM v_listings WHERE seq % 3 = 0 UNION ALL SELECT *, {0} FROM v_listings WHERE seq % 3 <> 0)".format(Q.norm_url("original_url"))).replace(
+    "ORDER BY seq)", "ORDER BY seq % 3 <> 0, seq % 2, seq)") + "SELECT seq, category, url_key, title FROM d")
 def stream_snapshot(spark, sf):
+    """A published snapshot of a third of the listings, all of them streamed onto it, and a compaction in between."""
     root, schema = fresh_dir(spark, "stream_snapshot"), table(spark, sf, "orders").schema
-    orders = ST.read_stream(spark, sf, schema, "orders.parquet")
-    arrivals = spark.sql(inputs.VIEWS["v_listings"], orders=orders).select("seq", "category", "original_url", "title")
+    listings = lambda orders: spark.sql(inputs.VIEWS["v_listings"], orders=orders).select("seq", "category", "original_url", "title")
     store = SnapshotStore(spark, f"{root}/snapshot")
-    ST.merge_into_snapshot(arrivals, store, f"{root}/checkpoint").awaitTermination()
+    first = D.first_per_key(with_url_key(listings(table(spark, sf, "orders")).where("seq % 3 = 0")), ["category", "url_key"])
+    store.replace(first)
+    ST.merge_into_snapshot(listings(ST.read_stream(spark, sf, schema, "orders.parquet")).where("seq % 2 = 0"), store, f"{root}/even").awaitTermination()
+    store.compact()
+    ST.merge_into_snapshot(listings(ST.read_stream(spark, sf, schema, "orders.parquet")).where("seq % 2 <> 0"), store, f"{root}/odd").awaitTermination()
     return store.read().select("seq", "category", "url_key", "title")
 
 
@@ -139,8 +145,8 @@ j AS (SELECT l.*, coalesce('Last Date: ' || a.day || ' ' || a.k * 13 || ' posts
   CASE WHEN a.k IS NULL THEN l.title ELSE {Q.spaces('a.heading')} END AS info_title
   FROM l JOIN final ON l.seq = final.seq LEFT JOIN v_articles a ON a.url_key = l.url_key),
 t AS (SELECT *, {_SCOPE} AS t FROM j), s AS (SELECT *, {Q.states('t')} AS f, {Q.applicants('body_text')} AS h FROM t),
-d AS (SELECT *, row_number() OVER (PARTITION BY category, url_key ORDER BY {_RANK} * 1000000000000 + seq) AS rn FROM s)
-SELECT {_RANK} * 1000000000000 + seq AS seq, source_group, category, md5(category || ':' || original_url) AS id, {Q.scrub(Q.spaces('title'))} AS title, url_key,
+d AS (SELECT *, row_number() OVER (PARTITION BY category, url_key ORDER BY {_RANK}, seq) AS rn FROM s)
+SELECT {_RANK} AS source_rank, seq, source_group, category, md5(category || ':' || original_url) AS id, {Q.scrub(Q.spaces('title'))} AS title, url_key,
   {Q.last_date('body_text')} AS last_date, {Q.vacancies('body_text')} AS vacancies, {Q.title_label('info_title')} AS info_category,
   h.n AS applicant_count, {Q.state_label('t', 'f')} AS state_label, {Q.portal('t', 'f')} AS official_state_portal FROM d WHERE rn = 1"""
 
@@ -151,5 +157,5 @@ def build_snapshot(spark, sf):
     articles = view(spark, sf, "v_articles", heavy=True).select("url_key", "site", F.expr(inputs.ARTICLE_HTML).alias("html"))
     store = SnapshotStore(spark, fresh_dir(spark, "build_snapshot"))
     store.replace(R.build_snapshot(arrivals, articles, domains=inputs.LISTING_DOMAINS))
-    return store.read().select("seq", "source_group", "category", "id", "title", "url_key", "last_date", "vacancies", "info_category",
+    return store.read().select("source_rank", "seq", "source_group", "category", "id", "title", "url_key", "last_date", "vacancies", "info_category",
                                "applicant_count", "state_label", "official_state_portal")

@@ -12,12 +12,16 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a folder of its own.
+    A local session without that setting (a test) gets a folder of its own; elsewhere its absence is an error, for
+    executors cannot see the driver's disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="jobmill-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -23,7 +23,10 @@ def registered_sources() -> list[str]:
 
 
 def load_sources(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    """Union of the named sources in registration order; others are not even planned."""
+    """Union of the named sources in registration order; others are not even planned.
+
+    ``source_rank`` is the place in that order; a refresh puts these groups behind the fixed ones.
+    """
     wanted = [n for n in _SOURCES if names is None or n in names]
-    frames = [_SOURCES[n][1](_SOURCES[n][0](spark)).withColumn("source_group", F.lit(n)) for n in wanted]
+    frames = [_SOURCES[n][1](_SOURCES[n][0](spark)).withColumns({"source_group": F.lit(n), "source_rank": F.lit(i)}) for i, n in enumerate(wanted)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

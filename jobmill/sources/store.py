@@ -1,65 +1,88 @@
 """Versioned snapshot folders.
 
-A version is a folder of Parquet files plus one row in the ``versions`` table, written last.  Readers
+A version is a folder of Parquet files of its own plus one row in the ``versions`` table, written last.  Readers
 take the newest row of that table and only open the folders it names, so a half-written or failed
-version is never seen, and nothing is overwritten in place.
+version is never seen, and nothing is overwritten.  The row also holds the schema, so an empty version reads as
+empty, and the batch it came from, so a retried batch is known whatever number its version got.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
+
+_LOG = "version bigint, base bigint, folder string, schema string, stream string, batch bigint"
 
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/data/version={version}"
+    def _log(self) -> DataFrame | None:
+        """The version table, or None before the first publication; any other fault is raised."""
+        jvm, path = self.spark._jvm, f"{self.root}/versions"
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+            return None
+        return self.spark.read.schema(_LOG).parquet(path)
 
     def latest(self) -> tuple[int, int] | None:
         """(version, first version that belongs to it), or None before the first publication."""
-        try:
-            log = self.spark.read.schema("version bigint, base bigint").parquet(f"{self.root}/versions")
-        except AnalysisException:
-            return None
-        row = log.agg(F.max(F.struct("version", "base")).alias("v")).first()
+        log = self._log()
+        row = log.agg(F.max(F.struct("version", "base")).alias("v")).first() if log is not None else None
         return (row.v.version, row.v.base) if row and row.v else None
 
-    def _publish(self, rows: DataFrame, version: int, base: int) -> int:
+    def published(self, batch: tuple[str, int]) -> bool:
+        """Whether this batch (stream, number) is part of a version already."""
+        log = self._log()
+        return log is not None and bool(log.where((F.col("stream") == batch[0]) & (F.col("batch") == batch[1])).limit(1).count())
+
+    def _publish(self, rows: DataFrame, version: int, base: int, batch: tuple[str, int] | None) -> int:
+        folder = f"data/version-{version}-{uuid.uuid4().hex}"
         # Rebalancing splits a large category and merges crumbs, so file sizes stay even.
-        (rows.hint("rebalance", "category").write.mode("overwrite").partitionBy("category")
-         .parquet(self._folder(version)))
-        self.spark.createDataFrame([(version, base)], "version bigint, base bigint").coalesce(1).write.mode(
-            "append").parquet(f"{self.root}/versions")
+        rows.hint("rebalance", "category").write.partitionBy("category").parquet(f"{self.root}/{folder}")
+        stream, number = batch or (None, None)
+        row = (version, base, folder, rows.schema.json(), stream, number)
+        self.spark.createDataFrame([row], _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
         return version
 
-    def replace(self, rows: DataFrame, version: int | None = None) -> int:
-        """Publish ``rows`` as the whole snapshot."""
+    def replace(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Publish ``rows`` as the whole snapshot; a batch that is published already does nothing."""
         last = self.latest()
-        version = version or (last[0] + 1 if last else 1)
-        return self._publish(rows, version, version)
+        if last and batch and self.published(batch):
+            return last[0]
+        version = last[0] + 1 if last else 1
+        return self._publish(rows, version, version, batch)
 
-    def append(self, rows: DataFrame, version: int | None = None) -> int:
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Publish the current snapshot plus ``rows``; only ``rows`` are written."""
         last = self.latest()
-        if version is not None and last and version <= last[0]:
-            return last[0]  # a retried batch, already published
-        version = version or (last[0] + 1 if last else 1)
-        return self._publish(rows, version, last[1] if last else version)
+        if last and batch and self.published(batch):
+            return last[0]
+        version = last[0] + 1 if last else 1
+        return self._publish(rows, version, last[1] if last else version, batch)
 
-    def compact(self) -> int:
+    def compact(self) -> int | None:
         """Rewrite a snapshot of many appended versions as one."""
-        return self.replace(self.read())
+        rows = self.read()
+        return None if rows is None else self.replace(rows)
 
     def read(self) -> DataFrame | None:
+        """The published rows; columns that an older part of the snapshot lacks are null."""
         last = self.latest()
         if last is None:
             return None
-        folders = [self._folder(v) for v in range(last[1], last[0] + 1)]
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*folders).drop("version")
+        parts = self._log().where(F.col("version").between(last[1], last[0])).select("folder", "schema", "version").orderBy("version").collect()
+        schema = StructType.fromJson(json.loads(parts[-1].schema))
+        frames = [self.spark.read.schema(schema).parquet(f"{self.root}/{p.folder}") for p in parts]
+        whole = frames[0]
+        for frame in frames[1:]:
+            whole = whole.unionByName(frame)
+        return whole.select(*schema.names)
 
 
 def latest_of(spark: SparkSession, runtime: str, base: DataFrame) -> DataFrame:

@@ -41,31 +41,33 @@ def append_files(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 def publish_result(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
     """Complete-mode results: every batch publishes the whole result as the next version."""
     def publish(batch: DataFrame, batch_id: int) -> None:
-        last = store.latest()
-        if last is None or last[0] < batch_id + 1:
-            store.replace(batch, batch_id + 1)
+        store.replace(batch, (checkpoint, batch_id))
 
     return (stream.writeStream.outputMode("complete").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def merge_into_snapshot(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
-    """Every batch adds its new listings to the published snapshot.
+    """Every batch adds its new listings to the published snapshot, whoever published that.
 
     Only the addresses of the batch are looked up in the snapshot (it is scanned for two columns and
-    not shuffled while the batch is small), and only new rows are written.  A retried batch finds
-    its version published and does nothing.
+    not shuffled while the batch is small), and only new rows are written.  A retried batch is known by
+    its stream's checkpoint and its number and does nothing.
     """
     keys = ["category", "url_key"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_per_key(with_url_key(batch).where("url_key <> ''"), keys)
+        if store.published((checkpoint, batch_id)):
+            return
+        fresh = first_per_key(with_url_key(batch).where("url_key <> ''"), keys).persist()
         current = store.read()
+        new = fresh
         if current is not None:
             batch_keys = broadcast_if_small(fresh.select(*keys))
             known = current.select(*keys).join(batch_keys, keys, "left_semi")
-            fresh = fresh.join(known, keys, "left_anti")
-        store.append(fresh, batch_id + 1)
+            new = fresh.join(known, keys, "left_anti")
+        store.append(new, (checkpoint, batch_id))
+        fresh.unpersist()
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -101,3 +101,23 @@ def test_many_dropped_elements_cost_one_pass(spark):
 def test_detail_dates(spark):
     html = "<div class='view-content'><span class='date-display-single'>01/02/2026</span><span class='date-display-single'>x</span></div>"
     assert PG.detail_dates(page(spark, html)).first().upload_date == "01/02/2026"
+
+
+def test_tokens_and_cuts_take_linear_time(spark):
+    import time
+
+    from jobmill.functions.html import _tokenize_page
+
+    def seconds(n):
+        start = time.process_time()
+        rows = _tokenize_page("<p>x" * n + "</i></p>" * n)
+        assert len(rows) == 3 * n and rows[0][1] == 3 * n - 1
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(32_000) < 3 + 40 * seconds(4_000)
+    page = "<div>" + "<i>a<i>b</i></i><u>c</u>" * 8_000 + "</div>"
+    start = time.time()
+    df = spark.createDataFrame([(page,)], "html string").select(H.tokenize("html").alias("t"))
+    got = df.select(H.text_of(H.without(F.col("t"), H.spans(F.col("t"), lambda t: t.tag == "i")), "").alias("x")).first().x
+    assert got == "c" * 8_000 and time.time() - start < 30

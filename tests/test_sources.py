@@ -74,14 +74,36 @@ def listings(spark, ids):
 
 def test_store_shows_only_published_versions(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
-    assert store.read() is None
+    assert store.read() is None and store.compact() is None
     assert store.replace(listings(spark, range(10))) == 1
-    listings(spark, range(99)).write.partitionBy("category").parquet(store._folder(2))  # a writer that died
+    listings(spark, range(99)).write.partitionBy("category").parquet(f"{store.root}/data/version-2-died")  # a writer that died
     assert store.read().count() == 10
-    assert store.append(listings(spark, range(10, 15))) == 2 and store.read().count() == 15
-    assert store.append(listings(spark, range(50)), version=2) == 2 and store.read().count() == 15  # a retried batch
-    assert store.compact() == 3 and store.read().count() == 15
-    assert store.replace(listings(spark, [1])) == 4 and store.read().count() == 1
+    assert store.append(listings(spark, range(10, 15)), ("s", 7)) == 2 and store.read().count() == 15
+    assert store.append(listings(spark, range(50)), ("s", 7)) == 2 and store.read().count() == 15  # a retried batch
+    assert store.append(listings(spark, [90]), ("t", 7)) == 3 and store.read().count() == 16  # another stream's batch of that number
+    assert store.compact() == 4 and store.read().count() == 16
+    assert store.replace(listings(spark, [1])) == 5 and store.read().count() == 1
+
+
+def test_an_empty_version_reads_as_empty(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.replace(listings(spark, []))
+    assert store.read().collect() == [] and store.read().columns == ["seq", "category", "url_key"]
+    store.append(listings(spark, [3]))
+    assert [r.seq for r in store.read().collect()] == [3]
+
+
+def test_stream_onto_a_published_snapshot_and_across_compaction(spark, tmp_path):
+    schema = "seq bigint, category string, original_url string, title string"
+    row = lambda i: (i, "results", f"https://a.example.com/{i}", f"t{i}")
+    store, source = SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    store.replace(spark.createDataFrame([(*row(i), row(i)[2]) for i in range(10)], schema + ", url_key string"))
+    for step, ids in enumerate((range(5, 30), range(30, 50))):
+        spark.createDataFrame([row(i) for i in ids], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ST.read_stream(spark, source, spark.read.parquet(source).schema)
+        ST.merge_into_snapshot(stream, store, str(tmp_path / "cp")).awaitTermination()
+        assert sorted(r.seq for r in store.read().collect()) == list(range((30, 50)[step]))
+        store.compact()
 
 
 def test_run_status_of_a_failed_run(spark):
@@ -103,11 +125,27 @@ def test_refresh_publishes_and_records(spark, tmp_path):
     rows = {r.source_group: r for r in SnapshotStore(spark, f"{root}/snapshot").read().collect()}
     assert (rows["SR"].last_date, rows["SR"].vacancies, rows["SR"].info_category, rows["SR"].state_label) == ("15/03/2026", "450", "UPSC", "Bihar")
     assert (rows["REMOTE"].last_date, rows["REMOTE"].body_text) == ("See Notification", "")
-    run = spark.read.parquet(f"{root}/runs").first()
+    run = spark.read.parquet(f"{root}/runs").where("status <> 'running'").first()
     assert run.status == "success" and run.counts["results"] == 1 and run.counts["answer_keys"] == 0
     with pytest.raises(Exception):
         R.refresh(spark, arrivals.drop("title"), pages, root)
-    assert {r.status for r in spark.read.parquet(f"{root}/runs").collect()} == {"success", "error"}
+    runs = spark.read.parquet(f"{root}/runs")
+    assert sorted(r.status for r in runs.collect()) == ["error", "running", "running", "success"]
+    last = SV.latest_status(spark.range(1).selectExpr("1 AS workspace"), runs.withColumn("workspace", F.lit(1))).first()
+    assert last.status == "error" and len(last.error) > 0
+    none = str(tmp_path / "none")
+    R.refresh(spark, arrivals.where("seq > 99"), pages, none)  # nothing admitted: published, read and recorded all the same
+    assert SnapshotStore(spark, f"{none}/snapshot").read().count() == 0
+    assert sorted(r.status for r in spark.read.parquet(f"{none}/runs").collect()) == ["running", "success"]
+
+
+def test_a_registered_source_reaches_the_snapshot_last(spark):
+    arrivals = spark.createDataFrame([(5, "MINE", 1, "latest_jobs", "https://m.example.com/1", "Clerk"), (6, "REMOTE", None, "remote_jobs", "https://r.example.com/1", "Engineer"),
+                                      (1, "OTHER", None, "latest_jobs", "https://m.example.com/1", "Clerk again")],
+                                     "seq bigint, source_group string, source_rank int, category string, original_url string, title string").withColumn("source", F.col("source_group"))
+    pages = spark.createDataFrame([], "url_key string, site string, html string")
+    rows = R.build_snapshot(arrivals, pages).collect()
+    assert {r.source_group for r in rows} == {"MINE", "REMOTE"}  # the unranked group comes after the ranked one
 
 
 def test_dedupe_is_idempotent_and_first_wins(spark):
