@@ -83,30 +83,29 @@ SITE_PAGES = {
         ("https://sarkariujala.com/category/admit-card", "admit_cards"),
     ],
 }
-# State pages of FJA: https://www.freejobalert.com/<slug>-government-jobs/
-STATE_PAGE_URL = "https://www.freejobalert.com/{slug}-government-jobs/"
-STATE_PAGE_SLUGS = {
-    "Andhra Pradesh": "ap",
-    "Assam": "assam",
-    "Bihar": "bihar",
-    "Chhattisgarh": "chhattisgarh",
-    "Delhi": "delhi",
-    "Gujarat": "gujarat",
-    "Haryana": "haryana",
-    "Himachal Pradesh": "hp",
-    "Jharkhand": "jharkhand",
-    "Karnataka": "karnataka",
-    "Kerala": "kerala",
-    "Madhya Pradesh": "mp",
-    "Maharashtra": "maharashtra",
-    "Odisha": "odisha",
-    "Punjab": "punjab",
-    "Rajasthan": "rajasthan",
-    "Tamil Nadu": "tn",
-    "Telangana": "telangana",
-    "Uttar Pradesh": "up",
-    "Uttarakhand": "uttarakhand",
-    "West Bengal": "wb",
+# --- fixed values: state pages of FJA
+STATE_PAGES = {
+    "Andhra Pradesh": "https://www.freejobalert.com/ap-government-jobs/",
+    "Assam": "https://www.freejobalert.com/assam-government-jobs/",
+    "Bihar": "https://www.freejobalert.com/bihar-government-jobs/",
+    "Chhattisgarh": "https://www.freejobalert.com/chhattisgarh-government-jobs/",
+    "Delhi": "https://www.freejobalert.com/delhi-government-jobs/",
+    "Gujarat": "https://www.freejobalert.com/gujarat-government-jobs/",
+    "Haryana": "https://www.freejobalert.com/haryana-government-jobs/",
+    "Himachal Pradesh": "https://www.freejobalert.com/hp-government-jobs/",
+    "Jharkhand": "https://www.freejobalert.com/jharkhand-government-jobs/",
+    "Karnataka": "https://www.freejobalert.com/karnataka-government-jobs/",
+    "Kerala": "https://www.freejobalert.com/kerala-government-jobs/",
+    "Madhya Pradesh": "https://www.freejobalert.com/mp-government-jobs/",
+    "Maharashtra": "https://www.freejobalert.com/maharashtra-government-jobs/",
+    "Odisha": "https://www.freejobalert.com/odisha-government-jobs/",
+    "Punjab": "https://www.freejobalert.com/punjab-government-jobs/",
+    "Rajasthan": "https://www.freejobalert.com/rajasthan-government-jobs/",
+    "Tamil Nadu": "https://www.freejobalert.com/tn-government-jobs/",
+    "Telangana": "https://www.freejobalert.com/telangana-government-jobs/",
+    "Uttar Pradesh": "https://www.freejobalert.com/up-government-jobs/",
+    "Uttarakhand": "https://www.freejobalert.com/uttarakhand-government-jobs/",
+    "West Bengal": "https://www.freejobalert.com/wb-government-jobs/",
 }
 SKIP_TITLES = (
     "home", "view more", "search", "contact us", "important", "syllabus", "notifications",
@@ -218,6 +217,8 @@ UPDATED_PATTERN = r"Last updated:\s*(.*?)(?:Closing date:|$)"
 CLOSING_PATTERN = r"Closing date:\s*(.+)$"
 POSTED_PATTERN = r"Posted:\s*(.+?)\s+(?:Save|View\s*&\s*Apply|$)"
 SIZE_NOTE_PATTERN = r"\(\s*\d[\d.,]*\s*(?:KB|MB)\s*\)"
+RAC_TITLE = "DRDO RAC Advertisement No. "
+OFFICIAL_LINK_LABEL = "Official link"
 CARD_NOISE_PATTERN = r"\b(?:Less|More)\b"
 
 # --- fixed values: applicant totals ------------------------------------------------------

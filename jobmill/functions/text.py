@@ -98,12 +98,29 @@ def strip_size_note(value: Column | str) -> Column:
     return strip_spaces(F.regexp_replace(col(value), UNICODE_ANY_CASE + K.SIZE_NOTE_PATTERN, ""))
 
 
-def clean_card_title(value: Column | str) -> Column:
-    """Drop expander words, then a leading ``new`` badge."""
-    words = normalize_spaces(F.regexp_replace(text_or_empty(value), UNICODE + K.CARD_NOISE_PATTERN, " "))
+def without_expanders(value: Column | str) -> Column:
+    """A card title without the words of its expander."""
+    return normalize_spaces(F.regexp_replace(text_or_empty(value), UNICODE + K.CARD_NOISE_PATTERN, " "))
+
+
+def without_badge(value: Column | str) -> Column:
+    """A card title without a leading ``new`` badge, which is taken off whatever follows it."""
+    words = normalize_spaces(text_or_empty(value))
     return F.when(words.startswith("new"), strip_spaces(F.substring(words, 4, 1 << 30))).otherwise(words)
 
 
+#: The rule of each site that has one; the others' titles stay.
+CARD_TITLES = {"freshersworld": without_expanders, "indeed": without_badge}
+
+
+def clean_card_title(value: Column | str, site: Column | str) -> Column:
+    """The title rule of the card's site."""
+    title, site = normalize_spaces(text_or_empty(value)), col(site)
+    for name, rule in CARD_TITLES.items():
+        title = F.when(site == name, rule(value)).otherwise(title)
+    return title
+
+
 def split_company_role(title: Column | str, default_company: str = "We Work Remotely") -> Column:
     """Struct (company, role) split at the first ``': '``."""
     title = col(title)

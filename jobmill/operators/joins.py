@@ -65,29 +65,27 @@ def count_jobs_by_state(listings: DataFrame, directory: DataFrame) -> DataFrame:
         "name", "type", "dir_pos", F.coalesce("_jobs", F.lit(0)).cast("bigint").alias("jobs"))
 
 
-def lookup_posts(requests: DataFrame, listings: DataFrame) -> DataFrame:
+def lookup_posts(requests: DataFrame, listings: DataFrame, salts: int = 32) -> DataFrame:
     """First listing of each requested id: the requested category first, then the fixed order.
 
     ``requests`` has request_id, id and requested.  Only the first listing of an id in each category
-    can be the answer, so the listings are cut to those (at most six per id) before the join; a
-    hot id with many copies never meets its many requests row by row.  One shuffle by id serves both
-    the cut and the join.
+    can be the answer, so the listings are cut to those (at most six per id) first.  The answer depends on (id, requested)
+    alone and is found once for each such pair, combined before the shuffle; handing it to the requests is a join in which
+    an id that most requests name is dealt out over ``salts`` tasks.
     """
     def first_in(category: str) -> Column:
         mine = F.col("category") == category
         return F.min_by(F.when(mine, F.struct("category", "title", "seq")), F.when(mine, F.col("seq")))
 
     by_id = listings.groupBy("id").agg(F.array_compact(F.array(*[first_in(c) for c in K.CATEGORIES])).alias("_hits"))
-    asked = requests.join(by_id, "id")
+    pairs = requests.select("id", F.coalesce("requested", F.lit("")).alias("_r")).distinct().join(by_id, "id")
     # The array is in the fixed order of the categories, so its first entry is the default answer.
-    wanted = F.filter("_hits", lambda h: h.category == F.col("requested"))
+    wanted = F.filter("_hits", lambda h: h.category == F.col("_r"))
     best = F.coalesce(F.get(wanted, F.lit(0)), F.get(F.col("_hits"), F.lit(0)))
-    return asked.withColumn("_b", best).where("_b is not null").select("request_id", "id", "_b.*")
-
-
-def join_panel(blocks: DataFrame, panels: DataFrame) -> DataFrame:
-    """Announcement blocks with their details panel; blocks without one are dropped."""
-    return blocks.join(panels, ["page_id", "target"])
+    answers = pairs.withColumn("_b", best).where("_b is not null").select(
+        "id", "_r", "_b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = requests.withColumns({"_r": F.coalesce("requested", F.lit("")), "_salt": F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")})
+    return salted.join(answers, ["id", "_r", "_salt"]).select("request_id", "id", "_b.*")
 
 
 def join_category_labels(listings: DataFrame, categories: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:

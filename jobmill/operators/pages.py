@@ -12,7 +12,6 @@ from jobmill.functions import html as H
 from jobmill.functions.html import Select
 from jobmill.functions.text import contains_any, normalize_spaces, strip_spaces, text_or_empty
 from jobmill.functions.urls import join_site_path, url_absolute, url_normalize
-from jobmill.operators.dedupe import first_per_key
 from jobmill.operators.predicates import is_competitor
 
 TOKENS = "_tokens"
@@ -153,20 +152,48 @@ def detail_dates(pages: DataFrame) -> DataFrame:
     return df.select("url", date.alias("upload_date"))
 
 
-def rac_panels(pages: DataFrame) -> DataFrame:
-    """Detail panels of announcement pages: (target, primary address, panel text)."""
+def rac_notices(pages: DataFrame) -> DataFrame:
+    """Announcement blocks joined with the details panel of their page; blocks without one are dropped.
+
+    The page is tokenized once and the join happens inside its row: only elements that a block points at become
+    panels, so nothing is shuffled and ids that nobody points at cost nothing.  Columns: target, number, summary, title,
+    card_text, panel_text, links (pos, label, href; absolute, a blank label is replaced), primary_url.
+    """
     df = tokenized(pages)
-    tokens = F.col(TOKENS)
-    found = F.filter(tokens, lambda t: (t.kind == "open") & F.coalesce(t.attrs["id"] != "", F.lit(False)))
+    tokens, adapter = F.col(TOKENS), ADAPTERS["rac"]
+    blocks = H.select(tokens, adapter.card)
+    target_of = lambda b: F.regexp_replace(strip_spaces(b.attrs["data-bs-target"]), "^#+", "")
+
+    def links(part: Column) -> Column:
+        return F.transform(H.select(part, Select(tags=("a",), attr="href")), lambda a, i: F.struct(
+            i.alias("pos"), F.coalesce(F.nullif(H.node_text(part, a), F.lit("")), F.lit(K.OFFICIAL_LINK_LABEL)).alias("label"),
+            url_normalize(url_absolute(a.attrs["href"], F.col("url"))).alias("href")))
 
     def panel(node: Column) -> Column:
         return H.let(H.subtree(tokens, node), lambda part: F.struct(
             node.attrs["id"].alias("target"), normalize_spaces(H.text_of(part)).alias("panel_text"),
-            F.transform(H.select(part, Select(tags=("a",), attr="href")), lambda a: F.struct(
-                H.node_text(part, a).alias("label"), a.attrs["href"].alias("href"))).alias("links")))
-
-    rows = df.select(*_others(df), F.explode(F.transform(found, panel)).alias("_p")).select(*_others(df), "_p.*")
-    return rows
+            F.filter(links(part), lambda x: x.href != "").alias("links")))
+
+    df = df.withColumn("_targets", F.transform(blocks, target_of))
+    named = F.filter(tokens, lambda t: (t.kind == "open") & F.coalesce((t.attrs["id"] != "") & F.array_contains(F.col("_targets"), t.attrs["id"]), F.lit(False)))
+    df = df.withColumn("_panels", F.transform(named, panel))
+    joined = F.transform(blocks, lambda b: F.struct(H.subtree(tokens, b).alias("card"), H.let(target_of(b), lambda name: F.get(
+        F.filter(F.col("_panels"), lambda p: p.target == name), F.lit(0))).alias("panel")))
+    keep = [c for c in _others(df) if c not in ("_targets", "_panels")]
+    rows = df.select(*keep, F.explode(F.filter(joined, lambda x: x.panel.isNotNull())).alias("_b"))
+    fields = [adapter.fields[f].read(F.col("_b.card")).alias(f) for f in ("number", "summary", "card_text")]
+    rows = rows.select(*keep, *fields, "_b.panel.*")
+    title = strip_spaces(F.concat(F.lit(K.RAC_TITLE), F.col("number")))
+    named = F.filter("links", lambda x: F.lower(x.label).contains("advertisement"))
+    return rows.withColumns({"title": F.when(F.col("summary") == "", title).otherwise(F.concat(title, F.lit(" - "), "summary")),
+                             "primary_url": F.coalesce(F.get(named, F.lit(0)).href, F.col("url"))})
+
+
+def first_links(links: Column | str) -> Column:
+    """The first link of every address, in their order."""
+    links = F.col(links) if isinstance(links, str) else links
+    hrefs = F.transform(links, lambda x: x.href)
+    return H.let(hrefs, lambda all_of: F.filter(links, lambda x, i: F.array_position(all_of, x.href) == i + 1))
 
 
 # ------------------------------------------------------------------ homepage sections
@@ -327,10 +354,3 @@ def html_deep_clean(pages: DataFrame, site: Column | None = None, house: str = K
         tag, F.size(F.filter(gone, lambda g: g == tag)).cast("bigint"))))
     return df.withColumns({"clean_html": H.to_html(F.col("_deep")), "clean_text": H.text_of(F.col("_deep")),
                            "dropped_tags": counts}).drop("_deep", "_dropped", TOKENS)
-
-
-def official_links(rows: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
-    """Label/url pairs: blank ones dropped, the first per address kept."""
-    clean = rows.withColumns({"label": normalize_spaces("label"), "href": url_normalize("href")})
-    clean = clean.where("label <> '' and href <> ''")
-    return first_per_key(clean, [*by, "href"], order)

@@ -98,10 +98,14 @@ def strip_size_note(spark, sf):
 
 
 @query("clean_card_title", f"""
-SELECT seq, {Q.spaces('title')} || ' offer Moreover' AS title FROM v_listings""")
+SELECT seq, CASE seq % 3 WHEN 0 THEN 'newspaper ' || {Q.spaces('title')} || ' offer Moreover'
+  WHEN 1 THEN 'spaper ' || {Q.spaces('title')} || ' More offer Less Moreover'
+  ELSE 'newspaper ' || {Q.spaces('title')} || ' More offer Less Moreover' END AS title FROM v_listings""")
 def clean_card_title(spark, sf):
-    raw = F.concat(F.lit("new "), "title", F.lit("  More offer Less  Moreover "))
-    return view(spark, sf, "v_listings").select("seq", T.clean_card_title(raw).alias("title"))
+    """The same raw title by the rule of each site: one drops the expander words, one the badge, the others nothing."""
+    raw = F.concat(F.lit("newspaper "), "title", F.lit("  More offer Less  Moreover "))
+    site = F.element_at(F.array(F.lit("freshersworld"), F.lit("indeed"), F.lit("naukri")), (F.col("seq") % 3 + 1).cast("int"))
+    return view(spark, sf, "v_listings").select("seq", T.clean_card_title(raw, site).alias("title"))
 
 
 @query("split_company_role", """

@@ -143,8 +143,8 @@ def _plain_cards(cards: DataFrame, site: str) -> DataFrame:
     title, company = has("title"), has("company")
     if site == "ibps":
         title, company = T.first_present("role", "card_text"), F.col("org")
-    if site in ("freshersworld", "indeed"):
-        title = T.clean_card_title(title)
+    if site in T.CARD_TITLES:
+        title = T.CARD_TITLES[site](title)
     if site == "upsc_recruitment":
         title = T.strip_size_note(title)
     extra = {"internshala": F.concat_ws("|", "experience", "posted_at", F.array_join("skills", ",")) if site == "internshala" else None,
@@ -194,10 +194,12 @@ def extract_cards(spark, sf):
     return out
 
 
-_RAC = f"""'<div data-bs-target="#offcanvas' || {_K} || '"><span class="advtHeading"> ' || {_K} || ' </span><p>Selection of Scientist B ' || {_K} || '</p>
-  Last updated: 01-02-2026 Closing date: 28 Feb ' || cast(2024 + k % 4 AS string) || '</div><div data-bs-target="#offcanvasmissing"><span class="advtHeading">0</span></div>
-  <div id="offcanvas' || {_K} || '"><a href="/home">Home</a><a href="/adv/' || {_K} || '.pdf#p2">Advertisement  PDF</a><a href="/adv/x.pdf">Advertisement again</a>
-  <a href="/home#top">Home page</a><a href="/blank"> </a></div>'"""
+# Every third page has no summary; every fourth block points at a panel that is not there.
+_RAC = f"""'<div data-bs-target="#offcanvas' || {_K} || '"><span class="advtHeading"> ' || {_K} || ' </span>' ||
+  CASE WHEN k % 3 = 0 THEN '' ELSE '<p>Selection of Scientist B ' || {_K} || '</p>' END ||
+  'Last updated: 01-02-2026 Closing date: 28 Feb ' || cast(2024 + k % 4 AS string) || '</div><div data-bs-target="#offcanvasmissing"><span class="advtHeading">0</span></div>
+  <div id="offcanvas' || {_K} || '"><a href="/home">Home</a>' || CASE WHEN k % 5 = 0 THEN '' ELSE '<a href="/adv/' || {_K} || '.pdf#p2">Advertisement  PDF</a>' END ||
+  '<a href="/adv/x.pdf">Corrigendum</a><a href="/home#top">Home page</a><a href="/blank"> </a><a href="#"></a></div>'"""
 
 
 def _rac_pages(spark, sf) -> DataFrame:
@@ -206,27 +208,23 @@ def _rac_pages(spark, sf) -> DataFrame:
 
 
 @query("join_panel", """
-SELECT seq AS page_id, 'offcanvas' || k AS target, 'Advertisement No. ' || k || ' - Selection of Scientist B ' || k AS title, '01-02-2026' AS updated,
-  '28 Feb ' || (2024 + k % 4) AS closing, 'https://rac.example.gov.in/adv/' || k || '.pdf' AS primary_url FROM v_listings WHERE 2024 + k % 4 >= 2026""")
+SELECT seq AS page_id, 'offcanvas' || k AS target, 'DRDO RAC Advertisement No. ' || k || CASE WHEN k % 3 = 0 THEN '' ELSE ' - Selection of Scientist B ' || k END AS title,
+  '01-02-2026' AS updated, '28 Feb ' || (2024 + k % 4) AS closing,
+  'https://rac.example.gov.in/' || CASE WHEN k % 5 = 0 THEN '' ELSE 'adv/' || k || '.pdf' END AS primary_url FROM v_listings WHERE 2024 + k % 4 >= 2026""")
 def join_panel(spark, sf):
-    pages = _rac_pages(spark, sf)
-    blocks = PG.extract_cards(pages, PG.ADAPTERS["rac"]).withColumn("target", F.regexp_replace("target", "^#+", ""))
-    blocks = blocks.withColumn("dates", X.extract_notice_dates("card_text"))
-    title = F.concat(F.lit("Advertisement No. "), "number", F.lit(" - "), "summary")
-    blocks = blocks.where(P.is_current_notice(F.concat_ws(" ", title, "dates.closing"), 2026))
-    joined = J.join_panel(blocks.drop("url"), PG.rac_panels(pages))
-    named = F.filter("links", lambda link: F.lower(link.label).contains("advertisement"))
-    return joined.select("page_id", "target", title.alias("title"), "dates.updated", "dates.closing", U.url_absolute(
-        F.coalesce(F.get(named, F.lit(0)).href, F.lit("")), "url").alias("primary_url"))
+    notices = PG.rac_notices(_rac_pages(spark, sf)).withColumn("dates", X.extract_notice_dates("card_text"))
+    notices = notices.where(P.is_current_notice(F.concat_ws(" ", "title", "summary", "dates.closing"), 2026))
+    return notices.select("page_id", "target", "title", "dates.updated", "dates.closing", "primary_url")
 
 
 @query("official_links", """
 SELECT seq AS page_id, pos, label, 'https://rac.example.gov.in/' || href AS href FROM v_listings,
-  LATERAL (VALUES (0, 'Home', 'home'), (1, 'Advertisement PDF', 'adv/' || k || '.pdf'), (2, 'Advertisement again', 'adv/x.pdf')) t(pos, label, href)""")
+  LATERAL (VALUES (0, 'Home', 'home'), (1, 'Advertisement PDF', 'adv/' || k || '.pdf'), (2, 'Corrigendum', 'adv/x.pdf'), (4, 'Official link', 'blank'), (5, 'Official link', '')) t(p, label, href),
+  LATERAL (SELECT CASE WHEN k % 5 = 0 AND p > 1 THEN p - 1 ELSE p END AS pos) q WHERE NOT (k % 5 = 0 AND p = 1)""")
 def official_links(spark, sf):
-    panels = PG.rac_panels(_rac_pages(spark, sf)).select("page_id", "url", F.posexplode("links").alias("pos", "_l"))
-    pairs = panels.select("page_id", "pos", "_l.label", U.url_absolute("_l.href", "url").alias("href"))
-    return PG.official_links(pairs, ["page_id"]).select("page_id", "pos", "label", "href")
+    """The links of each page's panel, the first per address; a link without a label gets the usual one."""
+    links = PG.rac_notices(_rac_pages(spark, sf)).select("page_id", F.explode(PG.first_links("links")).alias("_l"))
+    return links.select("page_id", F.col("_l.pos").alias("pos"), "_l.label", "_l.href")
 
 
 _HOME = {

@@ -36,8 +36,7 @@ def page_config_rows() -> list[tuple[int, str, str, str, str, int]]:
     """(run order, site, url, category, state or '', page limit)."""
     pages = [(site, url, category, "", K.PAGE_LIMIT) for site, entries in K.SITE_PAGES.items()
              for url, category in entries]
-    states = [("FJA", K.STATE_PAGE_URL.format(slug=slug), "latest_jobs", state, K.STATE_PAGE_LIMIT)
-              for state, slug in K.STATE_PAGE_SLUGS.items()]
+    states = [("FJA", url, "latest_jobs", state, K.STATE_PAGE_LIMIT) for state, url in K.STATE_PAGES.items()]
     return [(i, *row) for i, row in enumerate(pages + states)]
 
 
