@@ -323,7 +323,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_removed.append(removed)
                 n_spans.append(runs)
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest if text.is_valid else None)
             yield pa.RecordBatch.from_arrays([part.column("carry"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())],
                                              ["carry", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     id count as documents one after another, ordered by their texts' hashes; an empty table gives no rows.
     """
     cut = cut_documents(docs, length, gram, id_col, text_col, [], sample, hot_contexts)
-    return cut.select(F.col("carry.c0").alias("doc_id"), (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
+    return cut.select(F.col("carry.c0").alias("doc_id"), (F.coalesce(F.octet_length("kept"), F.lit(0)) + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def cut_documents(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, others: list[str], sample: int = SAMPLE, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -354,7 +354,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = cut_documents(docs, length, gram, "doc_id", "text", others)
     text = F.pandas_udf(_decoded, "string")(F.col("kept"))
-    left = cut.where((F.octet_length("kept") > 0) | (F.col("n_removed") == 0)).withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text))
+    left = cut.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text))
     at = {"doc_id": F.col("carry.c0"), "text": F.col("text")} | {c: F.col(f"carry.c{i + 1}") for i, c in enumerate(others)}
     if "n_chars" in at:
         at["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
@@ -362,7 +362,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda raw: bytes(raw).decode(errors="ignore"))
+    return kept.map(lambda raw: None if raw is None else bytes(raw).decode(errors="ignore"))
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

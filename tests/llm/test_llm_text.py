@@ -100,7 +100,7 @@ def test_repeats_stream_over_many_shards(spark, monkeypatch):
 
 
 def test_repeats_of_repeated_and_missing_ids(spark):
-    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(300))
+    text = "".join(random.Random(1).choices("abcdefgh ", k=300))
     got = repeats.remove_repeats(spark.createDataFrame([(1, text), (1, text), (None, text), (2, "short")], SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (1, 300), (1, 300), (2, 0)]
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
