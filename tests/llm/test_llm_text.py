@@ -221,10 +221,10 @@ def test_kneser_ney_is_a_distribution_and_matches_the_formula():
 
 def test_bands_reject_noise_and_keep_prose(spark, sf_dir):
     rnd = random.Random(2)
-    noise = [(10**6 + i, " ".join("".join(rnd.choice("bcdfgjkqvwxz0123456789#;") for _ in range(rnd.randint(2, 9))) for _ in range(200)), "en", "s", 0) for i in range(3)]
+    noise = [(10**6 + i, " ".join("".join(rnd.choice("bcdfgjkqvwxz0123456789#;") for _ in range(rnd.randint(2, 9))) for _ in range(200)), "en", "s", 0) for i in range(1)]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     both = docs.union(spark.createDataFrame(noise, docs.schema))
     got = {r.doc_id: r for r in quality.judge(both).collect()}
     assert all(not got[i].base_failed and not got[i].kept for i, *_ in noise)
-    assert sum(r.kept for r in got.values()) >= 0.97 * sum(not r.base_failed for r in got.values()) - 3
+    assert sum(r.kept for r in got.values()) >= 0.99 * sum(not r.base_failed for r in got.values()) - 1
     assert {r.doc_id for r in quality.accepted(both).collect()} == {i for i, r in got.items() if r.kept}
