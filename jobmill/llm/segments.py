@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from jobmill.llm.common import GOLDEN, mix, picked, prefix_sums, slices, span_hash, utf8
 
 SAMPLES, SEED = 2, 7
-DEPTH = 25.0
+SLICE_BYTES = 1 << 22
+DEPTH = 16.0
+SCALE, LONG_WORD = 1.5, 64
+PREFIXES = (2, 3, 4, 6, 8, 11)  # bytes after which places where no longer piece can begin are left out
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids of byte 0 and of the first ordinary piece
 BLANK = "▁"
 _LEAD = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x08 + [1] * 0x08)
@@ -61,6 +64,11 @@ class Vocabulary:
             hashes = span_hash(prefix_sums(data), starts, starts + length)
             order = np.argsort(hashes)
             self.tables.append((length, hashes[order], np.array([i for i, _ in pairs])[order]))
+        self.prefixes = {}  # hashes of the first bytes that longer pieces begin with
+        for length in PREFIXES:
+            heads = sorted({p[:length] for n, pairs in by_length.items() if n > length for _, p in pairs})
+            starts = np.arange(len(heads)) * length
+            self.prefixes[length] = np.sort(span_hash(prefix_sums(np.frombuffer(b"".join(heads), np.uint8)), starts, starts + length))
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -81,12 +89,16 @@ class Lattices:
         sums, at = prefix_sums(flat), np.flatnonzero(_LEAD[flat])
         own = np.zeros(len(flat), bool)  # characters that are a piece
         src, length, piece = [], [], []
+        known = lambda sorted_hashes, wanted: sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)] == wanted
+        checks = [p for p in PREFIXES if len(words.prefixes[p])]
         for n, hashes, ids in words.tables:
-            here = at[at + n <= stop[at]]
-            found = span_hash(sums, here, here + n)
+            at = at[at + n <= stop[at]]
+            while checks and checks[0] < n:
+                at = at[known(words.prefixes[checks[0]], span_hash(sums, at, at + checks.pop(0)))]
+            found = span_hash(sums, at, at + n)
             slot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
             hit = hashes[slot] == found
-            here = here[hit]
+            here = at[hit]
             own[here[_LEAD[flat[here]] == n]] = True
             src.append(here)
             length.append(np.full(len(here), n))
@@ -99,78 +111,119 @@ class Lattices:
         left = stop[src] - src
         src = src + word[src]
         weight = words.weight[piece]
-        order = np.lexsort((src, left))
+        order = np.argsort(left.astype(np.int16), kind="stable") if left.max(initial=0) < 1 << 15 else np.argsort(left, kind="stable")
         s, d, w, left = src[order], (src + length)[order], weight[order], left[order]
         behind = np.full(len(flat) + len(sizes), -np.inf)
         behind[self.final] = 0
-        for lo, hi in zip(*(lambda b: (b[:-1].tolist(), b[1:].tolist()))(np.append(np.flatnonzero(np.diff(left, prepend=-1)), len(left))), strict=True):
-            value = w[lo:hi] + behind[d[lo:hi]]
-            new = np.flatnonzero(np.diff(s[lo:hi], prepend=-1))
-            most = np.maximum.reduceat(value, new)
-            safe = np.where(np.isfinite(most), most, 0.0)
-            total = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(new, hi - lo)))), new)
-            with np.errstate(divide="ignore"):
-                behind[s[lo:hi][new]] = safe + np.log(total)
-        order = np.lexsort((piece, src))
-        src, dst, piece, weight = src[order], (src + length)[order], piece[order], weight[order]
-        share = weight + behind[dst] - np.where(np.isfinite(behind[src]), behind[src], 0.0)
-        live = np.isfinite(share) & np.isfinite(behind[src])
-        self.dst, self.piece, self.logp, src = dst[live], piece[live], share[live], src[live]
+        # Shares are summed as plain numbers, kept in range by a factor per byte; words too long for that by logarithms.
+        factor = np.exp(w + SCALE * (d - s))
+        sums_behind = np.zeros(len(behind))
+        sums_behind[self.final] = 1.0
+        bounds = np.append(np.flatnonzero(np.diff(left, prepend=-1)), len(left)).tolist()
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if left[lo] <= LONG_WORD:
+                np.add.at(sums_behind, s[lo:hi], factor[lo:hi] * sums_behind[d[lo:hi]])
+            else:
+                if left[lo - 1] <= LONG_WORD:
+                    _to_logs(behind, sums_behind, self.final, first, sizes, word)
+                part = slice(lo, hi)
+                np.logaddexp.at(behind, s[part], w[part] + behind[d[part]])
+        if not len(left) or left[-1] <= LONG_WORD:
+            _to_logs(behind, sums_behind, self.final, first, sizes, word)
+        share = w_share(weight=words.weight[piece], behind=behind, src=src, dst=src + length)
+        live = np.flatnonzero(np.isfinite(share))
+        live = live[np.argsort(src[live] - np.exp(np.minimum(share[live], 0.0)) * 0.999, kind="stable")]  # a node's likeliest edge first
+        self.dst, self.piece, self.logp, src = (src + length)[live], piece[live], share[live], src[live]
         self.start = np.searchsorted(src, np.arange(len(behind) + 1))
-        p = np.exp(self.logp)
-        total = np.cumsum(p)
-        base = np.concatenate([[0.0], total])[self.start[src]]
-        self.cdf = src + np.minimum(total - base, 1.0)
-        last = self.start[1:][self.start[1:] > self.start[:-1]] - 1
-        self.cdf[last] = src[last] + 1.0
+        total = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
+        self.reach = total[1:] - total[self.start[src]]  # share of a node's edges up to this one
+        self.reach[self.start[1:][self.start[1:] > self.start[:-1]] - 1] = 2.0
         self.known: dict[int, tuple] = {}
 
-    def edges(self, node: int) -> tuple:
-        """(first edge, targets, log-shares) of a node."""
-        if node not in self.known:
-            a, b = self.start[node], self.start[node + 1]
-            self.known[node] = (int(a), self.dst[a:b].tolist(), self.logp[a:b].tolist())
-        return self.known[node]
+    def word(self, number: int) -> tuple:
+        """A word's first and last node, and for its nodes: first edges, targets, log-shares, shares."""
+        if number not in self.known:
+            a, b = int(self.begin[number]), int(self.final[number])
+            starts = self.start[a:b + 1]
+            edges = slice(starts[0], starts[-1])
+            self.known[number] = (a, b, int(starts[0]), starts.tolist(), self.dst[edges].tolist(), self.logp[edges].tolist(), np.exp(self.logp[edges]).tolist())
+        return self.known[number]
+
+
+def _to_logs(behind: np.ndarray, sums: np.ndarray, final: np.ndarray, first: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> None:
+    """Logarithms of the scaled sums of all nodes."""
+    left = np.zeros(len(behind))
+    left[np.arange(len(word)) + word] = (first + sizes)[word] - np.arange(len(word))
+    with np.errstate(divide="ignore"):
+        np.subtract(np.log(sums), SCALE * left, out=behind)
+
+
+def w_share(weight: np.ndarray, behind: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Log-share of each edge among the paths from its source; -inf where it leads nowhere."""
+    ahead = behind[dst]
+    return np.where(np.isfinite(ahead), weight + np.where(np.isfinite(ahead), ahead, 0.0) - np.where(np.isfinite(behind[src]), behind[src], 0.0), -np.inf)
 
 
 def best_prefixes(lattices: Lattices, words: list[int], k: int, seed: int, depth: float = DEPTH) -> tuple[list[tuple], float]:
-    """The k best (perturbed value, log-probability, words passed, edges), and the threshold below them."""
-    draw, log, exp, log1p = random.Random(seed).random, math.log, math.exp, math.log1p
-    begin, final, count = lattices.begin, lattices.final, len(words)
+    """The k best (perturbed value, log-probability, words passed, edges), and the threshold below them.
+
+    An entry of the queue is a set of paths: a prefix without some of its next edges.  Its value is that of its best
+    path, whose edge falls by the shares; the other edges together are a new entry with a value drawn under this one.
+    Entries are disjoint, so one that is below k + 1 others can be left out.
+    """
+    draw, log, exp, count = random.Random(seed).random, math.log, math.exp, len(words)
     root = -log(-log(draw() or 5e-324) or 5e-324)
-    serial, done = 0, []
-    queue = [(-root, 0, 0.0, 0, int(begin[words[0]]) if count else 0, None)]
+    serial, done, best = 0, [], [root]
+    queue = [(-root, 0, 0.0, 0, None, (), None)]
     while queue:
-        value, _, logp, word, node, path = heapq.heappop(queue)
+        value, _, logp, word, node, out, path = heapq.heappop(queue)
+        value = -value
         if len(done) == k:
-            return done, -value
-        while not (word == count or logp < -depth and node == begin[words[word]]):
-            first, targets, shares = lattices.edges(node)
-            if len(targets) == 1:
-                best = 0
+            return done, value
+        if word < count:
+            begin, end, base, starts, targets, logs, shares = lattices.word(words[word])
+            node = begin if node is None else node
+        while word < count:
+            first, last = starts[node - begin] - base, starts[node - begin + 1] - base - 1
+            if out:  # some edges are other entries' already
+                left = [e for e in range(first, last + 1) if e not in out]
+                u = draw() * sum([shares[e] for e in left])
+                for pick in left:
+                    u -= shares[pick]
+                    if u < 0:
+                        break
+                rest = sum([shares[e] for e in left if e != pick])
+            elif first == last:
+                pick, rest = first, 0.0
             else:
-                drawn = [logp + s - log(-log(draw() or 5e-324) or 5e-324) for s in shares]
-                top = max(drawn)
-                best = drawn.index(top)
-                for i, g in enumerate(drawn):
-                    if i == best:
-                        continue
-                    v = -value - g + (log1p(-exp(g - top)) if g < top else -math.inf)
-                    under = -value - max(0.0, v) - log1p(exp(-abs(v)))
+                u, pick = draw(), first
+                while u >= shares[pick] and pick < last:
+                    u -= shares[pick]
+                    pick += 1
+                rest = 1.0 - shares[pick]
+            if rest > 1e-15:
+                mass = logp + log(rest)
+                under = mass - log(exp(mass - value) - log(draw() or 5e-324))
+                if len(best) <= k or under > best[0]:
                     serial += 1
-                    to, at = targets[i], word
-                    if to == final[words[word]]:
-                        at, to = word + 1, int(begin[words[word + 1]]) if word + 1 < count else 0
-                    heapq.heappush(queue, (-under, serial, logp + shares[i], at, to, (path, first + i)))
-            logp, node, path = logp + shares[best], targets[best], (path, first + best)
-            if node == final[words[word]]:
+                    heapq.heappush(queue, (-under, serial, logp, word, node, (*out, pick), path))
+                    heapq.heappush(best, under)
+                    if len(best) > k + 1:
+                        heapq.heappop(best)
+            out = ()
+            logp, node, path = logp + logs[pick], targets[pick], (path, base + pick)
+            if node == end:
                 word += 1
-                node = int(begin[words[word]]) if word < count else 0
+                if word < count:
+                    if logp < -depth:
+                        break
+                    begin, end, base, starts, targets, logs, shares = lattices.word(words[word])
+                    node = begin
         edges = []
         while path is not None:
             path, edge = path
             edges.append(edge)
-        done.append((-value, logp, word, edges[::-1]))
+        done.append((value, logp, word, edges[::-1]))
     return done, -math.inf
 
 
@@ -197,7 +250,7 @@ def segment(column: pa.Array, keys: np.ndarray, words: Vocabulary, k: int, seed:
     heads, passed = [], []
     for i in range(n):
         own = index[before[i]:before[i + 1]]
-        found, threshold = best_prefixes(lattices, own.tolist() if len(own) < 4096 else own, k, int(seeds[i]), depth)
+        found, threshold = best_prefixes(lattices, own.tolist(), k, int(seeds[i]), depth)
         for rank, (value, logp, word, edges) in enumerate(found):
             out["text"].append(i)
             out["rank"].append(rank + 1)
@@ -216,7 +269,11 @@ def segment(column: pa.Array, keys: np.ndarray, words: Vocabulary, k: int, seed:
     picks, who, live = [], [], np.arange(len(sample))
     while len(live):
         u = (mix(draws[live] ^ np.uint64(len(picks) << 40)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        edge = np.minimum(np.searchsorted(lattices.cdf, node[live] + u, side="right"), lattices.start[node[live] + 1] - 1)
+        edge = lattices.start[node[live]]
+        on = np.flatnonzero(u >= lattices.reach[edge])
+        while len(on):
+            edge[on] += 1
+            on = on[u[on] >= lattices.reach[edge[on]]]
         picks.append(edge)
         who.append(live)
         node[live] = lattices.dst[edge]
@@ -247,7 +304,7 @@ def _encode(path: str, k: int, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 keys = part.column("doc_id").fill_null(-1).to_numpy()
                 got = segment(part.column("text"), keys, words, k, seed)
                 bounds, ids = got["bounds"], np.ascontiguousarray(got["ids"].astype("<u4"))
