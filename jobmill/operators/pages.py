@@ -135,14 +135,36 @@ ADAPTERS = {a.site: a for a in (
 )}
 
 
-def extract_cards(pages: DataFrame, adapter: Adapter) -> DataFrame:
-    """One row per card with the adapter's fields; cards carry only their own slice of the page."""
+def by_site(site: Column, cases: dict[str, Column], otherwise: Column | None = None) -> Column:
+    """The expression of the row's site; only that one is evaluated for a row."""
+    names = list(cases)
+    out = F.when(site == names[0], cases[names[0]])
+    for name in names[1:]:
+        out = out.when(site == name, cases[name])
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
+def extract_cards(pages: DataFrame, adapters: Adapter | list[Adapter]) -> DataFrame:
+    """One row per card with the adapter's fields; cards carry only their own slice of the page.
+
+    For pages of several sites ``pages`` has a ``site`` column: they are read and tokenized once, the card test and each field
+    follow the site, lists are joined by commas, and a field that a site lacks is empty.
+    """
     df = tokenized(pages)
     tokens = F.col(TOKENS)
-    slices = F.transform(H.select(tokens, adapter.card), lambda c: H.subtree(tokens, c))
+    slices_of = lambda a: F.transform(H.select(tokens, a.card), lambda c: H.subtree(tokens, c))
+    if isinstance(adapters, Adapter):
+        slices = slices_of(adapters)
+        fields = {name: spec.read(F.col("_card")) for name, spec in adapters.fields.items()}
+    else:
+        slices = by_site(F.col("site"), {a.site: slices_of(a) for a in adapters})
+        fields = {}
+        for name in dict.fromkeys(n for a in adapters for n in a.fields):
+            own = {a.site: a.fields[name] for a in adapters if name in a.fields}
+            reads = {site: F.array_join(f.read(F.col("_card")), ",") if f.every else f.read(F.col("_card")) for site, f in own.items()}
+            fields[name] = by_site(F.col("site"), reads, F.lit(""))
     cards = df.select(*_others(df), F.posexplode(slices).alias("pos", "_card"))
-    fields = [spec.read(F.col("_card")).alias(name) for name, spec in adapter.fields.items()]
-    return cards.select(*_others(df), F.col("pos").cast("bigint").alias("pos"), *fields)
+    return cards.select(*_others(df), F.col("pos").cast("bigint").alias("pos"), *[c.alias(name) for name, c in fields.items()])
 
 
 def detail_dates(pages: DataFrame) -> DataFrame:
@@ -215,13 +237,8 @@ def _list_after(tokens: Column, heading: Column) -> Column:
     return F.coalesce(F.get(sibling, F.lit(0)), F.get(lists, F.lit(0)))
 
 
-def extract_sections(pages: DataFrame, site: str, home: str, limit: int = K.HOME_LIMIT) -> DataFrame:
-    """Homepage blocks of a site: category by heading, the first anchors of each block.
-
-    The anchors are counted before any filter.
-    """
-    df = tokenized(pages)
-    tokens = F.col(TOKENS)
+def _sections(tokens: Column, site: str, limit: int) -> Column:
+    """Blocks of one site's homepage: heading and the first anchors."""
     if site == "SR":
         blocks = H.select(tokens, Select(tags=("div",), id="post"))
         heading = lambda b: strip_spaces(F.get(F.split(strip_spaces(
@@ -246,16 +263,28 @@ def extract_sections(pages: DataFrame, site: str, home: str, limit: int = K.HOME
                 text_or_empty(a.attrs["href"]).alias("href")))
         return H.let(H.subtree(tokens, node), rows)
 
-    sections = F.transform(blocks, lambda b: F.struct(heading(b).alias("heading"), anchors(area(b)).alias("links")))
+    return F.transform(blocks, lambda b: F.struct(heading(b).alias("heading"), anchors(area(b)).alias("links")))
+
+
+def extract_sections(pages: DataFrame, homes: dict[str, str], limit: int = K.HOME_LIMIT) -> DataFrame:
+    """Homepage blocks: category by heading, the first anchors of each block.
+
+    ``pages`` has a ``site`` column, ``homes`` the address of each site; pages of all sites are read and tokenized once.
+    The anchors are counted before any filter.
+    """
+    df = tokenized(pages)
+    site = F.col("site")
+    sections = by_site(site, {s: _sections(F.col(TOKENS), s, limit) for s in homes})
     keep = _others(df)
     flat = df.select(*keep, F.posexplode(sections).alias("section_pos", "_s"))
-    flat = flat.withColumn("category", heading_category(site, F.col("_s.heading"))).where("category is not null")
+    category = by_site(site, {s: heading_category(s, F.col("_s.heading")) for s in homes})
+    flat = flat.withColumn("category", category).where("category is not null")
     flat = flat.select(*keep, "section_pos", F.col("_s.heading").alias("heading"), "category",
                        F.posexplode("_s.links").alias("link_pos", "_l"))
     return flat.select(
         *keep, F.col("section_pos").cast("bigint").alias("section_pos"), "heading", "category",
         F.col("link_pos").cast("bigint").alias("link_pos"), "_l.title", "_l.href",
-        join_site_path("_l.href", home).alias("full_url"))
+        by_site(site, {s: join_site_path("_l.href", home) for s, home in homes.items()}).alias("full_url"))
 
 
 # ------------------------------------------------------------------ article bodies

@@ -129,32 +129,30 @@ CARD_PAGES = [
 ]
 
 
+def _by_number(texts: list[str], number: str) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(texts)) + " END"
+
+
 def _card_pages(spark, sf) -> DataFrame:
+    """One page per listing, each site's markup in turn."""
     rows = view(spark, sf, "v_listings", heavy=True).select("seq", "k")
-    return rows.withColumn("site_no", F.col("seq") % len(CARD_PAGES)).withColumn(
-        "url", F.lit("https://cards.example.com/list/"))
+    site = F.element_at(F.array(*[F.lit(s) for s, _ in CARD_PAGES]), (F.col("seq") % len(CARD_PAGES) + 1).cast("int"))
+    html = F.expr(_by_number([text for _, text in CARD_PAGES], f"seq % {len(CARD_PAGES)}"))
+    return rows.select("seq", site.alias("site"), F.lit("https://cards.example.com/list/").alias("url"), html.alias("html"))
 
 
-def _plain_cards(cards: DataFrame, site: str) -> DataFrame:
+def _plain_cards(cards: DataFrame) -> DataFrame:
     """The adapters' fields on common columns, cleaned as each site needs."""
-    def has(name, otherwise=""):
-        return F.col(name) if name in cards.columns else F.lit(otherwise)
-
-    title, company = has("title"), has("company")
-    if site == "ibps":
-        title, company = T.first_present("role", "card_text"), F.col("org")
-    if site in T.CARD_TITLES:
-        title = T.CARD_TITLES[site](title)
-    if site == "upsc_recruitment":
-        title = T.strip_size_note(title)
-    extra = {"internshala": F.concat_ws("|", "experience", "posted_at", F.array_join("skills", ",")) if site == "internshala" else None,
-             "freshersworld": F.concat_ws("|", "experience", F.array_join(T.split_qualification(has("qualification")), ","),
-                                          X.extract_notice_dates(has("card_text"))["posted"]) if site == "freshersworld" else None,
-             "ibps": F.concat_ws("|", has("start_date"), has("end_date")),
-             "flexjobs": has("summary")}.get(site)
-    return cards.select(
-        F.lit(site).alias("site"), "seq", "pos", title.alias("title"), company.alias("company"), has("job_location").alias("job_location"),
-        has("salary").alias("salary"), U.url_absolute("href", "url").alias("url"), (F.lit("") if extra is None else extra).alias("extra"))
+    site = F.col("site")
+    title = PG.by_site(site, {"ibps": T.first_present("role", "card_text"), "upsc_recruitment": T.strip_size_note("title")}
+                       | {name: rule("title") for name, rule in T.CARD_TITLES.items()}, F.col("title"))
+    company = PG.by_site(site, {"ibps": F.col("org")}, F.col("company"))
+    extra = PG.by_site(site, {
+        "internshala": F.concat_ws("|", "experience", "posted_at", "skills"),
+        "freshersworld": F.concat_ws("|", "experience", F.array_join(T.split_qualification("qualification"), ","), X.extract_notice_dates("card_text")["posted"]),
+        "ibps": F.concat_ws("|", "start_date", "end_date"), "flexjobs": F.concat(F.col("summary"))}, F.lit(""))
+    return cards.select("site", "seq", "pos", title.alias("title"), company.alias("company"), "job_location", "salary",
+                        U.url_absolute("href", "url").alias("url"), extra.alias("extra"))
 
 
 _CARD_SQL = {
@@ -183,15 +181,7 @@ def _card_oracle() -> str:
 
 @query("extract_cards", _card_oracle())
 def extract_cards(spark, sf):
-    pages = _card_pages(spark, sf)
-    frames = []
-    for i, (site, html) in enumerate(CARD_PAGES):
-        mine = pages.where(F.col("site_no") == i).withColumn("html", F.expr(html)).drop("k", "site_no")
-        frames.append(_plain_cards(PG.extract_cards(mine, PG.ADAPTERS[site]), site))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return _plain_cards(PG.extract_cards(_card_pages(spark, sf), [PG.ADAPTERS[site] for site, _ in CARD_PAGES]))
 
 
 # Every third page has no summary; every fourth block points at a panel that is not there.
@@ -256,13 +246,11 @@ def _home_oracle() -> str:
 @query("extract_sections", _home_oracle())
 def extract_sections(spark, sf):
     rows = view(spark, sf, "v_listings", heavy=True).select("seq", "k")
-    out = None
-    for i, (site, html) in enumerate(_HOME.items()):
-        mine = rows.where(F.col("seq") % 3 == i).withColumn("html", F.expr(html.replace("\n<ul>", "' || chr(10) || '<ul>")))
-        part = PG.extract_sections(mine, site, "https://home.example.com/").select(
-            F.lit(site).alias("site"), "seq", "section_pos", "heading", "category", "link_pos", "title", "full_url")
-        out = part if out is None else out.unionByName(part)
-    return out
+    site = F.element_at(F.array(*[F.lit(s) for s in _HOME]), (F.col("seq") % 3 + 1).cast("int"))
+    html = F.expr(_by_number([h.replace("\n<ul>", "' || chr(10) || '<ul>") for h in _HOME.values()], "seq % 3"))
+    pages = rows.select("seq", site.alias("site"), html.alias("html"))
+    return PG.extract_sections(pages, dict.fromkeys(_HOME, "https://home.example.com/")).select(
+        "site", "seq", "section_pos", "heading", "category", "link_pos", "title", "full_url")
 
 
 # ------------------------------------------------------------------ raw feed and snapshot texts

@@ -89,7 +89,7 @@ def test_largest_block_keeps_the_first_of_equals(spark):
 
 def test_section_anchors_are_counted_before_filtering(spark):
     links = "".join(f"<a href='/{i}'>t{i}</a>" for i in range(15))
-    rows = PG.extract_sections(page(spark, f"<h2>Result</h2><ul>{links}</ul><h2>Contact</h2><ul><a href='/x'>x</a></ul>"), "SE", "https://h.example.com/").collect()
+    rows = PG.extract_sections(page(spark, f"<h2>Result</h2><ul>{links}</ul><h2>Contact</h2><ul><a href='/x'>x</a></ul>").withColumn("site", F.lit("SE")), {"SE": "https://h.example.com/"}).collect()
     assert [r.link_pos for r in sorted(rows, key=lambda r: r.link_pos)] == list(range(10))
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from jobmill.operators import joins as J
 from jobmill.plans.catalog import QUERIES
 
 WRITERS = {"sink_snapshot", "latest_snapshot", "build_snapshot", "stream_dedupe", "stream_counts", "stream_daily_counts", "stream_snapshot"}
@@ -41,3 +42,20 @@ def test_caps_limit_rows_before_the_shuffle(spark, sf_dir, name):
 def test_row_wise_work_does_not_shuffle(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert "Exchange hashpartitioning" not in plan and plan.count("Exchange") <= 1  # the spread of a small table
+
+
+@pytest.mark.parametrize("name", ["extract_cards", "extract_sections", "join_panel"])
+def test_pages_are_read_and_tokenized_once(spark, sf_dir, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_lookup_is_dealt_out_by_salt(spark):
+    requests = spark.range(300).selectExpr("id AS request_id", "IF(id % 2 = 0, 'hot', concat('x', id)) AS id", "CAST(NULL AS string) AS requested")
+    listings = spark.createDataFrame([("hot", "results", "t", 1), ("hot", "admit_cards", "u", 0), ("x7", "latest_jobs", "v", 2)], "id string, category string, title string, seq bigint")
+    found = J.lookup_posts(requests, listings)
+    assert "_salt" in plan_of(found) and {(r.id, r.title) for r in found.collect()} == {("hot", "t"), ("x7", "v")} and found.count() == 151
+
+
+def test_wide_rows_are_not_sorted_by_key(spark, sf_dir):
+    assert "SortAggregate" not in plan_of(QUERIES["dedupe_category"](spark, sf_dir))
