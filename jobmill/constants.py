@@ -30,6 +30,8 @@ SKILL_SLICE = 10
 
 # --- fixed values: source groups in run order, and run sources ----------------
 SOURCE_GROUPS = ("SR", "FJA", "SE", "SU", "OFFICIAL", "PRIVATE", "REMOTE")
+# Groups whose listings are market listings.
+MARKET_GROUPS = ("PRIVATE", "REMOTE")
 
 RUN_SOURCES = (
     "sarkariresult", "freejobalert", "sarkariexam", "sarkariujala", "official_portals",

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1

@@ -30,7 +30,7 @@ from jobmill.session import checkpointed
 
 CAPACITY, END_ID = 1024, 2
 SPECIAL = "<|endoftext|>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _VISIBLE = np.array([0x21 <= b <= 0x7E or b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])  # certainly no white space begins so
 _encoders: dict[tuple, Encoder] = {}
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from jobmill.llm.common import GOLDEN, mix, picked, prefix_sums, slices, span_hash, utf8
 
 SAMPLES, SEED = 2, 7
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 3 << 20
 DEPTH = 16.0
 SCALE, LONG_WORD = 1.5, 64
 PREFIXES = (2, 3, 4, 6, 8, 11)  # bytes after which places where no longer piece can begin are left out

@@ -89,14 +89,23 @@ def build_market_listing(rows: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataF
 
 
 def market_body(df: DataFrame) -> Column:
-    """The text of a market listing, as its summary lines put it."""
+    """The text of a market listing, as its summary lines put it, with the text of its summary (``summary_text``) if it has one."""
     def line(label: str, name: str) -> Column:
         return F.when(present(name).isNotNull(), F.concat(F.lit(label + ": "), F.col(name)))
 
     skills = F.array_join(F.slice(F.col("skills"), 1, K.SKILL_SLICE), " ")
     return F.concat_ws(" ", line("Company", "company"), line("Location", "job_location"),
                        line("Compensation", "salary"), line("Experience", "experience"),
-                       line("Posted / updated", "posted_at"), present(skills))
+                       line("Posted / updated", "posted_at"), present(skills),
+                       *([present("summary_text")] if "summary_text" in df.columns else []))
+
+
+def with_market_columns(df: DataFrame) -> DataFrame:
+    """The fields of a market listing, empty where a source does not carry them."""
+    for name in ("company", "job_location", "salary", "experience", "posted_at"):
+        df = df.withColumn(name, text_or_empty(name) if name in df.columns else F.lit(""))
+    skills = F.coalesce(F.col("skills"), F.array().cast("array<string>")) if "skills" in df.columns else F.array().cast("array<string>")
+    return df.withColumn("skills", skills)
 
 
 def card_view(listings: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:

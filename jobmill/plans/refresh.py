@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions import html as H
-from jobmill.functions.text import normalize_spaces
 from jobmill.operators import admission as A
 from jobmill.operators import dedupe as D
 from jobmill.operators import joins as J
@@ -28,7 +27,8 @@ def article_texts(pages: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     df = df.withColumn("page_title", H.nth_text(F.col(PG.TOKENS), H.Select(tags=("h1",))))
     df = PG.with_main_content(df, F.col("site")).where("_main is not null")
     df = PG.deep_cleaned(df, "_main", F.col("site"), root=False, house=house)
-    return df.select("url_key", "page_title", normalize_spaces(H.text_of(F.col("_deep"))).alias("body_text"))
+    # As read: the searched text is cut to its length before blanks are collapsed.
+    return df.select("url_key", "page_title", H.text_of(F.col("_deep")).alias("body_text"))
 
 
 def admit(arrivals: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS, caps: dict[str, int] | None = None) -> DataFrame:
@@ -48,8 +48,11 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
                    caps: dict[str, int] | None = None, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     """Listings of one refresh.
 
-    ``arrivals`` has seq, source_group, source, category, original_url, title; ``pages`` has
-    url_key, site, html.  A row without a page is built from its title alone.
+    ``arrivals`` has seq, source_group, source, category, original_url, title, and may carry the fields of market listings
+    (company, job_location, salary, experience, posted_at, skills), facts of its source (``fact_last_date``,
+    ``fact_vacancies``, ``fact_exam_date``, ``fact_category``) and ``source_rank``; ``pages`` has
+    url_key, site, html.  A row without a page is built from its title alone.  Private and remote groups become market
+    listings, the others are read from their page; a fact that the source states wins where it is not empty.
     """
     rows = checkpointed(admit(arrivals, domains, caps))
     needed = pages.join(rows.select("url_key").distinct(), "url_key", "left_semi")
@@ -58,8 +61,13 @@ def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str
     texts = article_texts(needed.repartition(tasks, "url_key"), house).dropDuplicates(["url_key"])
     joined = J.join_content(rows, texts, carry=("page_title",))
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
-    built = L.build_listing(joined, house=house)
-    built = built.withColumn("info_category", L.classify_title("info_title")).drop("info_title")
+    market = F.coalesce(F.col("source_group").isin(*K.MARKET_GROUPS), F.lit(False))
+    stated = {name: F.col(f"fact_{name.removeprefix('info_')}") for name in L.INFO if f"fact_{name.removeprefix('info_')}" in joined.columns}
+    pages_built = L.build_listing(joined.where(~market), house=house)
+    pages_built = L.with_explicit_info(pages_built.withColumn("info_category", L.classify_title("info_title")), stated)
+    offers = L.with_market_columns(joined.where(market)).withColumn("summary_text", F.col("body_text"))
+    offers = L.with_explicit_info(L.build_market_listing(offers.withColumn("body_text", L.market_body(offers)), house), stated)
+    built = pages_built.unionByName(offers, allowMissingColumns=True).drop("info_title", "summary_text")
     return D.dedupe_category(D.in_source_order(built), ["source_rank", "seq"])
 
 

@@ -127,6 +127,7 @@ def stream_snapshot(spark, sf):
 
 
 _RANK = "CASE source_group " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(K.SOURCE_GROUPS)) + " END"
+_OFFER = "source_group IN ('PRIVATE', 'REMOTE')"
 _CRAWLED = ", ".join(f"'{s}'" for s in K.SITE_DOMAINS)
 _SCOPE = "lower(" + Q.spaces(Q.scrub("title") + " || ' ' || substring(body_text, 1, 2500)") + ")"
 FLAGSHIP_SQL = f"""WITH RECURSIVE l AS (SELECT *, {Q.norm_url('original_url')} AS url_key FROM v_listings
@@ -147,8 +148,10 @@ j AS (SELECT l.*, coalesce('Last Date: ' || a.day || ' ' || a.k * 13 || ' posts
 t AS (SELECT *, {_SCOPE} AS t FROM j), s AS (SELECT *, {Q.states('t')} AS f, {Q.applicants('body_text')} AS h FROM t),
 d AS (SELECT *, row_number() OVER (PARTITION BY category, url_key ORDER BY {_RANK}, seq) AS rn FROM s)
 SELECT {_RANK} AS source_rank, seq, source_group, category, md5(category || ':' || original_url) AS id, {Q.scrub(Q.spaces('title'))} AS title, url_key,
-  {Q.last_date('body_text')} AS last_date, {Q.vacancies('body_text')} AS vacancies, {Q.title_label('info_title')} AS info_category,
-  h.n AS applicant_count, {Q.state_label('t', 'f')} AS state_label, {Q.portal('t', 'f')} AS official_state_portal FROM d WHERE rn = 1"""
+  CASE WHEN {_OFFER} THEN 'Apply ASAP' ELSE {Q.last_date('body_text')} END AS last_date, CASE WHEN {_OFFER} THEN 'See listing' ELSE {Q.vacancies('body_text')} END AS vacancies,
+  CASE WHEN {_OFFER} AND category = 'remote_jobs' THEN 'Remote Job' WHEN {_OFFER} THEN 'Private Job' ELSE {Q.title_label('info_title')} END AS info_category,
+  h.n AS applicant_count, CASE WHEN {_OFFER} AND category = 'remote_jobs' THEN 'Remote' ELSE {Q.state_label('t', 'f')} END AS state_label,
+  CASE WHEN {_OFFER} AND category = 'remote_jobs' THEN '' ELSE {Q.portal('t', 'f')} END AS official_state_portal FROM d WHERE rn = 1"""
 
 
 @query("build_snapshot", FLAGSHIP_SQL)

@@ -124,7 +124,8 @@ def test_refresh_publishes_and_records(spark, tmp_path):
     assert R.refresh(spark, arrivals, pages, root) == 1
     rows = {r.source_group: r for r in SnapshotStore(spark, f"{root}/snapshot").read().collect()}
     assert (rows["SR"].last_date, rows["SR"].vacancies, rows["SR"].info_category, rows["SR"].state_label) == ("15/03/2026", "450", "UPSC", "Bihar")
-    assert (rows["REMOTE"].last_date, rows["REMOTE"].body_text) == ("See Notification", "")
+    remote = rows["REMOTE"]
+    assert (remote.last_date, remote.vacancies, remote.exam_date, remote.info_category, remote.state_label) == ("Apply ASAP", "See listing", "Recently posted", "Remote Job", "Remote")
     run = spark.read.parquet(f"{root}/runs").where("status <> 'running'").first()
     assert run.status == "success" and run.counts["results"] == 1 and run.counts["answer_keys"] == 0
     with pytest.raises(Exception):
