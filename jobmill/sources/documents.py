@@ -210,4 +210,24 @@ def read_rss_feed(spark: SparkSession, path: str) -> DataFrame:
     return _rss_rows(items.select(F.struct("*").alias("_i")), [])
 
 
-__all__ = [n for n in dir() if n.startswith(("parse_", "read_", "explode_"))]
+# ------------------------------------------------------------------ texts that are no documents
+
+_SHAPES = {"snapshot": "OBJECT", "manual": "OBJECT", "directory": "OBJECT", "jobs_feed": "OBJECT", "array_feed": "ARRAY"}
+
+
+def malformed(docs: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """The rows whose text is no document of its kind, with a ``reason``; the parsers yield nothing for them.
+
+    A null text is malformed too.  Nothing is counted away: rows here and rows that parse are all rows.
+    """
+    if kind == "rss":
+        schema = f"struct<channel:struct<item:array<{schemas.as_struct(schemas.RSS_ITEM)}>>,_broken:string>"
+        parsed = F.from_xml(F.col(body), schema, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+        reason = F.when(F.col(body).isNull() | parsed.isNull() | parsed["_broken"].isNotNull(), "not xml").when(parsed["channel"].isNull(), "no channel")
+    else:
+        value = F.try_parse_json(F.col(body))
+        reason = F.when(value.isNull(), "not json").when(~F.schema_of_variant(value).startswith(_SHAPES[kind]), f"not an {_SHAPES[kind].lower()}")
+    return docs.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+__all__ = ["malformed"] + [n for n in dir() if n.startswith(("parse_", "read_", "explode_"))]

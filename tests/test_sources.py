@@ -58,6 +58,29 @@ def test_feed_files(spark, tmp_path):
     assert (rows["Plain"].company, rows["Plain"].job_location) == ("We Work Remotely", "Remote")
 
 
+def test_texts_that_are_no_documents_are_named(spark):
+    texts = ['{"results": []}', "[]", "nope", None, '{"results": [}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, body string")
+    found = lambda kind: {r.n: r.reason for r in documents.malformed(df, kind).collect()}
+    assert found("snapshot") == {1: "not an object", 2: "not json", 3: "not json", 4: "not json"}
+    assert found("array_feed") == {0: "not an array", 2: "not json", 3: "not json", 4: "not json"}
+    feeds = spark.createDataFrame([(0, "<rss><channel><item><title>a</title></item></channel></rss>"), (1, "<rss><channel><item>"), (2, None), (3, "<rss></rss>")], "n int, body string")
+    assert set(r.n for r in documents.malformed(feeds, "rss").collect()) >= {1, 2} and 0 not in {r.n for r in documents.malformed(feeds, "rss").collect()}
+
+
+def test_stated_facts_and_market_fields_reach_the_snapshot(spark):
+    arrivals = spark.createDataFrame([
+        (0, "OFFICIAL", "UPSC", "latest_jobs", "https://o.example.com/1", "Examiner", "31/12/2026", None, "", "UPSC", None, None),
+        (1, "PRIVATE", "Naukri", "private_jobs", "https://p.example.com/1", "Clerk", None, None, None, None, "Acme", "Pune"),
+        (2, "PRIVATE", "Naukri", "private_jobs", "https://p.example.com/2", "Peon", None, "5", None, None, None, None)],
+        "seq bigint, source_group string, source string, category string, original_url string, title string, fact_last_date string, fact_vacancies string, "
+        "fact_exam_date string, fact_category string, company string, job_location string")
+    rows = {r.seq: r for r in R.build_snapshot(arrivals, spark.createDataFrame([], "url_key string, site string, html string")).collect()}
+    assert (rows[0].last_date, rows[0].vacancies, rows[0].exam_date, rows[0].info_category) == ("31/12/2026", "Various", "As per Schedule", "UPSC")
+    assert (rows[1].last_date, rows[1].info_category, rows[1].company, rows[1].state_label) == ("Apply ASAP", "Private Job", "Acme", "Pune")
+    assert (rows[2].vacancies, rows[2].exam_date, rows[2].job_location) == ("5", "Recently posted", "")
+
+
 def test_validation_and_quarantine(spark):
     texts = ['{"results":[1]}', "[]", '{"results":5}', '{"x":1}', "nope", '{"status":"running","results":null}', "null"]
     df = spark.createDataFrame(list(enumerate(texts)), "batch_id int, body string")
