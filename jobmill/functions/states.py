@@ -21,10 +21,10 @@ def alias_pattern(aliases: list[str]) -> str:
     return "(?<![a-z])(?:" + "|".join(quote(a.lower()) for a in aliases) + ")(?![a-z])"
 
 
-def scope_text(title: Column, body: Column, house: str = K.DEFAULT_HOUSE) -> Column:
-    """Scrubbed title plus the first stretch of the body, lowercase, single blanks."""
+def scope_text(title: Column, body: Column, house: str = K.DEFAULT_HOUSE, length: int | None = K.TEXT_SLICE) -> Column:
+    """Scrubbed title plus the first ``length`` characters of the body (None: all), lowercase, single blanks."""
     title = brand_scrub(title, house)
-    return F.lower(normalize_spaces(F.concat_ws(" ", title, slice_text(body))))
+    return F.lower(normalize_spaces(F.concat_ws(" ", title, slice_text(body, length))))
 
 
 def _words(alias: str) -> list[str]:

@@ -56,10 +56,6 @@ def has_word(text: Column, words: Sequence[str], flags: str = UNICODE_ANY_CASE)
     return text.rlike(flags + r"\b(?:" + "|".join(words) + r")\b")
 
 
-def any_pattern(text: Column, patterns: Sequence[str], flags: str = UNICODE_ANY_CASE) -> Column:
-    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
-
-
 def brand_scrub(value: Column | str, house: str = K.DEFAULT_HOUSE) -> Column:
     """Replace brand names by the house name, then delete app-store phrases.
 
@@ -143,5 +139,6 @@ def clean_skills(skills: Column | str, house: str = K.DEFAULT_HOUSE) -> Column:
     return F.filter(cleaned, lambda s: s != "")
 
 
-def slice_text(value: Column | str, length: int = K.TEXT_SLICE) -> Column:
-    return F.substring(text_or_empty(value), 1, length)
+def slice_text(value: Column | str, length: int | None = K.TEXT_SLICE) -> Column:
+    """The first ``length`` characters; None keeps them all."""
+    return text_or_empty(value) if length is None else F.substring(text_or_empty(value), 1, length)

@@ -36,9 +36,9 @@ def with_explicit_info(df: DataFrame, explicit: dict[str, Column]) -> DataFrame:
 
 
 def with_states(df: DataFrame, title: str = "title", body: str = "body_text",
-                house: str = K.DEFAULT_HOUSE) -> DataFrame:
+                house: str = K.DEFAULT_HOUSE, length: int | None = K.TEXT_SLICE) -> DataFrame:
     """Materialise the searched text and the matches once, then derive the three columns."""
-    df = df.withColumn("_scope", scope_text(col(title), col(body), house))
+    df = df.withColumn("_scope", scope_text(col(title), col(body), house, length))
     df = df.withColumns({"_words": state_words(F.col("_scope")), "_kind": scope_kind(F.col("_scope"))})
     df = df.withColumn("_states", matched_states("_scope", "_words"))
     return df.withColumns(tag_states(F.col("_kind"), F.col("_states"))).drop("_scope", "_words", "_states", "_kind")
@@ -88,12 +88,12 @@ def build_market_listing(rows: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataF
     })
 
 
-def market_body(df: DataFrame) -> Column:
+def market_body(df: DataFrame, most_skills: int | None = K.SKILL_SLICE) -> Column:
     """The text of a market listing, as its summary lines put it, with the text of its summary (``summary_text``) if it has one."""
     def line(label: str, name: str) -> Column:
         return F.when(present(name).isNotNull(), F.concat(F.lit(label + ": "), F.col(name)))
 
-    skills = F.array_join(F.slice(F.col("skills"), 1, K.SKILL_SLICE), " ")
+    skills = F.array_join(F.col("skills") if most_skills is None else F.slice(F.col("skills"), 1, most_skills), " ")
     return F.concat_ws(" ", line("Company", "company"), line("Location", "job_location"),
                        line("Compensation", "salary"), line("Experience", "experience"),
                        line("Posted / updated", "posted_at"), present(skills),

@@ -22,13 +22,16 @@ from jobmill.sources.store import SnapshotStore
 
 
 def article_texts(pages: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
-    """(url_key, page_title, body_text) of article pages: body picked by its site's rule, deep-cleaned."""
+    """(url_key, page_title, body_text): of article pages the body picked by its site's rule, deep-cleaned; of offers the whole fragment."""
     df = PG.tokenized(pages)
     df = df.withColumn("page_title", H.nth_text(F.col(PG.TOKENS), H.Select(tags=("h1",))))
-    df = PG.with_main_content(df, F.col("site")).where("_main is not null")
+    offer = F.coalesce(F.col("site").isin(*K.MARKET_GROUPS), F.lit(False))
+    fragment = H.text_of(H.clean_fragment(F.col(PG.TOKENS), F.col("url_key"), K.MARKET_DROP_TAGS))
+    df = PG.with_main_content(df.withColumn("_fragment", F.when(offer, fragment)), F.col("site"))
+    df = df.where(F.col("_main").isNotNull() | offer)
     df = PG.deep_cleaned(df, "_main", F.col("site"), root=False, house=house)
     # As read: the searched text is cut to its length before blanks are collapsed.
-    return df.select("url_key", "page_title", H.text_of(F.col("_deep")).alias("body_text"))
+    return df.select("url_key", "page_title", F.coalesce("_fragment", H.text_of(F.col("_deep"))).alias("body_text"))
 
 
 def admit(arrivals: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS, caps: dict[str, int] | None = None) -> DataFrame:

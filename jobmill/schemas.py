@@ -22,10 +22,6 @@ JOBS_FEED_ITEM = (
     "publication_date string, tags array<string>, description string"
 )
 RSS_ITEM = "title string, link string, description string, pubDate string, category array<string>"
-RUN = (
-    "status string, started_at string, finished_at string, duration_seconds double, counts map<string,bigint>, "
-    "sources array<string>, error string"
-)
 
 
 def as_struct(columns: str) -> str:

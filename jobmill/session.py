@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024  # of estimated, compressed size; several times that in memory
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -75,7 +75,9 @@ def test_stated_facts_and_market_fields_reach_the_snapshot(spark):
         (2, "PRIVATE", "Naukri", "private_jobs", "https://p.example.com/2", "Peon", None, "5", None, None, None, None)],
         "seq bigint, source_group string, source string, category string, original_url string, title string, fact_last_date string, fact_vacancies string, "
         "fact_exam_date string, fact_category string, company string, job_location string")
-    rows = {r.seq: r for r in R.build_snapshot(arrivals, spark.createDataFrame([], "url_key string, site string, html string")).collect()}
+    page = ("https://p.example.com/2", "PRIVATE", "<script>9999 candidates applied</script><p>Office in <b>Goa</b></p><form>x</form>")
+    rows = {r.seq: r for r in R.build_snapshot(arrivals, spark.createDataFrame([page], "url_key string, site string, html string")).collect()}
+    assert rows[2].body_text == "Office in Goa" and rows[2].state_label == "Goa" and rows[2].applicant_count is None
     assert (rows[0].last_date, rows[0].vacancies, rows[0].exam_date, rows[0].info_category) == ("31/12/2026", "Various", "As per Schedule", "UPSC")
     assert (rows[1].last_date, rows[1].info_category, rows[1].company, rows[1].state_label) == ("Apply ASAP", "Private Job", "Acme", "Pune")
     assert (rows[2].vacancies, rows[2].exam_date, rows[2].job_location) == ("5", "Recently posted", "")
