@@ -105,9 +105,11 @@ SELECT {_PLACE} AS url_key, {pick('c_custkey', list(K.SOURCE_GROUPS))} AS site,
   lpad(cast(c_custkey % 28 + 1 AS string), 2, '0') || '/' || lpad(cast(c_custkey % 12 + 1 AS string), 2, '0') || '/2026' AS day,
   {pick('c_custkey', _SENTENCES)} AS sentence
 FROM {{customer}} WHERE c_custkey % 6 <> 5"""
-ARTICLE_HTML = """'<html><body><nav>menu</nav><h1>' || heading || '</h1><div id="post" class="entry-content"><p>Last Date: ' || day
+# Offers are fragments of a feed, the others whole pages.
+ARTICLE_HTML = """CASE WHEN site IN ('PRIVATE', 'REMOTE') THEN '<script>99999 candidates applied</script><p>Last Date: ' || day || '</p><p>' || cast(k * 13 AS string)
+  || ' posts</p><form>Kerala</form><p>' || sentence || '</p>' ELSE '<html><body><nav>menu</nav><h1>' || heading || '</h1><div id="post" class="entry-content"><p>Last Date: ' || day
   || '</p><div class="share-bar">99999 posts</div><p>' || cast(k * 13 AS string) || ' posts</p><a href="https://t.me/x">Goa</a><p>' || sentence
-  || '</p></div><footer>Kerala</footer></body></html>'"""
+  || '</p></div><footer>Kerala</footer></body></html>' END"""
 LISTING_DOMAINS = {"SR": "jobs0.example.com", "FJA": "jobs1.example.com", "SE": "jobs2.example.com", "SU": "jobs3.example.com"}
 
 
