@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,15 @@ def grown(batch: pa.RecordBatch):
         yield part.set_column(part.schema.get_field_index("text"), "text", texts)
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system; Spark keeps the worker for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table_of(*spans: tuple[int, int]) -> np.ndarray:
     """A table of 256 flags that is true for the given byte ranges, ends included."""
     out = np.zeros(256, bool)

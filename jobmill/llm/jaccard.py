@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import GOLDEN, conf_parts, grown, mix, prefix_sums, runs, shrunk, slices, span_hash, utf8
+from jobmill.llm.common import GOLDEN, conf_parts, grown, mix, prefix_sums, release, runs, shrunk, slices, span_hash, utf8
 from jobmill.llm.components import arrow_pairs, components, stars
 from jobmill.llm.repeats import keyed
 from jobmill.session import checkpointed
@@ -93,6 +93,7 @@ def _signer(words: int, trees: int, length: int):
                 flat = pa.array(prefixes.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, trees * part.num_rows + 1, trees), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(size.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc", "size", "f1", "f2", "prefixes"])
+        release()
     return run
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import picked, slices, utf8
+from jobmill.llm.common import picked, release, slices, utf8
 
 BITS = 16
 SMOOTH = 0.1
@@ -26,7 +26,7 @@ PENALTY = 15.0
 UNLIKELY = -40.0  # added to a word's score for a language that does not use its scripts
 LEAST_SCRIPT = 0.01  # share of a language's letters in a script for it to be one of the language's scripts
 LEAST_SHARE = 0.5
-GROUP = 8  # slices that take the Viterbi steps together
+GROUP = 5  # slices that take the Viterbi steps together
 UND = "und"
 #: First bytes of UTF-8 letters by script (ASCII letters and C3-C9 are Latin).
 SCRIPTS = {
@@ -90,6 +90,8 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, counts in totals.items():
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots), pa.array(counts[slots])], ["lang", "slot", "n"])
+    totals.clear()
+    release()
 
 
 class Model:
@@ -209,6 +211,7 @@ def labeller(model: Model):
             parts = [p.column(0) for p in slices(pa.RecordBatch.from_arrays([column], ["text"]))]
             done = [_label_group(parts[i:i + GROUP], model) for i in range(0, len(parts), GROUP)]
             yield pa.concat_arrays(done) if done else pa.array([], _ARROW)
+        release()
     return label
 
 

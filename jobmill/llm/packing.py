@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents into sequences of a fixed length.
 
 Tokenizing.  A text is split before every single blank that stands in front of a visible character; no token of the
-byte-level vocabulary crosses such a place, so equal words have equal ids and each is encoded once per worker.
+byte-level vocabulary crosses such a place, so equal words have equal ids and each is encoded once per task.
 
 Packing is best-fit decreasing in bulk-synchronous rounds.  Documents are range-sorted by length, so documents of one
 length are a run of consecutive ranks, and sequences opened alike are a run of consecutive numbers with the same gap.
@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import conf_parts, key_long, picked, prefix_sums, slices, span_hash, utf8
+from jobmill.llm.common import conf_parts, key_long, picked, prefix_sums, release, slices, span_hash, utf8
 from jobmill.session import checkpointed
 
 CAPACITY, END_ID = 1024, 2
 SPECIAL = "<|endoftext|>"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 _VISIBLE = np.array([0x21 <= b <= 0x7E or b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])  # certainly no white space begins so
 _encoders: dict[tuple, Encoder] = {}
 
@@ -155,6 +155,8 @@ def _cutter(ranks_path: str, json_path: str, capacity: int, end_id: int):
                 crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
                                                  ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tool.forget()  # the worker goes on to other work
+        release()
     return cut
 
 

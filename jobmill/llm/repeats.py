@@ -28,13 +28,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import GOLDEN, conf_parts, grown, key_long, mix, picked, prefix_sums, shrunk, slices, span_hash, utf8
+from jobmill.llm.common import GOLDEN, conf_parts, grown, key_long, mix, picked, prefix_sums, release, shrunk, slices, span_hash, utf8
 from jobmill.session import checkpointed, fresh_dir
 
 LENGTH, GRAM = 100, 32
@@ -124,6 +123,7 @@ def _anchors(length: int, gram: int, hot: np.ndarray, combine: bool):
                     route = np.where(done > 0, mix(doc.astype(np.uint64) * GOLDEN + start.astype(np.uint64)), anchor)
                 yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(pack(start, count, place - first, done))],
                                                  ["anchor", "context", "doc", "place"])
+        release()
     return run
 
 
@@ -302,30 +302,36 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, samp
     return plain.unionByName(induced)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in grown(batch):
-            n_removed, n_spans, digests, kept = [], [], [], []
-            spans = part.column("spans")
-            for text, cuts in zip(part.column("text"), spans, strict=True):
-                raw = text.as_py() or b""
-                pieces, at, removed, runs = [], 0, 0, 0
-                if cuts.is_valid:
-                    low, high = cuts.values.field("low").to_numpy(), cuts.values.field("high").to_numpy()
-                    order = np.argsort(low, kind="stable")
-                    low, reach = low[order], np.maximum.accumulate(high[order])
-                    new = np.append(True, low[1:] > reach[:-1])
-                    for a, b in zip(low[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)].tolist(), strict=True):
-                        pieces.append(raw[at:a])
-                        at, removed, runs = b, removed + b - a, runs + 1
-                pieces.append(raw[at:])
-                rest = b"".join(pieces)
-                n_removed.append(removed)
-                n_spans.append(runs)
-                digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if text.is_valid else None)
-            yield pa.RecordBatch.from_arrays([part.column("carry"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())],
-                                             ["carry", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(as_text: bool):
+    """Cuts the spans out; what stays is given as bytes, or as text without the pieces of characters that a cut leaves over."""
+    kind = pa.string() if as_text else pa.binary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in grown(batch):
+                n_removed, n_spans, digests, kept = [], [], [], []
+                spans = part.column("spans")
+                for text, cuts in zip(part.column("text"), spans, strict=True):
+                    raw = text.as_py() or b""
+                    pieces, at, removed, runs = [], 0, 0, 0
+                    if cuts.is_valid:
+                        low, high = cuts.values.field("low").to_numpy(), cuts.values.field("high").to_numpy()
+                        order = np.argsort(low, kind="stable")
+                        low, reach = low[order], np.maximum.accumulate(high[order])
+                        new = np.append(True, low[1:] > reach[:-1])
+                        for a, b in zip(low[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)].tolist(), strict=True):
+                            pieces.append(raw[at:a])
+                            at, removed, runs = b, removed + b - a, runs + 1
+                    pieces.append(raw[at:])
+                    rest = b"".join(pieces)
+                    n_removed.append(removed)
+                    n_spans.append(runs)
+                    digests.append(hashlib.sha256(rest).hexdigest())
+                    kept.append(None if not text.is_valid else rest.decode(errors="ignore") if as_text else rest)
+                yield pa.RecordBatch.from_arrays([part.column("carry"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, kind)],
+                                                 ["carry", "n_removed", "n_spans", "kept_sha256", "kept"])
+        release()
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -338,12 +344,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     return cut.select(F.col("carry.c0").alias("doc_id"), (F.coalesce(F.octet_length("kept"), F.lit(0)) + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def cut_documents(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, others: list[str], sample: int = SAMPLE, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(carry, n_removed, n_spans, kept_sha256, kept) of every row."""
+def cut_documents(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, others: list[str], sample: int = SAMPLE, hot_contexts: int = HOT_CONTEXTS,
+                  as_text: bool = False) -> DataFrame:
+    """(carry, n_removed, n_spans, kept_sha256, kept) of every row; kept is text if asked for."""
     rows = keyed(docs, id_col, text_col, others)
     spans = repeated_spans(rows, length, gram, sample, hot_contexts).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.withColumn("text", shrunk(F.col("text"))).join(spans, "doc", "left").select("carry", "text", "spans")
-    return joined.mapInArrow(_cut, f"carry {rows.schema['carry'].dataType.simpleString()}, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(_cut(as_text), f"carry {rows.schema['carry'].dataType.simpleString()}, n_removed long, n_spans long, kept_sha256 string, kept {kind}")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -352,18 +360,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Pieces of characters that a cut leaves over are dropped; documents of which nothing is left go, empty ones stay.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = cut_documents(docs, length, gram, "doc_id", "text", others)
-    text = F.pandas_udf(_decoded, "string")(F.col("kept"))
-    left = cut.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text))
+    cut = cut_documents(docs, length, gram, "doc_id", "text", others, as_text=True)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("kept") != "")).withColumnRenamed("kept", "text")
     at = {"doc_id": F.col("carry.c0"), "text": F.col("text")} | {c: F.col(f"carry.c{i + 1}") for i, c in enumerate(others)}
     if "n_chars" in at:
         at["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return left.select(*[at[c].alias(c) for c in docs.columns])
 
 
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda raw: None if raw is None else bytes(raw).decode(errors="ignore"))
-
-
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
