@@ -8,7 +8,8 @@ double precision.
 
 Largest inner product is reduced to smallest angle by one more component where norms differ.  Equal vectors are filed once
 with their smallest ids, as many as a result can hold, so copies fill no bucket.  A bucket with many candidates or
-queries is dealt out over blocks of at most ``BLOCK`` of either, so no row is left out.
+queries is dealt out over blocks of at most ``BLOCK`` of either, so no row is left out.  Queries that meet fewer partners
+than a result holds are answered again from all rows, block by block.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ def _best(dim: int, k: int):
             order = np.argsort(reps, kind="stable")
             c, reps, members = c[order], reps[order], [members[i] for i in order]
             rough = q @ c.T
-            top = min(k + 1, len(c))
+            crowd = np.unique(np.concatenate([np.asarray(m, np.int64) for m in members]), return_counts=True)[1].max()  # vectors of one id
+            top = min((k + 1) * int(crowd), len(c))
             best = np.argpartition(-rough, top - 1, axis=1)[:, :top] if top < len(c) else np.tile(np.arange(len(c)), (len(q), 1))
             for i, chosen in enumerate(best):
                 chosen = np.sort(chosen)
@@ -149,7 +151,12 @@ def _best(dim: int, k: int):
                 score = dict(zip(chosen.tolist(), exact.tolist(), strict=True))
                 left = [(-score[j], m) for j in ranked.tolist() for m in members[j] if m != ids[i]]
                 left.sort()
-                for s, m in left[:k]:
+                taken = {}
+                for s, m in left:
+                    taken.setdefault(m, s)
+                    if len(taken) == k:
+                        break
+                for m, s in taken.items():
                     out_q.append(ids[i])
                     out_v.append(m)
                     out_s.append(-s)
@@ -157,6 +164,22 @@ def _best(dim: int, k: int):
     return run
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def from_all(queries: DataFrame, n_queries: int, classes: DataFrame, n_classes: int, dim: int, k: int) -> DataFrame:
+    """The best of all rows for (id, vec), in pairs of blocks of queries and of candidates."""
+    nc, nq = (max(1, math.ceil(n / (BLOCK / 2))) for n in (n_classes, n_queries))
+    block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("id", "vec", F.array().cast("array<long>").alias("members"), F.lit(True).alias("is_query"), block(nq).alias("qi")).withColumn("ci", every_one(nc))
+    held = classes.select(F.col("rep").alias("id"), "vec", "members", F.lit(False).alias("is_query")).withColumn("ci", block(nc)).withColumn("qi", every_one(nq))
+    return asked.unionByName(held).groupBy("ci", "qi").applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
+
+
 def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED,
            probes: int = PROBES, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` neighbours of every row whose id is divisible by ``every``.
@@ -164,7 +187,8 @@ def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: st
     Vectors that are null, zero, of another length than most (of equally frequent lengths the longer), or hold null or
     non-finite components take no part; neither do rows without an id.  Rows that repeat an id and its vector count once;
     of rows that repeat an id with other vectors each is a candidate and the best score stands.  Equal scores are ordered
-    by id.  Tables with fewer rows give all candidates; an empty table gives no rows.
+    by id.  A query whose buckets hold fewer than ``k`` partners is answered from all rows, so it has ``k`` or, in tables with
+    fewer rows, all of them; an empty table gives no rows.
     """
     spark = table.sparkSession
     rows = picked(table, vec_id=table[id_col].cast("long"), embedding=vec_col).where("vec_id IS NOT NULL")
@@ -198,9 +222,16 @@ def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: st
     parts = (parts.withColumn("ci", F.explode(F.when(F.col("is_query"), every_one(F.col("nc"))).otherwise(own(F.col("nc")))))
              .withColumn("qi", F.explode(F.when(F.col("is_query"), own(F.col("nq"))).otherwise(every_one(F.col("nq"))))))
     found = parts.select("table", "bucket", "ci", "qi", "is_query", "id", "vec", "members").groupBy("table", "bucket", "ci", "qi").applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
-    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    result = checkpointed(_top(found, k))
+    wanted = min(k, classes.select(F.explode("members")).distinct().limit(k + 1).count() - 1)
+    met = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= wanted)
+    short = queries.select(F.col("vec_id").alias("id"), "vec").join(met, F.col("id") == F.col("query_id"), "left_anti")
+    short = checkpointed(short)
+    n_short = short.count()
+    if not n_short or wanted < 1:
+        return result
+    whole = result.join(met.select("query_id"), "query_id", "left_semi").select(*result.columns)
+    return whole.unionByName(_top(from_all(short, n_short, classes, size["n"], dim, k), k))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

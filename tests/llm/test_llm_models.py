@@ -156,6 +156,35 @@ def test_neighbours_with_copies_norms_and_odd_vectors(spark, monkeypatch):
     assert ann.search(few.where("vec_id > 9")).collect() == []
 
 
+@pytest.mark.parametrize("n", [10, 21, 40])
+def test_neighbours_of_few_and_opposite_vectors_are_whole(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "BLOCK", 14)  # so that all rows are met in several blocks
+    rng = np.random.default_rng(n)
+    vectors = rng.normal(size=(n, 64))
+    vectors[1::2] = -vectors[::2][:len(vectors[1::2])]
+    vectors[5] *= 3
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    truth = brute_neighbours(np.arange(n), vectors, 20, 1)
+    assert got.keys() == truth.keys() and all(sorted(v) == list(range(1, min(20, n - 1) + 1)) for v in got.values())
+    if n <= 21:
+        assert all([v for _, (v, _) in sorted(got[q].items())] == [v for v, _ in truth[q]] for q in truth)
+
+
+def test_neighbours_with_repeated_ids_are_whole(spark):
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=64)
+    rows = [(0, near.tolist())] + [(1, (near + rng.normal(size=64) / 9).tolist()) for _ in range(60)] + [(i, rng.normal(size=64).tolist()) for i in range(2, 30)]
+    got = [r for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.query_id == 0]
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -math.inf), float(np.dot(near, v)))
+    assert len({r.vec_id for r in got}) == len(got) == 20 and got and next(r.vec_id for r in got if r["rank"] == 1) == 1
+    assert all(math.isclose(r.score, best[r.vec_id], rel_tol=1e-12) for r in got)
+
+
 def test_url_parts_rules_and_scores(spark):
     cases = [(1, None, "", "", None), (2, "no scheme", "", "", None), (3, "http://A.Example.ORG/es/x?y#z", "a.example.org", "/es/x", "example.org/es/"), (4, "http://org/x", "org", "/x", "org/"),
              (5, "https://example.org/en/12", "example.org", "/en/12", "example.org/en/1"), (6, "https://x.com/de/", "x.com", "/de/", "com/de/"), (7, "https://x.com/fr/?de", "x.com", "/fr/", "com/fr/"),
