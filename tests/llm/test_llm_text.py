@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from jobmill.llm import jaccard, licenses, quality, repeats
 from jobmill.llm.components import components
 
@@ -228,3 +230,25 @@ def test_bands_reject_noise_and_keep_prose(spark, sf_dir):
     assert all(not got[i].base_failed and not got[i].kept for i, *_ in noise)
     assert sum(r.kept for r in got.values()) >= 0.99 * sum(not r.base_failed for r in got.values()) - 1
     assert {r.doc_id for r in quality.accepted(both).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_both_bands_decide_and_mixed_languages_stay(spark):
+    rnd = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = {}
+    for r in docs.select("text", "lang").orderBy("doc_id").collect():
+        words = (r.text or "").split()[:100]
+        if len(words) == 100 and brute_facts(" ".join(words))[4] < 10 and not set(r.text) & set("|#*$%&"):
+            prose.setdefault(r.lang, []).append(" ".join(words))
+    made = lambda n, lo, hi, letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(lo, hi))) for _ in range(n))
+    noise = [" ".join(rnd.choice("the of and in to is a that it for".split()) for _ in range(200)), made(150, 2, 8, [chr(c) for c in range(0x430, 0x450)]), made(150, 2, 5, [chr(c) for c in range(0x4E00, 0x9FA0)])]
+    noise += [made(200, 2, 9, "abcdefghijklmnopqrstuvwxyz"), made(200, 2, 7, "aeio")]
+    mixed = [(prose[a][i] + "\n" + prose[b][i], b) for a, b in (("en", "fr"), ("en", "de"), ("de", "es"), ("fr", "de")) for i in range(3)]
+    mixed += [(prose["en"][4] + "\n" + prose["de"][4] + "\n" + prose["es"][4], "fr"), (prose["en"][5], "de")]
+    texts = [(t, "en") for t in noise] + mixed
+    both = docs.union(spark.createDataFrame([(10**6 + i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(texts)], docs.schema))
+    got = {r.doc_id - 10**6: r for r in quality.judge(both).where("doc_id >= 1000000").collect()}
+    usual = {r.lang: r.q for r in quality.judge(docs).join(docs.select("doc_id", "lang"), "doc_id").where("kept").groupBy("lang").agg(F.expr("percentile(bits, 0.5)").alias("q")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert not any(got[i].kept for i in range(5)) and got[0].bits < usual["en"] < min(got[3].bits, got[4].bits)
+    assert all(got[i].kept for i in range(5, len(texts)))
