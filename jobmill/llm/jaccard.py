@@ -1,8 +1,9 @@
-"""Self-join on the Jaccard similarity of word shingles: a MinHash LSH forest, then exact verification.
+"""Self-join on the Jaccard similarity of word shingles: MinHash banding, then exact verification.
 
-Every distinct shingle set gets ``TREES`` signatures of ``DEEPEST`` minima.  A tree of the forest is the sorted list of one signature
-per set, a prefix trie in which similar sets stand under a common prefix.  The prefix begins at full length and is shortened
-until a pair at the threshold meets in some tree with the target recall; sets that meet are candidates.  Candidates are
+This is fixed banding in place of an LSH forest: every distinct shingle set gets ``TREES`` bands of ``prefix_length()`` minima (6), the
+longest of up to ``DEEPEST`` at which a pair at the threshold meets in some band with the target recall; sets that are equal in a
+band are candidates.  There are no sorted tries and no row's prefix is shortened by what it matched: one threshold is
+asked for, every candidate is verified exactly, and shorter prefixes would only add candidates.  Candidates are
 gathered into components, each set's shingles are fetched once per block of its component, and every pair of a
 block pair is compared exactly, so links are counted without being written out as pairs.
 
