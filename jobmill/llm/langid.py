@@ -97,12 +97,14 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log-probabilities of trigram slots and scripts of each language, languages in alphabetical order."""
 
-    def __init__(self, rows: list):
-        self.langs = sorted({r["lang"] for r in rows})
-        index = {lang: i for i, lang in enumerate(self.langs)}
+    def __init__(self, rows: pa.Table):
+        codes = rows.column("lang").combine_chunks().dictionary_encode()
+        names = codes.dictionary.to_pylist()
+        self.langs = sorted(names)
+        place = np.array([self.langs.index(name) for name in names], np.int64)
         counts = np.zeros((len(self.langs), (1 << BITS) + 16))
-        for r in rows:
-            counts[index[r["lang"]], r["slot"]] = r["n"]
+        if names:
+            counts[place[codes.indices.to_numpy()], rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
         grams, scripts = counts[:, :1 << BITS] + SMOOTH, counts[:, 1 << BITS:]
         self.logp = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
@@ -131,16 +133,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty:
     Longer texts stand in front, so the texts that still have words at a step are a prefix.  Of equal paths the
     one that stays with its language wins, then the one with the smaller label.
     """
-    labels = np.zeros(scores.shape[1], np.int8)
+    labels = np.zeros(scores.shape[1], np.int16)
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     n = int((length > 0).sum())
     if not n or scores.shape[0] < 2:
         return labels
     alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    own = np.arange(scores.shape[0], dtype=np.int8)[:, None]
+    own = np.arange(scores.shape[0], dtype=np.int16)[:, None]
     value, back = scores[:, first[:n]].astype(np.float64), []
-    final = np.empty(n, np.int8)
+    final = np.empty(n, np.int16)
     for t in range(1, length[0]):
         m = alive[t]
         if m < value.shape[1]:
@@ -148,7 +150,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty:
             value = value[:, :m]
         top = value.max(axis=0) - penalty
         stay = value >= top
-        back.append(np.where(stay, own, value.argmax(axis=0).astype(np.int8)))
+        back.append(np.where(stay, own, value.argmax(axis=0).astype(np.int16)))
         value = np.where(stay, value, top) + scores[:, first[:m] + t]
     final[:value.shape[1]] = value.argmax(axis=0)
     state = final
@@ -225,7 +227,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col)
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.select("text", "lang").mapInArrow(_counter, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    return Model(counts.collect())
+    return Model(counts.toArrow())
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,34 +203,41 @@ def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[n
     return np.array(flows, np.int64).reshape(-1, 5), opened
 
 
-def _placer(flows: np.ndarray, before: list[int]):
+PLACE_BITS = 33  # the row's number within its partition, below the partition's number, in a monotonically increasing id
+
+
+def _placer(flows: np.ndarray, before: np.ndarray):
+    """Looks up every row by the rank that it carries, so rows may come in any order and in any partition."""
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = before[TaskContext.get().partitionId()]
         for batch in batches:
-            ranks = np.arange(at, at + batch.num_rows)
-            at += batch.num_rows
+            at = batch.column("_at").to_numpy()
+            ranks = before[at >> PLACE_BITS] + (at & ((1 << PLACE_BITS) - 1))
             row = flows[np.searchsorted(flows[:, 0], ranks, side="right") - 1]
             nth = ranks - row[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row[:, 2] + nth // row[:, 1]), pa.array(row[:, 3] + nth % row[:, 1] * row[:, 4])],
-                                             [*batch.schema.names, "sequence_id", "offset"])
+            kept = batch.drop_columns(["_at"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(row[:, 2] + nth // row[:, 1]), pa.array(row[:, 3] + nth % row[:, 1] * row[:, 4])],
+                                             [*kept.schema.names, "sequence_id", "offset"])
     return place
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (any columns, among them doc_id, piece, length) with sequence_id and offset."""
+    """``pieces`` (any columns but _at, among them doc_id, piece, length) with sequence_id and offset.
+
+    The result may be coalesced, united or filtered like any other table.
+    """
     pieces = checkpointed(pieces)  # else the range sort would make the pieces twice
-    ranged = checkpointed(pieces.repartitionByRange(conf_parts(pieces), F.col("length").desc(), key_long(F.col("doc_id")), F.col("piece"))
-                          .sortWithinPartitions(F.col("length").desc(), key_long(F.col("doc_id")), F.col("piece")))
+    order = (F.col("length").desc(), key_long(F.col("doc_id")), F.col("piece"))
+    ranged = checkpointed(pieces.repartitionByRange(conf_parts(pieces), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in ranged.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     if not counts:
-        return ranged.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return ranged.drop("_at").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     flows, _ = best_fit_rounds(counts, capacity)
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number per partition
-    before, total = [], 0
-    for p in range(max(sizes) + 1):
-        before.append(total)
-        total += sizes.get(p, 0)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy(F.shiftright("_at", PLACE_BITS).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number per partition
+    before = np.zeros(max(sizes) + 2, np.int64)
+    for p, n in sizes.items():
+        before[p + 1] = n
+    before = np.cumsum(before)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema if f.name != "_at")
     return ranged.mapInArrow(_placer(flows, before), f"{schema}, sequence_id long, offset long")
 
 

@@ -61,14 +61,14 @@ class Vocabulary:
         for length, pairs in sorted(by_length.items()):
             data = np.frombuffer(b"".join(p for _, p in pairs), np.uint8)
             starts = np.arange(len(pairs)) * length
-            hashes = span_hash(prefix_sums(data), starts, starts + length)
+            hashes = span_hash(prefix_sums(data, strong=False), starts, starts + length)
             order = np.argsort(hashes)
             self.tables.append((length, hashes[order], np.array([i for i, _ in pairs])[order]))
         self.prefixes = {}  # hashes of the first bytes that longer pieces begin with
         for length in PREFIXES:
             heads = sorted({p[:length] for n, pairs in by_length.items() if n > length for _, p in pairs})
             starts = np.arange(len(heads)) * length
-            self.prefixes[length] = np.sort(span_hash(prefix_sums(np.frombuffer(b"".join(heads), np.uint8)), starts, starts + length))
+            self.prefixes[length] = np.sort(span_hash(prefix_sums(np.frombuffer(b"".join(heads), np.uint8), strong=False), starts, starts + length))
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -86,7 +86,7 @@ class Lattices:
         flat = data[np.repeat(starts - first, sizes) + np.arange(sizes.sum())]
         word = np.repeat(np.arange(len(sizes)), sizes)
         stop = (first + sizes)[word]
-        sums, at = prefix_sums(flat), np.flatnonzero(_LEAD[flat])
+        sums, at = prefix_sums(flat, strong=False), np.flatnonzero(_LEAD[flat])
         own = np.zeros(len(flat), bool)  # characters that are a piece
         src, length, piece = [], [], []
         known = lambda sorted_hashes, wanted: sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)] == wanted

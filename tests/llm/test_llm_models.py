@@ -268,3 +268,70 @@ def test_samples_follow_the_lattice_without_replacement():
         assert all(abs(first[x] / n - p) < 5 * math.sqrt(p / n) + 1e-3 for x, p in chance.items())
         total = sum(math.exp(p - q) for p, q in zip(got["log_prob"], got["log_inclusion"], strict=True)) / n
         assert depth == 0.0 or abs(total - 1) < 0.02  # inclusion scores undo the sampling
+
+
+def morse(n):
+    """Two texts of ``n`` letters in opposite Thue-Morse orders: they collide under any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_made_to_collide_are_told_apart(spark, n):
+    import public_tokenizers
+    from jobmill.llm import jaccard, quality
+    from jobmill.llm.common import prefix_sums, span_hash
+    from tokenizers import Tokenizer
+
+    one, two = morse(n)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    weak, strong = (span_hash(prefix_sums(data, s), np.array([0, n]), np.array([n, 2 * n])) for s in (False, True))
+    assert weak[0] == weak[1] and strong[0] != strong[1]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack_documents(odd_rows(spark, [(1, "x " + one), (2, "x " + two)])).collect()}
+    for doc, text in ((1, one), (2, two)):
+        ids = whole.encode("x " + text, add_special_tokens=False).ids + [2]
+        head = len(ids) - 1024 * (-(-len(ids) // 1024) - 1)
+        for piece, part in enumerate([ids[:head], *(ids[i:i + 1024] for i in range(head, len(ids), 1024))]):
+            assert got[doc, piece] == zlib.crc32(np.array(part, "<u4").tobytes())
+    facts = quality.plain_facts(*(np.frombuffer(f"{one}\n{two}\n{one}".encode(), np.uint8), np.array([0, 3 * n + 2])))
+    assert facts[3].tolist() == [1] and facts[0].tolist() == [3]
+    owner, code = jaccard.shingles(pa.array([one, two]), 5)
+    assert len(set(code.tolist())) == 2 and owner.tolist() == [0, 1]
+
+
+def test_packing_may_be_coalesced_and_united(spark):
+    schema = "doc_id long, piece int, length long"
+    pieces = spark.createDataFrame([(i, 0, 1 + i * 7919 % 1024) for i in range(400)], schema).repartition(8)
+    packed = packing.pack_pieces(pieces)
+    plain = sorted(map(tuple, packed.collect()))
+    other = packed.limit(0)
+    for form in (packed.coalesce(1), other.unionByName(packed), packed.repartition(3), packed.unionByName(other).coalesce(2)):
+        assert sorted(map(tuple, form.collect())) == plain
+    ends = {}
+    for _, _, length, sequence, offset in plain:
+        ends.setdefault(sequence, []).append((offset, offset + length))
+    for own in ends.values():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_viterbi_with_more_languages_than_a_byte_holds():
+    scores = np.full((300, 4), -5.0, np.float32)
+    scores[170, :2], scores[299, 2:] = 50, 50
+    labels = langid.viterbi(scores, np.array([0]), np.array([4]), 2.0)
+    assert labels.tolist() == [170, 170, 299, 299]
+
+
+def test_two_hundred_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: f"l{i:03d}"
+    word = lambda i: letters[i % 26] * 3 + letters[i // 26] * 3 + letters[i % 23]
+    rows = [(d * 200 + i, " ".join([word(i)] * 40), name(i)) for d in range(3) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = langid.identify(docs, model).collect()
+    taught = set(model.langs)
+    assert len(taught) > 190
+    wrong = [r for r in got if name(r.doc_id % 200) in taught and r.lang_pred != name(r.doc_id % 200)]
+    assert not wrong
