@@ -427,3 +427,38 @@ VOID_TAGS = (
 )
 RAW_TEXT_TAGS = ("script", "style", "template", "rt", "rp")
 KEEP_SPACE_TAGS = ("pre", "textarea")
+
+# --- fixed values: where the cards of each site are (site, card, card selector, fields) ------------------------
+# A field is (name, selector within the card or '' for the card itself, attribute or '' for the text, which match).
+CARD_SELECTORS = (
+    ("internshala", 0, ".individual_internship", (
+        ("title", ".job-title-href", "", 0), ("href", ".job-title-href", "href", 0), ("company", ".company-name", "", 0),
+        ("job_location", ".locations", "", 0), ("salary", ".detail-row-1 .row-1-item", "", 1),
+        ("experience", ".detail-row-1 .row-1-item", "", 2), ("posted_at", ".status-success", "", 0), ("skills", ".job_skill", "", -1))),
+    ("freshersworld", 0, ".job-container", (
+        ("title", ".job-new-title .wrap-title.seo_title", "", 0), ("href", "", "job_display_url", 0), ("company", ".company-name", "", 0),
+        ("job_location", ".job-location", "", 0), ("experience", ".experience", "", 0),
+        ("salary", ".qualification-block .job-details-span", "", 0), ("qualification", ".qualification-block .job-details-span", "", 1),
+        ("card_text", "", "", 0))),
+    ("naukri", 0, "div.srp-jobtuple-wrapper, article.jobTuple", (
+        ("title", "a.title", "", 0), ("href", "a.title", "href", 0), ("company", "a.comp-name", "", 0),
+        ("job_location", ".locWdth", "", 0), ("experience", ".expwdth", "", 0))),
+    ("indeed", 0, "td.resultContent", (
+        ("title", "h2.jobTitle a", "", 0), ("href", "h2.jobTitle a", "href", 0), ("company", "span.companyName", "", 0),
+        ("job_location", "div.companyLocation", "", 0))),
+    ("flexjobs", 0, "li.m-0", (
+        ("title", "a.job-title", "", 0), ("href", "a.job-title", "href", 0), ("summary", ".job-description", "", 0))),
+    ("ibps", 0, 'a[href*="ibpsreg.ibps.in"]', (
+        ("href", "", "href", 0), ("card_text", "", "", 0), ("org", ".detail-first-heading", "", 0), ("role", ".detail-second-heading", "", 0),
+        ("start_date", ".detail-third-heading .detail-heading > div", "", 0), ("end_date", ".detail-third-heading .detail-heading > div", "", 1))),
+    ("rac", 0, 'div[data-bs-target^="#offcanvas"]', (
+        ("target", "", "data-bs-target", 0), ("number", ".advtHeading", "", 0), ("card_text", "", "", 0), ("summary", "", "", 0))),
+    ("upsc_active", 0, "div.view-content div.views-row a[href]", (("title", "", "", 0), ("href", "", "href", 0))),
+    ("upsc_recruitment", 0, "div.view-content li", (("title", "", "", 0), ("href", "a[href]", "href", 0))),
+    ("upsc_detail", 0, "div.view-content", (("upload_date", ".date-display-single", "", 0), ("detail_text", "", "", 0))),
+    ("upsc_detail", 1, "div.region-content", (("upload_date", ".date-display-single", "", 0), ("detail_text", "", "", 0))),
+)
+CARD_FALLBACKS = {("ibps", "org"): "IBPS"}
+CARD_WORDS = {("rac", "summary"): ["selection of", "scientist"]}
+UPSC_PREFIX = "UPSC"
+UPSC_EXAM_DATE = "As per UPSC schedule"

@@ -96,7 +96,8 @@ class _Tokens(HTMLParser):
         return self.rows
 
 
-def _tokenize_page(html: str) -> list[list]:
+def tokenize_page(html: str) -> list[list]:
+    """The token rows (pos, close, parent, depth, kind, tag, attrs, text) of one page."""
     parser = _Tokens()
     parser.feed(html)
     return parser.finish()
@@ -111,7 +112,7 @@ def _tokenize_batch(pages: pa.Array, step: int = 64) -> pa.Array:
 def _tokenize_slice(pages: pa.Array) -> pa.Array:
     offsets, rows = [0], []
     for html in pages.to_pylist():
-        rows.extend(_tokenize_page(html or ""))
+        rows.extend(tokenize_page(html or ""))
         offsets.append(len(rows))
     fields = list(zip(*rows)) if rows else [[] for _ in _ARROW_COLUMNS]
     columns = [pa.array(list(values), type=kind) for values, (_, kind) in zip(fields, _ARROW_COLUMNS)]

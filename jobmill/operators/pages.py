@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions import html as H
+from jobmill.functions import selectors as S
 from jobmill.functions.html import Select
-from jobmill.functions.text import contains_any, normalize_spaces, strip_spaces, text_or_empty
+from jobmill.functions.text import contains_any, first_present, normalize_spaces, strip_spaces, text_or_empty
 from jobmill.functions.urls import join_site_path, url_absolute, url_normalize
 from jobmill.operators.predicates import is_competitor
+from jobmill.session import broadcast_if_small
 
 TOKENS = "_tokens"
 
@@ -41,100 +43,6 @@ def extract_links(pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ cards
 
 
-@dataclass(frozen=True)
-class Field:
-    """One card field: where it is, which attribute (else its text), which match, all of them?"""
-
-    where: Select | None
-    attr: str = ""
-    nth: int = 0
-    every: bool = False
-    default: str = ""
-    words: tuple[str, ...] = ()
-
-    def read(self, card: Column) -> Column:
-        if self.words:  # the first text piece that holds one of the words
-            pieces = F.transform(F.filter(card, lambda t: t.kind == "text"), lambda t: normalize_spaces(t.text))
-            found = F.filter(pieces, lambda p: contains_any(F.lower(p), self.words))
-            return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
-        if self.every:
-            return H.all_texts(card, self.where)
-        if self.where is None:  # the card element itself
-            root = F.get(card, F.lit(0))
-            return text_or_empty(root.attrs[self.attr]) if self.attr else normalize_spaces(H.text_of(card))
-        value = (H.nth_attr(card, self.where, self.attr, self.nth) if self.attr
-                 else H.nth_text(card, self.where, self.nth))
-        return F.coalesce(F.nullif(value, F.lit("")), F.lit(self.default))
-
-
-@dataclass(frozen=True)
-class Adapter:
-    """How the cards of one site are read."""
-
-    site: str
-    card: Select
-    fields: dict[str, Field] = field(default_factory=dict)
-
-
-def _cls(*names: str, inside: Select | None = None, tags: tuple[str, ...] = (),
-         or_else: Select | None = None) -> Select:
-    return Select(tags=tags, classes=names, inside=inside, or_else=or_else)
-
-
-_TITLE_LINK = _cls("job-title-href")
-_INTERNSHALA_ROW = _cls("row-1-item", inside=_cls("detail-row-1"))
-_FRESHERS_SPAN = _cls("job-details-span", inside=_cls("qualification-block"))
-_IBPS_DATE = Select(tags=("div",), inside=_cls("detail-heading", inside=_cls("detail-third-heading")), child=True)
-_VIEW = _cls("view-content", tags=("div",))
-_NAUKRI_CARD = _cls("srp-jobtuple-wrapper", tags=("div",), or_else=_cls("jobTuple", tags=("article",)))
-
-# --- fixed values: element names of each site's cards -------------------------------
-ADAPTERS = {a.site: a for a in (
-    Adapter("internshala", _cls("individual_internship"), {
-        "title": Field(_TITLE_LINK), "href": Field(_TITLE_LINK, attr="href"),
-        "company": Field(_cls("company-name")), "job_location": Field(_cls("locations")),
-        "salary": Field(_INTERNSHALA_ROW, nth=1), "experience": Field(_INTERNSHALA_ROW, nth=2),
-        "posted_at": Field(_cls("status-success")), "skills": Field(_cls("job_skill"), every=True),
-    }),
-    Adapter("freshersworld", _cls("job-container"), {
-        "title": Field(_cls("wrap-title", "seo_title", inside=_cls("job-new-title"))),
-        "href": Field(None, attr="job_display_url"), "company": Field(_cls("company-name")),
-        "job_location": Field(_cls("job-location")), "experience": Field(_cls("experience")),
-        "salary": Field(_FRESHERS_SPAN), "qualification": Field(_FRESHERS_SPAN, nth=1), "card_text": Field(None),
-    }),
-    Adapter("naukri", _NAUKRI_CARD, {
-        "title": Field(_cls("title", tags=("a",))), "href": Field(_cls("title", tags=("a",)), attr="href"),
-        "company": Field(_cls("comp-name", tags=("a",))), "job_location": Field(_cls("locWdth")),
-        "experience": Field(_cls("expwdth")),
-    }),
-    Adapter("indeed", _cls("resultContent", tags=("td",)), {
-        "title": Field(Select(tags=("a",), inside=_cls("jobTitle", tags=("h2",)))),
-        "href": Field(Select(tags=("a",), inside=_cls("jobTitle", tags=("h2",))), attr="href"),
-        "company": Field(_cls("companyName", tags=("span",))),
-        "job_location": Field(_cls("companyLocation", tags=("div",))),
-    }),
-    Adapter("flexjobs", _cls("m-0", tags=("li",)), {
-        "title": Field(_cls("job-title", tags=("a",))), "href": Field(_cls("job-title", tags=("a",)), attr="href"),
-        "summary": Field(_cls("job-description")),
-    }),
-    Adapter("ibps", Select(tags=("a",), attr="href", attr_contains="ibpsreg.ibps.in"), {
-        "href": Field(None, attr="href"), "card_text": Field(None),
-        "org": Field(_cls("detail-first-heading"), default="IBPS"), "role": Field(_cls("detail-second-heading")),
-        "start_date": Field(_IBPS_DATE), "end_date": Field(_IBPS_DATE, nth=1),
-    }),
-    Adapter("rac", Select(tags=("div",), attr="data-bs-target", attr_starts="#offcanvas"), {
-        "target": Field(None, attr="data-bs-target"), "number": Field(_cls("advtHeading")),
-        "card_text": Field(None), "summary": Field(None, words=("selection of", "scientist")),
-    }),
-    Adapter("upsc_active", Select(tags=("a",), attr="href", inside=_cls("views-row", tags=("div",), inside=_VIEW)), {
-        "title": Field(None), "href": Field(None, attr="href"),
-    }),
-    Adapter("upsc_recruitment", Select(tags=("li",), inside=_VIEW), {
-        "title": Field(None), "href": Field(Select(tags=("a",), attr="href"), attr="href"),
-    }),
-)}
-
-
 def by_site(site: Column, cases: dict[str, Column], otherwise: Column | None = None) -> Column:
     """The expression of the row's site; only that one is evaluated for a row."""
     names = list(cases)
@@ -144,34 +52,66 @@ def by_site(site: Column, cases: dict[str, Column], otherwise: Column | None = N
     return out if otherwise is None else out.otherwise(otherwise)
 
 
-def extract_cards(pages: DataFrame, adapters: Adapter | list[Adapter]) -> DataFrame:
-    """One row per card with the adapter's fields; cards carry only their own slice of the page.
+def with_cards(pages: DataFrame, rules: DataFrame, site: Column | None = None) -> DataFrame:
+    """Pages with ``_cards`` instead of their html: the cards that the rules of their site (by default the column ``site``) find.
 
-    For pages of several sites ``pages`` has a ``site`` column: they are read and tokenized once, the card test and each field
-    follow the site, lists are joined by commas, and a field that a site lacks is empty.
+    ``rules`` (see ``dims.card_rules``) is a table; its text per site is joined to the pages, by broadcast while it is small,
+    and every page is read in one pass.  Pages of a site without rules have no cards and are left out.
     """
-    df = tokenized(pages)
-    tokens = F.col(TOKENS)
-    slices_of = lambda a: F.transform(H.select(tokens, a.card), lambda c: H.subtree(tokens, c))
-    if isinstance(adapters, Adapter):
-        slices = slices_of(adapters)
-        fields = {name: spec.read(F.col("_card")) for name, spec in adapters.fields.items()}
-    else:
-        slices = by_site(F.col("site"), {a.site: slices_of(a) for a in adapters})
-        fields = {}
-        for name in dict.fromkeys(n for a in adapters for n in a.fields):
-            own = {a.site: a.fields[name] for a in adapters if name in a.fields}
-            reads = {site: F.array_join(f.read(F.col("_card")), ",") if f.every else f.read(F.col("_card")) for site, f in own.items()}
-            fields[name] = by_site(F.col("site"), reads, F.lit(""))
-    cards = df.select(*_others(df), F.posexplode(slices).alias("pos", "_card"))
-    return cards.select(*_others(df), F.col("pos").cast("bigint").alias("pos"), *[c.alias(name) for name, c in fields.items()])
-
-
-def detail_dates(pages: DataFrame) -> DataFrame:
-    """First upload date of each detail page: (url, upload_date), '' if it shows none."""
-    df = tokenized(pages)
-    date = H.nth_text(F.col(TOKENS), _cls("date-display-single", inside=_cls("view-content", tags=("div",))))
-    return df.select("url", date.alias("upload_date"))
+    texts = broadcast_if_small(S.rules_by_site(rules).withColumnRenamed("site", "_site"))
+    named = pages.withColumn("_site", F.col("site") if site is None else site)
+    return named.join(texts, "_site").withColumn("_cards", S.card_values("html", "_rules")).drop("html", "_rules", "_site")
+
+
+def card_columns(card: Column, fields: Iterable[str]) -> list[Column]:
+    """The named fields of a card as columns; a field that its site lacks is empty."""
+    return [F.coalesce(F.try_element_at(card["values"], F.lit(name)), F.lit("")).alias(name) for name in fields]
+
+
+def extract_cards(pages: DataFrame, rules: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """One row per card with its fields; ``pages`` has a ``site`` column, lists are joined by commas."""
+    cards = with_cards(pages, rules).select(*_others(pages), F.posexplode("_cards").alias("pos", "_card"))
+    return cards.select(*_others(pages), F.col("pos").cast("bigint").alias("pos"), *card_columns(F.col("_card"), fields))
+
+
+def detail_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, upload_date, detail_text) of detail pages: the first container of the first kind that a page has; '' if it has none."""
+    found = with_cards(pages.select("url", "html"), rules, F.lit("upsc_detail"))
+    return found.select("url", *card_columns(F.get("_cards", F.lit(0)), ("upload_date", "detail_text")))
+
+
+def listed_details(lists: DataFrame, pages: DataFrame, rules: DataFrame, cap: int) -> DataFrame:
+    """Anchors of list pages with what their detail pages say: (page columns), pos, title, detail_url, exam_date, detail_text.
+
+    On every list page anchors without a title or address are skipped, the first of equal addresses counts and the first ``cap`` stay:
+    all of that happens within the row of the page.  Only pages that an anchor leads to are parsed.  Where the detail page is missing or
+    shows no date, the usual phrase stands.
+    """
+    df = with_cards(lists, rules, F.lit("upsc_active"))
+    read = F.transform("_cards", lambda c: F.struct(c["values"]["title"].alias("title"), url_normalize(url_absolute(c["values"]["href"], F.col("url"))).alias("detail_url")))
+    named = F.filter(read, lambda c: (c.title != "") & (c.detail_url != ""))
+    first = H.let(named, lambda all_of: H.let(F.transform(all_of, lambda c: c.detail_url), lambda urls: F.filter(all_of, lambda c, i: F.array_position(urls, c.detail_url) == i + 1)))
+    keep = [c for c in lists.columns if c != "html"]
+    rows = df.select(*keep, F.posexplode(F.slice(first, 1, cap)).alias("pos", "_a")).select(*keep, F.col("pos").cast("bigint").alias("pos"), "_a.title", "_a.detail_url")
+    wanted = rows.select(F.col("detail_url").alias("url")).distinct()
+    details = detail_pages(pages.join(wanted, "url", "left_semi").dropDuplicates(["url"]), rules).withColumnRenamed("url", "detail_url")
+    joined = rows.join(details, "detail_url", "left")
+    return joined.select(*keep, "pos", "title", "detail_url", first_present("upload_date", F.lit(K.UPSC_EXAM_DATE)).alias("exam_date"), text_or_empty("detail_text").alias("detail_text"))
+
+
+def recruitment_title(title: Column | str) -> Column:
+    """The title of an advertisement, with the commission's name in front unless it is there."""
+    title = F.col(title) if isinstance(title, str) else title
+    return F.when(F.lower(title).startswith(K.UPSC_PREFIX.lower()), title).otherwise(F.concat(F.lit(K.UPSC_PREFIX + " "), title))
+
+
+_RAC_CARD = Select(tags=("div",), attr="data-bs-target", attr_starts="#offcanvas")
+
+
+def _first_piece(card: Column, words: list[str]) -> Column:
+    """The first text piece of a card that holds one of the words."""
+    pieces = F.transform(F.filter(card, lambda t: t.kind == "text"), lambda t: normalize_spaces(t.text))
+    return F.coalesce(F.get(F.filter(pieces, lambda p: contains_any(F.lower(p), words)), F.lit(0)), F.lit(""))
 
 
 def rac_notices(pages: DataFrame) -> DataFrame:
@@ -182,8 +122,8 @@ def rac_notices(pages: DataFrame) -> DataFrame:
     card_text, panel_text, links (pos, label, href; absolute, a blank label is replaced), primary_url.
     """
     df = tokenized(pages)
-    tokens, adapter = F.col(TOKENS), ADAPTERS["rac"]
-    blocks = H.select(tokens, adapter.card)
+    tokens = F.col(TOKENS)
+    blocks = H.select(tokens, _RAC_CARD)
     target_of = lambda b: F.regexp_replace(strip_spaces(b.attrs["data-bs-target"]), "^#+", "")
 
     def links(part: Column) -> Column:
@@ -203,8 +143,9 @@ def rac_notices(pages: DataFrame) -> DataFrame:
         F.filter(F.col("_panels"), lambda p: p.target == name), F.lit(0))).alias("panel")))
     keep = [c for c in _others(df) if c not in ("_targets", "_panels")]
     rows = df.select(*keep, F.explode(F.filter(joined, lambda x: x.panel.isNotNull())).alias("_b"))
-    fields = [adapter.fields[f].read(F.col("_b.card")).alias(f) for f in ("number", "summary", "card_text")]
-    rows = rows.select(*keep, *fields, "_b.panel.*")
+    card = F.col("_b.card")
+    fields = (H.nth_text(card, Select(classes=("advtHeading",))), _first_piece(card, K.CARD_WORDS["rac", "summary"]), normalize_spaces(H.text_of(card)))
+    rows = rows.select(*keep, *[f.alias(n) for f, n in zip(fields, ("number", "summary", "card_text"), strict=True)], "_b.panel.*")
     title = strip_spaces(F.concat(F.lit(K.RAC_TITLE), F.col("number")))
     named = F.filter("links", lambda x: F.lower(x.label).contains("advertisement"))
     return rows.withColumns({"title": F.when(F.col("summary") == "", title).otherwise(F.concat(title, F.lit(" - "), "summary")),

@@ -144,7 +144,7 @@ def _card_pages(spark, sf) -> DataFrame:
 def _plain_cards(cards: DataFrame) -> DataFrame:
     """The adapters' fields on common columns, cleaned as each site needs."""
     site = F.col("site")
-    title = PG.by_site(site, {"ibps": T.first_present("role", "card_text"), "upsc_recruitment": T.strip_size_note("title")}
+    title = PG.by_site(site, {"ibps": T.first_present("role", "card_text"), "upsc_recruitment": PG.recruitment_title(T.strip_size_note("title"))}
                        | {name: rule("title") for name, rule in T.CARD_TITLES.items()}, F.col("title"))
     company = PG.by_site(site, {"ibps": F.col("org")}, F.col("company"))
     extra = PG.by_site(site, {
@@ -173,15 +173,43 @@ def _card_oracle() -> str:
     for i, (site, _) in enumerate(CARD_PAGES):
         url0, url1, company0, company1, place, salary, extra0, extra1 = _CARD_SQL[site]
         where = f"FROM v_listings WHERE seq % {len(CARD_PAGES)} = {i}"
-        parts.append(f"SELECT '{site}' AS site, seq, cast(0 AS bigint) AS pos, 'Clerk ' || k AS title, {company0} AS company, {place} AS job_location, "
+        prefix = "UPSC " if site == "upsc_recruitment" else ""
+        parts.append(f"SELECT '{site}' AS site, seq, cast(0 AS bigint) AS pos, '{prefix}Clerk ' || k AS title, {company0} AS company, {place} AS job_location, "
                      f"{salary} AS salary, {url0} AS url, {extra0} AS extra {where}")
-        parts.append(f"SELECT '{site}', seq, 1, 'Peon', {company1}, '', '', {url1}, {extra1} {where}")
+        parts.append(f"SELECT '{site}', seq, 1, '{prefix}Peon', {company1}, '', '', {url1}, {extra1} {where}")
     return "\nUNION ALL ".join(parts)
 
 
 @query("extract_cards", _card_oracle())
 def extract_cards(spark, sf):
-    return _plain_cards(PG.extract_cards(_card_pages(spark, sf), [PG.ADAPTERS[site] for site, _ in CARD_PAGES]))
+    rules = dims.card_rules(spark)
+    fields = sorted({name for site, _, _, own in K.CARD_SELECTORS if site in dict(CARD_PAGES) for name, *_ in own})
+    return _plain_cards(PG.extract_cards(_card_pages(spark, sf), rules, fields))
+
+
+# One list page per 20 customers: an anchor each, some without a title, some twice.  Every fourth detail page is missing, others have
+# another container, none at all, or no date.
+_ANCHOR = """'<div class="views-row"><a href="/exam/' || cast(k AS string) || '">' || CASE WHEN k % 7 = 3 THEN ' ' ELSE 'Exam  ' || cast(k AS string) END || '</a>' ||
+  CASE WHEN k % 5 = 0 THEN '<a href="/exam/' || cast(k AS string) || '#top">Again</a>' ELSE '' END || '</div>'"""
+_DETAIL = """'<html><body><div class="view-filters"><span class="date-display-single">no</span></div>' || CASE k % 3 WHEN 0 THEN '<div class="region-content">later</div><div class="view-content">'
+  WHEN 1 THEN '<div class="region-content">' ELSE '<div class="other">' END || CASE WHEN k % 2 = 0 THEN '<p><span class="date-display-single"> ' || cast(k % 28 + 1 AS string) ||
+  '/02/2026</span></p><span class="date-display-single">01/01/2025</span>' ELSE '<p>None</p>' END || '</div></body></html>'"""
+
+
+@query("join_detail_pages", """
+WITH a AS (SELECT c_custkey AS k, c_custkey // 20 AS list_id, unnest(CASE WHEN c_custkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS nth FROM customer),
+t AS (SELECT *, CASE WHEN nth = 1 THEN 'Again' WHEN k % 7 = 3 THEN '' ELSE 'Exam ' || k END AS title FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY list_id, k ORDER BY nth) AS rn FROM t WHERE title <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY k) - 1 AS pos FROM f WHERE rn = 1)
+SELECT list_id, pos, title, 'https://u.example.com/exam/' || k AS detail_url, CASE WHEN k % 4 <> 1 AND k % 3 < 2 AND k % 2 = 0 THEN (k % 28 + 1) || '/02/2026' ELSE 'As per UPSC schedule' END AS exam_date,
+  CASE WHEN k % 4 = 1 OR k % 3 = 2 THEN '' WHEN k % 2 = 0 THEN (k % 28 + 1) || '/02/2026 01/01/2025' ELSE 'None' END AS detail_text FROM r WHERE pos < 12""")
+def join_detail_pages(spark, sf):
+    customers = table(spark, sf, "customer", heavy=True).select(F.col("c_custkey").alias("k"))
+    lists = customers.groupBy(F.expr("k div 20").alias("list_id")).agg(F.sort_array(F.collect_list(F.struct("k", F.expr(_ANCHOR).alias("a")))).alias("a"))  # 20 at most
+    lists = lists.select("list_id", F.lit("https://u.example.com/exams").alias("url"), F.concat(F.lit('<div class="view-content">'), F.array_join("a.a", ""), F.lit("</div>")).alias("html"))
+    pages = customers.where("k % 4 <> 1").select(F.concat(F.lit("https://u.example.com/exam/"), F.col("k").cast("string")).alias("url"), F.expr(_DETAIL).alias("html"))
+    found = PG.listed_details(lists, pages, dims.card_rules(spark), K.OFFICIAL_SOURCE_CAPS["upsc_active"])
+    return found.select("list_id", "pos", "title", "detail_url", "exam_date", "detail_text")
 
 
 # Every third page has no summary; every fourth block points at a panel that is not there.

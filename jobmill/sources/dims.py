@@ -13,6 +13,8 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     def literal(value) -> str:
         if isinstance(value, list):
             return "array(" + ", ".join(literal(v) for v in value) + ")"
+        if isinstance(value, bool):
+            return str(value).lower()
         return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
 
     names, types = zip(*(part.strip().split(" ", 1) for part in schema.split(", ")))
@@ -68,3 +70,10 @@ def locker_dim(spark: SparkSession) -> DataFrame:
 def rich_dim(spark: SparkSession) -> DataFrame:
     rows = [(c, *values) for c, values in K.RICH_CONSTANTS.items()]
     return inline(spark, rows, "category string, badge string, type string, status string, date string")
+
+
+def card_rules(spark: SparkSession) -> DataFrame:
+    """One row per site, card selector and field; ``nth`` -1 stands for all matches."""
+    rows = [(site, card, card_sel, field, sel, attr, nth, nth < 0, K.CARD_FALLBACKS.get((site, field), ""), K.CARD_WORDS.get((site, field), []))
+            for site, card, card_sel, fields in K.CARD_SELECTORS for field, sel, attr, nth in fields]
+    return inline(spark, rows, "site string, card int, card_sel string, field string, sel string, attr string, nth int, every boolean, fallback string, words array<string>")

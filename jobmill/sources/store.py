@@ -1,88 +1,159 @@
-"""Versioned snapshot folders.
+"""Versioned snapshot folders for several writers.
 
-A version is a folder of Parquet files of its own plus one row in the ``versions`` table, written last.  Readers
-take the newest row of that table and only open the folders it names, so a half-written or failed
-version is never seen, and nothing is overwritten.  The row also holds the schema, so an empty version reads as
-empty, and the batch it came from, so a retried batch is known whatever number its version got.
+The rows of a version lie in parts, each a folder of Parquet files that is written once.  A version is a commit record: a small
+file, named by its number, that lists the parts, the schema and the newest batch of every stream in them.  A record is only
+created if its number is free, so of two writers that start from one version one gets the next number and the
+other learns of it; it then looks at the newer version, drops the rows that this one holds by now, and tries the next
+number.  Readers open the parts of the newest record; what no record names is never seen, and nothing is overwritten.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_LOG = "version bigint, base bigint, folder string, schema string, stream string, batch bigint"
+from jobmill.session import broadcast_if_small
+from jobmill.sources import files
 
+MOST_PARTS = 32
+
+
+class Version(NamedTuple):
+    number: int
+    parts: tuple[str, ...]
+    schema: str
+    streams: dict[str, int]
 
-class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-
-    def _log(self) -> DataFrame | None:
-        """The version table, or None before the first publication; any other fault is raised."""
-        jvm, path = self.spark._jvm, f"{self.root}/versions"
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        if not place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
-            return None
-        return self.spark.read.schema(_LOG).parquet(path)
 
-    def latest(self) -> tuple[int, int] | None:
-        """(version, first version that belongs to it), or None before the first publication."""
-        log = self._log()
-        row = log.agg(F.max(F.struct("version", "base")).alias("v")).first() if log is not None else None
-        return (row.v.version, row.v.base) if row and row.v else None
+class VersionConflict(RuntimeError):
+    """The snapshot is no longer the version that a replacement was made for."""
+
+
+class SnapshotStore:
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = MOST_PARTS) -> None:
+        self.spark, self.root, self.most_parts = spark, root, most_parts
+
+    # -------------------------------------------------------------- records
+
+    def versions(self) -> list[int]:
+        found = files.names(self.spark, f"{self.root}/commits")
+        return sorted(int(name[:-5]) for name in found if name.endswith(".json") and name[:-5].isdigit())
+
+    def version(self, number: int) -> Version:
+        record = json.loads(files.read_text(self.spark, f"{self.root}/commits/{number:020d}.json"))
+        return Version(number, tuple(record["parts"]), record["schema"], record["streams"])
+
+    def latest(self) -> Version | None:
+        numbers = self.versions()
+        return self.version(numbers[-1]) if numbers else None
+
+    @staticmethod
+    def _widened(head: Version | None, rows: DataFrame) -> str:
+        """The schema of ``rows`` with the columns that only the snapshot has behind."""
+        held = StructType.fromJson(json.loads(head.schema)).fields if head else []
+        return StructType([*rows.schema.fields, *(f for f in held if f.name not in rows.columns)]).json()
+
+    def _commit(self, after: Version | None, parts: tuple[str, ...], schema: str, batch: tuple[str, int] | None) -> Version | None:
+        """The next version, or None if another writer has it."""
+        streams = dict(after.streams) if after else {}
+        if batch:
+            streams[batch[0]] = batch[1]
+        version = Version(after.number + 1 if after else 1, parts, schema, streams)
+        record = json.dumps({"parts": parts, "schema": schema, "streams": streams})
+        return version if files.create_new(self.spark, f"{self.root}/commits/{version.number:020d}.json", record) else None
+
+    @staticmethod
+    def _holds(version: Version | None, batch: tuple[str, int] | None) -> bool:
+        return bool(version and batch and version.streams.get(batch[0], -1) >= batch[1])
 
     def published(self, batch: tuple[str, int]) -> bool:
-        """Whether this batch (stream, number) is part of a version already."""
-        log = self._log()
-        return log is not None and bool(log.where((F.col("stream") == batch[0]) & (F.col("batch") == batch[1])).limit(1).count())
+        """Whether this batch (stream, number), or a later one of its stream, is part of the snapshot."""
+        return self._holds(self.latest(), batch)
+
+    # -------------------------------------------------------------- rows
 
-    def _publish(self, rows: DataFrame, version: int, base: int, batch: tuple[str, int] | None) -> int:
-        folder = f"data/version-{version}-{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame) -> str:
+        part = uuid.uuid4().hex
         # Rebalancing splits a large category and merges crumbs, so file sizes stay even.
-        rows.hint("rebalance", "category").write.partitionBy("category").parquet(f"{self.root}/{folder}")
-        stream, number = batch or (None, None)
-        row = (version, base, folder, rows.schema.json(), stream, number)
-        self.spark.createDataFrame([row], _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
-        return version
-
-    def replace(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Publish ``rows`` as the whole snapshot; a batch that is published already does nothing."""
-        last = self.latest()
-        if last and batch and self.published(batch):
-            return last[0]
-        version = last[0] + 1 if last else 1
-        return self._publish(rows, version, version, batch)
-
-    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Publish the current snapshot plus ``rows``; only ``rows`` are written."""
-        last = self.latest()
-        if last and batch and self.published(batch):
-            return last[0]
-        version = last[0] + 1 if last else 1
-        return self._publish(rows, version, last[1] if last else version, batch)
+        rows.hint("rebalance", "category").write.partitionBy("category").parquet(f"{self.root}/data/snapshot_part={part}")
+        return part
+
+    def _open(self, parts: tuple[str, ...], schema: str) -> DataFrame:
+        kind = StructType.fromJson(json.loads(schema))
+        paths = [f"{self.root}/data/snapshot_part={part}" for part in parts]
+        return self.spark.read.schema(kind).option("basePath", f"{self.root}/data").parquet(*paths).select(*kind.names)
+
+    def _unknown(self, rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows whose keys are not held: the snapshot is scanned for the keys alone and, while the rows are few, not shuffled."""
+        known = held.select(*keys).join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
+        return rows.join(known, keys, "left_anti")
+
+    # -------------------------------------------------------------- writers
+
+    def replace(self, rows: DataFrame, batch: tuple[str, int] | None = None, expected: int | None = None) -> int:
+        """Publish ``rows`` as the whole snapshot; a batch that is published already does nothing.
+
+        With ``expected`` the replacement is refused once the snapshot is not that version any more; without, the last one counts.
+        """
+        head, part = self.latest(), None
+        while not self._holds(head, batch):
+            if expected is not None and (head.number if head else 0) != expected:
+                raise VersionConflict(f"made for version {expected}, the snapshot is version {head.number if head else 0}")
+            part = part or self._write(rows)
+            done = self._commit(head, (part,), rows.schema.json(), batch)
+            if done:
+                return done.number
+            head = self.latest()
+        return head.number
+
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None, keys: list[str] | None = None) -> int:
+        """Publish the current snapshot plus ``rows``; only new rows are written.
+
+        With ``keys``, rows whose keys the snapshot holds are left out (``rows`` hold a key once); where another writer comes first,
+        what it added is looked up too before the next attempt.  ``rows`` may be read more than once.
+        """
+        head, fresh, seen, part = self.latest(), rows, (), None
+        while not self._holds(head, batch):
+            parts = head.parts if head else ()
+            if part is None or keys:
+                added = parts[len(seen):]
+                fresh = self._unknown(fresh, self._open(added, head.schema), keys) if keys and added else fresh
+                part = part if part and not added else self._write(fresh)
+            done = self._commit(head, (*parts, part), self._widened(head, rows), batch)
+            if done:
+                if len(done.parts) > self.most_parts:
+                    self.compact()
+                return done.number
+            newer = self.latest()
+            if keys:
+                # Only parts that were added since need a look, unless the parts looked at are gone.
+                grown = newer.parts[:len(parts)] == parts
+                fresh, seen = (self._open((part,), rows.schema.json()), parts) if grown else (rows, ())
+                part = part if grown and newer.parts == parts else None
+            head = newer
+        return head.number
 
     def compact(self) -> int | None:
-        """Rewrite a snapshot of many appended versions as one."""
-        rows = self.read()
-        return None if rows is None else self.replace(rows)
-
-    def read(self) -> DataFrame | None:
-        """The published rows; columns that an older part of the snapshot lacks are null."""
-        last = self.latest()
-        if last is None:
+        """Rewrite the parts of the snapshot as one; parts that others add meanwhile stay."""
+        head = self.latest()
+        if head is None:
             return None
-        parts = self._log().where(F.col("version").between(last[1], last[0])).select("folder", "schema", "version").orderBy("version").collect()
-        schema = StructType.fromJson(json.loads(parts[-1].schema))
-        frames = [self.spark.read.schema(schema).parquet(f"{self.root}/{p.folder}") for p in parts]
-        whole = frames[0]
-        for frame in frames[1:]:
-            whole = whole.unionByName(frame)
-        return whole.select(*schema.names)
+        part, now = self._write(self._open(head.parts, head.schema)), head
+        while now.parts[:len(head.parts)] == head.parts:
+            done = self._commit(now, (part, *now.parts[len(head.parts):]), now.schema, None)
+            if done:
+                return done.number
+            now = self.latest()
+        return now.number  # replaced meanwhile
+
+    def read(self, number: int | None = None) -> DataFrame | None:
+        """The published rows, of the newest version or a given one; columns that an older part lacks are null."""
+        version = self.latest() if number is None else self.version(number)
+        return None if version is None else self._open(version.parts, version.schema)
 
 
 def latest_of(spark: SparkSession, runtime: str, base: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobmill.operators.admission import with_url_key
 from jobmill.operators.dedupe import first_per_key
-from jobmill.session import broadcast_if_small
 from jobmill.sources.store import SnapshotStore
 
 
@@ -48,7 +47,7 @@ def publish_result(stream: DataFrame, store: SnapshotStore, checkpoint: str) ->
 
 
 def merge_into_snapshot(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
-    """Every batch adds its new listings to the published snapshot, whoever published that.
+    """Every batch adds its new listings to the published snapshot, whoever published that, and while others do.
 
     Only the addresses of the batch are looked up in the snapshot (it is scanned for two columns and
     not shuffled while the batch is small), and only new rows are written.  A retried batch is known by
@@ -57,17 +56,11 @@ def merge_into_snapshot(stream: DataFrame, store: SnapshotStore, checkpoint: str
     keys = ["category", "url_key"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if store.published((checkpoint, batch_id)):
-            return
         fresh = first_per_key(with_url_key(batch).where("url_key <> ''"), keys).persist()
-        current = store.read()
-        new = fresh
-        if current is not None:
-            batch_keys = broadcast_if_small(fresh.select(*keys))
-            known = current.select(*keys).join(batch_keys, keys, "left_semi")
-            new = fresh.join(known, keys, "left_anti")
-        store.append(new, (checkpoint, batch_id))
-        fresh.unpersist()
+        try:
+            store.append(fresh, (checkpoint, batch_id), keys)
+        finally:
+            fresh.unpersist()
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

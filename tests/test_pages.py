@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from jobmill import constants as K
 from jobmill.functions import html as H
+from jobmill.functions import selectors as S
 from jobmill.functions.html import Select
 from jobmill.operators import pages as PG
+from jobmill.sources import dims
 
 
 def page(spark, html, url="https://h.example.com/a/b"):
@@ -98,19 +101,76 @@ def test_many_dropped_elements_cost_one_pass(spark):
     assert one(PG.html_deep_clean(page(spark, html)), F.length("clean_text")) == len(" ".join(f"k{i}" for i in range(3000)))
 
 
-def test_detail_dates(spark):
-    html = "<div class='view-content'><span class='date-display-single'>01/02/2026</span><span class='date-display-single'>x</span></div>"
-    assert PG.detail_dates(page(spark, html)).first().upload_date == "01/02/2026"
+@pytest.mark.parametrize("html,date", [
+    ("<div class='view-content'><span class='date-display-single'>01/02/2026</span><span class='date-display-single'>x</span></div>", "01/02/2026"),
+    ("<div class='region-content'><i class='date-display-single'>no</i></div><div class='view-content'>t</div>", ""),
+    ("<div class='region-content'><i class='date-display-single'>3</i></div><div class='region-content'><i class='date-display-single'>4</i></div>", "3"), ("<p class='date-display-single'>no</p>", "")])
+def test_detail_pages_fall_back_to_the_second_container(spark, html, date):
+    assert PG.detail_pages(page(spark, html), dims.card_rules(spark)).first().upload_date == date
+
+
+@pytest.mark.parametrize("selector,paths", [
+    ("a", [[(False, "a", (), "", ())]]), (".x.y > b , #i", [[(False, "", ("x", "y"), "", ()), (True, "b", (), "", ())], [(False, "", (), "i", ())]]),
+    ("div[data-a^='#o'] a[href]", [[(False, "div", (), "", (("data-a", "^=", "#o"),)), (False, "a", (), "", (("href", "", ""),))]]),
+    ('P[x*="a b"][y=c]', [[(False, "p", (), "", (("x", "*=", "a b"), ("y", "=", "c")))]])])
+def test_selectors_are_parsed(selector, paths):
+    assert [[tuple(t) for t in path] for path in S.parse(selector)] == paths
+
+
+@pytest.mark.parametrize("selector", ["", " ", "a >", "> a", "a,", "a > > b", "a[", "a:hover", ",a"])
+def test_what_is_no_selector_is_refused(selector):
+    with pytest.raises(ValueError):
+        S.parse(selector)
+
+
+def test_the_automaton_agrees_with_testing_every_element(spark):
+    import random
+
+    rng = random.Random(5)
+    selectors = [".a .b > i", "p > .a, i[x*=u] b", "#k i", "b b", "*", "p p > p", "i[x^=u]", ".a.b", "b > *", ".a > .a > .b"]
+
+    def fits(chain, path):
+        if not path[-1].fits(chain[-1][0], frozenset(chain[-1][1].get("class", "").split()), chain[-1][1].get("id", ""), chain[-1][1]):
+            return False
+        if len(path) == 1:
+            return True
+        tops = [chain[:-1]] if path[-1].child else [chain[:n] for n in range(1, len(chain))]
+        return any(t and fits(t, path[:-1]) for t in tops)
+
+    for _ in range(60):
+        automaton, chain, state = S.Automaton(selectors), [], 0
+        for _ in range(7):
+            attrs = {n: v for n, v in (("class", rng.choice(["", "a", "b", "a b"])), ("id", rng.choice(["", "k"])), ("x", rng.choice(["", "u", "vu"]))) if v}
+            chain.append((rng.choice("pib"), attrs))
+            matched, state = automaton.step(state, *chain[-1])
+            assert list(matched) == [n for n, s in enumerate(selectors) if any(fits(chain, p) for p in S.parse(s))]
+
+
+def test_cards_lie_in_cards_and_sites_without_rules_have_none(spark):
+    rules = spark.createDataFrame([("s", 0, ".c", "t", ".t", "", 0, False, "none", []), ("s", 0, ".c", "all", ".t", "", 0, True, "", []), ("s", 0, ".c", "id", "", "id", 0, False, "", []),
+                                   ("s", 0, ".c", "w", "", "", 0, False, "", ["zwei"])],
+                                  "site string, card int, card_sel string, field string, sel string, attr string, nth int, every boolean, fallback string, words array<string>")
+    html = "<div class='c' id='1'>eins<div class='c' id='2'><b class='t'>a</b> Zwei  drei</div><b class='t'>b</b></div><b class='t'>out</b><div class='c'>x"
+    pages = page(spark, html).withColumn("site", F.lit("s")).unionByName(page(spark, html).withColumn("site", F.lit("other")))
+    rows = [(r.pos, r.t, r["all"], r.id, r.w, r.no) for r in PG.extract_cards(pages, rules, ["t", "all", "id", "w", "no"]).collect()]
+    assert sorted(rows) == [(0, "a", "a,b", "1", "Zwei drei", ""), (1, "a", "a", "2", "Zwei drei", ""), (2, "none", "", "", "", "")]
+
+
+def test_every_site_has_rules_and_the_notice_blocks_are_found(spark):
+    html = "<div data-bs-target='#offcanvas3'><b class='advtHeading'>7</b><p>Selection of Scientist B</p></div><div data-bs-target='#x'></div>"
+    row = PG.extract_cards(page(spark, html).withColumn("site", F.lit("rac")), dims.card_rules(spark), ["target", "number", "summary"]).collect()
+    assert [(r.target, r.number, r.summary) for r in row] == [("#offcanvas3", "7", "Selection of Scientist B")]
+    assert {r.site for r in dims.card_rules(spark).collect()} == {site for site, *_ in K.CARD_SELECTORS}
 
 
 def test_tokens_and_cuts_take_linear_time(spark):
     import time
 
-    from jobmill.functions.html import _tokenize_page
+    from jobmill.functions.html import tokenize_page
 
     def seconds(n):
         start = time.process_time()
-        rows = _tokenize_page("<p>x" * n + "</i></p>" * n)
+        rows = tokenize_page("<p>x" * n + "</i></p>" * n)
         assert len(rows) == 3 * n and rows[0][1] == 3 * n - 1
         return time.process_time() - start
 
