@@ -164,18 +164,29 @@ def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ..
 _ADMITTED = "source_group string, category string, url_key string, seq bigint"
 
 
-def admit_capped(rows: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """Admitted (source_group, category, url_key, seq) of plain arrival order, without pages."""
+def admit_capped(rows: DataFrame, caps: dict[str, int] | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """Admitted (source_group, category, url_key, seq) of plain arrival order, without pages.
+
+    ``taken`` (source_group, category, url_key) are addresses that earlier runs admitted: a group goes on with them and with the room they
+    leave.  They are S at most in a group, so the first S addresses of a category are all that can matter then too.
+    """
     caps = caps or K.CATEGORY_CAPS
     head = head_of_categories(_capped_only(rows, caps), caps)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
         group = _Group(caps)
+        if before is not None:
+            for category, url in zip(before["category"], before["url_key"]):
+                group.taken.add(url)
+                group.counts[category] += 1
         frame = frame.sort_values("seq")
         mask = [group.admit(c, u) for c, u in zip(frame["category"], frame["url_key"])]
         return frame.loc[mask, ["source_group", "category", "url_key", "seq"]]
 
-    return head.groupBy("source_group").applyInPandas(fold, _ADMITTED)
+    if taken is None:
+        return head.groupBy("source_group").applyInPandas(lambda frame: fold(frame), _ADMITTED)
+    held = _capped_only(taken, caps).select("source_group", "category", "url_key")
+    return head.groupBy("source_group").cogroup(held.groupBy("source_group")).applyInPandas(lambda frame, before: fold(frame, before), _ADMITTED)
 
 
 def admit_pages(rows: DataFrame, caps: dict[str, int] | None = None, page_limit: int = K.PAGE_LIMIT,

@@ -102,16 +102,20 @@ def with_required(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def search_listings(listings: DataFrame, query: str, source: str = "all",
-                    house: str = K.DEFAULT_HOUSE) -> DataFrame:
-    """Facet on the source and substring search over eight fields joined by blanks."""
-    shown_source = first_present("source", F.lit(house))
+def searched_text(house: str = K.DEFAULT_HOUSE) -> Column:
+    """What a search looks at: eight fields joined by blanks, in lower case."""
     fields = [text_or_empty(c) for c in ("title", "company", "job_location", "state_label", "salary", "experience")]
-    fields += [text_or_empty(F.array_join("skills", " ", "")), shown_source]
+    fields += [text_or_empty(F.array_join("skills", " ", "")), first_present("source", F.lit(house))]
     parts = [p for f in fields for p in (f, F.lit(" "))][:-1]
-    found = F.lower(F.concat(*parts)).contains(query.strip().lower())
+    return F.lower(F.concat(*parts))
+
+
+def search_listings(listings: DataFrame, query: str, source: str = "all",
+                    house: str = K.DEFAULT_HOUSE) -> DataFrame:
+    """Facet on the source and substring search over the searched text."""
+    found = searched_text(house).contains(query.strip().lower())
     if source != "all":
-        found = found & (shown_source == source)
+        found = found & (first_present("source", F.lit(house)) == source)
     return listings.where(found)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+from datetime import datetime
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
@@ -54,23 +58,47 @@ def home_top10(listings: DataFrame, manual: DataFrame, shown: int = 10, flagged:
                       (F.col("rank") <= flagged).alias("is_new"))
 
 
-def run_status(listings: DataFrame, categories: DataFrame, started_at: str, finished_at: str | None,
-               error: str | None = None, status: str | None = None) -> DataFrame:
-    """One run row with its counts.
+class Watch:
+    """Counts of listings per category and per source group, taken while something else reads them; needs no scan of its own."""
+
+    def __init__(self, listings: DataFrame, groups: Iterable[str] = K.SOURCE_GROUPS) -> None:
+        tests = {("category", c): F.col("category") == c for c in K.CATEGORIES} if "category" in listings.columns else {}
+        if "source_group" in listings.columns:
+            tests |= {("source", g): F.col("source_group") == g for g in groups}
+        tests["all", "rows"] = F.lit(True)
+        self.names, self.seen = list(tests), Observation()
+        self.rows = listings.observe(self.seen, *[F.count(F.when(test, 1)).alias(":".join(name)) for name, test in tests.items()])
+
+    def counts(self, kind: str) -> dict[str, int]:
+        """The counts by ``category`` or ``source``, once an action has read the rows."""
+        try:
+            found = self.seen.get
+        except Py4JJavaError as error:
+            if "AssertionError" not in error.java_exception.getClass().getName():
+                raise
+            found = {}  # Spark knew beforehand that there are no rows and read none
+        return {name: found.get(f"{k}:{name}", 0) for k, name in self.names if k == kind}
+
+    def total(self) -> int:
+        return self.counts("all")["rows"]
+
 
-    ``error`` makes it a failed run; it and a run that is still ``running`` (no end yet) have no counts.
+RUN = ("status string, started_at string, finished_at string, duration_seconds double, counts map<string,bigint>, sources array<string>, "
+       "source_counts map<string,bigint>, failures map<string,string>, error string")
+
+
+def run_status(spark: SparkSession, counts: dict[str, int], started_at: str, finished_at: str | None, error: str | None = None, status: str | None = None,
+               sources: Iterable[str] = K.RUN_SOURCES, source_counts: dict[str, int] | None = None, failures: dict[str, str] | None = None) -> DataFrame:
+    """One run row.
+
+    ``error`` makes it a failed run; it and a run that is still ``running`` (no end yet) have no counts.  A source that failed for
+    itself is named in ``failures`` with its error and does not fail the run.
     """
-    counts = counts_map(count_by_category(listings, categories))
-    end = F.lit(finished_at).cast("string")
-    seconds = F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(F.lit(started_at).cast("timestamp"))
+    seconds = None if finished_at is None else round((datetime.fromisoformat(finished_at) - datetime.fromisoformat(started_at)).total_seconds(), 2)
     status = status or ("error" if error is not None else "success")
-    return counts.select(
-        F.lit(status).alias("status"), F.lit(started_at).alias("started_at"), end.alias("finished_at"),
-        F.round(seconds.cast("double"), 2).alias("duration_seconds"),
-        (F.col("counts") if status == "success" else F.create_map().cast("map<string,bigint>")).alias("counts"),
-        F.array(*[F.lit(s) for s in K.RUN_SOURCES]).alias("sources"),
-        F.lit(error).cast("string").alias("error"),
-    )
+    done = status == "success"
+    row = (status, started_at, finished_at, seconds, counts if done else {}, list(sources), (source_counts or {}) if done else {}, failures or {}, error)
+    return spark.createDataFrame([row], RUN)
 
 
 def latest_status(workspaces: DataFrame, runs: DataFrame, key: str = "workspace") -> DataFrame:

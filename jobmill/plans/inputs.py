@@ -48,6 +48,21 @@ SELECT o_orderkey AS seq, o_custkey AS k,
   cast(o_orderdate AS date) AS posted_on
 FROM {{orders}}"""
 
+# The same as a run meets them: homepage blocks of one day, some links of them to a competitor; listing pages of one day; state
+# pages; one page per official source; market pages that only the category's cap ends.
+_DAY = "(year(posted_on) * 10000 + month(posted_on) * 100 + day(posted_on))"
+_PLACE_OF = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(K.CATEGORIES)) + " END"
+_HOME = "source_group IN ('SR', 'FJA', 'SE') AND seq % 4 = 0"
+_STATE_PAGE = "source_group = 'FJA' AND category = 'latest_jobs' AND seq % 4 = 3"
+_CAPS = "CASE category " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in K.CATEGORY_CAPS.items()) + " END"
+VIEWS["v_arrivals"] = f"""
+SELECT seq, k, source_group, source, title, body, posted_on, CASE WHEN source_group = 'OFFICIAL' THEN 'latest_jobs' ELSE category END AS category,
+  original_url || CASE WHEN {_HOME} AND seq % 12 = 8 THEN '?via=naukri.com' ELSE '' END AS original_url, CASE WHEN {_HOME} THEN 0 ELSE 1 END AS phase,
+  CASE WHEN source_group = 'OFFICIAL' THEN cast(k % 4 AS bigint) ELSE cast({_DAY} AS bigint) * 10 + {_PLACE_OF} + CASE WHEN {_STATE_PAGE} THEN 10000000000 ELSE 0 END END AS page_seq, seq AS pos,
+  cast(CASE WHEN source_group = 'OFFICIAL' THEN CASE k % 4 {' '.join(f'WHEN {i} THEN {n}' for i, n in enumerate(K.OFFICIAL_SOURCE_CAPS.values()))} END
+    WHEN source_group IN ('PRIVATE', 'REMOTE') THEN {_CAPS} WHEN {_STATE_PAGE} THEN {K.STATE_PAGE_LIMIT} ELSE {K.PAGE_LIMIT} END AS int) AS page_limit
+FROM {{v_listings}}"""
+
 # Links of listing pages: real and foreign hosts, skipped paths, social and mail addresses.
 _DOMAIN = pick("o_custkey", ["www.sarkariresult.com", "www.freejobalert.com", "www.SarkariExam.com", "sarkariujala.com"])
 VIEWS["v_links"] = f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
@@ -13,10 +15,12 @@ from jobmill.operators import joins as J
 from jobmill.operators import listings as L
 from jobmill.operators import people as PE
 from jobmill.operators import predicates as P
+from jobmill.operators import search as S
 from jobmill.operators import serving as SV
 from jobmill.plans import sql as Q
 from jobmill.plans.inputs import table, view
 from jobmill.plans.registry import query
+from jobmill.session import fresh_dir
 from jobmill.sources import dims
 from jobmill.functions.dates import format_market_date
 from jobmill.functions.numbers import format_currency_range
@@ -119,6 +123,20 @@ def search_listings(spark, sf):
     return P.search_listings(_served(spark, sf), " Engineer ", "Remotive").select("seq", "id", "title")
 
 
+_SEARCHES = (("engineer", "Remotive"), (" Remote ", "all"), ("a", "Remote OK"), ("no such text", "all"))
+
+
+@query("search_postings", _SERVED + ", x AS (SELECT *, " + f"""lower(title || ' ' || company || ' ' || job_location || ' ' || state_label || ' ' || salary
+  || ' ' || experience || ' ' || array_to_string(skills, ' ') || ' ' || coalesce(source, '{K.DEFAULT_HOUSE}')) AS t, coalesce(source, '{K.DEFAULT_HOUSE}') AS shown FROM s)
+""" + " UNION ALL ".join(f"SELECT '{q}' AS query, seq, id, title FROM x WHERE contains(t, '{q.strip().lower()}')" + ("" if f == "all" else f" AND shown = '{f}'") for q, f in _SEARCHES))
+def search_postings(spark, sf):
+    """The same search by trigram postings that are written beside the listings."""
+    listings, path = _served(spark, sf), fresh_dir(spark, "postings")
+    S.write_postings(listings, "seq", path)
+    found = [S.search_postings(spark, path, listings, "seq", q, f).select(F.lit(q).alias("query"), "seq", "id", "title") for q, f in _SEARCHES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def _stored(spark, sf):
     """Stored government rows with label and applicant columns, some missing."""
     rows = view(spark, sf, "v_listings")
@@ -363,35 +381,37 @@ def admission_stats(spark, sf):
     return A.admission_stats(_arrivals(spark, sf))
 
 
-# The same recursion with the state of the current page: its rows admitted so far and its limit.
-_PAGE_SEQ = "date_diff('day', date '1970-01-01', posted_on) * 10 + list_position([" + ", ".join(f"'{c}'" for c in K.CATEGORIES) + "], category)"
-PAGES_SQL = _KEYED.replace("WITH ", "WITH RECURSIVE ") + f"""
-, p AS (SELECT source_group, category, url_key, {_PAGE_SEQ} AS page, min(seq) AS seq FROM l GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY page, seq) AS rn, {_CAP} AS cap FROM p),
+# The same recursion with the state of the current page: its rows admitted so far and its limit.  A homepage block of a category that is full
+# is skipped, except that SR still tries its first link (limit -1).
+def pages_sql(rows: str) -> str:
+    """The fold over ``rows`` (source_group, category, url_key, phase, page_seq, page_limit, seq), up to ``final`` (seq)."""
+    return f"""
+p AS (SELECT source_group, category, url_key, phase, page_seq, page_limit, min(seq) AS seq FROM {rows} GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY phase, page_seq, seq) AS rn, {_CAP} AS cap,
+  row_number() OVER (PARTITION BY source_group, phase, page_seq, category ORDER BY seq) = 1 AS is_head FROM p),
 steps(source_group, rn, taken, seqs, cats, page, added, lim) AS (
-  SELECT source_group, cast(0 AS bigint), cast([] AS varchar[]), cast([] AS bigint[]), cast([] AS varchar[]), cast(-1 AS bigint), cast(0 AS bigint), cast(0 AS bigint)
+  SELECT source_group, cast(0 AS bigint), cast([] AS varchar[]), cast([] AS bigint[]), cast([] AS varchar[]), '', cast(0 AS bigint), cast(0 AS bigint)
   FROM n WHERE rn = 1
   UNION ALL
   SELECT s.source_group, n.rn, CASE WHEN ok THEN list_append(s.taken, n.url_key) ELSE s.taken END,
     CASE WHEN ok THEN list_append(s.seqs, n.seq) ELSE s.seqs END, CASE WHEN ok THEN list_append(s.cats, n.category) ELSE s.cats END,
-    n.page, done + CASE WHEN ok THEN 1 ELSE 0 END, room
+    here, done + CASE WHEN ok THEN 1 ELSE 0 END, room
   FROM steps s JOIN n ON n.source_group = s.source_group AND n.rn = s.rn + 1,
-  LATERAL (SELECT CASE WHEN n.page = s.page THEN s.added ELSE 0 END AS done,
-    CASE WHEN n.page = s.page THEN s.lim ELSE least({K.PAGE_LIMIT}, n.cap - len(list_filter(s.cats, lambda c: c = n.category))) END AS room) r,
-  LATERAL (SELECT done < room AND NOT list_contains(s.taken, n.url_key) AS ok) o),
-final AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs, row_number() OVER (PARTITION BY source_group ORDER BY rn DESC) AS last FROM steps) z WHERE last = 1)
-SELECT l.source_group, l.category, l.url_key, l.seq FROM l JOIN final ON l.seq = final.seq"""
+  LATERAL (SELECT n.phase || '/' || n.page_seq || '/' || n.category AS here, len(list_filter(s.cats, lambda c: c = n.category)) AS have) h,
+  LATERAL (SELECT CASE WHEN here = s.page THEN s.added ELSE 0 END AS done, CASE WHEN here = s.page THEN s.lim WHEN n.phase = 1 THEN least(n.page_limit, n.cap - have)
+    WHEN have < least({K.HOME_LIMIT}, n.cap) THEN least({K.HOME_LIMIT}, n.cap) - have WHEN n.source_group = 'SR' AND have < n.cap THEN -1 ELSE 0 END AS room) r,
+  LATERAL (SELECT (done < room OR room = -1 AND n.is_head) AND NOT list_contains(s.taken, n.url_key) AS ok) o),
+final AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs, row_number() OVER (PARTITION BY source_group ORDER BY rn DESC) AS last FROM steps) z WHERE last = 1)"""
+
+
+_ARRIVED = f"WITH RECURSIVE l AS (SELECT *, {Q.norm_url('original_url')} AS url_key FROM v_arrivals)"
 
 
-@query("cap_per_page", PAGES_SQL)
+@query("cap_per_page", f"{_ARRIVED},{pages_sql('l')}\nSELECT l.source_group, l.category, l.url_key, l.seq FROM l JOIN final ON l.seq = final.seq")
 def cap_per_page(spark, sf):
-    """Listing pages of one day each: a page belongs to a group and a category, ten rows at most."""
-    rows = A.with_url_key(view(spark, sf, "v_listings")).withColumns({
-        "phase": F.lit(1),
-        "page_seq": F.datediff("posted_on", F.lit("1970-01-01").cast("date")).cast("bigint") * 10 + F.array_position(
-            F.array(*[F.lit(c) for c in K.CATEGORIES]), F.col("category")),
-        "pos": F.col("seq"), "page_limit": F.lit(K.PAGE_LIMIT)})
-    return A.admit_pages(rows)
+    """Homepage blocks, listing pages, state pages, official sources and markets, each with its own limit."""
+    rows = A.with_url_key(view(spark, sf, "v_arrivals"))
+    return A.admit_pages(rows, page_limit=max(K.CATEGORY_CAPS.values()), min_page_limit=K.STATE_PAGE_LIMIT)
 
 
 @query("cap_official_source", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from jobmill import constants as K
 from jobmill.functions import html as H
+from jobmill.functions.text import text_or_empty
 from jobmill.operators import admission as A
 from jobmill.operators import dedupe as D
 from jobmill.operators import joins as J
@@ -17,7 +19,7 @@ from jobmill.operators import pages as PG
 from jobmill.operators import predicates as P
 from jobmill.operators import serving as SV
 from jobmill.session import checkpointed
-from jobmill.sources import dims
+from jobmill.sources.registry import Outcome, run_sources
 from jobmill.sources.store import SnapshotStore
 
 
@@ -34,34 +36,49 @@ def article_texts(pages: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     return df.select("url_key", "page_title", F.coalesce("_fragment", H.text_of(F.col("_deep"))).alias("body_text"))
 
 
+MOST_BROADCAST_ROWS = 200_000
+
+
 def admit(arrivals: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS, caps: dict[str, int] | None = None) -> DataFrame:
     """Arrivals that enter the snapshot.
 
     Only narrow columns take part, and the bodies of refused rows are never looked at: admission
-    depends on address and category alone, so it runs before any page is joined or parsed.
+    depends on address, category and page alone, so it runs before any page is joined or parsed.
+
+    Arrivals with ``phase``, ``page_seq``, ``pos`` and ``page_limit`` are admitted page by page.  Phase 0 is a site's homepage: of each block the
+    first links count, whatever they are, and titled ones that lead to no competitor are tried.  Phase 1 are pages that stop at their own
+    limit: listing pages, state pages, and the pages of official sources and markets, whose limits are their caps.
     """
+    caps = caps or K.CATEGORY_CAPS
     crawled = F.col("source_group").isin(*K.SITE_DOMAINS)
-    candidates = arrivals.where(~crawled | P.is_listing_candidate("title", "original_url", "source_group", "category", domains))
-    narrow = A.with_url_key(candidates).select("source_group", "category", "url_key", "seq")
+    listed = ~crawled | P.is_listing_candidate("title", "original_url", "source_group", "category", domains)
+    if "page_seq" not in arrivals.columns:
+        narrow = A.with_url_key(arrivals.where(listed)).select("source_group", "category", "url_key", "seq")
+        admitted = A.admit_capped(narrow, caps)
+    else:
+        first = D.first_n(arrivals.where("phase = 0"), ["source_group", "category", "page_seq"], "pos", K.HOME_LIMIT)
+        home = first.where((text_or_empty("title") != "") & (text_or_empty("original_url") != "") & ~P.is_competitor("original_url", "source_group"))
+        both = A.with_url_key(home.unionByName(arrivals.where("phase = 1").where(listed)))
+        admitted = A.admit_pages(both, caps, page_limit=max(caps.values()), min_page_limit=1)
     # The admitted rows are candidates already, so the other side need not be tested again.
-    return A.with_url_key(A.admitted_rows(arrivals, A.admit_capped(narrow, caps)))
+    return A.with_url_key(A.admitted_rows(arrivals, admitted))
 
 
 def build_snapshot(arrivals: DataFrame, pages: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS,
                    caps: dict[str, int] | None = None, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     """Listings of one refresh.
 
-    ``arrivals`` has seq, source_group, source, category, original_url, title, and may carry the fields of market listings
+    ``arrivals`` has seq, source_group, source, category, original_url, title, may say on which page it stood (see ``admit``), and may carry the fields of market listings
     (company, job_location, salary, experience, posted_at, skills), facts of its source (``fact_last_date``,
     ``fact_vacancies``, ``fact_exam_date``, ``fact_category``) and ``source_rank``; ``pages`` has
     url_key, site, html.  A row without a page is built from its title alone.  Private and remote groups become market
     listings, the others are read from their page; a fact that the source states wins where it is not empty.
     """
     rows = checkpointed(admit(arrivals, domains, caps))
-    needed = pages.join(rows.select("url_key").distinct(), "url_key", "left_semi")
-    # Few pages are left, too few bytes to be spread by size, but each is costly to parse.
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = article_texts(needed.repartition(tasks, "url_key"), house).dropDuplicates(["url_key"])
+    # The caps bound the admitted rows of a group; while they are few, the pages are cut to theirs where they are read.
+    wanted = rows.select("url_key").distinct()
+    needed = pages.join(F.broadcast(wanted) if rows.count() <= MOST_BROADCAST_ROWS else wanted, "url_key", "left_semi")
+    texts = article_texts(needed, house).dropDuplicates(["url_key"])
     joined = J.join_content(rows, texts, carry=("page_title",))
     joined = joined.withColumn("info_title", F.coalesce("page_title", "title")).drop("page_title")
     market = F.coalesce(F.col("source_group").isin(*K.MARKET_GROUPS), F.lit(False))
@@ -78,22 +95,33 @@ def utc_now() -> str:
     return datetime.now(timezone.utc).replace(microsecond=0).isoformat()
 
 
-def refresh(spark: SparkSession, arrivals: DataFrame, pages: DataFrame, root: str, **options) -> int:
+def refresh(spark: SparkSession, arrivals: DataFrame, pages: DataFrame, root: str, outcomes: Iterable[Outcome] = (), **options) -> int:
     """Build, publish and record one run: a row ``running`` before, one with the outcome after.
 
-    A failure at any point, publishing and counting included, is recorded with its whole text and raised again.
+    Listings are counted per category and source while they are written.  ``outcomes`` of sources that ran before go into the row.  A
+    failure at any point, publishing included, is recorded with its whole text and raised again.
     """
-    store, started = SnapshotStore(spark, f"{root}/snapshot"), utc_now()
+    store, started, outcomes = SnapshotStore(spark, f"{root}/snapshot"), utc_now(), list(outcomes)
+    groups = (*K.SOURCE_GROUPS, *(o.source for o in outcomes if o.source not in K.SOURCE_GROUPS))
+    facts = {"sources": groups, "failures": {o.source: o.error for o in outcomes if o.error is not None}}
 
-    def record(rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/runs")
+    def record(counts: dict[str, int], finished: str | None, **more) -> None:
+        SV.run_status(spark, counts, started, finished, **facts, **more).coalesce(1).write.mode("append").parquet(f"{root}/runs")
 
-    categories, empty = dims.category_dim(spark), spark.createDataFrame([], "category string")
-    record(SV.run_status(empty, categories, started, None, status="running"))
+    record({}, None, status="running")
     try:
-        version = store.replace(build_snapshot(arrivals, pages, **options))
-        record(SV.run_status(store.read(), categories, started, utc_now()))
+        watch = SV.Watch(build_snapshot(arrivals, pages, **options), groups)
+        version = store.replace(watch.rows)
+        record(watch.counts("category"), utc_now(), source_counts=watch.counts("source"))
     except Exception as error:
-        record(SV.run_status(empty, categories, started, utc_now(), str(error)))
+        record({}, utc_now(), error=str(error))
         raise
     return version
+
+
+def refresh_sources(spark: SparkSession, pages: DataFrame, root: str, names: list[str] | None = None, **options) -> int:
+    """A refresh of registered sources: those that fail give what they had, and their errors stand in the run row."""
+    arrivals, outcomes = run_sources(spark, names)
+    if arrivals is None:
+        arrivals = spark.createDataFrame([], "seq bigint, source_group string, source string, category string, original_url string, title string")
+    return refresh(spark, arrivals, pages, root, outcomes, **options)

@@ -14,7 +14,7 @@ from jobmill.plans import inputs
 from jobmill.plans import refresh as R
 from jobmill.plans import sql as Q
 from jobmill.plans.inputs import table, view
-from jobmill.plans.listing_queries import _CAP
+from jobmill.plans.listing_queries import ADMIT_SQL, pages_sql
 from jobmill.plans.registry import query
 from jobmill.session import fresh_dir
 from jobmill.sources import dims
@@ -50,10 +50,16 @@ def latest_snapshot(spark, sf):
 
 
 @query("run_status", """
-SELECT 'success' AS status, 709.0 AS duration_seconds, category, count(*) AS n FROM v_listings GROUP BY category""")
+SELECT 'success' AS status, 709.0 AS duration_seconds, kind, name, n FROM (
+  SELECT 'category' AS kind, category AS name, count(*) AS n FROM v_listings GROUP BY 2 UNION ALL SELECT 'source', source_group, count(*) FROM v_listings GROUP BY 2)""")
 def run_status(spark, sf):
-    run = SV.run_status(view(spark, sf, "v_listings"), dims.category_dim(spark), "2026-04-25T15:27:00+00:00", "2026-04-25T15:38:49+00:00")
-    return run.select("status", "duration_seconds", F.explode("counts").alias("category", "n"))
+    """A run row whose counts were taken while the snapshot was written."""
+    watch = SV.Watch(view(spark, sf, "v_listings").select("seq", "category", "source_group", "title"))
+    SnapshotStore(spark, fresh_dir(spark, "run_status")).replace(watch.rows)
+    run = SV.run_status(spark, watch.counts("category"), "2026-04-25T15:27:00+00:00", "2026-04-25T15:38:49+00:00", source_counts=watch.counts("source"))
+    both = F.array(*[F.struct(F.lit(kind).alias("kind"), F.map_entries(m).alias("m")) for kind, m in (("category", "counts"), ("source", "source_counts"))])
+    return run.select("status", "duration_seconds", F.explode(both).alias("x")).select("status", "duration_seconds", "x.kind", F.explode("x.m").alias("y")).select(
+        "status", "duration_seconds", "kind", F.col("y.key").alias("name"), F.col("y.value").alias("n"))
 
 
 @query("idle_status", f"""
@@ -75,6 +81,8 @@ def idle_status(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
+_ADMIT_RUNS = ADMIT_SQL.replace("min(seq) AS seq FROM l GROUP BY ALL", "arg_min(seq, (seq % 3 <> 0, seq)) AS seq FROM l GROUP BY ALL").replace("ORDER BY seq) AS rn", "ORDER BY seq % 3 <> 0, seq) AS rn")
+
 
 def _event_stream(spark, sf) -> DataFrame:
     schema = table(spark, sf, "events").schema
@@ -123,6 +131,67 @@ def stream_snapshot(spark, sf):
     return store.read().select("seq", "category", "url_key", "title")
 
 
+# Most days come in order; a tenth of the first twenty days' rows come with the last.
+_CHUNK = "CASE WHEN event_id % 10 = 0 AND ts < timestamp '2024-01-21 00:00:00' THEN 3 WHEN ts < timestamp '2024-01-11 00:00:00' THEN 1 WHEN ts < timestamp '2024-01-21 00:00:00' THEN 2 ELSE 3 END"
+
+
+@query("stream_late_rows", f"""
+WITH e AS (SELECT ts, cast(ts AS date) AS day, event_type AS category, {_CHUNK} AS chunk FROM events),
+m AS (SELECT max(ts) FILTER (chunk = 1) - INTERVAL 3 DAY AS w1, max(ts) FILTER (chunk <= 2) - INTERVAL 3 DAY AS w2, max(ts) - INTERVAL 3 DAY AS w3 FROM e),
+j AS (SELECT e.*, w3, coalesce(CASE chunk WHEN 2 THEN day + INTERVAL 1 DAY <= w1 WHEN 3 THEN day + INTERVAL 1 DAY <= w2 END, false) AS late FROM e, m)
+SELECT CASE WHEN late THEN 'late' ELSE 'counted' END AS kind, day, category, count(*) AS n FROM j WHERE late OR day + INTERVAL 1 DAY <= w3 GROUP BY ALL""")
+def stream_late_rows(spark, sf):
+    """Daily counts that are final once written, from three arrivals with late rows; those are kept aside.
+
+    The state of a day is dropped three days after it ended; days that have not ended so long ago are not out yet.
+    """
+    root, events = fresh_dir(spark, "stream_late_rows"), table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"))
+    store = SnapshotStore(spark, f"{root}/late")
+    for chunk in (1, 2, 3):
+        events.where(f"{_CHUNK} = {chunk}").write.mode("append").parquet(f"{root}/in")
+        stream = ST.read_stream(spark, f"{root}/in", events.schema)
+        ST.append_files(ST.daily_counts(stream, "category", "3 days"), f"{root}/counts", f"{root}/counts_checkpoint").awaitTermination()
+        ST.keep_late(stream, store, f"{root}/late_checkpoint", "3 DAYS").awaitTermination()
+    counted = spark.read.parquet(f"{root}/counts").select(F.lit("counted").alias("kind"), "day", "category", "n")
+    late = store.read().groupBy(F.col("ts").cast("date").alias("day"), "category").agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(late.select(F.lit("late").alias("kind"), "day", "category", "n"))
+
+
+@query("admit_across_runs", _ADMIT_RUNS + "SELECT l.source_group, l.category, l.url_key, l.seq FROM l JOIN final ON l.seq = final.seq")
+def admit_across_runs(spark, sf):
+    """Two runs of one stream, the second with the rest of the listings: together they admit what one run over both in this order would."""
+    root, schema = fresh_dir(spark, "admit_across_runs"), table(spark, sf, "orders").schema
+    store = SnapshotStore(spark, f"{root}/admitted")
+    for run, part in enumerate(("seq % 3 = 0", "seq % 3 <> 0")):
+        orders = ST.read_stream(spark, sf, schema, "orders.parquet")
+        rows = spark.sql(inputs.VIEWS["v_listings"], orders=orders).where(part).select("seq", "source_group", "category", "original_url")
+        ST.admit_arrivals(rows, store, f"{root}/run-{run}").awaitTermination()
+    return store.read().select("source_group", "category", "url_key", "seq")
+
+
+_TEXTS = """CASE seq % 7 WHEN 0 THEN '{"results":[{"id":"' || cast(k AS string) || '","title":"t"},{"id":"x' || cast(k AS string) || '"}],"scraped_at":"x"}' WHEN 1 THEN '{"results":null,"status":"running"}'
+  WHEN 2 THEN '{"latest_jobs":"' || cast(k AS string) || '"}' WHEN 3 THEN '[' || cast(k AS string) || ']' WHEN 4 THEN '{"other":[1]}' WHEN 5 THEN '{broken' ELSE '{"admit_cards":[],"results":{}}' END"""
+
+
+@query("intake_payloads", f"""
+WITH j AS (SELECT seq, k, seq % 7 AS kind, {_TEXTS} AS body FROM v_listings), g AS (SELECT * FROM j WHERE kind < 2)
+SELECT CASE WHEN kind < 2 THEN 'accepted' ELSE 'quarantined' END AS what, seq AS payload_id, CASE kind WHEN 0 THEN 'success' WHEN 1 THEN 'running' WHEN 2 THEN 'invalid latest_jobs'
+  WHEN 3 THEN 'not an object' WHEN 4 THEN 'no category' WHEN 5 THEN 'not json' ELSE 'invalid results' END AS detail, CASE WHEN kind < 2 THEN '' ELSE body END AS body FROM j
+UNION ALL SELECT 'published', seq, 'results', unnest([cast(k AS string), 'x' || k]) FROM g WHERE seq = (SELECT max(seq) FROM g) AND kind = 0""")
+def intake_payloads(spark, sf):
+    """Submitted snapshots as a stream; the batch is delivered once more after it was taken, and nothing is added."""
+    root, schema = fresh_dir(spark, "intake_payloads"), table(spark, sf, "orders").schema
+    store, accepted, quarantine = (SnapshotStore(spark, f"{root}/{n}", partition=p) for n, p in (("snapshot", "category"), ("accepted", "status"), ("quarantine", "reason")))
+    orders = ST.read_stream(spark, sf, schema, "orders.parquet")
+    payloads = spark.sql(inputs.VIEWS["v_listings"], orders=orders).select(F.col("seq").alias("payload_id"), F.expr(_TEXTS).alias("body"))
+    for _ in range(2):
+        ST.take_payloads(payloads, store, accepted, quarantine, f"{root}/checkpoint").awaitTermination()
+    judged = accepted.read().select(F.lit("accepted").alias("what"), "payload_id", F.col("status").alias("detail"), F.lit("").alias("body"))
+    refused = quarantine.read().select(F.lit("quarantined").alias("what"), "payload_id", F.col("reason").alias("detail"), "body")
+    shown = store.read().select(F.lit("published").alias("what"), "payload_id", F.col("category").alias("detail"), F.col("id").alias("body"))
+    return judged.unionByName(refused).unionByName(shown)
+
+
 # ------------------------------------------------------------------ the flagship
 
 
@@ -130,18 +199,10 @@ _RANK = "CASE source_group " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enume
 _OFFER = "source_group IN ('PRIVATE', 'REMOTE')"
 _CRAWLED = ", ".join(f"'{s}'" for s in K.SITE_DOMAINS)
 _SCOPE = "lower(" + Q.spaces(Q.scrub("title") + " || ' ' || substring(body_text, 1, 2500)") + ")"
-FLAGSHIP_SQL = f"""WITH RECURSIVE l AS (SELECT *, {Q.norm_url('original_url')} AS url_key FROM v_listings
-  WHERE source_group NOT IN ({_CRAWLED}) OR {Q.candidate('title', 'original_url', 'source_group', 'category', inputs.LISTING_DOMAINS)}),
-f AS (SELECT source_group, category, url_key, min(seq) AS seq FROM l GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY seq) AS rn, {_CAP} AS cap FROM f),
-steps(source_group, rn, taken, seqs, cats) AS (
-  SELECT source_group, cast(0 AS bigint), cast([] AS varchar[]), cast([] AS bigint[]), cast([] AS varchar[]) FROM n WHERE rn = 1
-  UNION ALL
-  SELECT s.source_group, n.rn, CASE WHEN ok THEN list_append(s.taken, n.url_key) ELSE s.taken END,
-    CASE WHEN ok THEN list_append(s.seqs, n.seq) ELSE s.seqs END, CASE WHEN ok THEN list_append(s.cats, n.category) ELSE s.cats END
-  FROM steps s JOIN n ON n.source_group = s.source_group AND n.rn = s.rn + 1,
-  LATERAL (SELECT NOT list_contains(s.taken, n.url_key) AND len(list_filter(s.cats, lambda c: c = n.category)) < n.cap AS ok) o),
-final AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs, row_number() OVER (PARTITION BY source_group ORDER BY rn DESC) AS last FROM steps) z WHERE last = 1),
+FLAGSHIP_SQL = f"""WITH RECURSIVE a AS (SELECT *, {Q.norm_url('original_url')} AS url_key,
+  row_number() OVER (PARTITION BY source_group, category, page_seq, phase ORDER BY pos) AS in_block FROM v_arrivals),
+l AS (SELECT * FROM a WHERE CASE WHEN phase = 0 THEN in_block <= {K.HOME_LIMIT} AND title <> '' AND NOT contains(original_url, 'naukri.com')
+  ELSE source_group NOT IN ({_CRAWLED}) OR {Q.candidate('title', 'original_url', 'source_group', 'category', inputs.LISTING_DOMAINS)} END),{pages_sql('l')},
 j AS (SELECT l.*, coalesce('Last Date: ' || a.day || ' ' || a.k * 13 || ' posts ' || a.sentence, '') AS body_text,
   CASE WHEN a.k IS NULL THEN l.title ELSE {Q.spaces('a.heading')} END AS info_title
   FROM l JOIN final ON l.seq = final.seq LEFT JOIN v_articles a ON a.url_key = l.url_key),
@@ -156,7 +217,7 @@ SELECT {_RANK} AS source_rank, seq, source_group, category, md5(category || ':'
 
 @query("build_snapshot", FLAGSHIP_SQL)
 def build_snapshot(spark, sf):
-    arrivals = view(spark, sf, "v_listings", heavy=True).drop("body", "posted_on", "k")
+    arrivals = view(spark, sf, "v_arrivals", heavy=True).drop("body", "posted_on", "k")
     articles = view(spark, sf, "v_articles", heavy=True).select("url_key", "site", F.expr(inputs.ARTICLE_HTML).alias("html"))
     store = SnapshotStore(spark, fresh_dir(spark, "build_snapshot"))
     store.replace(R.build_snapshot(arrivals, articles, domains=inputs.LISTING_DOMAINS))

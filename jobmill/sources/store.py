@@ -27,6 +27,7 @@ class Version(NamedTuple):
     parts: tuple[str, ...]
     schema: str
     streams: dict[str, int]
+    notes: dict[str, str]
 
 
 class VersionConflict(RuntimeError):
@@ -34,8 +35,10 @@ class VersionConflict(RuntimeError):
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, most_parts: int = MOST_PARTS) -> None:
-        self.spark, self.root, self.most_parts = spark, root, most_parts
+    """``partition`` is the column that parts are laid out by; ``notes`` are small facts that are published with a version."""
+
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = MOST_PARTS, partition: str = "category") -> None:
+        self.spark, self.root, self.most_parts, self.partition = spark, root, most_parts, partition
 
     # -------------------------------------------------------------- records
 
@@ -45,7 +48,7 @@ class SnapshotStore:
 
     def version(self, number: int) -> Version:
         record = json.loads(files.read_text(self.spark, f"{self.root}/commits/{number:020d}.json"))
-        return Version(number, tuple(record["parts"]), record["schema"], record["streams"])
+        return Version(number, tuple(record["parts"]), record["schema"], record["streams"], record["notes"])
 
     def latest(self) -> Version | None:
         numbers = self.versions()
@@ -57,13 +60,13 @@ class SnapshotStore:
         held = StructType.fromJson(json.loads(head.schema)).fields if head else []
         return StructType([*rows.schema.fields, *(f for f in held if f.name not in rows.columns)]).json()
 
-    def _commit(self, after: Version | None, parts: tuple[str, ...], schema: str, batch: tuple[str, int] | None) -> Version | None:
+    def _commit(self, after: Version | None, parts: tuple[str, ...], schema: str, batch: tuple[str, int] | None, notes: dict[str, str] | None = None) -> Version | None:
         """The next version, or None if another writer has it."""
-        streams = dict(after.streams) if after else {}
+        streams, notes = dict(after.streams) if after else {}, {**(after.notes if after else {}), **(notes or {})}
         if batch:
             streams[batch[0]] = batch[1]
-        version = Version(after.number + 1 if after else 1, parts, schema, streams)
-        record = json.dumps({"parts": parts, "schema": schema, "streams": streams})
+        version = Version(after.number + 1 if after else 1, parts, schema, streams, notes)
+        record = json.dumps({"parts": parts, "schema": schema, "streams": streams, "notes": notes})
         return version if files.create_new(self.spark, f"{self.root}/commits/{version.number:020d}.json", record) else None
 
     @staticmethod
@@ -78,8 +81,8 @@ class SnapshotStore:
 
     def _write(self, rows: DataFrame) -> str:
         part = uuid.uuid4().hex
-        # Rebalancing splits a large category and merges crumbs, so file sizes stay even.
-        rows.hint("rebalance", "category").write.partitionBy("category").parquet(f"{self.root}/data/snapshot_part={part}")
+        # Rebalancing splits a large partition and merges crumbs, so file sizes stay even.
+        rows.hint("rebalance", self.partition).write.partitionBy(self.partition).parquet(f"{self.root}/data/snapshot_part={part}")
         return part
 
     def _open(self, parts: tuple[str, ...], schema: str) -> DataFrame:
@@ -94,6 +97,11 @@ class SnapshotStore:
 
     # -------------------------------------------------------------- writers
 
+    @staticmethod
+    def _expect(head: Version | None, expected: int | None) -> None:
+        if expected is not None and (head.number if head else 0) != expected:
+            raise VersionConflict(f"made for version {expected}, the snapshot is version {head.number if head else 0}")
+
     def replace(self, rows: DataFrame, batch: tuple[str, int] | None = None, expected: int | None = None) -> int:
         """Publish ``rows`` as the whole snapshot; a batch that is published already does nothing.
 
@@ -101,8 +109,7 @@ class SnapshotStore:
         """
         head, part = self.latest(), None
         while not self._holds(head, batch):
-            if expected is not None and (head.number if head else 0) != expected:
-                raise VersionConflict(f"made for version {expected}, the snapshot is version {head.number if head else 0}")
+            self._expect(head, expected)
             part = part or self._write(rows)
             done = self._commit(head, (part,), rows.schema.json(), batch)
             if done:
@@ -110,20 +117,22 @@ class SnapshotStore:
             head = self.latest()
         return head.number
 
-    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None, keys: list[str] | None = None) -> int:
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None, keys: list[str] | None = None, expected: int | None = None, notes: dict[str, str] | None = None) -> int:
         """Publish the current snapshot plus ``rows``; only new rows are written.
 
         With ``keys``, rows whose keys the snapshot holds are left out (``rows`` hold a key once); where another writer comes first,
-        what it added is looked up too before the next attempt.  ``rows`` may be read more than once.
+        what it added is looked up too before the next attempt.  ``rows`` may be read more than once.  With ``expected`` rows that were made
+        from a version are refused once the snapshot is not that version any more.
         """
         head, fresh, seen, part = self.latest(), rows, (), None
         while not self._holds(head, batch):
+            self._expect(head, expected)
             parts = head.parts if head else ()
             if part is None or keys:
                 added = parts[len(seen):]
                 fresh = self._unknown(fresh, self._open(added, head.schema), keys) if keys and added else fresh
                 part = part if part and not added else self._write(fresh)
-            done = self._commit(head, (*parts, part), self._widened(head, rows), batch)
+            done = self._commit(head, (*parts, part), self._widened(head, rows), batch, notes)
             if done:
                 if len(done.parts) > self.most_parts:
                     self.compact()

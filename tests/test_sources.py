@@ -11,8 +11,8 @@ from jobmill.operators import serving as SV
 from jobmill.operators.validate import split_valid, validate_snapshots
 from jobmill.plans import refresh as R
 from jobmill.session import broadcast_if_small, fresh_dir
-from jobmill.sources import dims, documents, registry
-from jobmill.sources.store import SnapshotStore
+from jobmill.sources import documents, registry
+from jobmill.sources.store import SnapshotStore, VersionConflict
 from jobmill.streaming import jobs as ST
 
 
@@ -132,7 +132,7 @@ def test_stream_onto_a_published_snapshot_and_across_compaction(spark, tmp_path)
 
 
 def test_run_status_of_a_failed_run(spark):
-    row = SV.run_status(listings(spark, [1]), dims.category_dim(spark), "2026-01-01T00:00:00+00:00", "2026-01-01T00:00:10+00:00", "boom").first()
+    row = SV.run_status(spark, {"results": 1}, "2026-01-01T00:00:00+00:00", "2026-01-01T00:00:10+00:00", "boom").first()
     assert (row.status, row.duration_seconds, row.counts, row.error) == ("error", 10.0, {}, "boom")
 
 
@@ -225,3 +225,173 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
     stream = ST.read_stream(spark, source, df.schema, files_per_batch=1)
     ST.append_files(ST.new_urls(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+class Interrupted(SnapshotStore):
+    """A writer that lets others publish between writing its rows and committing them."""
+
+    others: list = []
+
+    def _write(self, rows):
+        part = super()._write(rows)
+        if self.others:
+            self.others.pop(0)()
+        return part
+
+
+KEYS = ["category", "url_key"]
+
+
+def held(store):
+    return sorted(r.seq for r in store.read().collect())
+
+
+def test_two_appends_from_one_version_keep_every_row_once(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store, slow = SnapshotStore(spark, root), Interrupted(spark, root)
+    store.replace(listings(spark, range(10)))
+    slow.others = [lambda: store.append(listings(spark, range(5, 20)), ("a", 0), KEYS), lambda: store.append(listings(spark, range(18, 25)), ("a", 1), KEYS)]
+    assert slow.append(listings(spark, range(8, 30)), ("b", 0), KEYS) == 4
+    assert held(store) == list(range(30)) and store.versions() == [1, 2, 3, 4]
+    assert slow.append(listings(spark, range(99)), ("b", 0), KEYS) == 4 and store.append(listings(spark, range(99)), ("a", 1), KEYS) == 4  # retried batches
+    slow.others = [lambda: store.append(listings(spark, [40]))]
+    slow.append(listings(spark, [50]))  # without keys the part is only listed after the other's
+    assert held(store) == [*range(30), 40, 50]
+
+
+def test_first_writers_meet(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store, slow = SnapshotStore(spark, root), Interrupted(spark, root)
+    slow.others = [lambda: store.append(listings(spark, range(4)), keys=KEYS)]
+    assert slow.append(listings(spark, range(2, 6)), keys=KEYS) == 2 and held(store) == list(range(6))
+
+
+def test_compaction_and_replacement_beside_other_writers(spark, tmp_path):
+    root = str(tmp_path / "s")
+    store, slow = SnapshotStore(spark, root), Interrupted(spark, root)
+    store.replace(listings(spark, range(5)))
+    store.append(listings(spark, range(5, 8)), keys=KEYS)
+    slow.others = [lambda: store.append(listings(spark, range(6, 12)), keys=KEYS)]
+    slow.compact()
+    assert held(store) == list(range(12)) and len(store.latest().parts) == 2
+    slow.others = [lambda: store.replace(listings(spark, [1, 2]))]
+    slow.append(listings(spark, range(4)), keys=KEYS)  # its first look was at rows that are gone
+    assert held(store) == [0, 1, 2, 3]
+    slow.others = [lambda: store.replace(listings(spark, [7]))]
+    slow.compact()
+    assert held(store) == [7]
+    with pytest.raises(VersionConflict):
+        store.replace(listings(spark, [9]), expected=store.latest().number - 1)
+    slow.others = [lambda: store.append(listings(spark, [8]))]
+    with pytest.raises(VersionConflict):
+        slow.append(listings(spark, [9]), expected=store.latest().number)
+    assert held(store) == [7, 8] and store.read(1).count() == 5
+
+
+def test_many_appends_are_compacted(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), most_parts=3)
+    for i in range(6):
+        store.append(listings(spark, [i]).withColumn(f"c{i % 2}", F.lit(i)))
+    assert held(store) == list(range(6)) and len(store.latest().parts) <= 3 and set(store.read().columns) == {"seq", "category", "url_key", "c0", "c1"}
+
+
+def test_a_source_that_fails_midway_keeps_what_it_had(spark, tmp_path):
+    def failing(s):
+        yield listings(s, [10, 11])
+        raise RuntimeError("the second page is gone")
+
+    def broken(s):
+        yield listings(s, [20])
+        yield listings(s, [21]).withColumn("title", F.expr("raise_error('bad row')"))
+
+    registry.register_source("fails", failing)
+    registry.register_source("breaks", broken)
+    registry.register_source("never", lambda s: s.read.parquet(str(tmp_path / "nowhere")))
+    registry.register_source("works", lambda s: [listings(s, [30]), listings(s, [31])])
+    names = ["fails", "breaks", "never", "works"]
+    rows, outcomes = registry.run_sources(spark, names)
+    assert sorted((r.seq, r.source_group) for r in rows.collect()) == [(10, "fails"), (11, "fails"), (20, "breaks"), (30, "works"), (31, "works")]
+    assert [(o.source, o.rows, o.frames) for o in outcomes] == [("fails", 2, 1), ("breaks", 1, 1), ("never", 0, 0), ("works", 2, 2)]
+    assert "second page" in outcomes[0].error and "bad row" in outcomes[1].error and outcomes[2].error and outcomes[3].error is None
+    assert registry.run_sources(spark, ["never"])[0] is None
+
+    def offers(ids):
+        return lambda s: s.createDataFrame([(i, "latest_jobs", f"https://m.example.com/{i}", f"Clerk {i}", "M") for i in ids], "seq bigint, category string, original_url string, title string, source string")
+
+    def half(s):
+        yield offers([1, 2])(s)
+        raise RuntimeError("half")
+
+    registry.register_source("half", half)
+    registry.register_source("whole", offers([3]))
+    pages, root = spark.createDataFrame([], "url_key string, site string, html string"), str(tmp_path / "r")
+    R.refresh_sources(spark, pages, root, ["half", "never", "whole"])
+    assert held(SnapshotStore(spark, f"{root}/snapshot")) == [1, 2, 3]
+    run = spark.read.parquet(f"{root}/runs").where("status = 'success'").first()
+    assert set(run.failures) == {"half", "never"} and (run.source_counts["half"], run.source_counts["whole"], run.counts["latest_jobs"]) == (2, 1, 3) and "whole" in run.sources
+    R.refresh_sources(spark, pages, str(tmp_path / "q"), ["never"])
+    assert SnapshotStore(spark, str(tmp_path / "q/snapshot")).read().count() == 0
+
+
+def test_counts_are_taken_while_writing(spark, sf_dir):
+    watch = SV.Watch(listings(spark, range(12)).withColumn("source_group", F.lit("SR")))
+    assert "CollectMetrics" in watch.rows._jdf.queryExecution().optimizedPlan().toString()
+    watch.rows.write.format("noop").mode("overwrite").save()
+    assert watch.counts("category") == dict.fromkeys(K.CATEGORIES, 2) and watch.counts("source")["SR"] == 12 and watch.total() == 12
+
+
+def test_a_batch_of_payloads_that_broke_off_is_taken_once(spark, tmp_path):
+    rows = [(1, '{"results":[{"id":"a"}]}'), (2, "nope"), (3, '{"results":[{"id":"b"},{"id":"c"}]}'), (4, None), (5, '{"results":5}')]
+    source, at = str(tmp_path / "in"), lambda n: f"{tmp_path}/{n}"
+    spark.createDataFrame(rows, "payload_id bigint, body string").coalesce(1).write.parquet(source)
+    accepted, quarantine = SnapshotStore(spark, at("a"), partition="status"), SnapshotStore(spark, at("q"), partition="reason")
+
+    class Broken(SnapshotStore):
+        def replace(self, *args, **options):
+            raise RuntimeError("lost")
+
+    stream = ST.read_stream(spark, source, spark.read.parquet(source).schema)
+    with pytest.raises(Exception, match="lost"):
+        ST.take_payloads(stream, Broken(spark, at("s")), accepted, quarantine, at("cp")).awaitTermination()
+    store = SnapshotStore(spark, at("s"))
+    for _ in range(2):
+        ST.take_payloads(stream, store, accepted, quarantine, at("cp")).awaitTermination()
+        assert sorted(r.payload_id for r in accepted.read().collect()) == [1, 3] and sorted(r.payload_id for r in quarantine.read().collect()) == [2, 4, 5]
+        assert sorted(r.id for r in store.read().collect()) == ["b", "c"]
+    spark.createDataFrame([(6, "x")], "payload_id bigint, body string").coalesce(1).write.mode("append").parquet(source)
+    ST.take_payloads(stream, store, accepted, quarantine, at("cp")).awaitTermination()
+    assert store.read().count() == 2 and quarantine.read().count() == 4  # nothing good, so the snapshot stays
+
+
+def test_admission_goes_on_where_another_run_ended(spark, tmp_path):
+    from jobmill.operators import admission as A
+
+    import random
+    rng, caps = random.Random(3), {"a": 3, "b": 2, "c": 4}
+    rows = [(i, f"g{rng.randint(0, 20)}", rng.choice("abcx"), f"https://a.example.com/{rng.randint(0, 9)}") for i in range(900)]
+    schema = "seq bigint, source_group string, category string, original_url string"
+    whole = {(r.source_group, r.seq) for r in A.admit_capped(A.with_url_key(spark.createDataFrame(rows, schema)), caps).collect()}
+    source, store = str(tmp_path / "in"), SnapshotStore(spark, str(tmp_path / "s"))
+    for part in range(3):
+        spark.createDataFrame(rows[part * 300:part * 300 + 300], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ST.read_stream(spark, source, spark.read.parquet(source).schema)
+        ST.admit_arrivals(stream, store, str(tmp_path / "cp"), caps).awaitTermination()
+    assert {(r.source_group, r.seq) for r in store.read().collect()} == whole and len(store.versions()) == 3
+
+
+def test_homepage_state_and_official_pages_in_a_refresh(spark):
+    def row(seq, group, category, phase, page, url, title="SSC CGL Result 2026", limit=10):
+        return (seq, group, group, category, url, title, phase, page, seq, limit)
+
+    site = "https://www.freejobalert.com/"
+    rows = [row(i, "FJA", "results", 0, 1, f"{site}h{i}") for i in range(14)]  # ten of a block
+    rows += [row(20, "FJA", "results", 0, 2, f"{site}skipped")]  # full, so the block is skipped
+    rows += [row(30 + i, "FJA", "latest_jobs", 1, 40 + i // 2, f"{site}state{i}", "Recruitment 2026", 1) for i in range(4)]  # one of a page
+    rows += [row(50, "FJA", "admit_cards", 0, 3, "https://www.shine.com/x"), row(51, "FJA", "admit_cards", 0, 3, f"{site}y", ""), row(52, "FJA", "admit_cards", 0, 3, "https://elsewhere.example.com/z")]
+    rows += [row(60 + i, "OFFICIAL", "latest_jobs", 1, 0, f"https://u.example.com/{i}", "Notice", 12) for i in range(15)]
+    rows += [row(80 + i, "OFFICIAL", "latest_jobs", 1, 3, f"https://u.example.com/{10 + i}", "Notice", 4) for i in range(9)]  # two are taken
+    rows += [row(90 + i, "SR", "results", 0, 1, f"https://www.sarkariresult.com/{i}") for i in range(10)]
+    rows += [row(110 + i, "SR", "results", 0, 2, f"https://www.sarkariresult.com/late{i}") for i in range(2)]  # full, but the first is tried
+    df = spark.createDataFrame(rows, "seq bigint, source_group string, source string, category string, original_url string, title string, phase int, page_seq bigint, pos bigint, page_limit int")
+    got = sorted(r.seq for r in R.admit(df).collect())
+    assert got == [*range(10), 30, 32, 52, *range(60, 72), 82, 83, 84, 85, *range(90, 100), 110]
