@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,8 +17,7 @@ CHUNK_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
-_PRIME, _BITS = np.uint64((1 << 31) - 1), np.uint64(31)
-_BASES = (0x3C6EF372, 0x1B873593)  # two more bases, modulo the prime
+LONG_SPAN = 256
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -34,28 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
 
 
-def modulo(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo the prime 2**31 - 1, by folding."""
-    for _ in range(2):
-        x = (x & _PRIME) + (x >> _BITS)
-    return np.where(x >= _PRIME, x - _PRIME, x)
-
-
-def powers(n: int) -> dict[str, np.ndarray]:
-    """B**i and B**-i for i below ``n``, modulo 2**64 ("p", "i") and for the other bases modulo the prime, grown on demand and kept for the worker."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B**i and B**-i modulo 2**64 for i below ``n``, grown on demand and kept for the worker."""
     have = _powers.get("p")
     if have is None or len(have) < n:
-        size, prime = max(n, CHUNK_BYTES + 1), int(_PRIME)
-        kinds = [("p", _BASE, 1 << 64), ("i", pow(_BASE, -1, 1 << 64), 1 << 64)]
-        for k, base in enumerate(_BASES):
-            kinds += [(f"p{k}", base, prime), (f"i{k}", pow(base, -1, prime), prime)]
-        for name, base, modulus in kinds:
+        size = max(n, CHUNK_BYTES + 1)
+        for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             out = np.ones(1, np.uint64)
             while len(out) < size:  # doubling: no Python loop over positions
-                more = out * np.uint64(pow(base, len(out), modulus))
-                out = np.concatenate([out, modulo(more) if modulus == prime else more])
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
             _powers[name] = out[:size]
-    return _powers
+    return _powers["p"], _powers["i"]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,39 +86,33 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Sums(NamedTuple):
-    """Running sums of code(byte) * B**position, modulo 2**64 and, for two other bases, modulo a prime."""
-
-    wide: np.ndarray
-    prime: tuple[np.ndarray, ...]
+    """Bytes with the running sums of code(byte) * B**position."""
 
+    data: np.ndarray
+    sums: np.ndarray
 
-def prefix_sums(data: np.ndarray, strong: bool = True) -> Sums:
-    """Sums from which any substring's hash follows in two reads each.
-
-    Modulo 2**64 alone, texts of 1,024 bytes can be made to collide whatever the base; the sums modulo a prime are free of that.
-    ``strong`` false leaves them out, for substrings that are known to be short.
-    """
-    p = powers(len(data) + 1)
-    wide = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * p["p"][:len(data)], out=wide[1:])
-    prime = []
-    for k in range(len(_BASES) if strong else 0):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(modulo(_PRIME_CODES[k][data] * p[f"p{k}"][:len(data)]), out=sums[1:])
-        prime.append(modulo(sums))
-    return Sums(wide, tuple(prime))
 
+def prefix_sums(data: np.ndarray) -> Sums:
+    """Sums from which the hash of any shorter substring follows in two reads."""
+    p, _ = powers(len(data) + 1)
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * p[:len(data)], out=out[1:])
+    return Sums(data, out)
 
-_PRIME_CODES = [modulo(mix(BYTE_CODES + np.uint64(k))) for k in range(len(_BASES))]
 
+def span_hash(within: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the substrings [start, end), equal for equal bytes wherever they stand.
 
-def span_hash(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the substrings [start, end), equal for equal bytes wherever they stand."""
-    p = powers(len(sums.wide))
-    value = (sums.wide[ends] - sums.wide[starts]) * p["i"][starts]
+    Modulo 2**64, texts of 1,024 bytes can be made to collide whatever the base; substrings from ``LONG_SPAN`` bytes on are therefore
+    hashed by themselves, with a cryptographic hash.
+    """
+    _, inverse = powers(len(within.sums))
+    value = (within.sums[ends] - within.sums[starts]) * inverse[starts]
     value = mix(value ^ ((ends - starts).astype(np.uint64) * GOLDEN))
-    for k, narrow in enumerate(sums.prime):
-        value = mix(value + modulo(modulo(narrow[ends] + _PRIME - narrow[starts]) * p[f"i{k}"][starts]))
+    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(within.data))
+        value[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
     return value
 
 

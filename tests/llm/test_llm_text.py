@@ -252,3 +252,72 @@ def test_both_bands_decide_and_mixed_languages_stay(spark):
     assert not any(got[i].base_failed for i in got)
     assert not any(got[i].kept for i in range(5)) and got[0].bits < usual["en"] < min(got[3].bits, got[4].bits)
     assert all(got[i].kept for i in range(5, len(texts)))
+
+
+def plain_notices(text, phrases=licenses.PHRASES, notices=licenses.NOTICES):
+    """Labels and best coverage by the rule of the scan, with plain loops over the diagonals that a pair votes for."""
+    w = [x for x in re.split(licenses.SEPARATORS, (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))) if x]
+    labels, best = {label for phrase, label in phrases for k in range(len(w)) if w[k:k + len(phrase.split())] == phrase.split()}, 0.0
+    best = 1.0 if labels else 0.0
+    for notice, label, needed in notices:
+        t = notice.split()
+        for diagonal in sorted({p - i for p in range(len(w) - 1) for i in range(len(t) - 1) if w[p:p + 2] == t[i:i + 2]}):
+            at, covered = -1, {}
+            for i in range(len(t) - 1):
+                places = [p for p in range(i + diagonal - 2, i + diagonal + 3) if 0 <= p < len(w) - 1 and w[p:p + 2] == t[i:i + 2] and p > at]
+                if places:
+                    at = places[0]
+                    covered |= {i: t[i], i + 1: t[i + 1]}
+                    covered[("pair", i)] = f"{t[i]} {t[i + 1]}"
+            n, pairs = sum(isinstance(k, int) for k in covered), [v for k, v in covered.items() if not isinstance(k, int)]
+            if n / len(t) >= licenses.LEAST_COVERAGE and set(needed) <= set(pairs):
+                labels.add(label)
+                best = max(best, n / len(t))
+    return ",".join(sorted(labels)), best
+
+
+NEAR_MISSES = [
+    ("This text is licensed under CC BY 4.0.", "cc-by,cc-by-4.0"), ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("licensed under CC BY-SA 4.0", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ""),
+    ("This work is licensed under the GNU General Public License version 2", "gpl,gpl-2.0"), ("This work is licensed under the GNU General Public License version 3", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License version 3", ""), ("Licensed under the Apache License, Version 1.1", "apache"),
+    ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"), ("released under the BSD license", ""), ("subject to the terms of the Mozilla Public License, v. 1.1", ""),
+    ("license mit the under released", ""), ("of the of the of the of the " * 50, ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
+    ("redistribution and use in the source and binary forms, with or without any modification are permitted provided that the following conditions are met", "bsd")]
+
+
+def test_near_misses_carry_no_false_label(spark):
+    got = {r.doc_id: r for r in licenses.scan_licenses(odd_rows(spark, [(i, t) for i, (t, _) in enumerate(NEAR_MISSES)]))[0].collect()}
+    for i, (text, labels) in enumerate(NEAR_MISSES):
+        assert got[i].labels == labels, text
+        assert (got[i].labels, round(got[i].score, 9)) == (plain_notices(text)[0], round(plain_notices(text)[1], 9))
+
+
+def test_notices_match_plain_loops_on_damaged_texts(spark):
+    rng = random.Random(11)
+    vocabulary = sorted({w for t, *_ in (*licenses.PHRASES, *licenses.NOTICES) for w in t.split()})
+    texts = []
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            notice = rng.choice(licenses.NOTICES)[0].split()
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(notice))
+                notice = rng.choice([notice[:k] + notice[k + 1:], notice[:k] + [rng.choice(vocabulary)] + notice[k:], notice[:k] + [rng.choice(vocabulary)] + notice[k + 1:], notice[k:] + notice[:k]]) or ["x"]
+            words += notice + rng.choices(vocabulary, k=rng.randint(0, 3))
+        texts.append(" ".join(words))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(odd_rows(spark, list(enumerate(texts))))[0].collect()}
+    for i, text in enumerate(texts):
+        labels, score = plain_notices(text)
+        assert got[i] == (labels, round(score, 9)), text
+
+
+def test_license_spans_stand_where_the_notice_stands(spark):
+    notice = licenses.NOTICES[2][0]
+    text = "One two three. " + notice + " and more. " * 3 + notice.replace("redistribute", "copy")
+    spans = sorted((r.first_word, r.last_word, r.label, r.coverage) for r in licenses.scan_licenses(odd_rows(spark, [(1, text)]))[1].where("NOT is_phrase").collect())
+    n = len(notice.split())
+    assert [s[:3] for s in spans] == [(3, n + 2, "gpl"), (n + 9, 2 * n + 8, "gpl")] and spans[0][3] == 1.0 and 0.9 < spans[1][3] < 1.0
