@@ -1,12 +1,13 @@
 """Nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
 
 A table rotates a unit vector by three rounds of random signs and a fast Hadamard transform and files it under the
-nearest signed axis (several axes in a row for large collections, so that buckets stay of about ``BUCKET`` vectors).  A
-query looks into the buckets of its best axes in every table; each bucket scores its candidates against its queries as one
-matrix product and passes on the best of them, whose inner products are then taken anew from the original vectors in
-double precision.
+nearest signed axis (two axes in a row for large collections).  A query looks into the buckets that lie nearest to it
+in every table.  What is filed is an id and the vector rounded to a byte a component; each bucket scores its candidates against its
+queries as one matrix product, and a task passes on the best of each query.  The few that are left for a query are fetched
+once, and their inner products taken anew from the original vectors in double precision.
 
-Largest inner product is reduced to smallest angle by one more component where norms differ.  Equal vectors are filed once
+Numbers of tables and probes are set from measured recall (``DEPTHS``).  Largest inner product is reduced to smallest angle by one more
+component where norms differ.  Equal vectors are filed once
 with their smallest ids, as many as a result can hold, so copies fill no bucket.  A bucket with many candidates or
 queries is dealt out over blocks of at most ``BLOCK`` of either, so no row is left out.  Queries that meet fewer partners
 than a result holds are answered again from all rows, block by block.
@@ -18,30 +19,36 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import picked
+from jobmill.llm.common import conf_parts, picked
 from jobmill.session import checkpointed
 
 NEIGHBOURS, EVERY = 20, 20
-BUCKET, BLOCK = 512, 2048
-PROBES = 12  # axes looked up per hash
-FOUND = 0.35  # chance that one hash's probes reach a neighbour; only sets the number of tables
-TARGET = 0.985
+BLOCK = 2048
+TWO_AXES = 500_000  # rows from which a bucket is named by two axes
+#: Axes of a bucket: (tables, buckets looked up in each).  Share of true neighbours met on 500, 2,000 and 10,256 vectors of 64 components:
+#: one axis 0.96, 0.97, 0.99; two axes 0.93, 0.98, 0.99.  It rises with the number of vectors, as their neighbours are nearer.
+DEPTHS = {1: (8, 16), 2: (40, 144)}
+AXES = 16  # best axes of a hash that probes combine
+SPARE = 12  # more candidates than a result holds go to the exact scores, as the bytes are rounded
+HELD = 1 << 20  # scored candidates that a task holds before it keeps the best of each query
 SEED = 20
 
 
 class Hashes:
     """The pseudo-rotations of all tables for vectors of ``dim`` components (made from the seed alone)."""
 
-    def __init__(self, dim: int, rows: int, seed: int = SEED, probes: int = PROBES, target: float = TARGET):
+    def __init__(self, dim: int, rows: int, seed: int = SEED, depth: int | None = None):
         self.dim, self.size = dim, 1 << max(1, math.ceil(math.log2(dim)))
-        self.axes, self.probes = 2 * self.size, min(probes, 2 * self.size)
-        self.depth = max(1, round(math.log(max(rows, 1) / BUCKET) / math.log(self.axes))) if rows > BUCKET else 1
-        self.tables = math.ceil(math.log(1 - target) / math.log(1 - FOUND ** self.depth))
+        self.axes = 2 * self.size
+        self.depth = depth or (2 if rows >= TWO_AXES else 1)
+        self.tables, probes = DEPTHS[self.depth]
+        self.probes = min(probes, self.axes ** self.depth)
         rng = np.random.default_rng(seed)
         self.signs = rng.choice([-1.0, 1.0], (self.tables, self.depth, 3, self.size))
 
@@ -68,13 +75,19 @@ class Hashes:
         return out
 
     def probed(self, x: np.ndarray, table: int) -> np.ndarray:
-        """For each vector the buckets of its ``probes`` best axes in every hash of one table."""
-        out = np.zeros((len(x), 1), np.int64)
+        """For each vector the ``probes`` buckets of one table whose axes lie nearest to it."""
+        out, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         for signs in self.signs[table]:
             y = self.rotate(x, signs)
             both = np.stack([y, -y], axis=2).reshape(len(x), -1)
-            best = np.argpartition(-both, self.probes - 1, axis=1)[:, :self.probes] if self.probes < self.axes else np.tile(np.arange(self.axes), (len(x), 1))
+            n = min(AXES, self.axes) if self.probes > AXES or self.depth == 1 else self.axes
+            best = np.argpartition(-both, n - 1, axis=1)[:, :n] if n < self.axes else np.tile(np.arange(self.axes), (len(x), 1))
+            far = (both.max(axis=1, keepdims=True) - np.take_along_axis(both, best, 1)) ** 2
             out = (out[:, :, None] * self.axes + best[:, None, :]).reshape(len(x), -1)
+            loss = (loss[:, :, None] + far[:, None, :]).reshape(len(x), -1)
+            if loss.shape[1] > self.probes:
+                keep = np.argpartition(loss, self.probes - 1, axis=1)[:, :self.probes]
+                out, loss = np.take_along_axis(out, keep, 1), np.take_along_axis(loss, keep, 1)
         return out
 
 
@@ -112,20 +125,117 @@ def classes_of(vectors: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("members"))
 
 
-def _filed(hashes: Hashes, shape: tuple, query: bool):
-    """Rows (table, bucket, id, vec, members) of every table and probe."""
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as signed bytes and the factor of each."""
+    scale = np.abs(x).max(axis=1) / 127
+    return np.rint(x / scale[:, None]).astype(np.int8), scale
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _filed(hashes: Hashes, shape: tuple, query: bool, codes: bool):
+    """Rows (table, bucket, id and, if asked for, code and scale) of every table and probe."""
     dim, longest, level = shape
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x = lifted(matrix(batch.column("vec"), dim), longest, level, query)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                plain, ids = matrix(batch.column("vec"), dim), batch.column("id").to_numpy()
+                x = lifted(plain, longest, level, query)
+                code, scale = rounded(plain)
                 for table in range(hashes.tables):
                     buckets = hashes.probed(x, table) if query else hashes.buckets(x, table)[:, None]
-                    owner = pa.array(np.repeat(np.arange(len(x)), buckets.shape[1]))
-                    rows = batch.take(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), table, np.int32)), pa.array(buckets.ravel()), *rows.columns], ["table", "bucket", *rows.schema.names])
+                    owner = np.repeat(np.arange(len(x)), buckets.shape[1])
+                    columns = [pa.array(np.full(len(owner), table, np.int32)), pa.array(buckets.ravel()), pa.array(ids[owner])]
+                    names = ["table", "bucket", "id"]
+                    if codes:
+                        columns, names = [*columns, _binary(code[owner]), pa.array(scale[owner].astype(np.float32))], [*names, "code", "scale"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+    return run
+
+
+def _kept(query: np.ndarray, rep: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The ``most`` best candidates of each query, each once."""
+    order = np.lexsort((-score, rep, query))
+    query, rep, score = query[order], rep[order], score[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (rep[1:] != rep[:-1])
+    query, rep, score = query[new], rep[new], score[new]
+    order = np.lexsort((rep, -score, query))
+    query, rep, score = query[order], rep[order], score[order]
+    first = np.searchsorted(query, query, side="left")
+    few = np.arange(len(query)) - first < most
+    return query[few], rep[few], score[few]
+
+
+def _met(most: int):
+    """Streams buckets (sorted by table, bucket and block) and passes on the best candidates of each query by rounded vectors."""
+    def run(batches):
+        found: list[tuple] = []
+
+        def settle(parts: list[pa.RecordBatch]) -> int:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            asked = rows.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            if asked.all() or not asked.any():
+                return 0
+            ids, scale = rows.column("id").to_numpy(), rows.column("scale").to_numpy()
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)
+            score = (code[asked] * scale[asked][:, None]) @ (code[~asked] * scale[~asked][:, None]).T
+            top = min(most, score.shape[1])
+            best = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < score.shape[1] else np.tile(np.arange(top), (len(score), 1))
+            found.append((np.repeat(ids[asked], top), ids[~asked][best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+            return best.size
+
+        def reduced() -> tuple[np.ndarray, ...]:
+            kept = _kept(*(np.concatenate(c) for c in zip(*found, strict=True)), most)
+            found.clear()
+            return kept
+
+        def batch_of(kept) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2].astype(np.float32))], ["query_id", "rep", "rough"])
+
+        held, key, n = [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "bucket", "ci", "qi")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if held and tuple(keys[start]) != key:
+                    n += settle(held)
+                    held = []
+                key = tuple(keys[start])
+                held.append(batch.slice(start, stop - start))
+            if n > HELD:
+                kept = reduced()
+                n = len(kept[0])
+                if n > HELD // 2:
+                    yield batch_of(kept)
+                    n = 0
+                else:
+                    found.append(kept)
+        if held:
+            settle(held)
+        if found:
+            yield batch_of(reduced())
+    return run
+
+
+def _exact(dim: int):
+    """Inner products of pairs in double precision, for every id of the candidate's class but the query's own."""
+    def run(batches):
+        for batch in batches:
+            score = (matrix(batch.column("asked"), dim) * matrix(batch.column("vec"), dim)).sum(axis=1)
+            members = batch.column("members")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(members).to_numpy(zero_copy_only=False).astype(np.int64))
+            query, vec = batch.column("query_id").to_numpy()[owner], members.flatten().to_numpy()
+            other = query != vec
+            yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(vec[other]), pa.array(score[owner][other])], ["query_id", "vec_id", "score"])
     return run
 
 
@@ -180,17 +290,16 @@ def from_all(queries: DataFrame, n_queries: int, classes: DataFrame, n_classes:
     return asked.unionByName(held).groupBy("ci", "qi").applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
 
 
-def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED,
-           probes: int = PROBES, target: float = TARGET) -> DataFrame:
+def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED, depth: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` neighbours of every row whose id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most (of equally frequent lengths the longer), or hold null or
     non-finite components take no part; neither do rows without an id.  Rows that repeat an id and its vector count once;
     of rows that repeat an id with other vectors each is a candidate and the best score stands.  Equal scores are ordered
     by id.  A query whose buckets hold fewer than ``k`` partners is answered from all rows, so it has ``k`` or, in tables with
-    fewer rows, all of them; an empty table gives no rows.
+    fewer rows, all of them; an empty table gives no rows.  Ids are integers.
     """
-    spark = table.sparkSession
+    spark, most = table.sparkSession, k + SPARE
     rows = picked(table, vec_id=table[id_col].cast("long"), embedding=vec_col).where("vec_id IS NOT NULL")
     vectors = rows.mapInArrow(_as_bytes, "vec_id long, vec binary").where("vec IS NOT NULL")
     usual = vectors.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
@@ -207,30 +316,37 @@ def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: st
 
     size = classes.select("vec").mapInArrow(norms, "norm double").agg(F.count("norm").alias("n"), F.max("norm").alias("longest"), F.min("norm").alias("shortest")).first()
     level = size["shortest"] > size["longest"] * (1 - 1e-6)
-    shape, hashes = (dim, size["longest"], level), Hashes(dim + (not level), size["n"], seed, probes, target)
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"])
-    filed = "table int, bucket long, id long, vec binary, members array<long>"
-    held = classes.select(F.col("rep").alias("id"), "vec", "members").mapInArrow(_filed(hashes, shape, False), filed)
-    asked = queries.select(F.col("vec_id").alias("id"), "vec", F.array().cast("array<long>").alias("members")).mapInArrow(_filed(hashes, shape, True), filed)
-    both = held.withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)))
-    counts = both.groupBy("table", "bucket").agg(F.count(F.when(~F.col("is_query"), 1)).alias("c"), F.count(F.when(F.col("is_query"), 1)).alias("q"))
+    shape, hashes = (dim, size["longest"], level), Hashes(dim + (not level), size["n"], seed, depth)
+    queries = checkpointed(vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("id"), "vec"))
+    held = classes.select(F.col("rep").alias("id"), "vec")
+
+    def filed(codes: bool) -> DataFrame:
+        schema = "table int, bucket long, id long" + (", code binary, scale float" if codes else "")
+        sides = [df.mapInArrow(_filed(hashes, shape, asked, codes), schema).withColumn("is_query", F.lit(asked)) for df, asked in ((held, False), (queries, True))]
+        return sides[0].unionByName(sides[1])
+
+    counts = filed(False).groupBy("table", "bucket").agg(F.count(F.when(~F.col("is_query"), 1)).alias("c"), F.count(F.when(F.col("is_query"), 1)).alias("q"))
     large = checkpointed(counts.where((F.col("c") > BLOCK) | (F.col("q") > BLOCK)))
-    parts = both.join(large, ["table", "bucket"], "left").withColumns({
-        "nc": F.greatest(F.lit(1), F.ceil(F.coalesce("c", F.lit(0)) / (BLOCK / 2))).cast("int"), "nq": F.greatest(F.lit(1), F.ceil(F.coalesce("q", F.lit(0)) / (BLOCK / 2))).cast("int")})
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / (BLOCK / 2))).cast("int")
+    parts = filed(True).join(large, ["table", "bucket"], "left").withColumns({"nc": blocks(F.col("c")), "nq": blocks(F.col("q"))})
     own = lambda n: F.array(F.pmod(F.xxhash64("id"), n).cast("int"))
     every_one = lambda n: F.sequence(F.lit(0), n - 1)
     parts = (parts.withColumn("ci", F.explode(F.when(F.col("is_query"), every_one(F.col("nc"))).otherwise(own(F.col("nc")))))
              .withColumn("qi", F.explode(F.when(F.col("is_query"), own(F.col("nq"))).otherwise(every_one(F.col("nq"))))))
-    found = parts.select("table", "bucket", "ci", "qi", "is_query", "id", "vec", "members").groupBy("table", "bucket", "ci", "qi").applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
-    result = checkpointed(_top(found, k))
+    where = ["table", "bucket", "ci", "qi"]
+    dealt = parts.select(*where, "is_query", "id", "code", "scale").repartition(conf_parts(table), *where).sortWithinPartitions(*where)
+    met = dealt.mapInArrow(_met(most), "query_id long, rep long, rough float").groupBy("query_id", "rep").agg(F.max("rough").alias("rough"))
+    best = W.partitionBy("query_id").orderBy(F.desc("rough"), "rep")
+    pairs = checkpointed(met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("query_id", "rep"))
+    full = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id").join(classes, "rep")
+    result = checkpointed(_top(full.select("query_id", "asked", "vec", "members").mapInArrow(_exact(dim), "query_id long, vec_id long, score double"), k))
     wanted = min(k, classes.select(F.explode("members")).distinct().limit(k + 1).count() - 1)
-    met = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= wanted)
-    short = queries.select(F.col("vec_id").alias("id"), "vec").join(met, F.col("id") == F.col("query_id"), "left_anti")
-    short = checkpointed(short)
+    answered = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= wanted)
+    short = checkpointed(queries.join(answered, F.col("id") == F.col("query_id"), "left_anti"))
     n_short = short.count()
     if not n_short or wanted < 1:
         return result
-    whole = result.join(met.select("query_id"), "query_id", "left_semi").select(*result.columns)
+    whole = result.join(answered.select("query_id"), "query_id", "left_semi").select(*result.columns)
     return whole.unionByName(_top(from_all(short, n_short, classes, size["n"], dim, k), k))
 
 

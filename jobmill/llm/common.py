@@ -100,16 +100,16 @@ def prefix_sums(data: np.ndarray) -> Sums:
     return Sums(data, out)
 
 
-def span_hash(within: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(within: Sums, starts: np.ndarray, ends: np.ndarray, short: bool = False) -> np.ndarray:
     """64-bit hashes of the substrings [start, end), equal for equal bytes wherever they stand.
 
     Modulo 2**64, texts of 1,024 bytes can be made to collide whatever the base; substrings from ``LONG_SPAN`` bytes on are therefore
-    hashed by themselves, with a cryptographic hash.
+    hashed by themselves, with a cryptographic hash.  ``short`` says that there are none.
     """
     _, inverse = powers(len(within.sums))
     value = (within.sums[ends] - within.sums[starts]) * inverse[starts]
     value = mix(value ^ ((ends - starts).astype(np.uint64) * GOLDEN))
-    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    long = () if short else np.flatnonzero(ends - starts >= LONG_SPAN)
     if len(long):
         raw = memoryview(np.ascontiguousarray(within.data))
         value[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]

@@ -8,7 +8,8 @@ one diagonal, which is the same as its words standing there one after another.
 A notice may have a word more or less inside, so the votes of diagonals up to ``NEIGHBOURS`` apart are merged around each diagonal.
 Where enough votes meet, the span is verified: going through the template in order, each pair takes its first match behind
 the last one.  The words of the pairs taken must make up ``LEAST_COVERAGE`` of the template, and the pairs that tell it from other
-licences (its version, "by nc", "attribution sharealike") must all be among them.  Of verified spans that overlap the fullest stands.
+licences (its version, "by nc", "attribution sharealike") must all be among them; so a notice's votes are only counted in documents
+that hold them.  Of verified spans that overlap the fullest stands.
 
 The templates are a fixed list, so broadcasting them is bounded (and checked); documents are exploded and combined before the
 shuffle, and no key holds more than one document's votes.
@@ -31,10 +32,10 @@ NOTICES = (
     ("this work is licensed under the gnu general public license version 2", "gpl-2.0", ("gnu general", "version 2")),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl", ("gnu general", "public license")),
     ("licensed under the apache license version 2 0", "apache-2.0", ("apache license", "version 2", "2 0")),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0", ()),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0", ("this file", "obtain a")),
     ("released under the mit license", "mit-notice", ("mit license",)),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", ()),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", ()),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", ("hereby granted", "this software")),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", ("binary forms", "conditions are")),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0", ("by nc", "nc 4", "4 0")),
     ("licensed under cc by 4 0", "cc-by-4.0", ("by 4", "4 0")),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0", ("attribution sharealike", "sharealike 4", "4 0")),
@@ -53,15 +54,22 @@ def template_rows(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
     for number, (text, label, *pairs) in enumerate((*phrases, *notices)):
         words, needed = text.split(), set(pairs[0]) if pairs else set()
         grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-        missing = needed - set(grams)
-        if missing or len(words) < 2:
-            raise ValueError(f"{text!r}: two words or more, among them {sorted(missing)}")
         marks = [g in needed for g in grams]
+        if sum(marks) != len(needed) or len(words) < 2:
+            raise ValueError(f"{text!r}: two words or more, among them each of {sorted(needed)} once")
         rows += [(number, label, number < len(phrases), len(words), len(grams), sum(marks), i, g, m) for i, (g, m) in enumerate(zip(grams, marks, strict=True))]
     return rows
 
 
 _TEMPLATE = "template int, label string, is_phrase boolean, n_template int, n_pairs int, n_required int, tpos int, gram string, required boolean"
+def _possible(grams, phrases, notices) -> F.Column:
+    """The templates whose telling pairs are all among a document's pairs: the only ones that its words can verify."""
+    telling = [set(pairs[0]) if pairs else set() for _, _, *pairs in (*phrases, *notices)]
+    texts = lambda grams: F.array(*[F.lit(g) for g in sorted(grams)]).cast("array<string>")
+    present = F.array_intersect(grams, texts(set().union(*telling)))
+    return F.get(F.transform(F.array(present), lambda held: F.array_compact(F.array(*[F.when(F.size(F.array_except(texts(own), held)) == 0, F.lit(i)) for i, own in enumerate(telling)]))), F.lit(0))
+
+
 _OF_SPAN = ("row", "doc_id", "n_words", "template", "label", "is_phrase", "n_template", "n_pairs", "n_required")
 
 
@@ -93,9 +101,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exploded = (
         picked(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
         .select("row", "doc_id", words.alias("words")).select("row", "doc_id", F.size("words").cast("long").alias("n_words"), pairs.alias("grams"))
-        .select("row", "doc_id", "n_words", F.posexplode_outer("grams").alias("pos", "gram")).withColumn("hash", F.xxhash64("gram"))
+        .withColumn("possible", _possible(F.col("grams"), phrases, notices))
+        .select("row", "doc_id", "n_words", "possible", F.posexplode_outer("grams").alias("pos", "gram")).withColumn("hash", F.xxhash64("gram"))
     )
-    hits = exploded.join(templates, (exploded["hash"] == templates["hash"]) & (F.col("gram") == F.col("t_gram")), "left")
+    hits = exploded.join(templates, (exploded["hash"] == templates["hash"]) & (F.col("gram") == F.col("t_gram")) & F.array_contains("possible", F.col("template")), "left")
     hits = hits.where("template IS NOT NULL OR pos IS NULL OR pos = 0")  # the first word keeps documents without a match
     hit = F.struct(F.col("tpos").cast("long").alias("t"), F.col("pos").cast("long").alias("p"), F.col("required").cast("long").alias("needed"))
     votes = hits.groupBy(*_OF_SPAN, (F.col("pos") - F.col("tpos")).cast("long").alias("diagonal")).agg(F.collect_list(F.when(F.col("template").isNotNull(), hit)).alias("hits"))  # a template's pairs at most

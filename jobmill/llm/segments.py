@@ -61,14 +61,14 @@ class Vocabulary:
         for length, pairs in sorted(by_length.items()):
             data = np.frombuffer(b"".join(p for _, p in pairs), np.uint8)
             starts = np.arange(len(pairs)) * length
-            hashes = span_hash(prefix_sums(data), starts, starts + length)
+            hashes = span_hash(prefix_sums(data), starts, starts + length, short=True)
             order = np.argsort(hashes)
             self.tables.append((length, hashes[order], np.array([i for i, _ in pairs])[order]))
         self.prefixes = {}  # hashes of the first bytes that longer pieces begin with
         for length in PREFIXES:
             heads = sorted({p[:length] for n, pairs in by_length.items() if n > length for _, p in pairs})
             starts = np.arange(len(heads)) * length
-            self.prefixes[length] = np.sort(span_hash(prefix_sums(np.frombuffer(b"".join(heads), np.uint8)), starts, starts + length))
+            self.prefixes[length] = np.sort(span_hash(prefix_sums(np.frombuffer(b"".join(heads), np.uint8)), starts, starts + length, short=True))
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -94,8 +94,8 @@ class Lattices:
         for n, hashes, ids in words.tables:
             at = at[at + n <= stop[at]]
             while checks and checks[0] < n:
-                at = at[known(words.prefixes[checks[0]], span_hash(sums, at, at + checks.pop(0)))]
-            found = span_hash(sums, at, at + n)
+                at = at[known(words.prefixes[checks[0]], span_hash(sums, at, at + checks.pop(0), short=True))]
+            found = span_hash(sums, at, at + n, short=True)
             slot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
             hit = hashes[slot] == found
             here = at[hit]

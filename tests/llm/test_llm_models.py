@@ -145,7 +145,7 @@ def test_neighbours_with_copies_norms_and_odd_vectors(spark, monkeypatch):
     bad = [(1000, None), (1020, [0.0] * 6), (1040, [1.0, None, 0, 0, 0, 0]), (1060, [float("nan")] * 6), (1080, [1.0, 2.0]), (1100, []), (None, [1.0] * 6), (60, vectors[60].tolist())]
     table = spark.createDataFrame([(i, v and [None if x is None else float(x) for x in v], "q", 1) for i, v in rows + bad], "vec_id long, embedding array<double>, bucket string, rank int")
     got = {}
-    for r in ann.search(table, k=15, probes=12).collect():
+    for r in ann.search(table, k=15).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     truth = brute_neighbours(np.arange(300), vectors, 15, 20)
     assert got.keys() == truth.keys()
@@ -335,3 +335,37 @@ def test_two_hundred_languages(spark):
     assert len(taught) > 190
     wrong = [r for r in got if name(r.doc_id % 200) in taught and r.lang_pred != name(r.doc_id % 200)]
     assert not wrong
+
+
+@pytest.mark.parametrize("depth,sf", [(1, "sf0.01"), (2, "sf0.01"), (2, "sf0.1")])
+def test_neighbours_recall_at_every_depth(spark, depth, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    ids, rows = zip(*((i, v) for i, v in duckdb.sql(f"SELECT vec_id, embedding FROM '{path}' WHERE embedding IS NOT NULL").fetchall() if None not in v and np.isfinite(v).all() and any(v)), strict=True)
+    x, ids = np.array(rows), np.array(ids)
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        want[int(ids[i])] = set(ids[np.argsort(-score, kind="stable")[:20]].tolist())
+    got = {}
+    for r in ann.search(spark.read.parquet(path), depth=depth).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_rounded_vectors_order_candidates_nearly_as_the_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code, scale = ann.rounded(x)
+    assert np.abs(code * scale[:, None] - x).max() <= scale.max() / 2 + 1e-12
+    rough, exact = (code[:50] * scale[:50, None]) @ (code * scale[:, None]).T, x[:50] @ x.T
+    for r, e in zip(rough, exact, strict=True):
+        assert set(np.argsort(-e)[:20]) <= set(np.argsort(-r)[:20 + ann.SPARE])
+
+
+def test_the_best_candidates_of_a_query_are_kept_once():
+    query, rep, score = np.array([1, 1, 1, 2, 1]), np.array([5, 5, 6, 5, 7]), np.array([0.1, 0.3, 0.2, 0.9, 0.25])
+    kept = ann._kept(query, rep, score, 2)
+    assert [c.tolist() for c in kept] == [[1, 1, 2], [5, 7, 5], [0.3, 0.25, 0.9]]
