@@ -25,7 +25,8 @@ SMOOTH = 0.1
 PENALTY = 15.0
 UNLIKELY = -40.0  # added to a word's score for a language that does not use its scripts
 LEAST_SCRIPT = 0.01  # share of a language's letters in a script for it to be one of the language's scripts
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.5  # of a text's letters must lie in its main languages
+MAIN_SHARE = 0.2  # of the letters make a language one of a text's main ones
 GROUP = 5  # slices that take the Viterbi steps together
 UND = "und"
 #: First bytes of UTF-8 letters by script (ASCII letters and C3-C9 are Latin).
@@ -162,8 +163,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty:
     return labels
 
 
-STRUCT = "struct<lang_pred:string,score:double,spans:array<struct<first_word:long,last_word:long,lang:string>>>"
-_ARROW = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())])))])
+STRUCT = "struct<lang_pred:string,score:double,main:double,spans:array<struct<first_word:long,last_word:long,lang:string>>>"
+_ARROW = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("main", pa.float64()), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())])))])
 
 
 def _label_group(parts: list[pa.Array], model: Model) -> pa.Array:
@@ -184,7 +185,8 @@ def _label_group(parts: list[pa.Array], model: Model) -> pa.Array:
     owner = np.repeat(np.arange(n), length)
     weight = np.bincount(owner * k + labels, letters, n * k).reshape(n, k)
     best, total = weight.argmax(axis=1), weight.sum(axis=1)
-    share = weight[np.arange(n), best] / np.maximum(total, 1)
+    shares = weight / np.maximum(total, 1)[:, None]
+    share, main = shares[np.arange(n), best], np.where(shares >= MAIN_SHARE, shares, 0).sum(axis=1)
     lettered = np.concatenate(ascii_letters)
     at = 0
     for column in parts:
@@ -201,7 +203,7 @@ def _label_group(parts: list[pa.Array], model: Model) -> pa.Array:
     stop = np.minimum(stop, (first + length)[owner[at]])
     spans = pa.StructArray.from_arrays([pa.array(at - first[owner[at]]), pa.array(stop - 1 - first[owner[at]]), pa.array(names[labels[at]], pa.string())], names=["first_word", "last_word", "lang"])
     bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]), pa.int32())
-    return pa.StructArray.from_arrays([pa.array(names[np.where(known, best, len(model.langs))], pa.string()), pa.array(np.where(known, share, 0.0)), pa.ListArray.from_arrays(bounds, spans)],
+    return pa.StructArray.from_arrays([pa.array(names[np.where(known, best, len(model.langs))], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(np.where(known, main, 0.0)), pa.ListArray.from_arrays(bounds, spans)],
                                       fields=list(_ARROW))
 
 
@@ -231,20 +233,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, spans.
+    """One row per document: doc_id, held_out, lang_pred, score (its share of the letters), main (that of all main languages), spans.
 
     ``und`` with score 0 and no spans where the text is null or has no letter, or where nothing was learned.  Ids are
     carried as they are; repeated rows keep theirs; an empty table gives no rows.
     """
     model = model or train(docs, id_col, text_col, lang_col)
     rows = picked(docs, doc_id=id_col, text=text_col).select("doc_id", labeller(model)("text").alias("x"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x.lang_pred", "x.score", "x.spans")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x.lang_pred", "x.score", "x.main", "x.spans")
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """The documents, all columns as they are, whose language is known and has at least ``least`` of the letters."""
+    """The documents, all columns as they are, whose language is known.
+
+    That is a matter of all main languages of a text together, so a text in two or three languages counts like one in one; texts
+    without letters, and such that are labelled in crumbs, go.
+    """
     label = labeller(train(docs))(F.col("text"))
-    return docs.where((label["lang_pred"] != UND) & (label["score"] >= least))
+    return docs.where((label["lang_pred"] != UND) & (label["main"] >= least))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

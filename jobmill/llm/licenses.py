@@ -22,7 +22,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobmill.llm.common import picked
-from jobmill.session import broadcast_if_small
 
 #: Phrase, label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -46,6 +45,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEIGHBOURS = 2
 LEAST_COVERAGE = 0.8
+MOST_BROADCAST_ROWS = 100_000
 
 
 def template_rows(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
@@ -93,8 +93,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their own; an empty table gives no rows.  Spans: row, template, label, is_phrase, start (the diagonal), first_word, last_word, coverage.
     """
     spark = docs.sparkSession
-    templates = spark.createDataFrame(template_rows(phrases, notices), _TEMPLATE)
-    templates = broadcast_if_small(templates.withColumn("hash", F.xxhash64("gram")).withColumnRenamed("gram", "t_gram"))
+    rows = template_rows(phrases, notices)
+    templates = spark.createDataFrame(rows, _TEMPLATE).withColumn("hash", F.xxhash64("gram")).withColumnRenamed("gram", "t_gram")
+    templates = F.broadcast(templates) if len(rows) <= MOST_BROADCAST_ROWS else templates
     lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     words = F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
     pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))

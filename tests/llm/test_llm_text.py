@@ -321,3 +321,32 @@ def test_license_spans_stand_where_the_notice_stands(spark):
     spans = sorted((r.first_word, r.last_word, r.label, r.coverage) for r in licenses.scan_licenses(odd_rows(spark, [(1, text)]))[1].where("NOT is_phrase").collect())
     n = len(notice.split())
     assert [s[:3] for s in spans] == [(3, n + 2, "gpl"), (n + 9, 2 * n + 8, "gpl")] and spans[0][3] == 1.0 and 0.9 < spans[1][3] < 1.0
+
+
+def test_shuffled_words_are_rejected_and_the_bands_follow_from_the_scores(spark):
+    rng = random.Random(9)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shuffled = []
+    for r in docs.where("doc_id % 200 = 0 AND text IS NOT NULL").collect():
+        words = r.text.split()
+        if len(words) >= 80:
+            rng.shuffle(words)
+            shuffled.append((10**7 + r.doc_id, " ".join(words), r.lang, r.source, r.n_chars))
+    both = docs.union(spark.createDataFrame(shuffled, docs.schema))
+    got = quality.judge(both).join(both.select("doc_id", "lang"), "doc_id").collect()
+    fair = [r for r in got if not r.base_failed]
+    bad = [r for r in fair if r.doc_id >= 10**7]
+    assert len(bad) > 35 and sum(not r.kept for r in bad) >= 0.9 * len(bad)
+    junk = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 0").collect()}
+    clean = [r for r in fair if r.doc_id < 10**7 and r.doc_id not in junk]
+    assert sum(r.kept for r in clean) >= 0.97 * len(clean)
+    for lang in {r.lang for r in fair}:
+        own = np.sort([r.bits for r in fair if r.lang == lang])
+        q = [own[max(0, int(np.ceil(p * len(own))) - 1)] for p in (0.16, 0.5, 0.84)]
+        slack = quality.FEW_BITS / len(own)
+        low, high = q[1] - max(quality.LEAST_BITS, quality.LOWER * (q[1] - q[0])) - slack, q[1] + max(quality.LEAST_BITS, quality.UPPER * (q[2] - q[1])) + slack
+        edge = 2e-3 * (high - low)  # the marks are found to one part in 10,000
+        for r in fair:
+            if r.lang == lang and min(abs(r.bits - low), abs(r.bits - high)) > edge:
+                assert r.kept == (low <= r.bits <= high)
+    assert not any(r.kept for r in got if r.base_failed)

@@ -43,7 +43,7 @@ def test_every_stage_against_plain_loops(spark, sf, tmp_path):
             assert after.columns == columns and len({r.doc_id for r in rows}) == len(rows)
         if name == "language_id":
             found = {r.doc_id: r for r in langid.identify(docs).collect()}
-            assert {r.doc_id for r in rows} == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= 0.5} and not {20_000, 20_001, 20_002} & {r.doc_id for r in rows}
+            assert {r.doc_id for r in rows} == {i for i, r in found.items() if r.lang_pred != "und" and r.main >= 0.5} and not {20_000, 20_001, 20_002} & {r.doc_id for r in rows}
         elif name == "quality_rules":
             assert {r.doc_id for r in rows} == {r.doc_id for r in quality.judge(docs).collect() if r.kept} and 20_003 not in {r.doc_id for r in rows}
         elif name == "ngram_jaccard":
@@ -84,3 +84,20 @@ def test_stages_with_repeated_ids_and_extra_columns(spark):
     assert cut.where("doc_id = 1 OR doc_id IS NULL").count() in (2, 3) and cut.where("doc_id = 2").count() == 1
     for stage in (P.language, P.rules):
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_texts_in_two_and_three_languages_pass_the_language_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = {}
+    for r in docs.where("lang IS NOT NULL").orderBy("doc_id").collect():
+        words = [w for w in (r.text or "").split() if w.isalpha()]
+        if len(words) >= 120:
+            prose.setdefault(r.lang, []).append(" ".join(words[:120]))
+    names = sorted(prose)
+    mixed = ["\n".join(prose[x][i] for x in own) for i in range(3) for own in (names[:2], names[1:3], names[:3], names[1:4], names[:4])]
+    rnd = random.Random(3)
+    crumbs = ["12 34 !!", "", " ".join(str(rnd.random()) for _ in range(90))]
+    rows = [(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(mixed + crumbs)]
+    kept = {r.doc_id - 10**6 for r in P.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), "").where("doc_id >= 1000000").collect()}
+    assert kept == set(range(len(mixed)))
+    assert langid.identify(docs.limit(0)).columns == ["doc_id", "held_out", "lang_pred", "score", "main", "spans"]
