@@ -21,15 +21,16 @@ def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
 
 
 def alias_matches(listings: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
-    """One row per (listing, alias) hit against an alias table.
+    """One row per (listing, alias) hit against an alias table; ``text`` is in lower case.
 
-    A regular expression is no hash key, so the table is broadcast (it is the fixed directory of
-    84 aliases, and its size is checked) and probed row by row.
+    An alias stands between bounds of words, so its first run of letters is a word of the text: the distinct words are joined to the
+    aliases that begin with them, and only those few pairs are tested for the whole alias.
     """
     quoted = F.regexp_replace("alias", r"([^a-z0-9 ])", r"\\$1")
-    table = aliases.withColumn("_p", F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])")))
-    test = F.col(text).contains(F.col("alias")) & F.expr(f"{text} rlike _p")
-    return listings.join(broadcast_if_small(table), test).drop("_p")
+    table = aliases.withColumns({"_first": F.regexp_extract("alias", "[a-z]+", 0), "_p": F.concat(F.lit("(?<![a-z])"), quoted, F.lit("(?![a-z])"))})
+    words = listings.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z]+"), F.lit(0)))))
+    hits = words.join(broadcast_if_small(table), F.col("_word") == F.col("_first"))
+    return hits.where(F.col(text).contains(F.col("alias")) & F.expr(f"{text} rlike _p")).drop("_p", "_first", "_word")
 
 
 def collect_states(matches: DataFrame, key: str) -> DataFrame:

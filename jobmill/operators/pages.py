@@ -70,7 +70,8 @@ def card_columns(card: Column, fields: Iterable[str]) -> list[Column]:
 
 def extract_cards(pages: DataFrame, rules: DataFrame, fields: Iterable[str]) -> DataFrame:
     """One row per card with its fields; ``pages`` has a ``site`` column, lists are joined by commas."""
-    cards = with_cards(pages, rules).select(*_others(pages), F.posexplode("_cards").alias("pos", "_card"))
+    # The outer form, as the other would read every page once more to see whether it has cards.
+    cards = with_cards(pages, rules).select(*_others(pages), F.posexplode_outer("_cards").alias("pos", "_card")).where("pos IS NOT NULL")
     return cards.select(*_others(pages), F.col("pos").cast("bigint").alias("pos"), *card_columns(F.col("_card"), fields))
 
 
@@ -92,7 +93,7 @@ def listed_details(lists: DataFrame, pages: DataFrame, rules: DataFrame, cap: in
     named = F.filter(read, lambda c: (c.title != "") & (c.detail_url != ""))
     first = H.let(named, lambda all_of: H.let(F.transform(all_of, lambda c: c.detail_url), lambda urls: F.filter(all_of, lambda c, i: F.array_position(urls, c.detail_url) == i + 1)))
     keep = [c for c in lists.columns if c != "html"]
-    rows = df.select(*keep, F.posexplode(F.slice(first, 1, cap)).alias("pos", "_a")).select(*keep, F.col("pos").cast("bigint").alias("pos"), "_a.title", "_a.detail_url")
+    rows = df.select(*keep, F.posexplode_outer(F.slice(first, 1, cap)).alias("pos", "_a")).where("pos IS NOT NULL").select(*keep, F.col("pos").cast("bigint").alias("pos"), "_a.title", "_a.detail_url")
     wanted = rows.select(F.col("detail_url").alias("url")).distinct()
     details = detail_pages(pages.join(wanted, "url", "left_semi").dropDuplicates(["url"]), rules).withColumnRenamed("url", "detail_url")
     joined = rows.join(details, "detail_url", "left")

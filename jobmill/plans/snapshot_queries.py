@@ -18,6 +18,7 @@ from jobmill.plans.listing_queries import ADMIT_SQL, pages_sql
 from jobmill.plans.registry import query
 from jobmill.session import fresh_dir
 from jobmill.sources import dims
+from jobmill.sources.snapshot_source import NAME, register
 from jobmill.sources.store import SnapshotStore, latest_of
 from jobmill.streaming import jobs as ST
 
@@ -49,6 +50,27 @@ def latest_snapshot(spark, sf):
     return latest_of(spark, root, rows.where("category = 'results'")).select("seq", "category", "title")
 
 
+@query("snapshot_reader", """
+SELECT 'newest' AS what, seq, category, title FROM v_listings WHERE seq % 4 < 3 UNION ALL SELECT 'first', seq, category, title FROM v_listings WHERE seq % 2 = 0 AND category IN ('results', 'admit_cards')
+UNION ALL SELECT 'streamed', seq, category, title FROM v_listings WHERE seq % 4 < 3""")
+def snapshot_reader(spark, sf):
+    """A store by ``spark.read`` (the newest version, and two categories of the first one) and by ``spark.readStream`` across a compaction."""
+    rows, root = _listings(spark, sf).select("seq", "category", "title"), fresh_dir(spark, "snapshot_reader")
+    register(spark)
+    store = SnapshotStore(spark, f"{root}/store")
+    store.append(rows.where("seq % 2 = 0"))
+    opened = spark.readStream.format(NAME).load(f"{root}/store")
+    for step in (lambda: store.append(rows.where("seq % 4 = 1")), store.compact):
+        ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        step()
+    ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    newest = spark.read.format(NAME).load(f"{root}/store")
+    first = spark.read.format(NAME).option("version", 1).load(f"{root}/store").where(F.col("category").isin("results", "admit_cards"))
+    streamed = spark.read.parquet(f"{root}/out")
+    parts = [df.select(F.lit(what).alias("what"), "seq", "category", "title") for what, df in (("newest", newest), ("first", first), ("streamed", streamed))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("run_status", """
 SELECT 'success' AS status, 709.0 AS duration_seconds, kind, name, n FROM (
   SELECT 'category' AS kind, category AS name, count(*) AS n FROM v_listings GROUP BY 2 UNION ALL SELECT 'source', source_group, count(*) FROM v_listings GROUP BY 2)""")

@@ -14,7 +14,7 @@ import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from jobmill.session import broadcast_if_small
 from jobmill.sources import files
@@ -28,6 +28,7 @@ class Version(NamedTuple):
     schema: str
     streams: dict[str, int]
     notes: dict[str, str]
+    rewrite: bool = False  # its first part holds rows of earlier versions only
 
 
 class VersionConflict(RuntimeError):
@@ -48,7 +49,7 @@ class SnapshotStore:
 
     def version(self, number: int) -> Version:
         record = json.loads(files.read_text(self.spark, f"{self.root}/commits/{number:020d}.json"))
-        return Version(number, tuple(record["parts"]), record["schema"], record["streams"], record["notes"])
+        return Version(number, tuple(record["parts"]), record["schema"], record["streams"], record["notes"], record["rewrite"])
 
     def latest(self) -> Version | None:
         numbers = self.versions()
@@ -56,17 +57,17 @@ class SnapshotStore:
 
     @staticmethod
     def _widened(head: Version | None, rows: DataFrame) -> str:
-        """The schema of ``rows`` with the columns that only the snapshot has behind."""
+        """The schema of ``rows`` with the columns that only the snapshot has behind; any may be null in some part."""
         held = StructType.fromJson(json.loads(head.schema)).fields if head else []
-        return StructType([*rows.schema.fields, *(f for f in held if f.name not in rows.columns)]).json()
+        return StructType([StructField(f.name, f.dataType) for f in (*rows.schema.fields, *(f for f in held if f.name not in rows.columns))]).json()
 
-    def _commit(self, after: Version | None, parts: tuple[str, ...], schema: str, batch: tuple[str, int] | None, notes: dict[str, str] | None = None) -> Version | None:
+    def _commit(self, after: Version | None, parts: tuple[str, ...], schema: str, batch: tuple[str, int] | None, notes: dict[str, str] | None = None, rewrite: bool = False) -> Version | None:
         """The next version, or None if another writer has it."""
         streams, notes = dict(after.streams) if after else {}, {**(after.notes if after else {}), **(notes or {})}
         if batch:
             streams[batch[0]] = batch[1]
-        version = Version(after.number + 1 if after else 1, parts, schema, streams, notes)
-        record = json.dumps({"parts": parts, "schema": schema, "streams": streams, "notes": notes})
+        version = Version(after.number + 1 if after else 1, parts, schema, streams, notes, rewrite)
+        record = json.dumps({"parts": parts, "schema": schema, "streams": streams, "notes": notes, "rewrite": rewrite})
         return version if files.create_new(self.spark, f"{self.root}/commits/{version.number:020d}.json", record) else None
 
     @staticmethod
@@ -111,7 +112,7 @@ class SnapshotStore:
         while not self._holds(head, batch):
             self._expect(head, expected)
             part = part or self._write(rows)
-            done = self._commit(head, (part,), rows.schema.json(), batch)
+            done = self._commit(head, (part,), self._widened(None, rows), batch)
             if done:
                 return done.number
             head = self.latest()
@@ -153,7 +154,7 @@ class SnapshotStore:
             return None
         part, now = self._write(self._open(head.parts, head.schema)), head
         while now.parts[:len(head.parts)] == head.parts:
-            done = self._commit(now, (part, *now.parts[len(head.parts):]), now.schema, None)
+            done = self._commit(now, (part, *now.parts[len(head.parts):]), now.schema, None, rewrite=True)
             if done:
                 return done.number
             now = self.latest()

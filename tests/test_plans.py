@@ -1,13 +1,17 @@
 """What the physical plans must and must not hold."""
 
+import re
+
 import pytest
 
 from jobmill.operators import joins as J
 from jobmill.plans.catalog import QUERIES
 
-WRITERS = {"sink_snapshot", "latest_snapshot", "build_snapshot", "stream_dedupe", "stream_counts", "stream_daily_counts", "stream_snapshot"}
+WRITERS = {"sink_snapshot", "latest_snapshot", "build_snapshot", "stream_dedupe", "stream_counts", "stream_daily_counts", "stream_snapshot",
+           "stream_late_rows", "admit_across_runs", "intake_payloads", "run_status", "search_postings", "snapshot_reader"}
 # Conditions without any equality, against a fixed table of at most 84 rows.
-PROBES = {"join_state_alias", "collect_states", "count_jobs_by_state", "search_states", "join_exam_eligibility"}
+PROBES = {"count_jobs_by_state", "search_states", "join_exam_eligibility",
+          "join_detail_pages"}  # whose pages are all of one site, so they meet its one row of rules
 
 
 def plan_of(df):
@@ -59,3 +63,29 @@ def test_lookup_is_dealt_out_by_salt(spark):
 
 def test_wide_rows_are_not_sorted_by_key(spark, sf_dir):
     assert "SortAggregate" not in plan_of(QUERIES["dedupe_category"](spark, sf_dir))
+
+
+def test_the_refresh_moves_no_html(spark, sf_dir):
+    """Admitted addresses are broadcast under a checked bound, and pages are parsed where they are read."""
+    from jobmill.plans import refresh as R
+    from pyspark.sql import functions as F
+
+    arrivals = spark.range(30).select(F.col("id").alias("seq"), F.lit("REMOTE").alias("source_group"), F.lit("r").alias("source"), F.lit("remote_jobs").alias("category"),
+                                      F.concat(F.lit("https://r.example.com/"), F.col("id").cast("string")).alias("original_url"), F.lit("Clerk").alias("title"))
+    pages = spark.range(10**9).select(F.concat(F.lit("https://r.example.com/"), F.col("id").cast("string")).alias("url_key"), F.lit("REMOTE").alias("site"), F.lit("<p>x</p>").alias("html"))
+    plan = plan_of(R.build_snapshot(arrivals, pages))
+    below = plan[plan.index("ArrowEvalPython"):].split("Range (0, 1000000000")[0]
+    assert "BroadcastHashJoin" in below and "Exchange hashpartitioning" not in below and "SortMergeJoin" not in below
+
+
+def test_a_search_reads_its_own_buckets(spark, sf_dir, tmp_path):
+    from jobmill.operators import search as S
+    from jobmill.operators.predicates import search_listings
+    from jobmill.plans.listing_queries import _served
+
+    listings, path = _served(spark, sf_dir), str(tmp_path / "postings")
+    S.write_postings(listings, "seq", path)
+    found = S.search_postings(spark, path, listings, "seq", "Engineer")
+    assert {r.seq for r in found.collect()} == {r.seq for r in search_listings(listings, "Engineer").collect()}
+    plan = plan_of(found)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*In\(gram", plan)

@@ -395,3 +395,29 @@ def test_homepage_state_and_official_pages_in_a_refresh(spark):
     df = spark.createDataFrame(rows, "seq bigint, source_group string, source string, category string, original_url string, title string, phase int, page_seq bigint, pos bigint, page_limit int")
     got = sorted(r.seq for r in R.admit(df).collect())
     assert got == [*range(10), 30, 32, 52, *range(60, 72), 82, 83, 84, 85, *range(90, 100), 110]
+
+
+def test_snapshots_by_reader_options_and_as_a_stream(spark, tmp_path):
+    from jobmill.sources import snapshot_source as SS
+
+    SS.register(spark)
+    root, out = str(tmp_path / "s"), str(tmp_path / "out")
+    store = SnapshotStore(spark, root)
+    with pytest.raises(Exception, match="nothing is published"):
+        spark.read.format(SS.NAME).load(root)
+    store.append(listings(spark, range(6)))
+    store.append(listings(spark, range(6, 9)).withColumn("title", F.lit("t")))
+    seqs = lambda df: sorted(r.seq for r in df.collect())
+    assert seqs(spark.read.format(SS.NAME).load(root)) == list(range(9)) and seqs(spark.read.format(SS.NAME).option("version", 1).load(root)) == list(range(6))
+    assert {r.title for r in spark.read.format(SS.NAME).load(root).collect()} == {None, "t"}
+    reader = SS.SnapshotReader(root, "category", store.read().schema, list(store.latest().parts))
+    left = list(reader.pushFilters([SS.EqualTo(("category",), "results"), SS.EqualTo(("seq",), 1)]))
+    assert len(left) == 1 and {f.layout for f in reader.partitions()} == {"results"}
+    one = spark.read.format(SS.NAME).load(root).where("category = 'results'")
+    assert seqs(one) == [0, 6] and seqs(store.read().where("category = 'results'")) == [0, 6]
+    stream = spark.readStream.format(SS.NAME).load(root)
+    ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination()
+    store.compact()
+    store.append(listings(spark, [20]).withColumn("title", F.lit("t")))
+    ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert seqs(spark.read.parquet(out)) == [*range(9), 20]
