@@ -1,7 +1,8 @@
 """URL filter: host and path rules, then logistic regression on hashed character n-grams of host and path.
 
-The regression is fitted by plain gradient descent on a small labelled table of at most ``MOST_LABELLED`` urls, so its
-weights are a fixed-size array.  Pages are judged row by row without any shuffle.
+An n-gram weighs by how few of the urls at hand hold it (inverse document frequency, counted over all of them), so what all hosts and paths
+share says little.  The regression is fitted by plain gradient descent on a small labelled table of at most ``MOST_LABELLED`` urls; its
+weights and the frequencies are arrays of fixed size.  Pages are judged row by row without any shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Action, host, start of the path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MOST_LABELLED = 10_000
-BITS, LENGTHS = 14, (3, 4, 5)
-ROUNDS, RATE, RIDGE = 400, 4.0, 1e-3
+BITS, LENGTHS = 16, (3, 4)
+ROUNDS, RATE, RIDGE = 400, 10.0, 1e-4
+ALLOW_WEIGHT = 1.2  # what a good url wrongly blocked costs against a bad one let through
 #: The labelled urls: 1 is block.
 LABELLED = tuple((url, 0) for url in (
     "https://library.example.edu/catalog/history", "https://news.example.com/world/2024/report", "https://docs.example.net/guide/install.html", "https://en.encyclopedia.example/article/river",
@@ -60,15 +62,40 @@ def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(slots)
 
 
-def margins(weights: np.ndarray, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
-    """The log-odds of block: the mean weight of a row's n-grams, scaled, plus the bias."""
+def frequencies(pages: DataFrame) -> np.ndarray:
+    """Inverse document frequency of every slot over ``pages`` (host, path): tasks count, Spark sums 2**BITS numbers."""
+    def count(batches):
+        held, n = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            rows, slots = features(batch.column("host"), batch.column("path"))
+            held += np.bincount(np.unique(rows * (1 << BITS) + slots) & ((1 << BITS) - 1), minlength=1 << BITS)
+            n += batch.num_rows
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(held[used], n))], ["slot", "n"])
+
+    sums = pages.select("host", "path").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(sums.column("slot").to_pylist(), sums.column("n").to_pylist(), strict=True))
+    total, counts = found.pop(-1, 0), np.zeros(1 << BITS)
+    if found:
+        counts[np.fromiter(found, np.int64)] = np.fromiter(found.values(), np.float64)
+    return np.log((total + 2) / (counts + 1))
+
+
+def _weighed(idf: np.ndarray, hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of every n-gram; the values of a row have length one."""
     rows, slots = features(hosts, paths)
-    n = len(hosts)
-    total = np.bincount(rows, weights[slots], n)
-    return total / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1)) + weights[-1]
+    value = idf[slots]
+    length = np.sqrt(np.bincount(rows, value**2, len(hosts)))
+    return rows, slots, value / np.maximum(length, 1e-9)[rows]
+
 
+def margins(weights: np.ndarray, idf: np.ndarray, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+    """The log-odds of block: the weighed n-grams of a row, plus the bias."""
+    rows, slots, value = _weighed(idf, hosts, paths)
+    return np.bincount(rows, weights[slots] * value, len(hosts)) + weights[-1]
 
-def fit(labelled=LABELLED) -> np.ndarray:
+
+def fit(labelled=LABELLED, idf: np.ndarray | None = None) -> np.ndarray:
     """Weights by full-batch gradient descent; the last one is the bias.  The result does not depend on row order."""
     if len(labelled) > MOST_LABELLED:
         raise ValueError(f"the labelled table may have {MOST_LABELLED} rows at most")
@@ -77,17 +104,23 @@ def fit(labelled=LABELLED) -> np.ndarray:
         return weights
     labelled = sorted(labelled)
     parts = [split_url(url) for url, _ in labelled]
-    rows, slots = features(pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts]))
+    rows, slots, value = _weighed(np.ones(1 << BITS) if idf is None else idf, pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts]))
     y, n = np.array([float(label) for _, label in labelled]), len(labelled)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
+    cost = np.where(y == 0, ALLOW_WEIGHT, 1.0) / n
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-(np.bincount(rows, weights[slots], n) * scale + weights[-1])))
-        slope = (p - y) / n
-        weights[:-1] -= RATE * (np.bincount(slots, (slope * scale)[rows], 1 << BITS) + RIDGE * weights[:-1])
+        p = 1 / (1 + np.exp(-(np.bincount(rows, weights[slots] * value, n) + weights[-1])))
+        slope = (p - y) * cost
+        weights[:-1] -= RATE * (np.bincount(slots, slope[rows] * value, 1 << BITS) + RIDGE * weights[:-1])
         weights[-1] -= RATE * slope.sum()
     return weights
 
 
+def labelled_rows(table: DataFrame, url_col: str = "url", label_col: str = "block") -> tuple[tuple[str, int], ...]:
+    """(url, 1 for block) of a labelled table; one of more than ``MOST_LABELLED`` rows is refused, rows with nulls are left out."""
+    rows = table.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(url_col, F.col(label_col).cast("int")).limit(MOST_LABELLED + 1).collect()
+    return tuple((r[0], r[1]) for r in rows)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """The same host and path as ``host_path`` for one url of the labelled table."""
     rest = (url or "").partition("://")[2]
@@ -102,21 +135,22 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled=LABELLED, id_col: str =
 
     The longest fitting rule decides (of equal length the first listed); else a block score of 0.5 or more blocks.  A null url
     or one without ``://`` has an empty host and path and is judged by the bias alone; ids are carried as they are, so
-    null and repeated ones keep their rows.
+    null and repeated ones keep their rows.  ``labelled`` is a sequence of (url, 1 for block) or a table with ``url`` and ``block``.
     """
-    weights = fit(labelled)
+    rules = list(rules)
+    placed = picked(pages, page_id=id_col, url=url_col).select("page_id", *[c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"), strict=True)])
+    idf = frequencies(placed)
+    weights = fit(labelled_rows(labelled) if isinstance(labelled, DataFrame) else labelled, idf)
 
     @F.pandas_udf(DoubleType())
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-margins(weights, pa.array(hosts, pa.string()), pa.array(paths, pa.string())))))
+        return pd.Series(1 / (1 + np.exp(-margins(weights, idf, pa.array(hosts, pa.string()), pa.array(paths, pa.string())))))
 
-    host, path = host_path(F.col("url"))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     for action, at, prefix in sorted(rules, key=lambda r: len(r[1] + r[2]), reverse=True)[::-1]:
         fits = ((F.col("host") == at) | F.col("host").endswith("." + at)) & F.col("path").startswith(prefix)
         rule, verdict = F.when(fits, F.lit(at + prefix)).otherwise(rule), F.when(fits, F.lit(action)).otherwise(verdict)
-    return (picked(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"))
-            .withColumn("block_score", score("host", "path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "block_score"))
+    return placed.withColumn("block_score", score("host", "path")).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "block_score")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

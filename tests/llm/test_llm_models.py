@@ -200,7 +200,7 @@ def test_url_parts_rules_and_scores(spark):
 
 def test_url_regression_learns_its_table_and_similar_urls():
     weights = urls.fit()
-    judged = lambda us: urls.margins(weights, *(pa.array(x) for x in zip(*map(urls.split_url, us), strict=True))) >= 0
+    judged = lambda us: urls.margins(weights, np.ones(1 << urls.BITS), *(pa.array(x) for x in zip(*map(urls.split_url, us), strict=True))) >= 0
     assert judged([u for u, _ in urls.LABELLED]).tolist() == [label == 1 for _, label in urls.LABELLED]
     assert judged(["http://casino-bonus.example.net/slots/win", "http://library.example.org/catalog/history/rivers"]).tolist() == [True, False]
     assert np.array_equal(weights, urls.fit(urls.LABELLED[::-1])) and not urls.fit(()).any()
@@ -369,3 +369,34 @@ def test_the_best_candidates_of_a_query_are_kept_once():
     query, rep, score = np.array([1, 1, 1, 2, 1]), np.array([5, 5, 6, 5, 7]), np.array([0.1, 0.3, 0.2, 0.9, 0.25])
     kept = ann._kept(query, rep, score, 2)
     assert [c.tolist() for c in kept] == [[1, 1, 2], [5, 7, 5], [0.3, 0.25, 0.9]]
+
+
+def test_urls_of_unlisted_hosts_are_judged_by_what_sets_them_apart(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = [r for r in urls.filter_urls(pages).collect() if r.rule is None]
+    spam = [r for r in got if any(x in r.host for x in ("casino-win", "free-bets", "cheap-pills", "adult-x"))]
+    rest = [r for r in got if r not in spam]
+    assert len(spam) == 72 and sum(r.verdict == "block" for r in spam) >= 0.9 * len(spam)
+    assert len(rest) > 1000 and sum(r.verdict == "block" for r in rest) <= 0.05 * len(rest)
+    idf = urls.frequencies(pages.select(*[c.alias(n) for c, n in zip(urls.host_path(pages["url"]), ("host", "path"), strict=True)]))
+    parts = [urls.split_url(r.url) for r in pages.select("url").collect()]
+    rows, slots = urls.features(pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]))
+    counts = np.bincount(np.array(sorted({(r, s) for r, s in zip(rows.tolist(), slots.tolist(), strict=True)}))[:, 1], minlength=1 << urls.BITS)
+    assert np.allclose(idf, np.log((len(parts) + 2) / (counts + 1)))
+    right = 0
+    for k in range(5):  # held-out accuracy
+        weights = urls.fit([x for i, x in enumerate(urls.LABELLED) if i % 5 != k], idf)
+        held = [x for i, x in enumerate(urls.LABELLED) if i % 5 == k]
+        margin = urls.margins(weights, idf, *(pa.array(x) for x in zip(*(urls.split_url(u) for u, _ in held), strict=True)))
+        right += sum((m >= 0) == (label == 1) for m, (_, label) in zip(margin, held, strict=True))
+    assert right >= 0.75 * len(urls.LABELLED)
+
+
+def test_labelled_urls_may_come_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([(u, label, "x") for u, label in urls.LABELLED] + [(None, 1, "x"), ("http://a", None, "x")], "url string, block int, host string")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls.LABELLED)], "page_id long, url string")
+    one, two = (sorted(map(tuple, urls.filter_urls(pages, labelled=x).collect())) for x in (table, urls.LABELLED))
+    assert one == two
+    monkeypatch.setattr(urls, "MOST_LABELLED", 10)
+    with pytest.raises(ValueError):
+        urls.filter_urls(pages, labelled=table)
