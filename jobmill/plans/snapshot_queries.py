@@ -61,9 +61,9 @@ def snapshot_reader(spark, sf):
     store.append(rows.where("seq % 2 = 0"))
     opened = spark.readStream.format(NAME).load(f"{root}/store")
     for step in (lambda: store.append(rows.where("seq % 4 = 1")), store.compact):
-        ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination(600)
         step()
-    ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    ST.append_files(opened, f"{root}/out", f"{root}/checkpoint").awaitTermination(600)
     newest = spark.read.format(NAME).load(f"{root}/store")
     first = spark.read.format(NAME).option("version", 1).load(f"{root}/store").where(F.col("category").isin("results", "admit_cards"))
     streamed = spark.read.parquet(f"{root}/out")

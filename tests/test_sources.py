@@ -416,8 +416,8 @@ def test_snapshots_by_reader_options_and_as_a_stream(spark, tmp_path):
     one = spark.read.format(SS.NAME).load(root).where("category = 'results'")
     assert seqs(one) == [0, 6] and seqs(store.read().where("category = 'results'")) == [0, 6]
     stream = spark.readStream.format(SS.NAME).load(root)
-    ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination(300)
     store.compact()
     store.append(listings(spark, [20]).withColumn("title", F.lit("t")))
-    ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert ST.append_files(stream, out, str(tmp_path / "cp")).awaitTermination(300)
     assert seqs(spark.read.parquet(out)) == [*range(9), 20]
