@@ -13,7 +13,7 @@ from jobmill.session import fresh_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known and has most of their letters stay."""
+    """Documents whose main languages are known and have most of their letters stay."""
     return langid.accepted(docs)
 
 
