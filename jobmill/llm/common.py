@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmill.session import fresh_dir
+
 CHUNK_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
@@ -155,6 +157,13 @@ def table_of(*spans: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size the optimizer then knows from its files."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def key_long(column) -> F.Column:
     """A row's id as a long for ordering; null sorts before every id."""
     return F.coalesce(column.cast("long"), F.lit(-(1 << 63)))

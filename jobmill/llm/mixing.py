@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import mix
-from jobmill.session import broadcast_if_small, fresh_dir
+from jobmill.llm.common import mix, written
+from jobmill.session import broadcast_if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -40,12 +40,6 @@ _NUMPY_LIMIT = 10**9  # numpy draws from fewer than this many
 # ------------------------------------------------------------------ targets
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
     """(source, s, n_rows, source_size, target, words): one row per source of ``sizes`` (source, size).
 
@@ -204,11 +198,11 @@ def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def placed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES, seed: int = SEED, **columns) -> tuple[DataFrame, DataFrame]:
     """All rows with their places on the tapes, and the sources' targets; both written, for both are used twice."""
-    sizes = _written(document_sizes(docs, seed=seed, **columns), "mix_sizes")
-    targets = _written(source_targets(sizes, weights, share, most).coalesce(1), "mix_targets")
+    sizes = written(document_sizes(docs, seed=seed, **columns), "mix_sizes")
+    targets = written(source_targets(sizes, weights, share, most).coalesce(1), "mix_targets")
     small = broadcast_if_small(targets.withColumnRenamed("source", "named"))
     rows = sizes.join(small, sizes["source"].eqNullSafe(small["named"])).drop("named")
-    return _written(on_tape(rows), "mix_places"), targets
+    return written(on_tape(rows), "mix_places"), targets
 
 
 def mixed_pieces(placed: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import conf_parts, mix, release
+from jobmill.llm.common import conf_parts, mix, release, written
 from jobmill.llm.repair import crc32_sql
-from jobmill.session import broadcast_if_small, checkpointed, fresh_dir
+from jobmill.session import broadcast_if_small, checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROOT = bytes(32)
@@ -183,12 +183,6 @@ def accumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _ends(prefixes: DataFrame) -> DataFrame:
     """(digest, ends_sha256) of nodes where conversations end: ids are joined in runs of ``CHUNK`` first, then hashed in a stream."""
     runs = prefixes.where("below = 1").groupBy("digest", F.floor(F.col("conv_id") / CHUNK).alias("run")).agg(
@@ -219,15 +213,15 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, step: int = STEP,
     null conv_id belong to no conversation and are left out.  conv_id is an integer; repeated rows are turns of their own; an empty table
     gives no rows, not even the root; other columns are ignored.
     """
-    prefixes = _written(rebuilt(turn_rows(conversations)).mapInArrow(chained, _CHAINED), "trie_prefixes")
+    prefixes = written(rebuilt(turn_rows(conversations)).mapInArrow(chained, _CHAINED), "trie_prefixes")
     level = sum(((F.sum("below") > limit * step**i).cast("int") for i in range(MOST_LEVELS)), F.lit(0))
-    nodes = _written(prefixes.groupBy("digest").agg(
+    nodes = written(prefixes.groupBy("digest").agg(
         F.min("conv_id").alias("conv_id"), F.any_value("depth").alias("depth"), F.any_value("parent").alias("parent"), F.count(F.lit(1)).alias("n_convs"),
         ((F.count(F.lit(1)) - 1) * F.any_value("words")).alias("own"), level.alias("level")), "trie_nodes")
     heavy = nodes.where("level > 0").select("digest", "level", F.col("conv_id").alias("above"))
-    heavy = broadcast_if_small(_written(heavy, "trie_heavy"))
+    heavy = broadcast_if_small(written(heavy, "trie_heavy"))
     shards = prefixes.join(heavy.drop("above"), "digest", "left").groupBy("conv_id", F.coalesce("level", F.lit(0)).alias("level")).agg(F.min_by("digest", "depth").alias("shard"))
-    nodes = _written(nodes.join(shards, ["conv_id", "level"]), "trie_sharded")
+    nodes = written(nodes.join(shards, ["conv_id", "level"]), "trie_sharded")
     sizes = {r["level"]: r["n"] for r in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per level
     results: list[DataFrame] = []
     for at in sorted(sizes):
@@ -243,7 +237,7 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, step: int = STEP,
             part = part.join(sums, "digest", "left").fillna(0, ["n_children", "n_leaves", "saved_tokens"])
         tasks = max(1, min(conf_parts(nodes), -(-sizes[at] // 1000)), -(-sizes[at] // nodes_per_task))
         part = part.select("digest", "parent", *_NODE, "shard").repartition(tasks, "shard").drop("shard")
-        results.append(_written(part.mapInArrow(accumulated, _TOTALS), f"trie_level_{at}"))
+        results.append(written(part.mapInArrow(accumulated, _TOTALS), f"trie_level_{at}"))
     if not results:
         results = [conversations.sparkSession.createDataFrame([], _TOTALS)]
     whole = results[0]
