@@ -9,6 +9,8 @@ from jobmill import constants as K
 from jobmill.functions.text import first_present, state_key, text_or_empty
 from jobmill.session import broadcast_if_small
 
+HOT_REQUESTS = 100_000  # of one id; more are dealt out
+
 
 def join_content(links: DataFrame, pages: DataFrame, key: str = "url_key",
                  carry: tuple[str, ...] = ()) -> DataFrame:
@@ -66,27 +68,27 @@ def count_jobs_by_state(listings: DataFrame, directory: DataFrame) -> DataFrame:
         "name", "type", "dir_pos", F.coalesce("_jobs", F.lit(0)).cast("bigint").alias("jobs"))
 
 
-def lookup_posts(requests: DataFrame, listings: DataFrame, salts: int = 32) -> DataFrame:
+def lookup_posts(requests: DataFrame, listings: DataFrame, salts: int = 32, hot: int = HOT_REQUESTS) -> DataFrame:
     """First listing of each requested id: the requested category first, then the fixed order.
 
     ``requests`` has request_id, id and requested.  Only the first listing of an id in each category
-    can be the answer, so the listings are cut to those (at most six per id) first.  The answer depends on (id, requested)
-    alone and is found once for each such pair, combined before the shuffle; handing it to the requests is a join in which
-    an id that most requests name is dealt out over ``salts`` tasks.
+    can be the answer, so the listings are cut to those (at most six per id) first.  Handing them to the requests is a join in which
+    an id that more than ``hot`` requests name is dealt out over ``salts`` tasks; there are fewer of these than requests / ``hot``,
+    so they are broadcast, and the listings of all other ids move once.
     """
     def first_in(category: str) -> Column:
         mine = F.col("category") == category
         return F.min_by(F.when(mine, F.struct("category", "title", "seq")), F.when(mine, F.col("seq")))
 
-    by_id = listings.groupBy("id").agg(F.array_compact(F.array(*[first_in(c) for c in K.CATEGORIES])).alias("_hits"))
-    pairs = requests.select("id", F.coalesce("requested", F.lit("")).alias("_r")).distinct().join(by_id, "id")
+    by_id = listings.groupBy("id").agg(F.array_compact(F.array(*[first_in(c) for c in K.CATEGORIES])).alias("_hits")).where("size(_hits) > 0")
+    many = F.broadcast(requests.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("id", F.lit(True).alias("_hot")))
+    held = by_id.join(many, "id", "left").select("id", "_hits", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    asked = requests.join(many, "id", "left").select("request_id", "id", F.coalesce("requested", F.lit("")).alias("_r"), F.when(
+        F.col("_hot"), F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")).otherwise(0).alias("_salt"))
     # The array is in the fixed order of the categories, so its first entry is the default answer.
     wanted = F.filter("_hits", lambda h: h.category == F.col("_r"))
     best = F.coalesce(F.get(wanted, F.lit(0)), F.get(F.col("_hits"), F.lit(0)))
-    answers = pairs.withColumn("_b", best).where("_b is not null").select(
-        "id", "_r", "_b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = requests.withColumns({"_r": F.coalesce("requested", F.lit("")), "_salt": F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")})
-    return salted.join(answers, ["id", "_r", "_salt"]).select("request_id", "id", "_b.*")
+    return asked.join(held, ["id", "_salt"]).select("request_id", "id", best.alias("_b")).select("request_id", "id", "_b.*")
 
 
 def join_category_labels(listings: DataFrame, categories: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:

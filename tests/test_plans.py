@@ -89,3 +89,29 @@ def test_a_search_reads_its_own_buckets(spark, sf_dir, tmp_path):
     assert {r.seq for r in found.collect()} == {r.seq for r in search_listings(listings, "Engineer").collect()}
     plan = plan_of(found)
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*In\(gram", plan)
+
+
+def test_lookups_copy_the_listings_of_hot_ids_only(spark):
+    requests = spark.range(300).selectExpr("id AS request_id", "IF(id % 2 = 0, 'hot', concat('x', id)) AS id", "IF(id % 3 = 0, 'results', NULL) AS requested")
+    listings = spark.createDataFrame([("hot", "results", "t", 1), ("hot", "results", "s", 4), ("hot", "admit_cards", "u", 0), ("x7", "latest_jobs", "v", 2)], "id string, category string, title string, seq bigint")
+    answers = lambda **o: sorted(map(tuple, J.lookup_posts(requests, listings, **o).collect()))
+    assert answers(hot=100) == answers(hot=10**6) == answers(salts=1) and len(answers()) == 151
+    assert answers(salts=2**22, hot=10**6) == answers()  # nothing is copied, or this would make 8 million rows
+    assert re.search(r"_n#\d+L > 100000\)", plan_of(J.lookup_posts(requests, listings)))
+
+
+def test_tasks_grow_with_narrow_tables(spark, sf_dir):
+    from jobmill.session import spread
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    size = int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert spread(orders, True, most_bytes=size // 40).rdd.getNumPartitions() >= 40
+    parts = orders.repartition(8)
+    assert spread(parts, False, most_bytes=1).rdd.getNumPartitions() == 8  # a split for every core, and perhaps wide
+
+
+def test_postings_are_made_by_all_cores(spark, sf_dir):
+    from jobmill.operators import search as S
+    from jobmill.plans.listing_queries import _served
+
+    assert "Exchange RoundRobinPartitioning" in plan_of(S.postings(_served(spark, sf_dir, heavy=True), "seq"))
