@@ -9,11 +9,12 @@ shuffle is needed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,10 +104,19 @@ def tokenize_page(html: str) -> list[list]:
     return parser.finish()
 
 
-def _tokenize_batch(pages: pa.Array, step: int = 64) -> pa.Array:
-    """Token lists of an Arrow batch, some pages at a time so that few Python rows are alive."""
-    parts = [_tokenize_slice(pages.slice(i, step)) for i in range(0, len(pages), step)]
-    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_TYPE)
+STEP_PAGES, STEP_CHARS = 64, 1 << 20
+
+
+def _steps(pages: pa.Array) -> Iterator[pa.Array]:
+    """Token lists of an Arrow batch, some pages at a time, so that few tokens are alive, however many pages a batch has."""
+    start, sizes = 0, pc.fill_null(pc.utf8_length(pages), 0).to_pylist()
+    while start < len(pages):
+        end, held = start + 1, sizes[start]
+        while end < len(pages) and end - start < STEP_PAGES and held + sizes[end] <= STEP_CHARS:
+            held += sizes[end]
+            end += 1
+        yield _tokenize_slice(pages.slice(start, end - start))
+        start = end
 
 
 def _tokenize_slice(pages: pa.Array) -> pa.Array:
@@ -122,8 +132,9 @@ def _tokenize_slice(pages: pa.Array) -> pa.Array:
 
 def tokenize(html: Column | str) -> Column:
     @F.arrow_udf(TOKEN_TYPE)
-    def html_tokens(pages: pa.Array) -> pa.Array:
-        return _tokenize_batch(pages)
+    def html_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield from _steps(pages) if len(pages) else [pa.array([], _ARROW_TYPE)]
 
     return html_tokens(html)
 

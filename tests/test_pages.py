@@ -181,3 +181,14 @@ def test_tokens_and_cuts_take_linear_time(spark):
     df = spark.createDataFrame([(page,)], "html string").select(H.tokenize("html").alias("t"))
     got = df.select(H.text_of(H.without(F.col("t"), H.spans(F.col("t"), lambda t: t.tag == "i")), "").alias("x")).first().x
     assert got == "c" * 8_000 and time.time() - start < 30
+
+
+def test_tokens_are_made_some_pages_at_a_time():
+    import pyarrow as pa
+
+    from jobmill.functions import html as H
+
+    pages = pa.array([f"<p>{i}<b>x</b></p>" for i in range(200)] + [None, "<i>" + "y" * 2 * H.STEP_CHARS, "z"])
+    steps = list(H._steps(pages))
+    assert max(len(s) for s in steps) <= H.STEP_PAGES and len(steps) > 3 and pa.concat_arrays(steps) == H._tokenize_slice(pages)
+    assert list(H._steps(pages.slice(0, 0))) == []
