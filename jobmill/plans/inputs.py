@@ -16,6 +16,7 @@ from jobmill.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
+NARROW = ("customer", "orders")  # many short rows, from which the views make long ones
 
 
 def pick(expression: str, values: list[str]) -> str:
@@ -128,15 +129,15 @@ ARTICLE_HTML = """CASE WHEN site IN ('PRIVATE', 'REMOTE') THEN '<script>99999 ca
 LISTING_DOMAINS = {"SR": "jobs0.example.com", "FJA": "jobs1.example.com", "SE": "jobs2.example.com", "SU": "jobs3.example.com"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A given table; ``heavy`` uses all cores on a table of few splits."""
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False, narrow: bool = False) -> DataFrame:
+    """A given table; ``heavy`` uses all cores on a table of few splits, and more tasks the larger a ``narrow`` table is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if heavy else df
+    return spread(df, narrow) if heavy else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     sql = VIEWS[name]
-    frames = {n: (view if n in VIEWS else table)(spark, sf_dir, n, heavy) for n in set(re.findall(r"\{(\w+)\}", sql))}
+    frames = {n: view(spark, sf_dir, n, heavy) if n in VIEWS else table(spark, sf_dir, n, heavy, n in NARROW) for n in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **frames)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024  # of estimated, compressed size; several times that in memory
 
+SPREAD_BYTES = 2 * 1024 * 1024  # of a table's files for a task: some 100,000 rows of few columns
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
@@ -42,14 +44,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly row-wise stage over a table of only a few splits.
+def spread(df: DataFrame, narrow: bool = False, most_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Enough tasks for a costly row-wise stage: all cores, and no more than ``most_bytes`` of the table's files in one.
 
-    For a table just opened: counting its splits runs nothing.  Tables with enough splits, as any
-    large one has, pass unchanged and are not shuffled.
+    For a table just opened: counting its splits and sizing its files runs nothing.  Tables with a split for every core pass unchanged
+    and are not shuffled, unless they are ``narrow``: then the number of tasks grows with the table, so that the longest one does not.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = max(cores, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // most_bytes))
+    return df.repartition(wanted) if splits < (wanted if narrow else cores) else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
