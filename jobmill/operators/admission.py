@@ -30,9 +30,11 @@ a later one.  Then (``head_of_pages``):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,14 +132,12 @@ class _Group:
         return True
 
 
-def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ...]):
-    columns = ["phase", "page_seq", "category", "url_key", "is_head", "page_limit"]
+def _fold_rows(caps: dict[str, int], home_limit: int, late_check: tuple[str, ...]):
+    """The fold over rows that come by group, phase, page and place: only the page at hand and what a group has admitted are held."""
+    columns = ("source_group", "phase", "page_seq", "category", "url_key", "is_head", "page_limit", "seq")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["phase", "page_seq", "pos"], kind="stable")
-        late = frame["source_group"].iloc[0] in late_check
-        group, admitted = _Group(caps), []
-        rows = zip(frame.index, *(frame[c] for c in columns))
+    def admitted_of(source: str, rows: Iterator[tuple]) -> list[tuple]:
+        late, group, admitted = source in late_check, _Group(caps), []
         for (phase, _), page in groupby(rows, key=lambda row: row[1:3]):
             if group.full():
                 break
@@ -150,13 +150,21 @@ def _fold_frame(caps: dict[str, int], home_limit: int, late_check: tuple[str, ..
                     page, room = [row for row in page if late and row[5]], 1
             else:
                 room = min(page_limit, group.room(category))
-            for index, _, _, _, url, _, _ in page:
+            for row in page:
                 if room <= 0:
                     break
-                if group.admit(category, url):
+                if group.admit(row[3], row[4]):
                     room -= 1
-                    admitted.append(index)
-        return frame.loc[admitted, ["source_group", "category", "url_key", "seq"]]
+                    admitted.append((source, row[3], row[4], row[7]))
+        return admitted
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        for source, own in groupby(rows, key=lambda row: row[0]):
+            found = admitted_of(source, own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)],
+                                                 ["source_group", "category", "url_key", "seq"])
 
     return fold
 
@@ -202,8 +210,8 @@ def admit_pages(rows: DataFrame, caps: dict[str, int] | None = None, page_limit:
     home = head_of_home(rows.where("phase = 0"), caps).withColumnRenamed("_head", "is_head")
     pages = head_of_pages(rows.where("phase = 1"), caps, min_page_limit or page_limit, page_limit)
     both = home.unionByName(pages.withColumn("is_head", F.lit(False)), allowMissingColumns=True).drop("_rank")
-    fold = _fold_frame(caps, home_limit, late_check)
-    return both.groupBy("source_group").applyInPandas(fold, _ADMITTED)
+    ordered = both.repartition("source_group").sortWithinPartitions("source_group", "phase", "page_seq", "pos")
+    return ordered.mapInArrow(_fold_rows(caps, home_limit, late_check), _ADMITTED)
 
 
 def admitted_rows(rows: DataFrame, admitted: DataFrame) -> DataFrame:

@@ -111,3 +111,15 @@ def test_pages_head_is_bounded_when_pages_repeat(spark):
         F.lit(0).cast("bigint").alias("pos"), F.lit("same").alias("url_key"), F.col("id").alias("seq"), F.lit(2).alias("page_limit"))
     assert A.head_of_pages(rows, CAPS, 2, 2).count() <= max(CAPS.values()) // 2 + 1
     assert [r.seq for r in A.admit_pages(rows, CAPS, 2, 2).collect()] == [0]
+
+
+def test_the_fold_holds_one_page_at_a_time():
+    import pyarrow as pa
+
+    names = ("source_group", "phase", "page_seq", "category", "url_key", "is_head", "page_limit", "seq")
+    rows = [(g, p // 4, p, "results", f"u{i % 9}-{p % 5}", i == 0, 3, 100 * p + i) for g in ("FJA", "SR", None) for p in range(12) for i in range(10)]
+    whole = pa.table([pa.array(list(c)) for c in zip(*rows)], names=names).to_batches()[0]
+    fold = A._fold_rows({"results": 20, "admit_cards": 5}, 10, ("SR",))
+    read = lambda batches: [tuple(r.values()) for b in fold(iter(batches)) for r in b.to_pylist()]
+    assert read([whole.slice(i, 7) for i in range(0, whole.num_rows, 7)]) == read([whole]) and len(read([whole])) >= 60
+    assert read([]) == []
