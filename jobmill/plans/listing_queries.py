@@ -87,9 +87,9 @@ def build_market_listing(spark, sf):
         F.array_join("states", " / ").alias("states"), "official_state_portal")
 
 
-def _served(spark, sf):
+def _served(spark, sf, heavy=False):
     """Stored market rows as a serving page reads them, some fields missing."""
-    rows = view(spark, sf, "v_market")
+    rows = view(spark, sf, "v_market", heavy)
     return rows.select(
         "seq", "category", listing_id("category", "original_url").alias("id"), "title", "company", "job_location",
         F.when(F.col("seq") % 5 == 0, "Bihar").otherwise("").alias("state_label"), F.col("salary_max").alias("salary"),
@@ -131,7 +131,7 @@ _SEARCHES = (("engineer", "Remotive"), (" Remote ", "all"), ("a", "Remote OK"),
 """ + " UNION ALL ".join(f"SELECT '{q}' AS query, seq, id, title FROM x WHERE contains(t, '{q.strip().lower()}')" + ("" if f == "all" else f" AND shown = '{f}'") for q, f in _SEARCHES))
 def search_postings(spark, sf):
     """The same search by trigram postings that are written beside the listings."""
-    listings, path = _served(spark, sf), fresh_dir(spark, "postings")
+    listings, path = _served(spark, sf, heavy=True), fresh_dir(spark, "postings")
     S.write_postings(listings, "seq", path)
     found = [S.search_postings(spark, path, listings, "seq", q, f).select(F.lit(q).alias("query"), "seq", "id", "title") for q, f in _SEARCHES]
     return reduce(lambda a, b: a.unionByName(b), found)
