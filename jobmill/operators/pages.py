@@ -137,13 +137,19 @@ def rac_notices(pages: DataFrame) -> DataFrame:
             node.attrs["id"].alias("target"), normalize_spaces(H.text_of(part)).alias("panel_text"),
             F.filter(links(part), lambda x: x.href != "").alias("links")))
 
-    df = df.withColumn("_targets", F.transform(blocks, target_of))
-    named = F.filter(tokens, lambda t: (t.kind == "open") & F.coalesce((t.attrs["id"] != "") & F.array_contains(F.col("_targets"), t.attrs["id"]), F.lit(False)))
-    df = df.withColumn("_panels", F.transform(named, panel))
-    joined = F.transform(blocks, lambda b: F.struct(H.subtree(tokens, b).alias("card"), H.let(target_of(b), lambda name: F.get(
-        F.filter(F.col("_panels"), lambda p: p.target == name), F.lit(0))).alias("panel")))
-    keep = [c for c in _others(df) if c not in ("_targets", "_panels")]
-    rows = df.select(*keep, F.explode(F.filter(joined, lambda x: x.panel.isNotNull())).alias("_b"))
+    def panels(targets: Column) -> Column:
+        named = F.filter(tokens, lambda t: (t.kind == "open") & F.coalesce((t.attrs["id"] != "") & F.array_contains(targets, t.attrs["id"]), F.lit(False)))
+        return F.transform(named, panel)
+
+    def joined(found: Column, targets: Column, parts: Column) -> Column:
+        return F.transform(found, lambda b, i: F.struct(H.subtree(tokens, b).alias("card"), H.let(F.get(targets, i), lambda name: F.get(
+            F.filter(parts, lambda p: p.target == name), F.lit(0))).alias("panel")))
+
+    # Blocks, targets and panels are bound, as each would otherwise be made again for every token or block that looks at it.
+    pairs = H.let(blocks, lambda found: H.let(F.transform(found, target_of), lambda targets: H.let(
+        panels(targets), lambda parts: F.filter(joined(found, targets, parts), lambda x: x.panel.isNotNull()))))
+    keep = _others(df)
+    rows = df.select(*keep, F.explode(pairs).alias("_b"))
     card = F.col("_b.card")
     fields = (H.nth_text(card, Select(classes=("advtHeading",))), _first_piece(card, K.CARD_WORDS["rac", "summary"]), normalize_spaces(H.text_of(card)))
     rows = rows.select(*keep, *[f.alias(n) for f, n in zip(fields, ("number", "summary", "card_text"), strict=True)], "_b.panel.*")
