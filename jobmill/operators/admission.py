@@ -138,18 +138,18 @@ def _fold_rows(caps: dict[str, int], home_limit: int, late_check: tuple[str, ...
 
     def admitted_of(source: str, rows: Iterator[tuple]) -> list[tuple]:
         late, group, admitted = source in late_check, _Group(caps), []
-        for (phase, _), page in groupby(rows, key=lambda row: row[1:3]):
+        for _, page in groupby(rows, key=lambda row: object() if None in row[1:3] else row[1:3]):  # a row without a place is a page alone
             if group.full():
                 break
             page = list(page)
-            category, page_limit = page[0][3], page[0][6]
+            phase, category, page_limit = page[0][1], page[0][3], page[0][6]
             if phase == 0:
                 room = min(home_limit, caps[category]) - group.counts[category]
                 if room <= 0:
                     # Full: the block is skipped, or its first row is still tried by a late check.
                     page, room = [row for row in page if late and row[5]], 1
             else:
-                room = min(page_limit, group.room(category))
+                room = group.room(category) if page_limit is None else min(page_limit, group.room(category))
             for row in page:
                 if room <= 0:
                     break
@@ -210,7 +210,7 @@ def admit_pages(rows: DataFrame, caps: dict[str, int] | None = None, page_limit:
     home = head_of_home(rows.where("phase = 0"), caps).withColumnRenamed("_head", "is_head")
     pages = head_of_pages(rows.where("phase = 1"), caps, min_page_limit or page_limit, page_limit)
     both = home.unionByName(pages.withColumn("is_head", F.lit(False)), allowMissingColumns=True).drop("_rank")
-    ordered = both.repartition("source_group").sortWithinPartitions("source_group", "phase", "page_seq", "pos")
+    ordered = both.repartition("source_group").sortWithinPartitions("source_group", *[F.col(c).asc_nulls_last() for c in ("phase", "page_seq", "pos")])
     return ordered.mapInArrow(_fold_rows(caps, home_limit, late_check), _ADMITTED)
 
 

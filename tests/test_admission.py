@@ -123,3 +123,10 @@ def test_the_fold_holds_one_page_at_a_time():
     read = lambda batches: [tuple(r.values()) for b in fold(iter(batches)) for r in b.to_pylist()]
     assert read([whole.slice(i, 7) for i in range(0, whole.num_rows, 7)]) == read([whole]) and len(read([whole])) >= 60
     assert read([]) == []
+
+
+def test_rows_without_a_place_come_last_and_are_pages_alone(spark):
+    rows = [("FJA", "results", 0, None, i, f"n{i}", i, 1) for i in range(3)] + [("FJA", "results", 0, 5, i, f"p{i}", 10 + i, 1) for i in range(2)] + [("FJA", "results", 0, 6, i, f"q{i}", 20 + i, None) for i in range(2)]
+    frame = spark.createDataFrame(rows, "source_group string, category string, phase int, page_seq bigint, pos bigint, url_key string, seq bigint, page_limit int")
+    found = {r.url_key for r in A.admit_pages(frame, {"results": 5, "latest_jobs": 10}, page_limit=5, min_page_limit=1).collect()}
+    assert found == {"p0", "p1", "q0", "q1", "n0"}
