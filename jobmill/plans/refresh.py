@@ -18,7 +18,7 @@ from jobmill.operators import listings as L
 from jobmill.operators import pages as PG
 from jobmill.operators import predicates as P
 from jobmill.operators import serving as SV
-from jobmill.session import checkpointed
+from jobmill.session import checkpointed, where_spread
 from jobmill.sources.registry import Outcome, run_sources
 from jobmill.sources.store import SnapshotStore
 
@@ -30,7 +30,7 @@ def article_texts(pages: DataFrame, house: str = K.DEFAULT_HOUSE) -> DataFrame:
     offer = F.coalesce(F.col("site").isin(*K.MARKET_GROUPS), F.lit(False))
     fragment = H.text_of(H.clean_fragment(F.col(PG.TOKENS), F.col("url_key"), K.MARKET_DROP_TAGS))
     df = PG.with_main_content(df.withColumn("_fragment", F.when(offer, fragment)), F.col("site"))
-    df = df.where(F.col("_main").isNotNull() | offer)
+    df = where_spread(df, F.col("_main").isNotNull() | offer)
     df = PG.deep_cleaned(df, "_main", F.col("site"), root=False, house=house)
     # As read: the searched text is cut to its length before blanks are collapsed.
     return df.select("url_key", "page_title", F.coalesce("_fragment", H.text_of(F.col("_deep"))).alias("body_text"))
@@ -53,12 +53,12 @@ def admit(arrivals: DataFrame, domains: dict[str, str] = K.SITE_DOMAINS, caps: d
     crawled = F.col("source_group").isin(*K.SITE_DOMAINS)
     listed = ~crawled | P.is_listing_candidate("title", "original_url", "source_group", "category", domains)
     if "page_seq" not in arrivals.columns:
-        narrow = A.with_url_key(arrivals.where(listed)).select("source_group", "category", "url_key", "seq")
+        narrow = A.with_url_key(where_spread(arrivals, listed)).select("source_group", "category", "url_key", "seq")
         admitted = A.admit_capped(narrow, caps)
     else:
         first = D.first_n(arrivals.where("phase = 0"), ["source_group", "category", "page_seq"], "pos", K.HOME_LIMIT)
         home = first.where((text_or_empty("title") != "") & (text_or_empty("original_url") != "") & ~P.is_competitor("original_url", "source_group"))
-        both = A.with_url_key(home.unionByName(arrivals.where("phase = 1").where(listed)))
+        both = A.with_url_key(home.unionByName(where_spread(arrivals.where("phase = 1"), listed)))
         admitted = A.admit_pages(both, caps, page_limit=max(caps.values()), min_page_limit=1)
     # The admitted rows are candidates already, so the other side need not be tested again.
     return A.with_url_key(A.admitted_rows(arrivals, admitted))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024  # of estimated, compressed size; several times that in memory
@@ -55,6 +55,15 @@ def spread(df: DataFrame, narrow: bool = False, most_bytes: int = SPREAD_BYTES)
     return df.repartition(wanted) if splits < (wanted if narrow else cores) else df
 
 
+def where_spread(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that pass a costly test, tested in the tasks that hold them here.
+
+    A plain filter moves below ``spread`` and joins, into the few tasks that read the table, and runs Python on rows that a join
+    would drop; the outer form of explode keeps it in its place.
+    """
+    return df.select("*", F.explode_outer(F.array(condition)).alias("_passes")).where("_passes").drop("_passes")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder, so a lost executor does not replay the plan."""
     context = df.sparkSession.sparkContext

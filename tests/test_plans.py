@@ -115,3 +115,14 @@ def test_postings_are_made_by_all_cores(spark, sf_dir):
     from jobmill.plans.listing_queries import _served
 
     assert "Exchange RoundRobinPartitioning" in plan_of(S.postings(_served(spark, sf_dir, heavy=True), "seq"))
+
+
+def test_costly_tests_of_the_refresh_stay_above_the_spread(spark):
+    """A plain filter moves below it, into the few tasks that read the table, and pages that nobody wants are parsed for it."""
+    from jobmill.plans import refresh as R
+
+    pages = spark.createDataFrame([("u", "SR", "<h1>a</h1>")], "url_key string, site string, html string").repartition(4)
+    assert plan_of(R.article_texts(pages)).count("ArrowEvalPython") == 1
+    arrivals = spark.createDataFrame([(1, "SR", "results", "https://a.example.com/1", "Clerk")], "seq bigint, source_group string, category string, original_url string, title string").repartition(4)
+    plan = R.admit(arrivals)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" in plan and all("rlike" not in part.split("\n+")[0] for part in plan.split("repartition 4")[1:])
