@@ -41,7 +41,7 @@ KEY_WORDS = sorted({_key_word(a) for _, _, _, aliases in ENTRIES for a in aliase
 
 def state_words(text: Column) -> Column:
     """The words of ``text`` that any state alias could be found by; empty for most texts."""
-    return F.array_intersect(F.split(text, "[^a-z]+"), F.array(*[F.lit(w) for w in KEY_WORDS]))
+    return F.array_distinct(F.filter(F.split(text, "[^a-z]+"), lambda word: word.isin(*KEY_WORDS)))
 
 
 def matched_states(text: str, words: str) -> Column:

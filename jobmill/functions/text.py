@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for ``body``; array lambdas would otherwise repeat its expression.
+
+    A fold over nothing, started with ``value``: taking it out of an array again would look up the type of all of ``body`` for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
+
+
 def present(value: Column | str) -> Column:
     """NULL for both forms of missing: NULL and the empty string."""
     return F.nullif(col(value), F.lit(""))
@@ -60,18 +69,23 @@ def brand_scrub(value: Column | str, house: str = K.DEFAULT_HOUSE) -> Column:
     """Replace brand names by the house name, then delete app-store phrases.
 
     Both steps are ordered passes, because a deletion may join its neighbours into a later
-    phrase.  Every pattern needs one of a few short strings; where none occurs the passes are skipped.
+    phrase.  Every pattern needs one of a few short strings; where none occurs the passes are skipped, and
+    so are those of a step none of whose patterns the text at hand matches, as the first would change nothing.
     """
-    text = text_or_empty(value)
-    phrases = [quote(p) for p in K.APP_PHRASES]
-    lowered, hinted, clean = F.lower(text), F.lit(False), text
-    for hint in K.SCRUB_HINTS:
-        hinted = hinted | lowered.contains(hint)
-    for pattern in K.BRAND_PATTERNS:
-        clean = F.regexp_replace(clean, UNICODE_ANY_CASE + pattern, house)
-    for phrase in phrases:
-        clean = F.regexp_replace(clean, "(?iu)" + phrase, "")
-    return F.when(hinted, clean).otherwise(text)
+    def hinted(text: Column) -> Column:
+        return let(F.lower(text), lambda lowered: reduce(lambda a, b: a | b, [lowered.contains(hint) for hint in K.SCRUB_HINTS]))
+
+    def passes(text: Column, flags: str, patterns: Sequence[str], new: str) -> Column:
+        clean = text
+        for pattern in patterns:
+            clean = F.regexp_replace(clean, flags + pattern, new)
+        return F.when(text.rlike(flags + "(?:" + "|".join(patterns) + ")"), clean).otherwise(text)
+
+    def scrub(text: Column) -> Column:
+        branded = passes(text, UNICODE_ANY_CASE, K.BRAND_PATTERNS, house)
+        return let(branded, lambda clean: passes(clean, "(?iu)", [quote(p) for p in K.APP_PHRASES], ""))
+
+    return let(text_or_empty(value), lambda text: F.when(hinted(text), scrub(text)).otherwise(text))
 
 
 def escape_html(value: Column | str) -> Column:

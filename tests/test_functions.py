@@ -160,3 +160,16 @@ def test_search_keeps_blanks_of_missing_fields(spark):
     assert P.search_listings(df, "clerk   goa").count() == 1
     assert P.search_listings(df, "clerk goa").count() == 0
     assert P.search_listings(df, "", K.DEFAULT_HOUSE).count() == 1
+
+
+@pytest.mark.parametrize("function", [T.brand_scrub])
+def test_the_value_of_a_text_rule_is_made_once(spark, function):
+    """Else each of its steps makes it again, in one generated method too long to be compiled."""
+    plan = spark.range(3).select(function(F.repeat(F.col("id").cast("string"), 2)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(") == 1
+
+
+def test_scrubbing_goes_on_in_order_after_the_first_change(spark):
+    scrub = lambda text: value(spark, T.brand_scrub(F.lit(text)))
+    assert scrub("get app") == "" and scrub("a get app b") == "a  b" and scrub("Sarkari  Exam") == "JobMill" and scrub("apple alert") == "apple alert"
+    assert scrub("androget appid app") == "" and scrub("get android appapp") == "get app"  # what a deletion joins may only be a later phrase
