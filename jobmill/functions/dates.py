@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobmill.functions.text import col, normalize_spaces
+from jobmill.functions.text import col, let, normalize_spaces
 
 _ISO = r"^(\d{4}-?\d{2}-?\d{2})T\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 _RFC = (r"(?i)^(?:[a-z]{3,},?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
@@ -14,16 +14,21 @@ _RFC = (r"(?i)^(?:[a-z]{3,},?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|s
 
 def format_market_date(value: Column | str) -> Column:
     """ISO or mail date -> ``21 Apr 2026`` as written, without a zone shift; else unchanged."""
-    raw = normalize_spaces(value)
-    iso = F.try_to_date(F.replace(F.regexp_extract(raw, _ISO, 1), F.lit("-"), F.lit("")), "yyyyMMdd")
-    year = F.regexp_extract(raw, _RFC, 3)
-    year = F.when(F.length(year) == 4, year).when(
-        year.try_cast("int") > 68, F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
-    rfc = F.try_to_date(
-        F.concat_ws(" ", F.lpad(F.regexp_extract(raw, _RFC, 1), 2, "0"),
-                    F.initcap(F.regexp_extract(raw, _RFC, 2)), year),
-        "dd MMM yyyy")
-    return F.coalesce(F.date_format(F.coalesce(iso, rfc), "dd MMM yyyy"), raw)
+    def full(year: Column) -> Column:
+        return F.when(F.length(year) == 4, year).when(
+            year.try_cast("int") > 68, F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+
+    def shown(raw: Column) -> Column:
+        # Tested first, as a date that cannot be read costs an exception.
+        iso = F.try_to_date(F.replace(F.regexp_extract(raw, _ISO, 1), F.lit("-"), F.lit("")), "yyyyMMdd")
+        rfc = F.try_to_date(
+            F.concat_ws(" ", F.lpad(F.regexp_extract(raw, _RFC, 1), 2, "0"),
+                        F.initcap(F.regexp_extract(raw, _RFC, 2)), let(F.regexp_extract(raw, _RFC, 3), full)),
+            "dd MMM yyyy")
+        day = F.when(raw.rlike(_ISO), iso).when(raw.rlike(_RFC), rfc)
+        return F.coalesce(F.date_format(day, "dd MMM yyyy"), raw)
+
+    return let(normalize_spaces(value), shown)
 
 
 def age_ymd(born: Column | str, as_of: Column | str) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
-from jobmill.functions.text import col, strip_spaces
+from jobmill.functions.text import col, let, strip_spaces
+
+#: What a text must look like to be a whole number, whatever blanks and signs are around it.
+_MAYBE_WHOLE = r"^[^0-9A-Za-z.]*+[0-9]++[^0-9A-Za-z.]*+$"
 
 
 def parse_count(number: Column | str, unit: Column | str) -> Column:
@@ -27,21 +30,25 @@ def format_indian(value: Column | str) -> Column:
 
 def whole_number(value: Column | str) -> Column:
     """Whole number of a text such as '120000'; anything else counts as 0."""
-    return F.coalesce(strip_spaces(col(value).cast("string")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    # Tested first, as a text that is no number costs an exception.
+    number = let(col(value).cast("string"), lambda text: F.when(text.rlike(_MAYBE_WHOLE), strip_spaces(text).try_cast("bigint")))
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def format_currency_range(low: Column | str, high: Column | str, symbol: str = "$") -> Column:
-    low, high = whole_number(low), whole_number(high)
-
     def money(n: Column) -> Column:
         return F.concat(F.lit(symbol), F.format_number(n, 0))
 
-    return (
-        F.when((low != 0) & (high != 0), F.concat(money(low), F.lit(" - "), money(high)))
-        .when(low != 0, F.concat(F.lit("From "), money(low)))
-        .when(high != 0, F.concat(F.lit("Up to "), money(high)))
-        .otherwise("")
-    )
+    def shown(ends: Column) -> Column:
+        low, high = ends.low, ends.high
+        return (
+            F.when((low != 0) & (high != 0), F.concat(money(low), F.lit(" - "), money(high)))
+            .when(low != 0, F.concat(F.lit("From "), money(low)))
+            .when(high != 0, F.concat(F.lit("Up to "), money(high)))
+            .otherwise("")
+        )
+
+    return let(F.struct(whole_number(low).alias("low"), whole_number(high).alias("high")), shown)
 
 
 def size_label(size: Column | str) -> Column:

@@ -162,7 +162,7 @@ def test_search_keeps_blanks_of_missing_fields(spark):
     assert P.search_listings(df, "", K.DEFAULT_HOUSE).count() == 1
 
 
-@pytest.mark.parametrize("function", [T.brand_scrub])
+@pytest.mark.parametrize("function", [T.brand_scrub, D.format_market_date, N.whole_number, lambda v: N.format_currency_range(v, F.lit("7"))])
 def test_the_value_of_a_text_rule_is_made_once(spark, function):
     """Else each of its steps makes it again, in one generated method too long to be compiled."""
     plan = spark.range(3).select(function(F.repeat(F.col("id").cast("string"), 2)).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
