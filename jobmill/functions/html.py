@@ -9,8 +9,10 @@ shuffle is needed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobmill import constants as K
-from jobmill.functions.text import brand_scrub, contains_any, normalize_spaces, strip_spaces
+from jobmill.functions.text import brand_scrub, contains_any, let, normalize_spaces, strip_spaces
 from jobmill.functions.urls import url_absolute
 
 TOKEN_TYPE = ("array<struct<pos:int,close:int,parent:int,depth:int,kind:string,tag:string,"
@@ -97,8 +99,93 @@ class _Tokens(HTMLParser):
         return self.rows
 
 
+# The tags of a page that ``_read_plain`` can read: every value in double quotes and without entities.
+_TAG = re.compile(r"(<[^<>]*>)")
+_PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)[ \t\n]*>")
+_PLAIN_START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9_-]*="[^"&]*")*)[ \t\n]*>""")
+_PLAIN_ATTRIBUTE = re.compile(r"""([a-zA-Z0-9_-]+)="([^"]*)\"""")
+_OWN_RULES = frozenset(("iframe", "noembed", "noframes", "noscript", "plaintext", "script", "style", "textarea", "title", "xmp"))  # what follows may be no markup
+MOST_TAGS, MOST_CHARS = 10_000, 300  # that are remembered, and of one that is
+_tags: dict[str, tuple | None] = {}
+
+
+def _plain_tag(text: str) -> tuple | None:
+    """(name, attributes or None for an end tag, has no content, raw text, keeps blanks) of a plain tag, None for any other text."""
+    if found := _PLAIN_END.fullmatch(text):
+        tag, attrs = found[1].lower(), None
+    elif found := _PLAIN_START.fullmatch(text):
+        tag, attrs = found[1].lower(), [*{name.lower(): value for name, value in _PLAIN_ATTRIBUTE.findall(found[2])}.items()]
+    else:
+        return None
+    return None if tag in _OWN_RULES else (tag, attrs, tag in K.VOID_TAGS, tag in K.RAW_TEXT_TAGS, tag in K.KEEP_SPACE_TAGS)
+
+
+def _read_plain(html: str) -> list[list] | None:
+    """The token rows of a page of plain tags and texts, as ``_Tokens`` makes them; None for any other page.
+
+    The parser looks at every tag and attribute by many small steps, most of a page's time; here equal tags of all pages are read once.
+    """
+    rows: list[list] = []
+    opened: list[tuple] = []  # (row, name, raw text, keeps blanks)
+    top = -1  # the row of the innermost open element
+    raw = kept = 0
+    parts = _TAG.split(html)
+    for data, piece in zip(parts[::2], [*parts[1::2], ""], strict=True):
+        if data:
+            if "<" in data:
+                return None
+            if "&" in data:
+                data = unescape(data)
+            if not kept and not data.strip(" \t\r\n\f\v"):
+                data = "\n" if "\n" in data else " "
+            pos, kind = len(rows), "raw" if raw else "text"
+            if pos and rows[-1][4] == kind:  # after an end tag of nothing
+                rows[-1][7] += data
+            else:
+                rows.append([pos, pos, top, len(opened), kind, "", [], data])
+        if not piece:
+            break
+        if piece in _tags:
+            found = _tags[piece]
+        else:
+            found = _plain_tag(piece)
+            if len(piece) <= MOST_CHARS:
+                if len(_tags) >= MOST_TAGS:
+                    _tags.clear()
+                _tags[piece] = found
+        if found is None:
+            return None
+        tag, attrs, void, is_raw, keeps = found
+        if attrs is not None:
+            pos = len(rows)
+            rows.append([pos, pos, top, len(opened), "open", tag, attrs, ""])
+            if not void:
+                opened.append((pos, tag, is_raw, keeps))
+                top = pos
+                raw += is_raw
+                kept += keeps
+            continue
+        ends = bool(opened) and (opened[-1][1] == tag or any(o[1] == tag for o in opened))
+        while ends:
+            start, name, is_raw, keeps = opened.pop()
+            raw -= is_raw
+            kept -= keeps
+            top = opened[-1][0] if opened else -1
+            pos = rows[start][1] = len(rows)
+            rows.append([pos, pos, top, len(opened), "close", name, [], ""])
+            ends = name != tag
+    while opened:
+        start, name, *_ = opened.pop()
+        pos = rows[start][1] = len(rows)
+        rows.append([pos, pos, opened[-1][0] if opened else -1, len(opened), "close", name, [], ""])
+    return rows
+
+
 def tokenize_page(html: str) -> list[list]:
     """The token rows (pos, close, parent, depth, kind, tag, attrs, text) of one page."""
+    rows = _read_plain(html)
+    if rows is not None:
+        return rows
     parser = _Tokens()
     parser.feed(html)
     return parser.finish()
@@ -139,11 +226,6 @@ def tokenize(html: Column | str) -> Column:
     return html_tokens(html)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for ``body``; array lambdas would otherwise repeat its expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # ----------------------------------------------------------------- selecting
 
 

@@ -162,6 +162,27 @@ def test_search_keeps_blanks_of_missing_fields(spark):
     assert P.search_listings(df, "", K.DEFAULT_HOUSE).count() == 1
 
 
+def test_a_plain_page_is_read_without_the_parser(monkeypatch):
+    from jobmill.functions import html as H
+
+    def parsed(page):
+        parser = H._Tokens()
+        parser.feed(page)
+        return parser.finish()
+
+    plain = ['<DIV class="a"> <p>one &amp; two</b>\n three</p></div>', '<ul><li id="x"><a href="/a">b<br>c', "<pre>  </pre>  \n", "", "text", "<template><p>x</p></template>"]
+    others = ["<p x=1>a</p>", '<a href="?a=1&amp;b">x</a>', "<script>1<2</script>", "<!-- <p> -->", "a < b", '<a title="x>y">z</a>', "<br/>"]
+    wanted = [parsed(page) for page in plain + others]
+    assert [H.tokenize_page(page) for page in plain + others] == wanted
+    assert all(H._read_plain(page) is None for page in others)
+
+    def refuse(*_):
+        raise AssertionError("parsed")
+
+    monkeypatch.setattr(H._Tokens, "feed", refuse)
+    assert [H.tokenize_page(page) for page in plain] == wanted[:len(plain)]
+
+
 @pytest.mark.parametrize("function", [T.brand_scrub, D.format_market_date, N.whole_number, lambda v: N.format_currency_range(v, F.lit("7"))])
 def test_the_value_of_a_text_rule_is_made_once(spark, function):
     """Else each of its steps makes it again, in one generated method too long to be compiled."""
