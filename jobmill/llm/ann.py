@@ -2,14 +2,18 @@
 
 A table rotates a unit vector by three rounds of random signs and a fast Hadamard transform and files it under the
 nearest signed axis (two axes in a row for large collections).  A query looks into the buckets that lie nearest to it
-in every table.  What is filed is an id and the vector rounded to a byte a component; each bucket scores its candidates against its
-queries as one matrix product, and a task passes on the best of each query.  The few that are left for a query are fetched
-once, and their inner products taken anew from the original vectors in double precision.
+in every table.
+
+The collection is dealt out once, by the ids of its vectors, over shards that a task holds in memory; the queries go to every shard.
+A task files its shard's vectors in one table after the other and scores each bucket's candidates against its queries as matrix
+products of vectors rounded to a byte a component.  It keeps the best of each query and passes on nothing but them, with their inner
+products taken anew from the original vectors in double precision.  So what moves is each vector once and a few rows for each query
+and shard, whatever the number of tables and probes.
 
 Numbers of tables and probes are set from measured recall (``DEPTHS``).  Largest inner product is reduced to smallest angle by one more
 component where norms differ.  Equal vectors are filed once
 with their smallest ids, as many as a result can hold, so copies fill no bucket.  A bucket with many candidates or
-queries is dealt out over blocks of at most ``BLOCK`` of either, so no row is left out.  Queries that meet fewer partners
+queries is worked off in tiles of at most ``BLOCK`` of either, so no row is left out.  Queries that meet fewer partners
 than a result holds are answered again from all rows, block by block.
 """
 
@@ -24,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from jobmill.llm.common import conf_parts, picked
+from jobmill.llm.common import picked, release, utf8
 from jobmill.session import checkpointed
 
 NEIGHBOURS, EVERY = 20, 20
@@ -37,6 +42,10 @@ DEPTHS = {1: (8, 16), 2: (40, 144)}
 AXES = 16  # best axes of a hash that probes combine
 SPARE = 12  # more candidates than a result holds go to the exact scores, as the bytes are rounded
 HELD = 1 << 20  # scored candidates that a task holds before it keeps the best of each query
+SHARD, ASKED = 1 << 18, 1 << 16  # vectors and queries of a task, about
+LEAST, TASKS = 4096, 8  # smaller collections are dealt out over the cores, by so many vectors at least and over so many tasks at most
+DENSE = 256  # up to so many components a rotation is one matrix
+CHUNK = 4096  # vectors that are hashed, or pairs that are scored exactly, at once
 SEED = 20
 
 
@@ -51,8 +60,17 @@ class Hashes:
         self.probes = min(probes, self.axes ** self.depth)
         rng = np.random.default_rng(seed)
         self.signs = rng.choice([-1.0, 1.0], (self.tables, self.depth, 3, self.size))
+        self.turns: dict[bytes, np.ndarray] = {}
 
     def rotate(self, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        if self.size > DENSE:
+            return self.transform(x, signs)
+        key = signs.tobytes()
+        if key not in self.turns:
+            self.turns[key] = self.transform(np.eye(self.dim), signs)
+        return x @ self.turns[key]
+
+    def transform(self, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
         y = np.zeros((len(x), self.size))
         y[:, :self.dim] = x
         for s in signs:
@@ -91,8 +109,8 @@ class Hashes:
         return out
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim) if len(column) else np.empty((0, dim))
+def matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    return utf8(column)[0].view(kind).reshape(-1, dim).astype("<f8")
 
 
 def lifted(x: np.ndarray, longest: float, level: bool, query: bool) -> np.ndarray:
@@ -105,14 +123,27 @@ def lifted(x: np.ndarray, longest: float, level: bool, query: bool) -> np.ndarra
     return np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))])
 
 
-def _as_bytes(batches):
-    """embedding array -> its doubles as bytes; null for vectors that take no part."""
-    for batch in batches:
-        out = []
-        for value in batch.column("embedding").to_pylist():
-            v = None if value is None or not value or any(c is None for c in value) else np.array(value, "<f8")
-            out.append(v.tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vec"])
+def _as_bytes(kind: str):
+    """embedding array -> its components as bytes and its norm; null for vectors that take no part."""
+    def run(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+            values = np.ascontiguousarray(column.flatten().cast(pa.float32() if kind == "<f4" else pa.float64()).to_numpy(zero_copy_only=False).astype(kind))  # null: NaN
+            offsets, norm = np.concatenate([[0], np.cumsum(lengths)]), np.full(len(lengths), np.nan)
+            some = np.flatnonzero(lengths)
+            if len(some):
+                plain = values.astype("<f8")
+                finite = np.logical_and.reduceat(np.isfinite(plain), offsets[some]) & np.logical_or.reduceat(plain != 0, offsets[some])
+                norm[some] = np.where(finite, np.sqrt(np.add.reduceat(plain * plain, offsets[some])), np.nan)
+                lost = some[~finite]
+            keep = np.zeros(len(lengths), bool)
+            if len(some):
+                keep[some] = True
+                keep[lost] = False
+            vec = pa.Array.from_buffers(pa.binary(), len(lengths), [pa.py_buffer(np.packbits(keep, bitorder="little")), pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vec, pa.array(norm)], ["vec_id", "vec", "norm"])
+    return run
 
 
 def classes_of(vectors: DataFrame, keep: int) -> DataFrame:
@@ -131,121 +162,196 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.int8), scale
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows)
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
-
-
-def _filed(hashes: Hashes, shape: tuple, query: bool, codes: bool):
-    """Rows (table, bucket, id and, if asked for, code and scale) of every table and probe."""
-    dim, longest, level = shape
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                plain, ids = matrix(batch.column("vec"), dim), batch.column("id").to_numpy()
-                x = lifted(plain, longest, level, query)
-                code, scale = rounded(plain)
-                for table in range(hashes.tables):
-                    buckets = hashes.probed(x, table) if query else hashes.buckets(x, table)[:, None]
-                    owner = np.repeat(np.arange(len(x)), buckets.shape[1])
-                    columns = [pa.array(np.full(len(owner), table, np.int32)), pa.array(buckets.ravel()), pa.array(ids[owner])]
-                    names = ["table", "bucket", "id"]
-                    if codes:
-                        columns, names = [*columns, _binary(code[owner]), pa.array(scale[owner].astype(np.float32))], [*names, "code", "scale"]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-    return run
-
-
 def _kept(query: np.ndarray, rep: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """The ``most`` best candidates of each query, each once."""
-    order = np.lexsort((-score, rep, query))
-    query, rep, score = query[order], rep[order], score[order]
-    new = np.ones(len(query), bool)
-    new[1:] = (query[1:] != query[:-1]) | (rep[1:] != rep[:-1])
-    query, rep, score = query[new], rep[new], score[new]
-    order = np.lexsort((rep, -score, query))
-    query, rep, score = query[order], rep[order], score[order]
+    """The ``most`` best candidates of each query, each once; queries and candidates are numbered from 0 on, below 2**32."""
+    key = query.astype(np.uint64) << np.uint64(32) | rep.astype(np.uint64)
+    order = np.argsort(key)
+    key, score = key[order], score[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    query, rep, score = query[order[starts]], rep[order[starts]], np.maximum.reduceat(score, starts) if len(key) else score
+    bits = (score.astype(np.float32) + np.float32(0)).view(np.int32)
+    falls = np.where(bits < 0, bits.view(np.uint32), np.uint32(0x7FFFFFFF) - bits.view(np.uint32))  # larger for smaller scores
+    order = np.argsort(query.astype(np.uint64) << np.uint64(32) | falls, kind="stable")
+    query = query[order]
     first = np.searchsorted(query, query, side="left")
-    few = np.arange(len(query)) - first < most
-    return query[few], rep[few], score[few]
+    few = order[np.arange(len(query)) - first < most]
+    return query[np.arange(len(query)) - first < most], rep[few], score[few]
 
 
-def _met(most: int):
-    """Streams buckets (sorted by table, bucket and block) and passes on the best candidates of each query by rounded vectors."""
-    def run(batches):
-        found: list[tuple] = []
-
-        def settle(parts: list[pa.RecordBatch]) -> int:
-            rows = pa.Table.from_batches(parts).combine_chunks()
-            asked = rows.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-            if asked.all() or not asked.any():
-                return 0
-            ids, scale = rows.column("id").to_numpy(), rows.column("scale").to_numpy()
-            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)
-            score = (code[asked] * scale[asked][:, None]) @ (code[~asked] * scale[~asked][:, None]).T
-            top = min(most, score.shape[1])
-            best = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < score.shape[1] else np.tile(np.arange(top), (len(score), 1))
-            found.append((np.repeat(ids[asked], top), ids[~asked][best].ravel(), np.take_along_axis(score, best, 1).ravel()))
-            return best.size
-
-        def reduced() -> tuple[np.ndarray, ...]:
-            kept = _kept(*(np.concatenate(c) for c in zip(*found, strict=True)), most)
-            found.clear()
-            return kept
-
-        def batch_of(kept) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2].astype(np.float32))], ["query_id", "rep", "rough"])
-
-        held, key, n = [], None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "bucket", "ci", "qi")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if held and tuple(keys[start]) != key:
-                    n += settle(held)
-                    held = []
-                key = tuple(keys[start])
-                held.append(batch.slice(start, stop - start))
-            if n > HELD:
-                kept = reduced()
-                n = len(kept[0])
-                if n > HELD // 2:
-                    yield batch_of(kept)
-                    n = 0
-                else:
-                    found.append(kept)
-        if held:
-            settle(held)
-        if found:
-            yield batch_of(reduced())
-    return run
+class Best:
+    """The ``most`` best candidates of each query so far, and the score that others must reach.
 
+    The sums of a matrix product depend a little on its shape; ``slack`` is what they can differ by for a query.
+    """
+
+    def __init__(self, slack: np.ndarray, most: int):
+        self.most, self.slack, self.least = most, slack, np.full(len(slack), -np.inf, np.float32)
+        self.found: list[tuple] = []
+        self.n, self.had = 0, 0
+
+    def add(self, query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> None:
+        self.found.append((query, rep, score))
+        self.n += len(query)
+        if self.n > self.had + HELD:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        parts = []
+        for found in self.found:
+            good = found[2] >= self.least[found[0]]
+            parts.append(tuple(c[good] for c in found))
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        kept = _kept(*(np.concatenate(c) for c in zip(none, *parts, strict=True)), self.most)
+        count = np.bincount(kept[0], minlength=len(self.least))
+        full = np.flatnonzero(count == self.most)
+        self.least[full] = np.maximum(self.least[full], kept[2][np.cumsum(count)[full] - 1] - self.slack[full])
+        self.found, self.n, self.had = [kept], len(kept[0]), len(kept[0])
+        return kept
+
+
+def _runs(names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order that brings equal names together, the names, and where the run of each starts and stops."""
+    order = np.argsort(names, kind="stable")
+    held = names[order]
+    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
+    return order, held[starts], starts, np.append(starts[1:], len(held))
+
+
+def _shared(asked: tuple, held: tuple):
+    """Starts and stops of the runs of names that both have."""
+    _, i, j = np.intersect1d(asked[1], held[1], assume_unique=True, return_indices=True)
+    return zip(asked[2][i].tolist(), asked[3][i].tolist(), held[2][j].tolist(), held[3][j].tolist(), strict=True)
+
+
+def _first_bound(asked: np.ndarray, pairs: tuple, code: np.ndarray, held: tuple, probes: int, most: int) -> np.ndarray:
+    """A score that ``most`` candidates of a query reach in one table at least: the ``most``-th of the best scores of its buckets, each bucket cut in parts."""
+    parts = -(-2 * most // probes)
+    high, sorted_code = np.full((len(asked) * probes, parts), -np.inf, np.float32), code[held[0]]
+    for a, z, start, stop in _shared(pairs, held):
+        edges = np.linspace(start, stop, parts + 1).astype(int).tolist()
+        for at in range(a, z, BLOCK):
+            which = pairs[0][at:min(at + BLOCK, z)]
+            q = asked.take(which // probes, axis=0)
+            for part, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                for c in range(lo, hi, BLOCK):
+                    high[which, part] = np.maximum(high[which, part], (q @ sorted_code[c:min(c + BLOCK, hi)].T).max(axis=1))
+    high = high.reshape(len(asked), -1)
+    return np.partition(high, -most, axis=1)[:, -most]
+
+
+def _scored(asked: np.ndarray, owner: np.ndarray, code: np.ndarray, rep: np.ndarray, probed, filed, hashes: Hashes, most: int) -> tuple[np.ndarray, ...]:
+    """The best candidates of each query among those that share a probed bucket with it in any table.
+
+    ``probed`` and ``filed`` give the buckets of all queries and of all candidates in a table; ``owner`` and ``rep`` number their ids.
+    """
+    probes, far = hashes.probes, np.linalg.norm(code, axis=1).max() * np.linalg.norm(asked, axis=1) * code.shape[1] * np.finfo(np.float32).eps
+    slack = np.zeros(int(owner.max()) + 1, np.float32)
+    np.maximum.at(slack, owner, far)
+    best = Best(slack, most)
+    for table in range(hashes.tables):
+        names, pairs = filed(table), _runs(probed(table).ravel())
+        if table == 0:
+            alone = np.flatnonzero(np.bincount(rep)[rep] == 1)  # a bound counts every id once
+            np.maximum.at(best.least, owner, _first_bound(asked, pairs, code[alone], _runs(names[alone]), probes, most) - far)
+        held = _runs(names)
+        sorted_code, sorted_rep, q_of = code[held[0]], rep[held[0]], (pairs[0] // probes).astype(np.int32)
+        least, hits, n = best.least[owner[q_of]][:, None], [], 0
+        for a, z, start, stop in _shared(pairs, held):
+            for at in range(a, z, BLOCK):
+                end = min(at + BLOCK, z)
+                q, low = asked.take(q_of[at:end], axis=0), least[at:end]
+                for c in range(start, stop, BLOCK):
+                    score = np.dot(q, sorted_code[c:min(c + BLOCK, stop)].T)
+                    hit = (score >= low).ravel().nonzero()[0]
+                    if len(hit):
+                        hits.append((hit, score.ravel()[hit], at, c, score.shape[1]))
+                        n += len(hit)
+                        if n > HELD:
+                            best.add(*_hit(hits, owner, q_of, sorted_rep))
+                            hits, n = [], 0
+        if hits:
+            best.add(*_hit(hits, owner, q_of, sorted_rep))
+        if best.n > 1.25 * best.had:
+            best.settle()
+    return best.settle()
+
+
+def _hit(hits: list[tuple], owner: np.ndarray, q_of: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Numbers of queries and candidates, and scores, from the places of scores in the tiles that begin at given pairs and candidates."""
+    place, score = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+    at, c, width = (np.repeat([h[i] for h in hits], [len(h[0]) for h in hits]) for i in (2, 3, 4))
+    return owner[q_of[at + place // width]], rep[c + place % width], score
+
+
+def _places(numbers: np.ndarray):
+    """For numbers from 0 on, all of which occur: the pairs (place in a list, place in ``numbers``) of equal ones."""
+    order, count = np.argsort(numbers, kind="stable"), np.bincount(numbers)
+    first = np.cumsum(count) - count
+
+    def found(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        times = count[wanted]
+        i = np.repeat(np.arange(len(wanted)), times)
+        return i, order[first[wanted][i] + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)]
+    return found
+
+
+def _searched(hashes: Hashes, shape: tuple, most: int):
+    """Shards with queries -> query_id, rep, rough, score, members: the best candidates of each query, with exact scores of all their vectors."""
+    dim, longest, level, kind = shape
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        out = np.empty(x.shape, np.float32)
+        for at in range(0, len(x), CHUNK):
+            code, scale = rounded(x[at:at + CHUNK].astype("<f8"))
+            out[at:at + CHUNK] = code * scale.astype(np.float32)[:, None]
+        return out
+
+    def named(x: np.ndarray, query: bool):
+        small = np.min_scalar_type(hashes.axes ** hashes.depth - 1)
+        look = hashes.probed if query else hashes.buckets
+        return lambda table: np.concatenate([look(lifted(x[at:at + CHUNK].astype("<f8"), longest, level, query), table).astype(small) for at in range(0, len(x), CHUNK)])
+
+    def answers(rows: pa.Table):
+        asked = rows.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+        if asked.all() or not asked.any():
+            return
+        vec, ids = utf8(rows.column("vec").combine_chunks())[0].view(kind).reshape(-1, dim), rows.column("id").to_numpy()
+        queries, held, q_ids, h_ids = vec[asked], vec[~asked], ids[asked], ids[~asked]
+        members = rows.column("members").combine_chunks().filter(pa.array(~asked))
+        (names, owner), (reps, rep) = np.unique(q_ids, return_inverse=True), np.unique(h_ids, return_inverse=True)
+        query, found, rough = _scored(coded(queries), owner, coded(held), rep, named(queries, True), named(held, False), hashes, most)
+        rows_of, askers_of = _places(rep), _places(owner)
+        for at in range(0, len(query), CHUNK):
+            i, row = rows_of(found[at:at + CHUNK])
+            j, asker = askers_of(query[at:at + CHUNK][i])
+            i, row = at + i[j], row[j]
+            for a in range(0, len(row), CHUNK):
+                pick = slice(a, a + CHUNK)
+                score = (queries[asker[pick]].astype("<f8") * held[row[pick]].astype("<f8")).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(names[query[i[pick]]]), pa.array(reps[found[i[pick]]]), pa.array(rough[i[pick]].astype(np.float32)), pa.array(score), members.take(pa.array(row[pick]))],
+                                                 ["query_id", "rep", "rough", "score", "members"])
 
-def _exact(dim: int):
-    """Inner products of pairs in double precision, for every id of the candidate's class but the query's own."""
     def run(batches):
-        for batch in batches:
-            score = (matrix(batch.column("asked"), dim) * matrix(batch.column("vec"), dim)).sum(axis=1)
-            members = batch.column("members")
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(members).to_numpy(zero_copy_only=False).astype(np.int64))
-            query, vec = batch.column("query_id").to_numpy()[owner], members.flatten().to_numpy()
-            other = query != vec
-            yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(vec[other]), pa.array(score[owner][other])], ["query_id", "vec_id", "score"])
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        batches.clear()
+        parts = rows.column("part").to_numpy()
+        for part in np.unique(parts):
+            yield from answers(rows.filter(pa.array(parts == part)) if (parts != part).any() else rows)
+        del rows, parts
+        release()
     return run
 
 
-def _best(dim: int, k: int):
+def _best(dim: int, kind: str, k: int):
     def run(key, table):
         query = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
         queries, candidates = table.filter(pa.array(query)), table.filter(pa.array(~query))
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and candidates.num_rows:
-            q, c = (matrix(t.column("vec").combine_chunks(), dim) for t in (queries, candidates))
+            q, c = (matrix(t.column("vec").combine_chunks(), dim, kind) for t in (queries, candidates))
             ids, members = queries.column("id").to_pylist(), candidates.column("members").to_pylist()
             reps = candidates.column("id").to_numpy()
             order = np.argsort(reps, kind="stable")
@@ -280,14 +386,14 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def from_all(queries: DataFrame, n_queries: int, classes: DataFrame, n_classes: int, dim: int, k: int) -> DataFrame:
+def from_all(queries: DataFrame, n_queries: int, classes: DataFrame, n_classes: int, dim: int, kind: str, k: int) -> DataFrame:
     """The best of all rows for (id, vec), in pairs of blocks of queries and of candidates."""
     nc, nq = (max(1, math.ceil(n / (BLOCK / 2))) for n in (n_classes, n_queries))
     block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("id", "vec", F.array().cast("array<long>").alias("members"), F.lit(True).alias("is_query"), block(nq).alias("qi")).withColumn("ci", every_one(nc))
     held = classes.select(F.col("rep").alias("id"), "vec", "members", F.lit(False).alias("is_query")).withColumn("ci", block(nc)).withColumn("qi", every_one(nq))
-    return asked.unionByName(held).groupBy("ci", "qi").applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
+    return asked.unionByName(held).groupBy("ci", "qi").applyInArrow(_best(dim, kind, k), "query_id long, vec_id long, score double")
 
 
 def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = SEED, depth: int | None = None) -> DataFrame:
@@ -301,53 +407,52 @@ def search(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: st
     """
     spark, most = table.sparkSession, k + SPARE
     rows = picked(table, vec_id=table[id_col].cast("long"), embedding=vec_col).where("vec_id IS NOT NULL")
-    vectors = rows.mapInArrow(_as_bytes, "vec_id long, vec binary").where("vec IS NOT NULL")
-    usual = vectors.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+    vectors = rows.mapInArrow(_as_bytes(kind), "vec_id long, vec binary, norm double").where("vec IS NOT NULL")
+    numbers = [F.count(F.lit(1)).alias("rows"), F.count_distinct(F.xxhash64("vec")).alias("n"), F.max("norm").alias("longest"), F.min("norm").alias("shortest")]  # n sets sizes only
+    usual = vectors.groupBy(F.length("vec").alias("bytes")).agg(*numbers).orderBy(F.desc("rows"), F.desc("bytes")).limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not usual:
         return empty
-    dim = usual[0]["n"] // 8
-    vectors = vectors.where(F.length("vec") == dim * 8)
-    classes = checkpointed(classes_of(vectors, k + 1))
-
-    def norms(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.linalg.norm(matrix(batch.column(0), dim), axis=1))], ["norm"])
-
-    size = classes.select("vec").mapInArrow(norms, "norm double").agg(F.count("norm").alias("n"), F.max("norm").alias("longest"), F.min("norm").alias("shortest")).first()
-    level = size["shortest"] > size["longest"] * (1 - 1e-6)
-    shape, hashes = (dim, size["longest"], level), Hashes(dim + (not level), size["n"], seed, depth)
+    size, dim = usual[0], usual[0]["bytes"] // np.dtype(kind).itemsize
+    vectors = vectors.where(F.length("vec") == size["bytes"]).select("vec_id", "vec")
     queries = checkpointed(vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("id"), "vec"))
-    held = classes.select(F.col("rep").alias("id"), "vec")
-
-    def filed(codes: bool) -> DataFrame:
-        schema = "table int, bucket long, id long" + (", code binary, scale float" if codes else "")
-        sides = [df.mapInArrow(_filed(hashes, shape, asked, codes), schema).withColumn("is_query", F.lit(asked)) for df, asked in ((held, False), (queries, True))]
-        return sides[0].unionByName(sides[1])
-
-    counts = filed(False).groupBy("table", "bucket").agg(F.count(F.when(~F.col("is_query"), 1)).alias("c"), F.count(F.when(F.col("is_query"), 1)).alias("q"))
-    large = checkpointed(counts.where((F.col("c") > BLOCK) | (F.col("q") > BLOCK)))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / (BLOCK / 2))).cast("int")
-    parts = filed(True).join(large, ["table", "bucket"], "left").withColumns({"nc": blocks(F.col("c")), "nq": blocks(F.col("q"))})
-    own = lambda n: F.array(F.pmod(F.xxhash64("id"), n).cast("int"))
-    every_one = lambda n: F.sequence(F.lit(0), n - 1)
-    parts = (parts.withColumn("ci", F.explode(F.when(F.col("is_query"), every_one(F.col("nc"))).otherwise(own(F.col("nc")))))
-             .withColumn("qi", F.explode(F.when(F.col("is_query"), own(F.col("nq"))).otherwise(every_one(F.col("nq"))))))
-    where = ["table", "bucket", "ci", "qi"]
-    dealt = parts.select(*where, "is_query", "id", "code", "scale").repartition(conf_parts(table), *where).sortWithinPartitions(*where)
-    met = dealt.mapInArrow(_met(most), "query_id long, rep long, rough float").groupBy("query_id", "rep").agg(F.max("rough").alias("rough"))
+    n_queries = queries.count()
+    if not n_queries:
+        return empty
+    level = size["shortest"] > size["longest"] * (1 - 1e-6)
+    shape, hashes = (dim, size["longest"], level, kind), Hashes(dim + (not level), size["n"], seed, depth)
+    classes = classes_of(vectors, k + 1)
+
+    asked = max(-(-n_queries // ASKED), min(2, -(-n_queries // LEAST)))
+    shards = max(-(-size["n"] // SHARD), min(-(-min(TASKS, spark.sparkContext.defaultParallelism) // asked), -(-size["n"] // LEAST)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = [classes.select(F.lit(False).alias("is_query"), F.col("rep").alias("id"), "vec", F.when(F.size("members") > 1, F.col("members")).alias("members"), own("rep", shards).alias("shard"), every_one(asked).alias("block")),
+             queries.select(F.lit(True).alias("is_query"), "id", "vec", F.lit(None).cast("array<long>").alias("members"), own("id", asked).alias("block"), every_one(shards).alias("shard"))]
+    dealt = sides[0].unionByName(sides[1]).select((F.col("shard") * asked + F.col("block")).alias("part"), "is_query", "id", "vec", "members").repartitionById(shards * asked, "part")
+    met = dealt.mapInArrow(_searched(hashes, shape, most), "query_id long, rep long, rough float, score double, members array<long>")
     best = W.partitionBy("query_id").orderBy(F.desc("rough"), "rep")
-    pairs = checkpointed(met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("query_id", "rep"))
-    full = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id").join(classes, "rep")
-    result = checkpointed(_top(full.select("query_id", "asked", "vec", "members").mapInArrow(_exact(dim), "query_id long, vec_id long, score double"), k))
-    wanted = min(k, classes.select(F.explode("members")).distinct().limit(k + 1).count() - 1)
-    answered = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= wanted)
-    short = checkpointed(queries.join(answered, F.col("id") == F.col("query_id"), "left_anti"))
+    pairs = met.withColumn("nth", F.dense_rank().over(best)).where(F.col("nth") <= most)
+    scores = pairs.select("query_id", F.explode(F.coalesce("members", F.array("rep"))).alias("vec_id"), "score").where(F.col("query_id") != F.col("vec_id"))
+    result = checkpointed(_top(scores, k))
+
+    def lacking(wanted: int) -> tuple[DataFrame, DataFrame]:
+        answered = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= wanted).select("query_id")
+        return answered, checkpointed(queries.join(answered, F.col("id") == F.col("query_id"), "left_anti"))
+
+    answered, short = lacking(k)
     n_short = short.count()
+    if not n_short:
+        return result
+    wanted = min(k, vectors.select("vec_id").distinct().limit(k + 1).count() - 1)
+    if wanted < k:
+        answered, short = lacking(wanted)
+        n_short = short.count()
     if not n_short or wanted < 1:
         return result
-    whole = result.join(answered.select("query_id"), "query_id", "left_semi").select(*result.columns)
-    return whole.unionByName(_top(from_all(short, n_short, classes, size["n"], dim, k), k))
+    whole = result.join(answered, "query_id", "left_semi").select(*result.columns)
+    return whole.unionByName(_top(from_all(short, n_short, classes, size["n"], dim, kind, k), k))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

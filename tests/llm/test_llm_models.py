@@ -4,6 +4,7 @@ import bisect
 import gzip
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -365,6 +366,69 @@ def test_rounded_vectors_order_candidates_nearly_as_the_vectors():
         assert set(np.argsort(-e)[:20]) <= set(np.argsort(-r)[:20 + ann.SPARE])
 
 
+def test_a_search_moves_a_vector_once_and_not_for_every_table_and_probe(spark):
+    """What is shuffled depends neither on the number of tables nor on that of probes."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def written():
+        files = [f for f in iter_scala(disk.getAllFiles()) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")]
+        return {f.getName(): f.length() for f in files}
+
+    def iter_scala(files):
+        it = files.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    path, before = "/root/testdata/sf0.1/embeddings.parquet", set(written())
+    assert ann.search(spark.read.parquet(path), depth=2).count() == 2000
+    assert sum(n for name, n in written().items() if name not in before) < 6 * os.path.getsize(path)
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_shards_give_the_best_candidates_that_share_a_bucket(monkeypatch, depth):
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "HELD", 60)
+    rng = np.random.default_rng(depth)
+    x, q = rng.normal(size=(400, 8)).astype(np.float32), rng.normal(size=(30, 8)).astype(np.float32)
+    x[:60] = x[0] + rng.normal(size=(60, 8)) / 50  # a hot bucket
+    rep, owner = np.concatenate([np.zeros(9, int), np.arange(391)]), np.concatenate([[0], np.arange(29)])  # ids that repeat
+    hashes = ann.Hashes(8, 400, depth=depth)
+    got = ann._scored(q, owner, x, rep, lambda t: hashes.probed(q.astype(float), t), lambda t: hashes.buckets(x.astype(float), t), hashes, 6)
+    want = {}
+    for t in range(hashes.tables):
+        probed, filed = hashes.probed(q.astype(float), t), hashes.buckets(x.astype(float), t)
+        for i, j in zip(*np.nonzero((probed[:, :, None] == filed).any(axis=1)), strict=True):
+            best = want.setdefault(owner[i], {})
+            best[rep[j]] = max(best.get(rep[j], -np.inf), float(x[j].astype(float) @ q[i].astype(float)))
+    for i, found in want.items():
+        score = got[2][got[0] == i]
+        assert np.allclose(score, sorted(found.values(), reverse=True)[:6], rtol=1e-5, atol=1e-5)
+        assert np.allclose([found[j] for j in got[1][got[0] == i]], score, rtol=1e-5, atol=1e-5)
+
+
+def test_neighbours_do_not_depend_on_the_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i % 290, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 12)))]  # some ids repeat with another vector
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = ann.search(table, k=5, every=10).collect()
+    monkeypatch.setattr(ann, "LEAST", 5)
+    monkeypatch.setattr(ann, "SHARD", 40)
+    many = ann.search(table, k=5, every=10).collect()
+    assert len(one) == 29 * 5 and sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_vectors_of_any_kind_are_read_as_bytes():
+    for kind, numbers, inner in (("<f4", [0.5, -2.0], pa.float32()), ("<f8", [0.1, 3.0], pa.float64()), ("<f8", [2, 3], pa.int32())):
+        column = pa.array([None, numbers, [], [1, None], [0, 0], numbers], pa.list_(inner))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(6)), column], ["vec_id", "embedding"])
+        for at in (0, 1):  # also from within a longer array
+            out = next(ann._as_bytes(kind)([batch.slice(at)]))
+            assert out.column("vec").to_pylist()[-6 + at:] == [None, np.array(numbers, kind).tobytes(), None, None, None, np.array(numbers, kind).tobytes()][at:]
+            assert math.isclose(out.column("norm").to_pylist()[-1], np.linalg.norm(numbers), rel_tol=1e-6)
+    odd = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[float("nan"), 1], [float("inf"), 1]])], ["vec_id", "embedding"])
+    assert next(ann._as_bytes("<f8")([odd])).column("vec").to_pylist() == [None, None]
+
+
 def test_the_best_candidates_of_a_query_are_kept_once():
     query, rep, score = np.array([1, 1, 1, 2, 1]), np.array([5, 5, 6, 5, 7]), np.array([0.1, 0.3, 0.2, 0.9, 0.25])
     kept = ann._kept(query, rep, score, 2)
