@@ -131,8 +131,8 @@ _SEARCHES = (("engineer", "Remotive"), (" Remote ", "all"), ("a", "Remote OK"),
 """ + " UNION ALL ".join(f"SELECT '{q}' AS query, seq, id, title FROM x WHERE contains(t, '{q.strip().lower()}')" + ("" if f == "all" else f" AND shown = '{f}'") for q, f in _SEARCHES))
 def search_postings(spark, sf):
     """The same search by trigram postings that are written beside the listings."""
-    listings, path = _served(spark, sf, heavy=True), fresh_dir(spark, "postings")
-    S.write_postings(listings, "seq", path)
+    listings, path = _served(spark, sf), fresh_dir(spark, "postings")
+    S.write_postings(_served(spark, sf, heavy=True), "seq", path)  # all cores make them; the searches need no dealing out
     found = [S.search_postings(spark, path, listings, "seq", q, f).select(F.lit(q).alias("query"), "seq", "id", "title") for q, f in _SEARCHES]
     return reduce(lambda a, b: a.unionByName(b), found)
 

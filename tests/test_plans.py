@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobmill.operators import joins as J
@@ -117,6 +119,55 @@ def test_postings_are_made_by_all_cores(spark, sf_dir):
     assert "Exchange RoundRobinPartitioning" in plan_of(S.postings(_served(spark, sf_dir, heavy=True), "seq"))
 
 
+def _some_listings(spark, n, key="id"):
+    words = "element_at(array('Engineer', 'ÉCOLE clerk', '', 'a', 'Nurse 𝔘𝔫', 'xyz'), CAST(hash({0}) % 3 + 3 AS int))"
+    return spark.range(n).selectExpr(f"{key} AS seq", words.format("id * 7 + 1") + " AS title", words.format("id + 5") + " AS company", "'Pune' AS job_location", "'' AS state_label", "CAST(id AS string) AS salary",
+                                     "NULL AS experience", "array('SQL', NULL) AS skills", "IF(id % 3 = 0, NULL, 'Remotive') AS source")
+
+
+def test_a_posting_is_a_row_for_a_block_and_not_for_a_listing(spark):
+    from jobmill.operators import search as S
+
+    rows = S.postings(_some_listings(spark, 4000).coalesce(1), "seq")
+    assert rows.select("gram").distinct().count() == rows.count() < 4000
+
+
+@pytest.mark.parametrize("key", ["id", "concat('k', id)", "nullif(id, 9)", "date_add(date '2020-01-01', CAST(id AS int))"])
+def test_postings_of_many_blocks_find_what_a_scan_finds(spark, tmp_path, monkeypatch, key):
+    from jobmill.operators import search as S
+    from jobmill.operators.predicates import search_listings
+
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "CHARS", 200)
+    listings, path = _some_listings(spark, 300, key).repartition(3), str(tmp_path / "postings")
+    S.write_postings(listings, "seq", path)
+    for query, source in (("engineer", "all"), (" ÉCOLE", "Remotive"), ("𝔘𝔫", "all"), ("e 𝔘𝔫 ", "all"), ("pune", "Remotive"), ("29", "all"), ("no such", "all"), ("sql  remotive", "all")):
+        scan = sorted(str(r.seq) for r in search_listings(listings, query, source).collect() if r.seq is not None or len(query.strip()) < 3)
+        assert sorted(str(r.seq) for r in S.search_postings(spark, path, listings, "seq", query, source).collect()) == scan
+        assert scan or query == "no such"
+
+
+def test_trigrams_places_and_keys_of_a_block():
+    import random
+
+    from jobmill.operators import search as S
+
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab é𝔘") for _ in range(rnd.randint(0, 9))) for _ in range(200)]
+    want = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 2):
+            want.setdefault(t[at:at + 3], set()).add(i)
+    assert {g: p.tolist() for g, p in S.grams_of(texts)} == {g: sorted(p) for g, p in want.items()} and S.grams_of(["", "ab"]) == []
+    letters = "".join(map(chr, range(0x20, 0xD800)))
+    assert S.grams_of([letters, *["abc"] * 60_000]) is None
+    for size, many in ((1 << 16, 9), (1 << 16, 40_000), (70_000, 3), (70_000, 69_999), (1, 1), (5, 0)):
+        places = np.sort(np.random.default_rng(many).choice(size, many, replace=False))
+        assert np.flatnonzero(S.unpacked_places(S.packed_places(places, size), size)).tolist() == places.tolist()
+    for keys in (pa.array([5, -3, 1 << 62, -(1 << 62), 5]), pa.array([7], pa.int32()), pa.array(["b", "", "é"]), pa.array([True, False]), pa.array([1.5, 2.0])):
+        assert S.unpacked_keys(S.packed_keys(keys)).to_pylist() == keys.to_pylist()
+
+
 def test_costly_tests_of_the_refresh_stay_above_the_spread(spark):
     """A plain filter moves below it, into the few tasks that read the table, and pages that nobody wants are parsed for it."""
     from jobmill.plans import refresh as R
