@@ -127,6 +127,7 @@ def _read_plain(html: str) -> list[list] | None:
     """
     rows: list[list] = []
     opened: list[tuple] = []  # (row, name, raw text, keeps blanks)
+    named: dict[str, int] = {}  # how many open elements have a name
     top = -1  # the row of the innermost open element
     raw = kept = 0
     parts = _TAG.split(html)
@@ -161,13 +162,15 @@ def _read_plain(html: str) -> list[list] | None:
             rows.append([pos, pos, top, len(opened), "open", tag, attrs, ""])
             if not void:
                 opened.append((pos, tag, is_raw, keeps))
+                named[tag] = named.get(tag, 0) + 1
                 top = pos
                 raw += is_raw
                 kept += keeps
             continue
-        ends = bool(opened) and (opened[-1][1] == tag or any(o[1] == tag for o in opened))
+        ends = bool(named.get(tag))
         while ends:
             start, name, is_raw, keeps = opened.pop()
+            named[name] -= 1
             raw -= is_raw
             kept -= keeps
             top = opened[-1][0] if opened else -1
